@@ -92,20 +92,22 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def predict(docs: DataFrame, model: dict | None) -> DataFrame:
-    """docs -> doc_id, lang_pred, score."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+def predict(docs: DataFrame, model: dict | None, with_rows: bool = False) -> DataFrame:
+    """docs -> doc_id, lang_pred, score and, if with_rows, row: the whole row as a struct."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)) if with_rows else F.lit(None).cast("int")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"), row.alias("row"))
     if model is None:
-        return rows.select("doc_id", F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return rows.select("doc_id", F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"), "row")
+    kind = dict(rows.dtypes)["row"]
 
     def run(batches):
         langs = np.array([*model["langs"], UND], object)
         for batch in slices(batches):
             p = softmax((kernel(presence(batch.column("text")), model["z"]) @ model["beta"] + model["bias"]) * model["sharp"])
             best, letters = p.argmax(1), batch.column("letters").to_numpy(zero_copy_only=False)
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "lang_pred": pa.array(langs[np.where(letters, best, len(langs) - 1)], pa.string()), "score": pa.array(np.where(letters, p.max(1), 0.0), pa.float64())})
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "lang_pred": pa.array(langs[np.where(letters, best, len(langs) - 1)], pa.string()), "score": pa.array(np.where(letters, p.max(1), 0.0), pa.float64()), "row": batch.column("row")})
 
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return rows.mapInArrow(run, f"doc_id long, lang_pred string, score double, row {kind}")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
