@@ -2,16 +2,17 @@
 
 1. Candidates, without losing a pair: two sets with Jaccard similarity t or more
    differ in at most d = (1-t)/(1+t) * (a+b) elements. Hash space is cut into k > d
-   ranges; one range at least must then hold the same elements in both, and enough
-   ranges that one of those isn't empty. Equal (size class, range, contents) are
-   therefore shared by every similar pair, and by few others, as a range holds about
-   four shingles. Fingerprints are made distinct in each input partition before
+   ranges; k-d ranges at least hold the same elements in both, and one of them isn't
+   among the k-d-1 poorest of either. Equal (size class, range, contents), but for
+   the poorest, are therefore shared by every similar pair, and by few others, as a
+   range holds about four shingles. Fingerprints are made distinct in each input partition before
    they are shuffled, so that a group of copies sends a row a partition.
 2. Connected components of documents with an equal fingerprint are the candidate
    groups; documents with equal sets are one member of them.
-3. Prefix-tree join inside a group: sets, globally ordered, form a trie with
-   compressed runs; a traversal shares partial overlaps and leaves subtrees that the
-   remaining lengths, or a component already joined, rule out. Groups above BLOCK
+3. Prefix-tree join inside a group: sets, globally ordered with the rarest first,
+   form a trie with compressed runs; one traversal carries the partial overlaps of
+   all sets and drops, at each run, those that the remaining lengths, or a component
+   already joined, rule out for the subtree. Groups above BLOCK
    members are joined block by block, each with the group's least member; only members
    that this leaves apart from it meet all other blocks.
 4. Components of the links.
@@ -35,8 +36,10 @@ from .common import M1, byte_view, connected_components, dropped, forest, forest
 NGRAM, PERCENT = 5, 80
 #: Members of a group that one task joins; fingerprints held before they are sent.
 BLOCK, HELD = 2000, 3_000_000
-#: Ratio of the sizes at the ends of a size class.
-CLASS = 0.7
+#: Ratio of the sizes at the ends of a size class; ranges over those that can differ.
+CLASS, SPARE = 0.7, 1.25
+#: Tokens of a run that are counted at once.
+STEP = 64
 
 _letters = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _letters[65:91] = _letters[97:123]  # A-Z are lower-cased
@@ -102,17 +105,11 @@ class Ranges:
             self.lows.append(max(self.lows[-1] + 1, math.ceil(self.lows[-1] / CLASS)))
 
     def of(self, c: int) -> tuple[int, int]:
-        """(ranges, empty ranges that may agree) of class c, for pairs whose smaller set is in it."""
+        """(ranges, ranges that needn't be sent) of class c, for pairs whose smaller set is in it."""
         if c not in self.k:
-            low, high = self.lows[c], self.lows[c + 1] - 1
+            high = self.lows[c + 1] - 1
             most = math.floor((1 - self.t) / (1 + self.t) * (high + math.floor(high / self.t)) + 1e-9)
-            k = most + 1
-            while k < 2 * most + 2:
-                mean = k * math.exp(-low / k)
-                if k - most - 1 >= math.ceil(mean + 4 * math.sqrt(mean)):
-                    break
-                k += 1
-            self.k[c] = k, k - most - 1
+            self.k[c] = (k := math.ceil(SPARE * (most + 1))), k - most - 1
         return self.k[c]
 
     def classes(self, n: int) -> list[int]:
@@ -129,8 +126,9 @@ class Ranges:
             edge = np.searchsorted((high * np.uint64(k)) >> np.uint64(32), np.arange(k + 1))
             part = sums[edge[1:]] - sums[edge[:-1]]
             part = mix(part + mix(np.arange(k, dtype=np.uint64) + np.uint64(c << 32)))
-            full = edge[1:] > edge[:-1]
-            out.append(part if k - full.sum() > spare else part[full])
+            # more than `spare` ranges agree, so one of them isn't among the `spare` poorest of either set
+            held = np.diff(edge)
+            out.append(part[held >= np.partition(held, spare)[spare]])
         return np.concatenate(out)
 
 
@@ -250,61 +248,60 @@ class Trie:
 def trie_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links (i, j) that join all sets with 100 * shared >= percent * united; links
     between sets that are joined already are left out."""
-    parent = list(range(len(sets)))
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = i = parent[parent[i]]
-        return i
-
-    links = []
+    n = len(sets)
+    sizes = np.array(list(map(len, sets)), np.int64)
+    root, links = np.arange(n), []
 
     def join(i: int, j: int) -> None:
-        a, b = find(i), find(j)
+        a, b = sorted((root[i], root[j]))
         if a != b:
-            parent[max(a, b)] = min(a, b)
-            links.append((i, j))
-
-    every = np.concatenate(sets)
-    token, rank_of, count = np.unique(every, return_inverse=True, return_counts=True)
-    order = np.lexsort((token, -count))  # the most frequent first: near copies share long paths
-    rank = np.empty(len(token), np.int64)
-    rank[order] = np.arange(len(token))
-    ends = np.cumsum([len(s) for s in sets])
-    ordered = [np.sort(rank[rank_of[e - len(s) : e]]) for s, e in zip(sets, ends)]
+            root[root == b] = a
+            links.append((int(i), int(j)))
+
+    owner = np.repeat(np.arange(n), sizes)
+    token, rank, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.lexsort((token, count))
+    places = np.empty(len(token), np.int64)
+    places[order] = np.arange(len(token))
+    keys = np.sort(owner * len(token) + places[rank])  # all sets, one after the other, in the global order
+    starts = np.cumsum(sizes) - sizes
+    by_token = np.argsort(places[rank], kind="stable")
+    holders, ends = owner[by_token], np.r_[0, np.cumsum(count[order])]
     trie = Trie()
-    for i, s in enumerate(ordered):
-        if (j := trie.add(s, i)) is not None:
+    for i in range(n):
+        if (j := trie.add(keys[starts[i] : starts[i] + sizes[i]] - i * len(token), i)) is not None:
             join(j, i)
-    mine = np.zeros(len(token), bool)
-    for i, s in enumerate(ordered):
-        n = len(s)
-        mine[s] = True
-        stack = [(trie.root, 0, 0)]
-        while stack:
-            node, shared, depth = stack.pop()
-            if node.one is not None and find(node.one) == find(i):
-                continue
-            if len(node.run):
-                shared += int(mine[node.run].sum())
-                depth += len(node.run)
-                left = n - int(np.searchsorted(s, node.run[-1], "right"))
-            else:
-                left = n
-            most = shared + min(left, node.high - depth)
-            if 100 * most < percent * (n + max(node.low, most) - most):
-                continue
-            for j in node.ends:
-                if j != i and 100 * shared >= percent * (n + len(ordered[j]) - shared):
-                    join(j, i)
-            if node.one is None and all(c.one is not None for c in node.children.values()):
-                roots = {find(c.one) for c in node.children.values()} | {find(j) for j in node.ends}
-                if len(roots) == 1:
-                    node.one = roots.pop()
-            if not node.children and len({find(j) for j in node.ends}) == 1:
+    stack = [(trie.root, np.arange(n), np.zeros(n, np.int64), 0)]
+    while stack:
+        node, active, shared, depth = stack.pop()
+        if node.one is None:
+            if not node.children:
                 node.one = node.ends[0]
-            stack.extend((c, shared, depth) for c in node.children.values())
-        mine[s] = False
+            elif all(c.one is not None for c in node.children.values()):
+                below = [c.one for c in node.children.values()] + node.ends[:1]
+                if (root[below] == root[below[0]]).all():
+                    node.one = below[0]
+        if node.one is not None:
+            apart = root[active] != root[node.one]
+            active, shared = active[apart], shared[apart]
+        for at in range(0, len(node.run), STEP):
+            if not len(active):
+                break
+            run = node.run[at : at + STEP]
+            some = run[ends[run + 1] - ends[run] > 1]
+            if len(some):
+                shared = shared + np.bincount(np.concatenate([holders[ends[t] : ends[t + 1]] for t in some.tolist()]), minlength=n)[active]
+            depth += len(run)
+            left = sizes[active] - (np.searchsorted(keys, active * len(token) + run[-1], "right") - starts[active])
+            most = shared + np.minimum(left, node.high - depth)
+            may = 100 * most >= percent * (sizes[active] + np.maximum(node.low, most) - most)
+            active, shared = active[may], shared[may]
+        if not len(active):
+            continue
+        if node.ends:
+            for i in active[100 * shared >= percent * (sizes[active] + sizes[node.ends[0]] - shared)]:
+                join(i, node.ends[0])
+        stack.extend((c, active, shared, depth) for c in node.children.values())
     return links
 
 
