@@ -3,6 +3,7 @@ text columns and connected components."""
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -32,10 +33,23 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+@contextlib.contextmanager
+def tidy(spark: SparkSession):
+    """Shuffle files of the queries inside go when each query ends."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write to the shared folder and read again."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with tidy(spark):
+        df.write.option("compression", "zstd").parquet(path)
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)

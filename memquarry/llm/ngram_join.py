@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import M1, byte_view, connected_components, dropped, forest, forest_batches, mix, slices, small, table, written
+from .common import M1, byte_view, connected_components, forest, mix, slices, small, table, written
 
 NGRAM, PERCENT = 5, 80
 #: Members of a group that one task joins; fingerprints held before they are sent.

@@ -13,9 +13,11 @@ document with a smaller doc_id. No comparison crosses documents.
 3. Each string has a key, the least rolling hash in it, so that equal strings have
    equal keys. Keys that several documents of the dictionary hold are shared; the
    stretches of text under them are the dictionary's suffixes that need an order.
-4. Distinct stretches of a key meet in one task, where doubling ranks put all their
-   suffixes into the corpus order of their first LENGTH bytes; equal ranks are equal
-   strings, and the least document of a rank goes back along the parse.
+4. Stretches of a key meet in one task, where doubling ranks put all suffixes of the
+   distinct ones into the corpus order of their first LENGTH bytes; equal ranks are
+   equal strings, and the least document of a rank goes back along the parse. Keys
+   of more than HOT documents are split: their distinct stretches are combined before
+   they are shuffled, and what they give is joined back.
 
 The texts are dealt once, into a bucketed table by document, and each step joins
 its findings to that table without moving the texts again.
@@ -36,9 +38,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_view, mix, slices, table, written
+from .common import byte_view, dropped, mix, slices, table, tidy, written
 
-LENGTH, GRAM, PHRASE_BITS = 50, 16, 8
+LENGTH, GRAM, PHRASE_BITS, HOT = 50, 16, 8, 10_000
+#: Keys are shortened where they only tell what to look at more closely.
+SHORT = np.uint64(16)
 _letters = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _odd = np.uint64(0xFF51AFD7ED558CCD)
 _top = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -131,7 +135,7 @@ def key_rows(length: int):
             p = Parsed(batch.column("text"), length)
             keys = p.keys()
             begin, _ = p.runs(p.strings(~p.repeated(batch.column("repeated").to_pylist())), keys)
-            key, doc = keys[begin].view(np.int64), batch.column("doc_id").to_numpy()[p.doc[begin]]
+            key, doc = (keys[begin] >> SHORT).view(np.int64), batch.column("doc_id").to_numpy()[p.doc[begin]]
             order = np.lexsort((key, doc))
             key, doc = key[order], doc[order]
             new = np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])] if len(key) else np.zeros(0, bool)
@@ -140,38 +144,46 @@ def key_rows(length: int):
     return run
 
 
-def shared_keys(batches):
+def shared_keys(hot: int):
     """Of the (key, doc_id) rows of a partition by key: those whose key several documents have."""
-    rows = [(b.column("key").to_numpy(), b.column("doc_id").to_numpy()) for b in batches]
-    if rows:
-        key, doc = (np.concatenate(x) for x in zip(*rows))
-        order = np.lexsort((doc, key))
-        key, doc = key[order], doc[order]
-        if len(key):
-            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            low, high = doc[first], doc[np.r_[first[1:] - 1, len(doc) - 1]]
-            many = np.repeat(low != high, np.diff(np.r_[first, len(key)]))
+
+    def run(batches):
+        rows = [(b.column("key").to_numpy(), b.column("doc_id").to_numpy()) for b in batches]
+        if rows:
+            key, doc = (np.concatenate(x) for x in zip(*rows))
+            order = np.lexsort((doc, key))
+            key, doc = key[order], doc[order]
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
+            end = np.r_[first[1:], len(key)] if len(key) else first
+            many = np.repeat(doc[first] != doc[end - 1], end - first)
+            large = np.repeat(end - first > hot, end - first)[many]
             key, doc = key[many], doc[many]
             for i in range(0, len(key), 100_000):
-                yield pa.record_batch({"key": key[i : i + 100_000], "doc_id": doc[i : i + 100_000]})
+                yield pa.record_batch({"key": key[i : i + 100_000], "doc_id": doc[i : i + 100_000], "hot": large[i : i + 100_000]})
+
+    return run
 
 
 def stretch_rows(length: int):
+    """The stretches of each text under the keys in its list."""
+
     def run(batches):
         for batch in slices(batches, SLICE):
             p = Parsed(batch.column("text"), length)
             keys = p.keys()
             begin, end = p.runs(p.strings(~p.repeated(batch.column("repeated").to_pylist())), keys)
+            short = keys[begin] >> SHORT
             lists = batch.column("keys").to_pylist()
             salt = mix(np.arange(1, len(lists) + 1, dtype=np.uint64))
             wanted = np.sort(mix(np.array([k for x in lists for k in x], np.int64).view(np.uint64) ^ np.repeat(salt, [len(x) for x in lists])))
-            mine = mix(keys[begin] ^ salt[p.doc[begin]])
-            found = np.searchsorted(wanted, mine)
-            some = wanted[np.minimum(found, len(wanted) - 1)] == mine
-            begin, end = begin[some], end[some]
+            if not len(wanted):
+                continue
+            mine = mix(short ^ salt[p.doc[begin]])
+            some = wanted[np.minimum(np.searchsorted(wanted, mine), len(wanted) - 1)] == mine
+            begin, end, short = begin[some], end[some], short[some]
             doc, data = p.doc[begin], p.data.tobytes()
             ids, tags = batch.column("doc_id").to_numpy(), batch.column("tag").to_numpy()
-            yield pa.record_batch({"key": keys[begin].view(np.int64), "doc_id": ids[doc], "tag": tags[doc], "at": pa.array(begin - p.offsets[doc], pa.int32()), "stretch": pa.array([data[a:b] for a, b in zip(begin.tolist(), (end + length - 1).tolist())], pa.binary())})
+            yield pa.record_batch({"key": short.view(np.int64), "doc_id": ids[doc], "tag": tags[doc], "at": pa.array(begin - p.offsets[doc], pa.int32()), "stretch": pa.array([data[a:b] for a, b in zip(begin.tolist(), (end + length - 1).tolist())], pa.binary())})
 
     return run
 
@@ -202,45 +214,78 @@ def suffix_ranks(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np
     return inside, rank[inside]
 
 
+def least_documents(stretches, first: np.ndarray, length: int):
+    """(list offsets, sizes, documents): for each distinct stretch its runs of strings
+    and the least document that holds them."""
+    data, offsets = byte_view(stretches)
+    place, rank = suffix_ranks(data, offsets, length)
+    of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[place]
+    least = np.full(int(rank.max(initial=-1)) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, rank, first[of])
+    least = least[rank]
+    at = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (of[1:] != of[:-1])]) if len(of) else np.zeros(0, int)
+    size, owner = np.diff(np.r_[at, len(of)]), of[at]
+    return np.r_[0, np.cumsum(np.bincount(owner, minlength=len(first)))], size, least[at]
+
+
+def later_runs(doc, tag, at, lists, size, least):
+    """The runs of strings of occurrences (doc, tag, at, list) that an earlier document has."""
+    n = np.diff(lists)[at[1]]
+    of = np.repeat(np.arange(len(n)), n)
+    nth = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    row = lists[at[1]][of] + nth
+    before = np.cumsum(size) - size
+    begin = at[0][of] + before[row] - before[lists[at[1]][of]]
+    some = least[row] < doc[of]
+    return pa.record_batch({"doc_id": doc[of][some], "tag": tag[of][some], "run": pa.array(((begin << 32) | (begin + size[row]))[some], pa.int64())})
+
+
 def resolved(length: int):
-    """Of the distinct stretches of a partition by key: for each, runs of strings and
-    the least document that holds them."""
+    """All stretches of a partition by key -> runs to remove."""
+
+    def run(batches):
+        rows = [pa.Table.from_batches([b]) for b in batches]
+        if not rows or not (rows := pa.concat_tables(rows)).num_rows:
+            return
+        coded = rows["stretch"].combine_chunks().dictionary_encode()
+        coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+        code, doc = coded.indices.to_numpy(), rows["doc_id"].to_numpy()
+        first = np.full(len(coded.dictionary), np.iinfo(np.int64).max)
+        np.minimum.at(first, code, doc)
+        lists, size, least = least_documents(coded.dictionary, first, length)
+        tag, at = rows["tag"].to_numpy(), rows["at"].to_numpy().astype(np.int64)
+        later = first[code] < doc
+        later |= np.minimum.reduceat(np.r_[least, np.iinfo(np.int64).max], lists[:-1])[code] < doc if len(least) else False
+        doc, tag, at, code = doc[later], tag[later], at[later], code[later]
+        for i in range(0, len(doc), 50_000):
+            s = slice(i, i + 50_000)
+            yield later_runs(doc[s], tag[s], (at[s], code[s]), lists, size, least)
+
+    return run
+
+
+def distinct_resolved(length: int):
+    """The distinct stretches of a partition by key, with the least document of each -> lists to be joined back."""
 
     def run(batches):
         rows = [pa.Table.from_batches([b]) for b in batches]
-        if not rows:
+        if not rows or not (rows := pa.concat_tables(rows)).num_rows:
             return
-        rows = pa.concat_tables(rows)
-        data, offsets = byte_view(rows["stretch"])
-        first = rows["first"].to_numpy()
-        place, rank = suffix_ranks(data, offsets, length)
-        of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[place]
-        least = np.full(int(rank.max(initial=-1)) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(least, rank, first[of])
-        least = least[rank]
-        new = np.r_[True, (least[1:] != least[:-1]) | (of[1:] != of[:-1])] if len(of) else np.zeros(0, bool)
-        at = np.flatnonzero(new)
-        size, owner = np.diff(np.r_[at, len(of)]), of[at]
-        lists = np.r_[0, np.cumsum(np.bincount(owner, minlength=len(first)))].astype(np.int32)
-        for i in range(0, len(first), 20_000):
-            j = min(i + 20_000, len(first))
+        lists, size, least = least_documents(rows["stretch"], rows["first"].to_numpy(), length)
+        for i in range(0, rows.num_rows, 20_000):
+            j = min(i + 20_000, rows.num_rows)
             cut, o = slice(lists[i], lists[j]), pa.array(lists[i : j + 1] - lists[i], pa.int32())
-            yield pa.record_batch({"s1": rows["s1"][i:j].combine_chunks(), "s2": rows["s2"][i:j].combine_chunks(), "sizes": pa.ListArray.from_arrays(o, pa.array(size[cut], pa.int32())), "least": pa.ListArray.from_arrays(o, pa.array(least[at][cut], pa.int64()))})
+            yield pa.record_batch({"s1": rows["s1"][i:j].combine_chunks(), "s2": rows["s2"][i:j].combine_chunks(), "sizes": pa.ListArray.from_arrays(o, pa.array(size[cut], pa.int32())), "least": pa.ListArray.from_arrays(o, pa.array(least[cut], pa.int64()))})
 
     return run
 
 
 def removed_runs(batches):
-    """(doc_id, tag, at, sizes, least) -> runs of strings of the document that an earlier one has."""
+    """(doc_id, tag, at, sizes, least): stretches with their lists -> runs to remove."""
     for b in batches:
-        sizes, least = b.column("sizes"), b.column("least").flatten().to_numpy()
-        n = sizes.value_lengths().to_numpy()
-        of, size = np.repeat(np.arange(len(n)), n), sizes.flatten().to_numpy().astype(np.int64)
-        before = np.cumsum(size) - size
-        begin = before - before[np.cumsum(n) - n][of] + b.column("at").to_numpy()[of] if len(of) else before
-        doc = b.column("doc_id").to_numpy()[of]
-        some = least < doc
-        yield pa.record_batch({"doc_id": doc[some], "tag": b.column("tag").to_numpy()[of][some], "run": pa.array(((begin << 32) | (begin + size))[some], pa.int64())})
+        lists = np.r_[0, np.cumsum(b.column("sizes").value_lengths().to_numpy())]
+        size, least = b.column("sizes").flatten().to_numpy().astype(np.int64), b.column("least").flatten().to_numpy()
+        yield later_runs(b.column("doc_id").to_numpy(), b.column("tag").to_numpy(), (b.column("at").to_numpy().astype(np.int64), np.arange(b.num_rows)), lists, size, least)
 
 
 def applied(length: int, with_text: bool):
@@ -271,7 +316,7 @@ def applied(length: int, with_text: bool):
     return run
 
 
-def repeated_passages(spark: SparkSession, docs: DataFrame, length: int = LENGTH, with_text: bool = True) -> DataFrame:
+def repeated_passages(spark: SparkSession, docs: DataFrame, length: int = LENGTH, with_text: bool = True, hot: int = HOT) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, rest (the other columns), n_bytes, n_removed,
     n_spans, kept_sha256, spans, kept (bytes that stay, if with_text)."""
     if length < GRAM:
@@ -280,7 +325,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, length: int = LENGTH
     every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), (F.struct(*rest) if rest else F.struct(F.lit(0).alias("none"))).alias("rest"))
     every = every.withColumn("tag", F.xxhash64("text", F.lit(3)))
     n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"memquarry_texts_{uuid.uuid4().hex}"
-    every.where("doc_id IS NOT NULL").repartition(n, "doc_id", "tag").write.bucketBy(n, "doc_id", "tag").option("compression", "zstd").saveAsTable(name, format="parquet")
+    with tidy(spark):
+        every.where("doc_id IS NOT NULL").repartition(n, "doc_id", "tag").write.bucketBy(n, "doc_id", "tag").option("compression", "zstd").saveAsTable(name, format="parquet")
     texts = spark.table(name)
     own = ["doc_id", "tag"]
 
@@ -288,18 +334,25 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, length: int = LENGTH
     later = phrases.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
     repeated = phrases.join(later, ["h1", "h2"]).where("doc_id > first").groupBy(*own).agg(F.collect_list("at").alias("repeated"))
     repeated = written(spark, repeated, "passage-repeated")
+    dropped(spark, phrases)
     parsed = texts.join(repeated.hint("shuffle_hash"), own, "left")
 
     keys = parsed.select("doc_id", "text", "repeated").mapInArrow(key_rows(length), "key long, doc_id long")
-    shared = keys.repartition("key").mapInArrow(shared_keys, "key long, doc_id long")
-    shared = written(spark, shared, "passage-keys").groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
-    shared = shared.join(texts.select(*own), "doc_id").dropDuplicates(own)
-    stretches = parsed.join(shared.hint("shuffle_hash"), own).select(*own, "text", "repeated", "keys").mapInArrow(stretch_rows(length), "key long, doc_id long, tag long, at int, stretch binary")
-    stretches = written(spark, stretches.withColumn("s1", F.xxhash64("stretch")).withColumn("s2", F.xxhash64("stretch", F.lit(1))), "passage-stretches")
-    distinct = stretches.groupBy("key", "stretch", "s1", "s2").agg(F.min("doc_id").alias("first"))
-    found = distinct.repartition("key").mapInArrow(resolved(length), "s1 long, s2 long, sizes array<int>, least array<long>")
-    runs = stretches.select(*own, "at", "s1", "s2").join(found, ["s1", "s2"]).select(*own, "at", "sizes", "least").mapInArrow(removed_runs, "doc_id long, tag long, run long")
+    keys = written(spark, keys.repartition("key").mapInArrow(shared_keys(hot), "key long, doc_id long, hot boolean"), "passage-keys")
+
+    def stretches(some: DataFrame) -> DataFrame:
+        lists = some.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
+        lists = texts.select(*own).distinct().join(lists, "doc_id").hint("shuffle_hash")
+        return parsed.join(lists, own).select(*own, "text", "repeated", "keys").mapInArrow(stretch_rows(length), "key long, doc_id long, tag long, at int, stretch binary")
+
+    kind = "doc_id long, tag long, run long"
+    runs = stretches(keys.where("NOT hot")).repartition("key").mapInArrow(resolved(length), kind)
+    if keys.where("hot").limit(1).count():
+        split = written(spark, stretches(keys.where("hot")).withColumn("s1", F.xxhash64("stretch")).withColumn("s2", F.xxhash64("stretch", F.lit(1))), "passage-stretches")
+        found = split.groupBy("key", "stretch", "s1", "s2").agg(F.min("doc_id").alias("first")).repartition("key").mapInArrow(distinct_resolved(length), "s1 long, s2 long, sizes array<int>, least array<long>")
+        runs = runs.union(split.select(*own, "at", "s1", "s2").join(found, ["s1", "s2"]).select(*own, "at", "sizes", "least").mapInArrow(removed_runs, kind))
     runs = written(spark, runs.groupBy(*own).agg(F.collect_list("run").alias("runs")), "passage-runs")
+    dropped(spark, keys)
 
     kind = dict(texts.dtypes)["rest"]
     schema = f"doc_id long, rest {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary"
