@@ -158,7 +158,7 @@ def quality(docs: DataFrame, labels: DataFrame, learn, sample: int = SAMPLE, thr
     chosen = labelled(labels, "quality", learn).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     some = rows.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").mapInArrow(pool, "doc_id long, x binary")
     got = some.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "x").collect()
-    x = np.frombuffer(b"".join(r.x for r in got)).reshape(len(got), -1)
+    x = np.frombuffer(b"".join(r.x for r in got)).reshape(len(got), 2 * DIMS + 1)
     model = network(x, np.array([r.y for r in got]))
 
     def score(batches):
