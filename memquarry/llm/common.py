@@ -18,7 +18,18 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 
 
+#: Rows of an Arrow batch, unless the session sets another number than Spark's own.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Texts are long rows: Spark's 10,000 of them a batch take hundreds of MB on either side."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -91,8 +102,8 @@ def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batches, size: int = 4 << 20, text: str = "text"):
-    """Record batches cut into pieces of about size bytes of text; a longer text stays whole."""
+def slices(batches, size: int = 1 << 20, rows: int = 2000, text: str = "text"):
+    """Record batches cut into pieces of about size bytes of text and so many rows at most; a longer text stays whole."""
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -101,7 +112,7 @@ def slices(batches, size: int = 4 << 20, text: str = "text"):
         start = 0
         while start < n:
             end = int(np.searchsorted(offsets, offsets[start] + size, "left"))
-            end = min(n, max(end, start + 1))
+            end = min(n, start + rows, max(end, start + 1))
             yield batch.slice(start, end - start)
             start = end
 

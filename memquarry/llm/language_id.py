@@ -55,7 +55,7 @@ def features(df: DataFrame) -> DataFrame:
     """(doc_id, lang, text) -> (doc_id, lang, grams): the presence bits, packed."""
 
     def run(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, 512 << 10, 500):
             bits = np.packbits(presence(batch.column("text")).astype(bool), axis=1)
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "lang": batch.column("lang"), "grams": pa.array([b.tobytes() for b in bits], pa.binary())})
 
@@ -95,14 +95,16 @@ def softmax(x: np.ndarray) -> np.ndarray:
 def predict(docs: DataFrame, model: dict | None, with_rows: bool = False) -> DataFrame:
     """docs -> doc_id, lang_pred, score and, if with_rows, row: the whole row as a struct."""
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)) if with_rows else F.lit(None).cast("int")
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"), row.alias("row"))
+    rows = docs.select(F.col("doc_id").cast("long"), (F.lit(None) if with_rows else F.col("text")).cast("string").alias("text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"), row.alias("row"))
     if model is None:
         return rows.select("doc_id", F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"), "row")
     kind = dict(rows.dtypes)["row"]
 
     def run(batches):
         langs = np.array([*model["langs"], UND], object)
-        for batch in slices(batches):
+        if with_rows:  # the text is in the row
+            batches = (b.set_column(1, "text", pc.cast(b.column("row").field("text"), pa.string())) for b in batches)
+        for batch in slices(batches, 512 << 10, 500):
             p = softmax((kernel(presence(batch.column("text")), model["z"]) @ model["beta"] + model["bias"]) * model["sharp"])
             best, letters = p.argmax(1), batch.column("letters").to_numpy(zero_copy_only=False)
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "lang_pred": pa.array(langs[np.where(letters, best, len(langs) - 1)], pa.string()), "score": pa.array(np.where(letters, p.max(1), 0.0), pa.float64()), "row": batch.column("row")})

@@ -30,7 +30,7 @@ from .common import slices, table, written
 CAPACITY, CLOSING_ID = 2048, 0
 CELL = 50_000
 #: Chunks up to so many characters are remembered; two generations of so many entries.
-LONG_CHUNK, REMEMBERED = 40, 300_000
+LONG_CHUNK, REMEMBERED = 40, 150_000
 
 
 class Remembered(dict):
@@ -74,7 +74,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
 
     def run(batches):
         known, end = encoder(tokenizer_path), np.array([closing_id], "<u4").tobytes()
-        for batch in slices(batches, 1 << 20):
+        for batch in slices(batches, 512 << 10):
             texts = [(t or "").split(" ") for t in batch.column("text").to_pylist()]
             new = [c for c in set().union(*texts) if c not in known and len(c) <= LONG_CHUNK and c not in known.old]
             if len(known) + len(new) > known.limit:

@@ -43,6 +43,8 @@ from .common import byte_view, dropped, mix, slices, table, tidy, written
 LENGTH, GRAM, PHRASE_BITS, HOT = 50, 16, 8, 10_000
 #: Keys are shortened where they only tell what to look at more closely.
 SHORT = np.uint64(16)
+#: Bytes of stretches, of whole keys, that are put into order at once.
+PART = 2 << 20
 _letters = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _odd = np.uint64(0xFF51AFD7ED558CCD)
 _top = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -245,7 +247,16 @@ def resolved(length: int):
 
     def run(batches):
         rows = [pa.Table.from_batches([b]) for b in batches]
-        if not rows or not (rows := pa.concat_tables(rows)).num_rows:
+        if not rows or not (whole := pa.concat_tables(rows)).num_rows:
+            return
+        del rows
+        parts = 1 + whole["stretch"].nbytes // PART  # all of a key are in one part
+        part = whole["key"].to_numpy() % parts
+        for i in range(parts):
+            yield from some(whole.filter(pa.array(part == i)) if parts > 1 else whole)
+
+    def some(rows):
+        if not rows.num_rows:
             return
         coded = rows["stretch"].combine_chunks().dictionary_encode()
         coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
@@ -300,7 +311,7 @@ def applied(length: int, with_text: bool):
             at = np.flatnonzero(covered)
             edge[at] += 1
             edge[at + length] -= 1
-            gone = np.cumsum(edge[: len(covered)]) > 0
+            gone = np.cumsum(edge[: len(covered)], dtype=np.int32) > 0
             out: list = [[], [], [], [], [], []]
             for a, b in zip(p.offsets[:-1].tolist(), p.offsets[1:].tolist()):
                 g = gone[a:b]
