@@ -63,7 +63,7 @@ def encoder(path: str) -> Remembered:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        known = Remembered(lambda chunk: np.array(tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes())
+        known = Remembered(lambda chunk: np.array(tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes(), 2 * REMEMBERED)
         known.many = lambda chunks: ((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(chunks, tokenizer.encode_batch_fast(chunks, add_special_tokens=False)))
         _known[path] = known
     return _known[path]
