@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ZERO = F.lit(0.0)
-
 
 def dot(a: Column, b: Column) -> Column:
     """Over the shorter length."""
