@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tokens import ask_tokens, filename_match, phrase_overlap, rank_tokens, text_match, word_tokens
+from ..functions.tokens import ask_tokens, filename_match, phrase_overlap, rank_tokens, word_tokens
 from ..functions.vectors import cosine_pre, norm
 
 BLOCK = 64
@@ -119,7 +119,8 @@ def search_keyword(queries: DataFrame, media: DataFrame, k: int = TOP_K) -> Data
 
 
 def search_ocr(queries: DataFrame, media: DataFrame, k: int = TOP_K) -> DataFrame:
-    both = _contained(queries, media).withColumn("score", text_match(F.col("tokens"), F.col("ocr"))).where("score > 0")
+    hits = F.size(F.filter("tokens", lambda t: F.contains(F.col("ocr"), t)))  # the text is in lower case already, once a row
+    both = _contained(queries, media).withColumn("hits", hits).where("hits > 0").withColumn("score", F.col("hits") / F.size("tokens")).drop("ocr")
     return ranked(both, k, F.col("score").desc(), F.col("filename")).select("query_id", "rank", "filename", "score")
 
 
