@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tokens import ask_tokens, filename_match, phrase_overlap, rank_tokens, word_tokens
+from ..functions.tokens import ask_tokens, filename_match, phrase_tokens, rank_tokens, word_tokens
 from ..functions.vectors import cosine_pre, norm
 
 BLOCK = 64
@@ -47,10 +47,10 @@ def ocr_word_share(queries: DataFrame, media: DataFrame) -> DataFrame:
 def score_files(queries: DataFrame, media: DataFrame) -> DataFrame:
     """Hybrid score of every file for every query, with its parts."""
     q = queries.withColumn("tokens", rank_tokens(F.col("text"))).withColumn("_qn", norm(F.col("vec"))).drop("text")
-    rows = media.select("row_id", "filename", "embedding", "phrase").withColumn("_en", norm(F.col("embedding"))).withColumn("_pn", norm(F.col("phrase")))
+    rows = media.select("row_id", "filename", "embedding", "phrase").withColumn("_en", norm(F.col("embedding"))).withColumn("_pn", norm(F.col("phrase"))).withColumn("_words", phrase_tokens(F.col("filename"))).withColumn("_name", F.lower("filename"))
     both = against(q, rows).withColumn("semantic", cosine_pre(F.col("vec"), F.col("embedding"), F.col("_qn"), F.col("_en")))
-    phrase = F.when(phrase_overlap(F.col("tokens"), F.col("filename")) > 0, F.greatest(F.lit(0.0), PHRASE_BOOST * (cosine_pre(F.col("vec"), F.col("phrase"), F.col("_qn"), F.col("_pn")) - F.col("semantic")))).otherwise(0.0)
-    both = both.withColumn("phrase", phrase).withColumn("by_name", FILENAME_BOOST * filename_match(F.col("tokens"), F.col("filename")))
+    phrase = F.when(F.arrays_overlap("tokens", "_words"), F.greatest(F.lit(0.0), PHRASE_BOOST * (cosine_pre(F.col("vec"), F.col("phrase"), F.col("_qn"), F.col("_pn")) - F.col("semantic")))).otherwise(0.0)
+    both = both.withColumn("phrase", phrase).withColumn("by_name", FILENAME_BOOST * F.coalesce(F.size(F.filter("tokens", lambda t: F.contains(F.col("_name"), t))) / F.nullif(F.size("tokens"), F.lit(0)), F.lit(0.0)))
     return both.select("query_id", "row_id", "filename", "embedding", "semantic", "phrase", "by_name", (F.col("semantic") + F.col("phrase") + F.col("by_name")).alias("score"))
 
 
