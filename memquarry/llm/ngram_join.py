@@ -13,7 +13,7 @@
    form a trie with compressed runs; one traversal carries the partial overlaps of
    all sets and drops, at each run, those that the remaining lengths, or a component
    already joined, rule out for the subtree. Groups above BLOCK
-   members are joined block by block, each with the group's least member; only members
+   members are split by size class and joined block by block, each with the group's least member; only members
    that this leaves apart from it meet all other blocks.
 4. Components of the links.
 
@@ -331,6 +331,12 @@ def ngram_classes(spark: SparkSession, docs: DataFrame, ngram: int = NGRAM, perc
     same = ["component", "h1", "h2", "n"]
     members = written(spark, inside.groupBy(*same).agg(F.min("doc_id").alias("member")), "ngram-members")
     copies = inside.join(members, same).where("doc_id <> member").select(F.col("doc_id").alias("u"), F.col("member").alias("v"))
+    sizes = members.groupBy("component").agg(F.count("*").alias("size")).where("size > 1")
+    # a group above `block` members is split by size class first: similar sets share the class of the smaller one
+    level = lambda n: F.floor(F.log(n) / -math.log(CLASS))
+    least_partner = F.floor((F.col("n") * percent + 99) / 100)
+    split = members.join(small(sizes), "component").withColumn("class", F.explode(F.when(F.col("size") > block, F.sequence(level(least_partner), level(F.col("n")))).otherwise(F.array(F.lit(-1).cast("long")))))
+    members = written(spark, split.select(F.when(F.col("class") < 0, F.col("component")).otherwise(F.xxhash64("component", "class")).alias("component"), "member"), "ngram-split")
     sizes = members.groupBy("component").agg(F.count("*").alias("size"), F.min("member").alias("hub")).where("size > 1")
     # blocks of a group: one, or as many as keep to `block` members, each with the hub
     dealt = members.join(small(sizes), "component").withColumn("blocks", F.ceil(F.col("size") / block)).withColumn("block", F.pmod(F.xxhash64("member"), "blocks"))
