@@ -161,16 +161,7 @@ def forest_batches(batches):
         yield pa.record_batch({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
-def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """(id, component) for every node of edges(u, v); component is the least id.
-
-    Alternating large-star and small-star rounds on DataFrames (Kiveris et al.,
-    "Connected Components in MapReduce and Beyond"). The minimum of a node is a
-    map-side combined aggregate joined back, so that a hub is never one task's
-    group. Each round is cut by a checkpoint in the shared folder; links never
-    reach the driver.
-    """
-    shared_dir(spark)
+def _stars(edges: DataFrame) -> DataFrame:
     edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     edges = edges.mapInArrow(forest_batches, "u long, v long").distinct().checkpoint()
     before = None
@@ -185,4 +176,19 @@ def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         if now == before or (now[0] == now[2] and not edges.join(edges.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count()):
             break
         before = now
+    return edges
+
+
+def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
+    """(id, component) for every node of edges(u, v); component is the least id.
+
+    Alternating large-star and small-star rounds on DataFrames (Kiveris et al.,
+    "Connected Components in MapReduce and Beyond"). The minimum of a node is a
+    map-side combined aggregate joined back, so that a hub is never one task's
+    group. Each round is cut by a checkpoint in the shared folder; links never
+    reach the driver.
+    """
+    shared_dir(spark)
+    with tidy(spark):
+        edges = _stars(edges)
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

@@ -35,7 +35,7 @@ from .common import M1, byte_view, connected_components, forest, mix, slices, sm
 
 NGRAM, PERCENT = 5, 80
 #: Members of a group that one task joins; fingerprints held before they are sent.
-BLOCK, HELD = 2000, 3_000_000
+BLOCK, HELD = 2000, 1_500_000
 #: Ratio of the sizes at the ends of a size class; ranges over those that can differ.
 CLASS, SPARE = 0.7, 1.25
 #: Tokens of a run that are counted at once.
