@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import math
 import os
+import re
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -52,38 +54,65 @@ class Remembered(dict):
         return value
 
 
-_known: dict[str, Remembered] = {}
+_known: dict[str, tuple[Remembered, Remembered]] = {}
 
 
-def encoder(path: str) -> Remembered:
-    """chunk -> its ids as little-endian 32-bit bytes. No token of this vocabulary
-    spans white space, so that a text's ids are those of its chunks between blanks."""
+#: Any character but these: a text without one needs no normaliser but lower case, as no
+#: Latin-1 letter composes with another or changes its number of letters in lower case.
+_odd = re.compile("[^\t\n\r\x20-\x7e\xa1-\xff]")
+#: A mark alone after a letter or digit at the end of a chunk is a pre-token of its own.
+_mark = re.compile("(?<=[a-z0-9])([.,;:!?])(?=[ \n]|$)")
+
+
+def encoders(path: str) -> tuple[Remembered, Remembered]:
+    """chunk -> its ids as little-endian 32-bit bytes, for lower-cased Latin-1 texts and for
+    all others. No token of this vocabulary spans white space, so that a text's ids are
+    those of its chunks between blanks."""
     if path not in _known:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
+
+        def remembered(plain: bool) -> Remembered:
+            tokenizer = Tokenizer.from_file(path)
+            if plain:
+                tokenizer.normalizer = normalizers.Sequence([])
+
+            def many(chunks):
+                every = (e.ids for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False))
+                return {c: struct.pack(f"<{len(ids)}I", *ids) for c, ids in zip(chunks, every)}
 
-        tokenizer = Tokenizer.from_file(path)
-        known = Remembered(lambda chunk: np.array(tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes(), 2 * REMEMBERED)
-        known.many = lambda chunks: ((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(chunks, tokenizer.encode_batch_fast(chunks, add_special_tokens=False)))
-        _known[path] = known
+            known = Remembered(lambda chunk: many([chunk])[chunk], 2 * REMEMBERED if plain else REMEMBERED // 3)
+            known.many = many
+            return known
+
+        _known[path] = remembered(True), remembered(False)
     return _known[path]
 
 
+def chunks_of(text: str) -> tuple[bool, list[str]]:
+    """(plain, chunks) of a text."""
+    if _odd.search(text) or "<|" in text:  # special tokens are matched before letters are lower-cased
+        return False, text.split(" ")
+    return True, _mark.sub(r" \1", text.lower()).replace("\n", " ").split(" ")
+
+
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, closing_id: int = CLOSING_ID) -> DataFrame:
     """docs(doc_id, text) -> doc_id, piece, start, length, ids (binary, little-endian 32 bits)."""
 
     def run(batches):
-        known, end = encoder(tokenizer_path), np.array([closing_id], "<u4").tobytes()
+        others, plain = encoders(tokenizer_path)[::-1]
+        end = struct.pack("<I", closing_id)
         for batch in slices(batches, 512 << 10):
-            texts = [(t or "").split(" ") for t in batch.column("text").to_pylist()]
-            new = [c for c in set().union(*texts) if c not in known and len(c) <= LONG_CHUNK and c not in known.old]
-            if len(known) + len(new) > known.limit:
-                known.old = dict(known)
-                known.clear()
-            known.update(known.many(new))
+            texts = [chunks_of(t or "") for t in batch.column("text").to_pylist()]
+            for known, kind in ((plain, True), (others, False)):
+                new = [c for c in set().union(*(x for k, x in texts if k is kind)) if c not in known and len(c) <= LONG_CHUNK and c not in known.old]
+                if len(known) + len(new) > known.limit:
+                    known.old = dict(known)
+                    known.clear()
+                known.update(known.many(new))
             rows = []
-            for doc, chunks in zip(batch.column("doc_id").to_pylist(), texts):
-                ids = b"".join(map(known.__getitem__, chunks)) + end
+            for doc, (kind, chunks) in zip(batch.column("doc_id").to_pylist(), texts):
+                ids = b"".join(map((plain if kind else others).__getitem__, chunks)) + end
                 rows += [(doc, i, i * capacity, len(x) // 4, x) for i in range(math.ceil(len(ids) / 4 / capacity)) for x in (ids[i * capacity * 4 : (i + 1) * capacity * 4],)]
             for at in range(0, len(rows), 4000):
                 part = rows[at : at + 4000]
