@@ -60,8 +60,8 @@ _known: dict[str, tuple[Remembered, Remembered]] = {}
 #: Any character but these: a text without one needs no normaliser but lower case, as no
 #: Latin-1 letter composes with another or changes its number of letters in lower case.
 _odd = re.compile("[^\t\n\r\x20-\x7e\xa1-\xff]")
-#: A mark alone after a letter or digit at the end of a chunk is a pre-token of its own.
-_mark = re.compile("(?<=[a-z0-9])([.,;:!?])(?=[ \n]|$)")
+#: A run of Latin-1 characters other than letters, digits and blanks at the end of a chunk is a pre-token of its own.
+_marks = re.compile("([!-/:-@\\[-`{-~\xa1-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf\xd7\xf7]+)(?=[ \\n]|$)")
 
 
 def encoders(path: str) -> tuple[Remembered, Remembered]:
@@ -81,7 +81,7 @@ def encoders(path: str) -> tuple[Remembered, Remembered]:
                 every = (e.ids for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False))
                 return {c: struct.pack(f"<{len(ids)}I", *ids) for c, ids in zip(chunks, every)}
 
-            known = Remembered(lambda chunk: many([chunk])[chunk], 2 * REMEMBERED if plain else REMEMBERED // 3)
+            known = Remembered(lambda chunk: many([chunk])[chunk], 3 * REMEMBERED if plain else REMEMBERED // 3)
             known.many = many
             return known
 
@@ -93,7 +93,7 @@ def chunks_of(text: str) -> tuple[bool, list[str]]:
     """(plain, chunks) of a text."""
     if _odd.search(text) or "<|" in text:  # special tokens are matched before letters are lower-cased
         return False, text.split(" ")
-    return True, _mark.sub(r" \1", text.lower()).replace("\n", " ").split(" ")
+    return True, _marks.sub(r" \1", text.lower()).replace("\n", " ").split(" ")
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, closing_id: int = CLOSING_ID) -> DataFrame:
