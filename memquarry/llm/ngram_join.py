@@ -13,7 +13,7 @@
    form a trie with compressed runs; one traversal carries the partial overlaps of
    all sets and drops, at each run, those that the remaining lengths, or a component
    already joined, rule out for the subtree. Groups above BLOCK
-   members are split by size class and joined block by block, each with the group's least member; only members
+   members or SHINGLES shingles are split by size class and joined block by block, each with the group's least member; only members
    that this leaves apart from it meet all other blocks.
 4. Components of the links.
 
@@ -36,6 +36,8 @@ from .common import M1, byte_view, connected_components, forest, mix, slices, sm
 NGRAM, PERCENT = 5, 80
 #: Members of a group that one task joins; fingerprints held before they are sent.
 BLOCK, HELD = 2000, 1_500_000
+#: Shingles of the members that one task joins; a group of long documents is split by it.
+SHINGLES = 2_000_000
 #: Ratio of the sizes at the ends of a size class; ranges over those that can differ.
 CLASS, SPARE = 0.7, 1.25
 #: Tokens of a run that are counted at once.
@@ -258,15 +260,27 @@ def trie_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
             root[root == b] = a
             links.append((int(i), int(j)))
 
-    owner = np.repeat(np.arange(n), sizes)
-    token, rank, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    order = np.lexsort((token, count))
-    places = np.empty(len(token), np.int64)
-    places[order] = np.arange(len(token))
-    keys = np.sort(owner * len(token) + places[rank])  # all sets, one after the other, in the global order
+    owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
+    every = np.concatenate(sets)
+    by_value = np.argsort(every, kind="stable")
+    every = every[by_value]
+    first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
+    count = np.diff(np.r_[first, len(every)])
+    del every
+    token = first  # distinct shingles, by value
+    order = np.argsort(count, kind="stable").astype(np.int32)  # the rarest first, ties by value
+    places = np.empty(len(token), np.int32)
+    places[order] = np.arange(len(token), dtype=np.int32)
+    rank = np.empty(len(owner), np.int32)
+    rank[by_value] = np.repeat(places, count)
+    del by_value
+    keys = owner.astype(np.int64)
+    keys *= len(token)
+    keys += rank
+    keys.sort()  # all sets, one after the other, in the global order
     starts = np.cumsum(sizes) - sizes
-    by_token = np.argsort(places[rank], kind="stable")
-    holders, ends = owner[by_token], np.r_[0, np.cumsum(count[order])]
+    holders, ends = owner[np.argsort(rank, kind="stable")], np.r_[0, np.cumsum(count[order])]
+    del owner, rank, places
     trie = Trie()
     for i in range(n):
         if (j := trie.add(keys[starts[i] : starts[i] + sizes[i]] - i * len(token), i)) is not None:
@@ -320,7 +334,7 @@ def joined(ngram: int, percent: int):
     return run
 
 
-def ngram_classes(spark: SparkSession, docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+def ngram_classes(spark: SparkSession, docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, block: int = BLOCK, shingles: int = SHINGLES) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = docs.mapInArrow(fingerprint_rows(ngram, percent), _kinds).repartition("key").mapInArrow(candidate_rows, _kinds)
@@ -331,17 +345,18 @@ def ngram_classes(spark: SparkSession, docs: DataFrame, ngram: int = NGRAM, perc
     same = ["component", "h1", "h2", "n"]
     members = written(spark, inside.groupBy(*same).agg(F.min("doc_id").alias("member")), "ngram-members")
     copies = inside.join(members, same).where("doc_id <> member").select(F.col("doc_id").alias("u"), F.col("member").alias("v"))
-    sizes = members.groupBy("component").agg(F.count("*").alias("size")).where("size > 1")
-    # a group above `block` members is split by size class first: similar sets share the class of the smaller one
+    sizes = members.groupBy("component").agg(F.count("*").alias("size"), F.sum("n").alias("weight")).where("size > 1")
+    # a group above `block` members or `shingles` shingles is split by size class first: similar sets share the class of the smaller one
     level = lambda n: F.floor(F.log(n) / -math.log(CLASS))
     least_partner = F.floor((F.col("n") * percent + 99) / 100)
-    split = members.join(small(sizes), "component").withColumn("class", F.explode(F.when(F.col("size") > block, F.sequence(level(least_partner), level(F.col("n")))).otherwise(F.array(F.lit(-1).cast("long")))))
-    members = written(spark, split.select(F.when(F.col("class") < 0, F.col("component")).otherwise(F.xxhash64("component", "class")).alias("component"), "member"), "ngram-split")
-    sizes = members.groupBy("component").agg(F.count("*").alias("size"), F.min("member").alias("hub")).where("size > 1")
-    # blocks of a group: one, or as many as keep to `block` members, each with the hub
-    dealt = members.join(small(sizes), "component").withColumn("blocks", F.ceil(F.col("size") / block)).withColumn("block", F.pmod(F.xxhash64("member"), "blocks"))
+    split = members.join(small(sizes), "component").withColumn("class", F.explode(F.when((F.col("size") > block) | (F.col("weight") > shingles), F.sequence(level(least_partner), level(F.col("n")))).otherwise(F.array(F.lit(-1).cast("long")))))
+    members = written(spark, split.select(F.when(F.col("class") < 0, F.col("component")).otherwise(F.xxhash64("component", "class")).alias("component"), "member", "n"), "ngram-split")
+    sizes = members.groupBy("component").agg(F.count("*").alias("size"), F.sum("n").alias("weight"), F.min("member").alias("hub")).where("size > 1")
+    # blocks of a group: one, or as many as keep to `block` members and `shingles` shingles, each with the hub
+    blocks = lambda n, weight: F.ceil(F.greatest(n / block, weight / shingles))
+    dealt = members.join(small(sizes), "component").withColumn("blocks", blocks(F.col("size"), F.col("weight"))).withColumn("block", F.pmod(F.xxhash64("member"), "blocks"))
     everywhere = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    dealt = written(spark, dealt.select(F.col("member").alias("doc_id"), "component", "hub", "blocks", "block"), "ngram-dealt")
+    dealt = written(spark, dealt.select(F.col("member").alias("doc_id"), "component", "hub", "blocks", "block", "n"), "ngram-dealt")
     schema = "u long, v long"
     first = dealt.select("doc_id", "component", F.explode(F.when(F.col("doc_id") == F.col("hub"), everywhere).otherwise(F.array("block"))).alias("block"))
     links = docs.join(small(first), "doc_id").groupBy("component", "block").applyInArrow(joined(ngram, percent), schema)
@@ -351,8 +366,8 @@ def ngram_classes(spark: SparkSession, docs: DataFrame, ngram: int = NGRAM, perc
     if large.limit(1).count():
         named = large.join(classes.select(F.col("id").alias("doc_id"), F.col("component").alias("class")), "doc_id", "left").withColumn("class", F.coalesce("class", "doc_id"))
         hubs = named.where("doc_id = hub").select("component", F.col("class").alias("hub_class"))
-        apart = named.join(hubs, "component").where("class <> hub_class").select("doc_id", "component", "blocks", "block")
-        chunks = apart.groupBy("component").agg(F.ceil(F.count("*") / block).alias("chunks"))
+        apart = named.join(hubs, "component").where("class <> hub_class").select("doc_id", "component", "blocks", "block", "n")
+        chunks = apart.groupBy("component").agg(blocks(F.count("*"), F.sum("n")).alias("chunks"))
         apart = apart.join(chunks, "component").withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.lit(1)), "chunks"))
         second = apart.select("doc_id", "component", F.explode(everywhere).alias("block"), "chunk")
         second = second.union(large.join(chunks, "component").select("doc_id", "component", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))).distinct()
