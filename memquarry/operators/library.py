@@ -67,13 +67,26 @@ def tolerance_diff(a: DataFrame, b: DataFrame, tolerance: float = 1.0) -> DataFr
     return alone(a, b, "missing").unionByName(alone(b, a, "extra"))
 
 
-def calibrate(vectors: DataFrame, noise: DataFrame) -> DataFrame:
-    """min_score from the best match of meaningless queries; both (…, vec) tables, noise small."""
+def calibrate(vectors: DataFrame, noise: DataFrame, genuine: DataFrame | None = None) -> DataFrame:
+    """min_score from the best match of meaningless queries, lowered to half of the weakest
+    best match of genuine ones where it is above that; (…, vec) tables, small. One row a
+    model_id if the vectors have one (queries that have one too meet only their model), no
+    row without noise. A query of another dimension than the vectors plays no part."""
     from .search import against
 
-    best = against(noise.select("query_id", "vec"), vectors).groupBy("query_id").agg(F.greatest(F.max(dot(F.col("embedding"), F.col("vec"))), F.lit(0.0)).alias("best"))
-    ceiling = best.agg(F.max("best").alias("ceiling"))
-    return ceiling.select(F.round(F.least(F.lit(0.1), F.greatest(F.lit(0.01), F.col("ceiling") * 2)), 4).alias("min_score"), F.lit(0.6).alias("keep"))
+    model = ["model_id"] if "model_id" in vectors.columns else []
+    own = lambda q: [F.col(c).alias("_model") for c in model if c in q.columns] or [F.lit(None).alias("_model")]
+    asked = noise.select("query_id", "vec", *own(noise), F.lit(False).alias("genuine"))
+    if genuine is not None:
+        asked = asked.unionByName(genuine.select("query_id", "vec", *own(genuine), F.lit(True).alias("genuine")))
+    both = against(asked, vectors.select("embedding", *model)).where(F.size("vec") == F.size("embedding"))
+    if model:
+        both = both.where(F.col("_model").isNull() | (F.col("_model") == F.col("model_id")))
+    best = both.groupBy(*model, "genuine", "query_id").agg(F.greatest(F.max(dot(F.col("embedding"), F.col("vec"))), F.lit(0.0)).alias("best"))
+    ends = best.groupBy(*model).agg(F.max(F.when(~F.col("genuine"), F.col("best"))).alias("ceiling"), F.min(F.when(F.col("genuine"), F.col("best"))).alias("weakest")).where("ceiling IS NOT NULL")
+    floor = F.least(F.lit(0.1), F.greatest(F.lit(0.01), F.col("ceiling") * 2))
+    floor = F.least(floor, F.when(F.col("weakest").isNotNull(), F.greatest(F.lit(0.01), F.col("weakest") * 0.5)))
+    return ends.select(*model, F.round(floor, 4).alias("min_score"), F.lit(0.6).alias("keep"))
 
 
 def retrieval_quality(ranked: DataFrame, truth: DataFrame) -> DataFrame:

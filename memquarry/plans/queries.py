@@ -179,6 +179,15 @@ def calibrate(spark: SparkSession, d: str) -> DataFrame:
     return L.calibrate(views.table(spark, d, "embeddings"), views.queries(spark, d).where("query_id % 2 = 0"))
 
 
+@query(f"""WITH {QUERIES}, b AS (SELECT query_id, greatest(max(list_dot_product(vec, CAST(embedding AS DOUBLE[]))), 0.0) AS best FROM queries CROSS JOIN embeddings GROUP BY 1),
+e AS (SELECT max(best) FILTER (query_id % 2 = 0) AS ceiling, min(best) FILTER (query_id % 2 = 1) AS weakest FROM b), f AS (SELECT least(0.1, greatest(0.01, 2 * ceiling)) AS floor, weakest FROM e)
+SELECT round(CASE WHEN floor > 0.5 * weakest THEN greatest(0.01, 0.5 * weakest) ELSE floor END, 4) AS min_score, CAST(0.6 AS DOUBLE) AS keep FROM f""")
+def calibrate_genuine(spark: SparkSession, d: str) -> DataFrame:
+    """The whole rule over all queries: the even ones as noise, the odd ones as genuine."""
+    q = views.queries(spark, d)
+    return L.calibrate(views.table(spark, d, "embeddings"), q.where("query_id % 2 = 0"), q.where("query_id % 2 = 1"))
+
+
 RANKED = f"WITH {SEGMENTS}, {QUERIES}, {SEGMENT_SCORES}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 24)"
 
 

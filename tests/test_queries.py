@@ -56,3 +56,22 @@ def test_poison_stream(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out")).select("path", "seq", "count", "skip")
     expect = A.poison_state(rows)
     assert got.count() == expect.count() and not got.exceptAll(expect).count()
+
+
+def test_calibrate(spark):
+    """Worked by hand: ceiling 0.04 gives 0.08, above half of the weakest genuine match (0.06)."""
+    from memquarry.operators.library import calibrate
+
+    v = spark.createDataFrame([([1.0, 0.0],), ([0.0, 1.0],)], "embedding array<double>")
+    q = lambda *rows: spark.createDataFrame(list(rows), "query_id long, vec array<double>")
+    noise, genuine = q((0, [0.04, 0.0]), (2, [-1.0, -1.0])), q((0, [0.1, 0.0]), (1, [0.03, 0.06]), (3, [0.001]), (5, None))
+    get = lambda *a: [tuple(r) for r in calibrate(*a).collect()]
+    assert get(v, noise) == [(0.08, 0.6)]
+    assert get(v, noise, genuine) == [(0.03, 0.6)]
+    assert get(v, noise, q((1, [0.5, 0.0]))) == [(0.08, 0.6)]
+    assert get(v, noise, q((1, [-1.0, 0.0]))) == [(0.01, 0.6)]  # no match at all: the least floor
+    assert get(v, q(), genuine) == []  # nothing to measure by
+    two = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.5, 0.0])], "model_id string, embedding array<double>")
+    assert sorted(get(two, noise, q((1, [0.08, 0.0])))) == [("a", 0.04, 0.6), ("b", 0.02, 0.6)]
+    asked = spark.createDataFrame([(1, [0.08, 0.0], "a")], "query_id long, vec array<double>, model_id string")
+    assert sorted(get(two, noise, asked)) == [("a", 0.04, 0.6), ("b", 0.04, 0.6)]
