@@ -4,10 +4,12 @@ Vectors of one label are dealt into shards; each shard gets a hierarchical
 navigable small-world graph, built once and stored as one row. Every vector of the
 label queries every shard, in blocks: a greedy descent, then a beam on the lowest
 layer. A beam that is full of hits is widened until it isn't, and a brute-force
-audit of some queries of each block widens all its beams until the recall is AUDIT.
-Found pairs are verified by their cosine in double precision; a block sends counts
-and a forest of its links, and components are united by Spark. Equal vectors are one
-node, so that copies are never paired.
+audit of the queries of least hash of each block, whatever they found, widens all its
+beams until the recall is AUDIT. Two shards meet in one task, which lets each query
+the other: a pair found from either side counts for both ends. Found pairs are
+verified by their cosine in double precision; a task sends counts and a forest of its
+links, and components are united by Spark. Equal vectors are one node, so that copies
+are never paired.
 
 Cases: a null label, and vectors that are null, empty, zero or hold null or
 non-finite components, link with nothing; only vectors of equal length are compared;
@@ -25,8 +27,9 @@ from pyspark.sql import functions as F
 from .common import connected_components, forest, mix, table, written
 
 THRESHOLD, AUDIT = 0.93, 0.99
-#: Vectors of a shard, on average at most; neighbours of a node; beams of building and of searching.
-SHARD, NEIGHBOURS, BUILD_BEAM, BEAM, AUDITED = 2048, 16, 48, 48, 64
+#: Vectors of a shard, on average at most; neighbours of a node; beams of building and of searching;
+#: queries of a block that are audited.
+SHARD, NEIGHBOURS, BUILD_BEAM, BEAM, AUDITED = 2048, 16, 48, 48, 256
 
 
 def select(v: np.ndarray, candidates: np.ndarray, sims: np.ndarray, m: int) -> np.ndarray:
@@ -153,22 +156,20 @@ def build(key, rows):
     return pa.table({"label": key[0:1] and pa.array([key[0].as_py()], pa.string()), "shard": pa.array([key[1].as_py()], pa.int64()), "ids": pa.array([ids.tobytes()]), "weights": pa.array([weight.tobytes()]), "vectors": pa.array([x.tobytes()]), "levels": pa.array([g.levels.tobytes()]), "lists": pa.array([lists], pa.list_(pa.binary())), "entry": pa.array([g.entry], pa.int64())})
 
 
-def hits(g: Graph, q: np.ndarray, threshold: float):
+def hits(g: Graph, q: np.ndarray, ids: np.ndarray, threshold: float):
     """(query, node) pairs that the beams find, a little below the threshold too."""
     low, width = threshold - 1e-4, BEAM
-    true = None
+    audited = np.argsort(mix(ids.astype(np.int64).view(np.uint64)), kind="stable")[:AUDITED]
+    true = (q[audited] @ g.v.T >= low).sum()
     while True:
         left, found, w = np.arange(len(q)), [], width
         while len(left):
-            ids, sims = g.beam(q[left], g.descend(q[left], 0), w, 0)
+            near, sims = g.beam(q[left], g.descend(q[left], 0), w, 0)
             full = (sims[:, -1] >= low) & (w < len(g.v))
             i, j = np.nonzero((sims >= low) & ~full[:, None])
-            found.append((left[i], ids[i, j]))
+            found.append((left[i], near[i, j]))
             left, w = left[full], 2 * w
         a, b = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int),) * 2
-        if true is None:
-            audited = np.unique(np.r_[np.linspace(0, len(q) - 1, AUDITED).astype(int), a[:: max(1, len(a) // AUDITED)]])
-            true = (q[audited] @ g.v.T >= low).sum()
         got = np.isin(a, audited).sum()
         if got >= AUDIT * true:
             return a, b
@@ -177,32 +178,51 @@ def hits(g: Graph, q: np.ndarray, threshold: float):
         width *= 2
 
 
+class Shard:
+    """A shard as its row holds it."""
+
+    def __init__(self, r: dict):
+        self.ids, self.weight = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["weights"], np.int64)
+        self.x = np.frombuffer(r["vectors"]).reshape(len(self.ids), -1)
+        self.norm = np.sqrt(np.einsum("ij,ij->i", self.x, self.x))
+        lists = [np.frombuffer(b, "<i4").reshape(len(self.ids), -1) for b in r["lists"]]
+        self.graph = Graph((self.x / self.norm[:, None]).astype(np.float32), np.frombuffer(r["levels"], int), lists, r["entry"])
+
+
+def met(one: Shard, other: Shard, threshold: float) -> np.ndarray:
+    """Which vectors of one link with which of the other; each is looked for from both sides."""
+    found = np.zeros((len(one.ids), len(other.ids)), bool)
+    for query, shard, to in ((one, other, found), (other, one, found.T))[: 1 if one is other else 2]:
+        for at in range(0, len(query.ids), 1024):
+            s = slice(at, at + 1024)
+            a, b = hits(shard.graph, query.graph.v[s], query.ids[s], threshold)
+            to[a + at, b] = True
+    if one is other:
+        found |= found.T.copy()
+        np.fill_diagonal(found, False)
+    a, b = np.nonzero(found)
+    for at in range(0, len(a), 65536):
+        i, j = a[at : at + 65536], b[at : at + 65536]
+        found[i, j] = np.einsum("ij,ij->i", one.x[i], other.x[j]) / (one.norm[i] * other.norm[j]) >= threshold
+    return found
+
+
 def search(threshold: float):
-    def run(key, queries, graphs):
+    def run(key, rows):
         out = {"kind": [], "a": [], "b": []}
-        if queries.num_rows and graphs.num_rows:
-            r = graphs.slice(0, 1).to_pylist()[0]
-            ids, weight = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["weights"], np.int64)
-            x = np.frombuffer(r["vectors"]).reshape(len(ids), -1)
-            norm = np.sqrt(np.einsum("ij,ij->i", x, x))
-            lists = [np.frombuffer(b, "<i4").reshape(len(ids), -1) for b in r["lists"]]
-            g = Graph((x / norm[:, None]).astype(np.float32), np.frombuffer(r["levels"], int), lists, r["entry"])
-            qx, qid = unit(queries["v"]), queries["id"].to_numpy()
-            qn = np.sqrt(np.einsum("ij,ij->i", qx, qx))
-            for at in range(0, len(qid), 1024):
-                s = slice(at, at + 1024)
-                a, b = hits(g, (qx[s] / qn[s, None]).astype(np.float32), threshold)
-                a = a + at
-                ok = (qid[a] != ids[b]) & (np.einsum("ij,ij->i", qx[a], x[b]) / (qn[a] * norm[b]) >= threshold)
-                a, b = a[ok], b[ok]
-                count = np.bincount(a, weight[b], len(qid))
-                some = np.flatnonzero(count)
-                u, v = forest(qid[a], ids[b])
-                for k, x1, x2 in ((0, qid[some], count[some].astype(np.int64)), (1, u, v)):
-                    out["kind"].append(np.full(len(x1), k, np.int32))
-                    out["a"].append(x1)
-                    out["b"].append(x2)
-        return pa.table({k: pa.array(np.concatenate(x) if x else [], pa.int32() if k == "kind" else pa.int64()) for k, x in out.items()})
+        shards = [Shard(r) for r in rows.to_pylist()]
+        one, other = shards[0], shards[-1]
+        found = met(one, other, threshold)
+        a, b = np.nonzero(found)
+        u, v = forest(one.ids[a], other.ids[b])
+        counts = [(one.ids, np.bincount(a, other.weight[b], len(one.ids)))]
+        if one is not other:
+            counts.append((other.ids, np.bincount(b, one.weight[a], len(other.ids))))
+        for k, x1, x2 in (*((0, ids[n > 0], n[n > 0].astype(np.int64)) for ids, n in counts), (1, u, v)):
+            out["kind"].append(np.full(len(x1), k, np.int32))
+            out["a"].append(x1)
+            out["b"].append(x2)
+        return pa.table({k: pa.array(np.concatenate(x), pa.int32() if k == "kind" else pa.int64()) for k, x in out.items()})
 
     return run
 
@@ -220,10 +240,9 @@ def embedding_classes(spark: SparkSession, rows: DataFrame, threshold: float = T
     graphs = dealt.groupBy("label", "shard").applyInArrow(build, "label string, shard long, ids binary, weights binary, vectors binary, levels binary, lists array<binary>, entry long")
     graphs = written(spark, graphs, "vectors-graphs").join(sizes, "label")
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1))
-    left = dealt.select("label", "id", "v", F.col("shard").alias("block"), every.alias("shard"))
-    right = graphs.withColumn("block", every).drop("shards")
-    right = right.select(F.col("label").alias("of"), F.col("shard").alias("of_shard"), F.col("block").alias("of_block"), "ids", "weights", "vectors", "levels", "lists", "entry")
-    found = left.groupBy("label", "shard", "block").cogroup(right.groupBy("of", "of_shard", "of_block")).applyInArrow(search(threshold), "kind int, a long, b long")
+    pairs = graphs.withColumn("with", every).withColumn("low", F.least("shard", "with")).withColumn("high", F.greatest("shard", "with"))
+    pairs = pairs.select("label", "low", "high", "ids", "weights", "vectors", "levels", "lists", "entry")
+    found = pairs.groupBy("label", "low", "high").applyInArrow(search(threshold), "kind int, a long, b long")
     found = written(spark, found, "vectors-links")
     copies = good_rows.join(nodes, ["label", "h", "v"]).select("vec_id", "id", "weight")
     copies = written(spark, copies, "vectors-copies")

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -242,6 +243,36 @@ def test_embeddings(spark):
     assert embedding_dedup.embedding_classes(spark, df.where("vec_id < 0")).count() == 0
 
 
+def test_embedding_audit():
+    """A beam that misses 10 of 100 partners among 1024 queries is widened, whatever the others found."""
+
+    class Misses:
+        v = np.eye(1024, dtype=np.float32)
+
+        def descend(self, q, to):
+            return np.zeros(len(q), int)
+
+        def beam(self, q, entry, width, layer):
+            node = np.where(q.any(1), q.argmax(1), -1)
+            lost = (node < 0) | ((node < 10) & (width < 100))
+            near, sims = np.full((len(q), width), -1), np.full((len(q), width), -2.0)
+            near[:, 0], sims[:, 0] = np.where(lost, -1, node), np.where(lost, -2.0, 1.0)
+            return near, sims
+
+    q = np.zeros((1024, 1024), np.float32)
+    q[np.arange(100) * 10 + 3, np.arange(100)] = 1
+    a, b = embedding_dedup.hits(Misses(), q, np.arange(1024), 0.93)
+    assert sorted(b) == list(range(100)) and (a == b * 10 + 3).all()
+
+
+def test_embedding_sides(monkeypatch):
+    """A pair that only one of two shards finds counts for both ends."""
+    rows = [{"ids": np.array(i).tobytes(), "weights": np.array(w).tobytes(), "vectors": np.array(v, float).tobytes(), "levels": np.zeros(2, int).tobytes(), "lists": [], "entry": 0} for i, w, v in (([1, 2], [1, 3], [[1, 0], [0, 1]]), ([5, 6], [1, 2], [[0, 1.1], [1, 1]]))]
+    monkeypatch.setattr(embedding_dedup, "hits", lambda g, q, ids, t: (np.array([1]), np.array([0])) if ids[0] == 1 else (np.zeros(0, int),) * 2)
+    out = embedding_dedup.search(0.93)(None, pa.Table.from_pylist(rows)).to_pylist()
+    assert sorted((r["kind"], r["a"], r["b"]) for r in out) == [(0, 2, 1), (0, 5, 3), (1, 5, 2)]
+
+
 def test_components(spark):
     r = random.Random(5)
     edges = [(r.randint(0, 400), r.randint(0, 400)) for _ in range(300)] + [(i, i + 1) for i in range(1000, 1060)]
