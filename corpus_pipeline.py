@@ -2,8 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before
 kept; all but the last return the columns of documents. Null doc_ids pass the
-first three stages and are never joined with anything; where rows repeat a doc_id,
-the near-duplicate stage keeps the least row. Extra columns stay as they are.
+first three stages and are never joined with anything; of rows that repeat a doc_id and
+its text the near-duplicate stage keeps the least, and other texts under one doc_id are
+documents of their own. Extra columns stay as they are.
 """
 
 from __future__ import annotations
@@ -31,8 +32,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     ids = docs.where("doc_id IS NOT NULL").agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
     if ids[0] != ids[1]:
         row = F.struct("doc_id", *(c for c in docs.columns if c != "doc_id"))
-        one = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(row).alias("row")).select(*(F.col(f"row.{c}") for c in docs.columns))
-        docs = written(spark, one.union(docs.where("doc_id IS NULL")), "pipeline-rows")
+        one = docs.where("doc_id IS NOT NULL").groupBy("doc_id", "text").agg(F.min(row).alias("row"))
+        # keys in the order of doc_ids, so that the least doc_id of a class stays
+        one = one.orderBy("doc_id", "text").select(F.monotonically_increasing_id().alias("key"), "row")
+        one = written(spark, one, "pipeline-rows")
+        classes = ngram_join.ngram_classes(spark, one.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")))
+        kept = one.join(small(classes.where("doc_id <> component_id").select(F.col("doc_id").alias("key"))), "key", "left_anti")
+        return kept.select(*(F.col(f"row.`{c}`") for c in docs.columns)).union(docs.where("doc_id IS NULL"))
     classes = ngram_join.ngram_classes(spark, docs)
     return docs.join(small(classes.where("doc_id <> component_id").select("doc_id")), "doc_id", "left_anti").select(*docs.columns)
 

@@ -26,3 +26,12 @@ def test_stages(spark):
     last = corpus_pipeline.STAGES[-1][1](spark, docs, "").toPandas()
     assert last[last.piece == 0].shape[0] == docs.count()
     assert language_id.UND == "und"
+
+
+def test_reused_ids(spark):
+    """Other texts under one doc_id stay, equal rows are one, near copies still go."""
+    a, b = " ".join(f"river{i}" for i in range(60)), " ".join(f"stone{i}" for i in range(60))
+    docs = frame(spark, [(7, b), (7, a), (7, a), (9, a + " more"), (8, None), (None, a), (3, "short")])
+    out = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns
+    assert sorted(((r.doc_id or 0), r.text or "") for r in out.collect()) == [(0, a), (3, "short"), (7, a), (7, b), (8, "")]
