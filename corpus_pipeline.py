@@ -45,9 +45,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that a document with a smaller doc_id has go; characters cut in half go with them."""
-    out = suffix_dedup.repeated_passages(spark, docs)
-    text = F.when(F.col("n_removed") > 0, F.translate(F.make_valid_utf8(F.col("kept").cast("string")), "�", "")).otherwise(F.col("kept").cast("string"))
-    out = out.withColumn("text", text)
+    out = suffix_dedup.repeated_passages(spark, docs, characters=True).withColumn("text", F.col("kept").cast("string"))
     own = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return out.select(*(own.get(c, F.col(f"rest.{c}")).alias(c) for c in docs.columns))
 

@@ -299,7 +299,19 @@ def removed_runs(batches):
         yield later_runs(b.column("doc_id").to_numpy(), b.column("tag").to_numpy(), (b.column("at").to_numpy().astype(np.int64), np.arange(b.num_rows)), lists, size, least)
 
 
-def applied(length: int, with_text: bool):
+def whole_characters(data: np.ndarray, offsets: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """gone, and the other bytes of UTF-8 characters that it holds a byte of; a byte that belongs to no character is its own."""
+    at = np.arange(len(data))
+    lead = (data & 0xC0) != 0x80
+    lead[offsets[:-1][offsets[:-1] < len(data)]] = True
+    head = np.maximum.accumulate(np.where(lead, at, 0))
+    size = np.searchsorted(np.array([0xC0, 0xE0, 0xF0], np.uint8), data[head], side="right") + 1
+    lead |= at - head >= size
+    char = np.cumsum(lead)
+    return (np.bincount(char[gone], minlength=int(char[-1]) + 1) > 0)[char] if len(data) else gone
+
+
+def applied(length: int, with_text: bool, characters: bool = False):
     def run(batches):
         for batch in slices(batches, SLICE):
             p = Parsed(batch.column("text"), length)
@@ -312,13 +324,14 @@ def applied(length: int, with_text: bool):
             edge[at] += 1
             edge[at + length] -= 1
             gone = np.cumsum(edge[: len(covered)], dtype=np.int32) > 0
+            cut = whole_characters(p.data, p.offsets, gone) if characters else gone
             out: list = [[], [], [], [], [], []]
             for a, b in zip(p.offsets[:-1].tolist(), p.offsets[1:].tolist()):
                 g = gone[a:b]
                 step = np.diff(np.r_[0, g.astype(np.int8), 0])
                 begin, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
                 kept = p.data[a:b][~g].tobytes() if len(begin) else p.data[a:b].tobytes()
-                for x, v in zip(out, (b - a, int(g.sum()), len(begin), hashlib.sha256(kept).hexdigest(), [{"start": int(i), "end": int(j)} for i, j in zip(begin, end)], kept if with_text else None)):
+                for x, v in zip(out, (b - a, int(g.sum()), len(begin), hashlib.sha256(kept).hexdigest(), [{"start": int(i), "end": int(j)} for i, j in zip(begin, end)], (p.data[a:b][~cut[a:b]].tobytes() if characters and len(begin) else kept) if with_text else None)):
                     x.append(v)
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), span, pa.binary())
@@ -327,9 +340,10 @@ def applied(length: int, with_text: bool):
     return run
 
 
-def repeated_passages(spark: SparkSession, docs: DataFrame, length: int = LENGTH, with_text: bool = True, hot: int = HOT) -> DataFrame:
+def repeated_passages(spark: SparkSession, docs: DataFrame, length: int = LENGTH, with_text: bool = True, hot: int = HOT, characters: bool = False) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, rest (the other columns), n_bytes, n_removed,
-    n_spans, kept_sha256, spans, kept (bytes that stay, if with_text)."""
+    n_spans, kept_sha256, spans, kept (bytes that stay, if with_text; if
+    characters, without those of characters that are cut, which all else still counts)."""
     if length < GRAM:
         raise ValueError(f"length must be {GRAM} at least")
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
@@ -369,7 +383,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, length: int = LENGTH
     schema = f"doc_id long, rest {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary"
     whole = parsed.join(runs.hint("shuffle_hash"), own, "left").select("doc_id", "text", "rest", "repeated", "runs")
     nameless = every.where("doc_id IS NULL").select("doc_id", "text", "rest", F.lit(None).cast("array<int>").alias("repeated"), F.lit(None).cast("array<long>").alias("runs"))
-    return whole.mapInArrow(applied(length, with_text), schema).union(nameless.mapInArrow(applied(length, with_text), schema))
+    return whole.mapInArrow(applied(length, with_text, characters), schema).union(nameless.mapInArrow(applied(length, with_text, characters), schema))
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,3 +35,11 @@ def test_reused_ids(spark):
     out = corpus_pipeline.near_duplicates(spark, docs, "")
     assert out.columns == docs.columns
     assert sorted(((r.doc_id or 0), r.text or "") for r in out.collect()) == [(0, a), (3, "short"), (7, a), (7, b), (8, "")]
+
+
+def test_cut_characters(spark):
+    """Only the halves of cut characters go with a passage; the text's own U+FFFD stays."""
+    passage = " ".join(f"word{i}" for i in range(20))
+    docs = frame(spark, [(1, "é" + passage), (2, "� own ĩ" + passage + "�東"), (3, "none �")])
+    got = {r.doc_id: r.text for r in corpus_pipeline.repeated_passages(spark, docs, "").collect()}
+    assert got == {1: "é" + passage, 2: "� own �東", 3: "none �"}
