@@ -15,16 +15,15 @@ from pyspark.sql import functions as F
 from memquarry.llm import language_id, mixing, ngram_join, packing, suffix_dedup
 from memquarry.llm.common import bounded_batches, crc_mod, small, table, written
 
-#: A document is rejected if no language is at least so likely, or if it has no letter.
-MIN_SCORE = 0.4
-
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an identified language go."""
+    """Documents without a letter go, and those whose best language is no likelier than chance, 1 in the number of languages."""
     bounded_batches(spark)
     model = language_id.train(docs, crc_mod("doc_id", 4) != 2)
     out = language_id.predict(docs, model, with_rows=True)
-    return out.where((F.col("lang_pred") != language_id.UND) & (F.col("score") >= MIN_SCORE)).select("row.*")
+    n = len(model["langs"]) if model else 0
+    chance = 1 / n + 1e-6 if n > 1 else 0.0
+    return out.where((F.col("lang_pred") != language_id.UND) & (F.col("score") > chance)).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

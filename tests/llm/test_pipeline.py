@@ -43,3 +43,15 @@ def test_cut_characters(spark):
     docs = frame(spark, [(1, "é" + passage), (2, "� own ĩ" + passage + "�東"), (3, "none �")])
     got = {r.doc_id: r.text for r in corpus_pipeline.repeated_passages(spark, docs, "").collect()}
     assert got == {1: "é" + passage, 2: "� own �東", 3: "none �"}
+
+
+def test_short_documents_stay(spark, monkeypatch):
+    """Four languages: 0.26 is better than chance, 0.25 isn't; with one language all is."""
+    docs = frame(spark, [(1, "De."), (2, "x"), (3, "Avec."), (4, "!")])
+    scored = spark.createDataFrame([(1, "fr", 0.26), (2, "fr", 0.25), (3, "fr", 0.39), (4, language_id.UND, 0.0)], "id long, lang_pred string, score double")
+    whole = docs.selectExpr("doc_id AS id", "struct(*) AS row").join(scored, "id")
+    monkeypatch.setattr(language_id, "predict", lambda *a, **k: whole)
+    for n, kept in ((4, [1, 3]), (1, [1, 2, 3])):
+        monkeypatch.setattr(language_id, "train", lambda *a, n=n: {"langs": ["x"] * n})
+        out = corpus_pipeline.languages(spark, docs, "")
+        assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == kept
