@@ -1,21 +1,25 @@
 """N-gram Jaccard join: near-duplicate classes of documents by a prefix-tree join.
 
-1. Candidates, without losing a pair: two sets with Jaccard similarity t or more
-   differ in at most d = (1-t)/(1+t) * (a+b) elements. Hash space is cut into k > d
-   ranges; k-d ranges at least hold the same elements in both, and one of them isn't
-   among the k-d-1 poorest of either. Equal (size class, range, contents), but for
-   the poorest, are therefore shared by every similar pair, and by few others, as a
-   range holds about four shingles. Fingerprints are made distinct in each input partition before
-   they are shuffled, so that a group of copies sends a row a partition.
-2. Connected components of documents with an equal fingerprint are the candidate
+1. Global order. Every shingle goes, with the sets of a task that hold it, to the task
+   of its range of hash values, which counts the distinct sets that hold it; the
+   shingles that several hold go back to their sets with this count. A shingle that HOT
+   sets of one task hold sends its sets nowhere: only its counts are added up, and it
+   comes after all others. The order is by count, then by hash: the rarest first.
+2. Candidates, without losing a pair: of n shingles similar sets share ceil(t n) at
+   least, so they share one of the n - ceil(t n) + 1 first of either. Shingles of one
+   set only come first and are never sent back; a set of which too few came back has no
+   partner. Equal (size class, shingle of a prefix) are shared by every similar pair.
+   Signatures are made distinct in each partition before they are shuffled, so that a
+   group of copies sends a row a partition.
+3. Connected components of documents with an equal signature are the candidate
    groups; documents with equal sets are one member of them.
-3. Prefix-tree join inside a group: sets, globally ordered with the rarest first,
+4. Prefix-tree join inside a group: sets, globally ordered with the rarest first,
    form a trie with compressed runs; one traversal carries the partial overlaps of
    all sets and drops, at each run, those that the remaining lengths, or a component
    already joined, rule out for the subtree. Groups above BLOCK
    members or SHINGLES shingles are split by size class and joined block by block, each with the group's least member; only members
    that this leaves apart from it meet all other blocks.
-4. Components of the links.
+5. Components of the links.
 
 Cases: null or wordless text has an empty set and no link; a null doc_id is kept,
 with a null component; rows that repeat a doc_id are one node; equal texts always
@@ -28,18 +32,23 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import M1, byte_view, connected_components, forest, mix, slices, small, table, written
+from .common import M1, byte_view, connected_components, dropped, forest, mix, slices, small, table, written
 
 NGRAM, PERCENT = 5, 80
-#: Members of a group that one task joins; fingerprints held before they are sent.
-BLOCK, HELD = 2000, 1_500_000
+#: Members of a group that one task joins; shingles, and hashes of sets, held before they are sent.
+BLOCK, HELD, SEEN = 2000, 1_500_000, 150_000
+#: Sets of a task that make a shingle hot; the weight that puts hot ones after all others.
+HOT, FREQUENT = 64, 1 << 50
+#: What tells distinct sets apart.
+SET = ["s", "h2", "n"]
 #: Shingles of the members that one task joins; a group of long documents is split by it.
 SHINGLES = 2_000_000
-#: Ratio of the sizes at the ends of a size class; ranges over those that can differ.
-CLASS, SPARE = 0.7, 1.25
+#: Ratio of the sizes at the ends of a size class.
+CLASS = 0.7
 #: Tokens of a run that are counted at once.
 STEP = 64
 
@@ -97,114 +106,255 @@ def shingles(data: np.ndarray, offsets: np.ndarray, ngram: int) -> list[np.ndarr
     return out
 
 
-class Ranges:
-    """Size classes and their number of ranges; each is worked out once."""
+class Sizes:
+    """Size classes: similar sets share the class of the smaller one."""
 
     def __init__(self, percent: int):
-        self.t, self.k = percent / 100, {}
-        self.lows = [1]
+        self.percent, self.lows = percent, [1]
         while self.lows[-1] < 1 << 40:
             self.lows.append(max(self.lows[-1] + 1, math.ceil(self.lows[-1] / CLASS)))
 
-    def of(self, c: int) -> tuple[int, int]:
-        """(ranges, ranges that needn't be sent) of class c, for pairs whose smaller set is in it."""
-        if c not in self.k:
-            high = self.lows[c + 1] - 1
-            most = math.floor((1 - self.t) / (1 + self.t) * (high + math.floor(high / self.t)) + 1e-9)
-            self.k[c] = (k := math.ceil(SPARE * (most + 1))), k - most - 1
-        return self.k[c]
-
-    def classes(self, n: int) -> list[int]:
+    def of(self, n: int) -> list[int]:
         """Its own class, and the one below if a similar smaller set can be there."""
         c = int(np.searchsorted(self.lows, n, "right")) - 1
-        return [c, c - 1] if c and self.lows[c] - 1 >= math.ceil(self.t * n - 1e-9) else [c]
-
-    def fingerprints(self, s: np.ndarray) -> np.ndarray:
-        out, sums = [], np.zeros(len(s) + 1, np.uint64)
-        np.cumsum(mix(s ^ np.uint64(0xABCDEF)), out=sums[1:])
-        high = s >> np.uint64(32)
-        for c in self.classes(len(s)):
-            k, spare = self.of(c)
-            edge = np.searchsorted((high * np.uint64(k)) >> np.uint64(32), np.arange(k + 1))
-            part = sums[edge[1:]] - sums[edge[:-1]]
-            part = mix(part + mix(np.arange(k, dtype=np.uint64) + np.uint64(c << 32)))
-            # more than `spare` ranges agree, so one of them isn't among the `spare` poorest of either set
-            held = np.diff(edge)
-            out.append(part[held >= np.partition(held, spare)[spare]])
-        return np.concatenate(out)
+        return [c, c - 1] if c and self.lows[c] - 1 >= least(n, self.percent) else [c]
+
+
+def least(n: int, percent: int) -> int:
+    """Elements that a set of n must share with any similar one."""
+    return -(-n * percent // 100)
+
+
+#: Kinds of rows: a document; shingles and the sets that hold them; shingles that many sets
+#: of a task hold (HOT: with the sets, MARK: without); the shingles that a set shares.
+DOC, HELD_BY, HOT_SETS, MARK, SHARED = range(5)
+_kinds = "kind byte, key long, doc_id long, s long, h2 long, n long, tokens binary, weights binary, sets binary"
+_fields = pa.schema([("kind", pa.int8()), *((c, pa.int64()) for c in ("key", "doc_id", "s", "h2", "n")), *((c, pa.binary()) for c in ("tokens", "weights", "sets"))])
+
+
+def _batch(kind: int, size: int, **columns):
+    full = {f.name: columns.get(f.name) for f in _fields}
+    full["kind"] = np.full(size, kind, np.int8)
+    return pa.record_batch([pa.nulls(size, f.type) if full[f.name] is None else pa.array(full[f.name], f.type) for f in _fields], schema=_fields)
+
+
+def planes(x: np.ndarray) -> bytes:
+    """All first bytes, then all second ones: those of sorted numbers compress well."""
+    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def unplaned(x: bytes, kind) -> np.ndarray:
+    return np.frombuffer(x, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).reshape(-1)
+
+
+def _cuts(offsets: np.ndarray, data: np.ndarray) -> pa.Array:
+    """A binary array of the pieces of data between offsets."""
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * data.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _shared(s: np.ndarray, t: np.ndarray, w: np.ndarray, size: int = 500_000):
+    """Rows of the sets s with their shingles t and the weights of these."""
+    for i in range(0, len(s), size):
+        order = np.argsort(s[i : i + size], kind="stable") + i
+        key = s[order]
+        at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        cut = np.r_[at, len(key)]
+        yield _batch(SHARED, len(at), s=key[at], tokens=_cuts(cut, t[order]), weights=_cuts(cut, w[order]))
+
+
+def shingle_rows(ngram: int, buckets: int, hot: int):
+    bounds = np.array([-(-(b << 32) // buckets) << 32 for b in range(1, buckets)], np.uint64)
+
+    def flush(sets: dict):
+        s, of = np.fromiter(sets, np.int64, len(sets)), np.repeat(np.arange(len(sets), dtype=np.uint32), list(map(len, sets.values())))
+        t = np.concatenate(list(sets.values()))
+        order = np.argsort(t, kind="stable")
+        t, of = t[order], of[order]
+        first = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+        count = np.diff(np.r_[first, len(t)])
+        many = count >= hot
+        if many.any():
+            at, size = first[many], count[many]
+            key = t[at]
+            yield _batch(HOT_SETS, len(at), key=key.view(np.int64), n=size, sets=[s[of[a : a + c]].tobytes() for a, c in zip(at.tolist(), size.tolist())])
+            cut = np.r_[0, np.searchsorted(key, bounds), len(key)]
+            some = np.flatnonzero(np.diff(cut))
+            yield _batch(MARK, len(some), key=some, tokens=[key[cut[b] : cut[b + 1]].tobytes() for b in some], weights=[size[cut[b] : cut[b + 1]].tobytes() for b in some])
+            few = ~np.repeat(many, count)
+            t, of = t[few], of[few]
+        cut = np.r_[0, np.searchsorted(t, bounds), len(t)]
+        some = np.flatnonzero(np.diff(cut))
+        for i in range(0, len(some), 64):
+            part = some[i : i + 64]
+            blocks = [(t[cut[b] : cut[b + 1]], *np.unique(of[cut[b] : cut[b + 1]], return_inverse=True)) for b in part]
+            yield _batch(HELD_BY, len(part), key=part, tokens=[planes(x) for x, _, _ in blocks], weights=[planes(y.astype(np.uint32)) for _, _, y in blocks], sets=[planes(s[x]) for _, x, _ in blocks])
+
+    def run(batches):
+        sets, seen, held, row = {}, set(), 0, 0
+        for batch in slices(batches):
+            found = shingles(*byte_view(batch.column("text")), ngram)
+            s = np.array([x.sum() for x in found], np.uint64).view(np.int64)
+            h2 = np.array([mix(x ^ M1).sum() for x in found], np.uint64).view(np.int64)
+            n = np.array(list(map(len, found)), np.int64)
+            ids = batch.column("doc_id")
+            yield _batch(DOC, len(n), key=pc.fill_null(ids, row), doc_id=ids, s=s, h2=h2, n=n)
+            row += 1
+            for d, k, x in zip(ids.to_pylist(), s.tolist(), found):
+                if len(x) and d is not None and k not in seen:
+                    if len(seen) < SEEN:
+                        seen.add(k)
+                    if k not in sets:
+                        sets[k] = x
+                        held += len(x)
+            if held > HELD:
+                yield from flush(sets)
+                sets, held = {}, 0
+        if sets:
+            yield from flush(sets)
+
+    return run
+
+
+def shared_rows(batches):
+    """Of the rows of a partition by key: documents and HOT_SETS as they are; for each set the shingles that others hold too."""
+    t, s, marked, counts = [], [], [], []
+    for b in batches:
+        kind = b.column("kind").to_numpy()
+        passed = (kind == DOC) | (kind == HOT_SETS)
+        if passed.any():
+            yield b.filter(pa.array(passed))
+        b = b.filter(pa.array(~passed)).select(["kind", "tokens", "weights", "sets"])
+        for k, x, y, z in zip(*(c.to_pylist() for c in b.columns)):
+            if k == MARK:
+                marked.append(np.frombuffer(x, np.uint64))
+                counts.append(np.frombuffer(y, np.int64))
+            else:
+                t.append(unplaned(x, np.uint64))
+                s.append(unplaned(z, np.int64)[unplaned(y, np.uint32)])
+    if not t:
+        return
+    t, s = np.concatenate(t), np.concatenate(s)
+    order = np.argsort(t, kind="stable")
+    t, s = t[order], s[order]
+    first = np.r_[True, t[1:] != t[:-1]]
+    several = ~first
+    several[:-1] |= ~first[1:]
+    if marked:
+        mark, at = np.unique(np.concatenate(marked), return_inverse=True)
+        count = np.bincount(at, np.concatenate(counts)).astype(np.int64)
+        several |= np.isin(t, mark)
+    t, s = t[several], s[several]
+    order = np.lexsort((s, t))
+    t, s = t[order], s[order]
+    new = np.r_[True, (t[1:] != t[:-1]) | (s[1:] != s[:-1])] if len(t) else np.zeros(0, bool)
+    t, s = t[new], s[new]
+    first = np.flatnonzero(np.r_[True, t[1:] != t[:-1]]) if len(t) else np.zeros(0, int)
+    size = np.diff(np.r_[first, len(t)])
+    w = np.repeat(size, size)
+    if marked:
+        at = np.minimum(np.searchsorted(mark, t), len(mark) - 1)
+        w = np.where(mark[at] == t, FREQUENT + count[at], w)
+    yield from _shared(s[w > 1], t[w > 1].view(np.int64), w[w > 1])
+
+
+def hot_shared(batches):
+    """(key, sets, total): shingles that many sets of a task hold -> rows of these sets."""
+    for b in batches:
+        data, offsets = byte_view(b.column("sets"))
+        size = np.diff(offsets) // 8
+        yield from _shared(data.view(np.int64), np.repeat(b.column("key").to_numpy(), size), np.repeat(FREQUENT + b.column("total").to_numpy(), size))
+
+
+_pair_fields = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("u", pa.int64()), ("v", pa.int64())])
+_pairs = "kind byte, key long, u long, v long"
+#: Kinds of rows: a signature of a document u, a candidate pair.
+PRINT, PAIR = 0, 1
 
 
 def _least(key: np.ndarray, doc: np.ndarray):
-    """Rows (key, least doc) once a key, and (doc, least doc) of the others."""
+    """Signatures (key, least doc) once a key, and pairs (doc, least doc) of the others."""
     order = np.lexsort((doc, key))
     key, doc = key[order], doc[order]
     first = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
-    least = doc[np.flatnonzero(first)[np.cumsum(first) - 1]] if len(key) else doc
-    other = ~first & (doc != least)
-    return key[first], doc[first], *forest(doc[other], least[other])
-
+    low = doc[np.flatnonzero(first)[np.cumsum(first) - 1]] if len(key) else doc
+    other = ~first & (doc != low)
+    return key[first], doc[first], *forest(doc[other], low[other])
 
-_fields = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("h2", pa.int64())])
-_kinds = "kind byte, key long, doc_id long, n long, h2 long"
-#: Kinds of rows: a document (key, h2: hashes of its set), a fingerprint, a candidate pair (doc_id, n).
-DOC, PRINT, PAIR = 0, 1, 2
 
-
-def _rows(kind: int, key, doc, n, h2, size: int = 100_000):
+def _pair_rows(kind: int, key, u, v, size: int = 100_000):
     for i in range(0, len(key), size):
-        s = slice(i, i + size)
-        yield pa.record_batch([pa.array(np.full(len(key[s]), kind, np.int8)), *(pa.array(x[s], pa.int64()) for x in (key, doc, n, h2))], schema=_fields)
+        a = slice(i, i + size)
+        yield pa.record_batch([pa.array(np.full(len(key[a]), kind, np.int8)), *(pa.array(x[a], pa.int64()) for x in (key, u, v))], schema=_pair_fields)
+
 
+def prefix_rows(percent: int):
+    """(member, n, parts): the shared shingles of a set -> signatures, one for each of its prefix and size class."""
 
-def fingerprint_rows(ngram: int, percent: int):
     def run(batches):
-        ranges, keys, ids, held = Ranges(percent), [], [], 0
+        sizes, keys, docs, held = Sizes(percent), [], [], 0
 
         def flush():
             if keys:
-                key, doc, u, v = _least(np.concatenate(keys).view(np.int64), np.concatenate(ids))
-                yield from _rows(PRINT, key, doc, np.zeros(len(key), np.int64), np.zeros(len(key), np.int64))
-                yield from _rows(PAIR, u, u, v, np.zeros(len(u), np.int64))
-
-        seen: set = set()
-        for batch in slices(batches):
-            sets = shingles(*byte_view(batch.column("text")), ngram)
-            doc = batch.column("doc_id")
-            h1 = np.array([s.sum() for s in sets], np.uint64).view(np.int64)
-            h2 = np.array([mix(s ^ M1).sum() for s in sets], np.uint64).view(np.int64)
-            n = np.array(list(map(len, sets)), np.int64)
-            yield pa.record_batch([pa.array(np.zeros(len(n), np.int8)), pa.array(h1), doc, pa.array(n), pa.array(h2)], schema=_fields)
-            for d, s, a, b in zip(doc.to_pylist(), sets, h1.tolist(), h2.tolist()):
-                if len(s) and d is not None:
-                    x = ranges.fingerprints(s) if (a, b) not in seen else np.zeros(0, np.uint64)
-                    x = np.r_[x, mix(np.array([a], np.int64).view(np.uint64) ^ np.uint64(len(s)))]  # equal sets: one more, which every copy sends
-                    if len(seen) < HELD // 10:
-                        seen.add((a, b))
-                    keys.append(x)
-                    ids.append(np.full(len(x), d, np.int64))
-                    held += len(x)
+                key, doc, u, v = _least(np.concatenate(keys).view(np.int64), np.concatenate(docs))
+                yield from _pair_rows(PRINT, key, doc, doc)
+                yield from _pair_rows(PAIR, u, u, v)
+
+        for b in batches:
+            parts = b.column("parts")
+            (t, cut), (w, _) = (byte_view(parts.flatten().field(c)) for c in ("tokens", "weights"))
+            t, w, cut = t.view(np.uint64), w.view(np.int64), cut // 8
+            ends = cut[np.r_[0, np.cumsum(parts.value_lengths().to_numpy())]]
+            for doc, n, a, z in zip(b.column("member").to_pylist(), b.column("n").to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
+                x, at = np.unique(t[a:z], return_index=True)
+                need = len(x) - least(n, percent) + 1
+                if need > 0:
+                    x = x[np.argsort(w[a:z][at], kind="stable")[:need]]
+                    for c in sizes.of(n):
+                        keys.append(mix(x ^ mix(np.full(1, c + 1, np.uint64))))
+                        docs.append(np.full(len(x), doc, np.int64))
+                        held += len(x)
             if held > HELD:
                 yield from flush()
-                keys, ids, held = [], [], 0
+                keys, docs, held = [], [], 0
         yield from flush()
 
     return run
 
 
 def candidate_rows(batches):
-    """Of the rows of a partition by key: documents as they are, and fingerprints of several documents as pairs."""
-    keys, ids = [], []
+    """Of the rows of a partition by key: pairs as they are, and signatures of several documents as pairs."""
+    keys, docs = [], []
     for b in batches:
         kind = b.column("kind").to_numpy()
-        for k in (DOC, PAIR):
-            if (kind == k).any():
-                yield b.filter(pa.array(kind == k))
-        p = kind == PRINT
-        keys.append(b.column("key").filter(pa.array(p)).to_numpy(zero_copy_only=False))
-        ids.append(b.column("doc_id").filter(pa.array(p)).to_numpy(zero_copy_only=False))
+        if (kind == PAIR).any():
+            yield b.filter(pa.array(kind == PAIR))
+        p = pa.array(kind == PRINT)
+        keys.append(b.column("key").filter(p).to_numpy(zero_copy_only=False))
+        docs.append(b.column("u").filter(p).to_numpy(zero_copy_only=False))
     if keys:
-        _, _, u, v = _least(np.concatenate(keys), np.concatenate(ids))
-        yield from _rows(PAIR, u, u, v, np.zeros(len(u), np.int64))
+        _, _, u, v = _least(np.concatenate(keys), np.concatenate(docs))
+        yield from _pair_rows(PAIR, u, u, v)
+
+
+def candidates(spark: SparkSession, docs: DataFrame, ngram: int, percent: int, hot: int = HOT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(own, sets, pairs): every document with the size and hashes of its set, the
+    distinct sets with their least document (member), and candidate pairs of members
+    that join all similar ones."""
+    buckets = 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.mapInArrow(shingle_rows(ngram, buckets, hot), _kinds).repartition("key").mapInArrow(shared_rows, _kinds)
+    rows = written(spark, rows, "ngram-shared")
+    own = written(spark, rows.where(f"kind = {DOC}").select("doc_id", "n", "s", "h2"), "ngram-own")
+    sets = written(spark, own.where("n > 0 AND doc_id IS NOT NULL").groupBy(*SET).agg(F.min("doc_id").alias("member"), F.count("*").alias("copies")), "ngram-sets")
+    shared, frequent = rows.where(f"kind = {SHARED}").select("s", "tokens", "weights"), rows.where(f"kind = {HOT_SETS}")
+    if frequent.limit(1).count():
+        totals = frequent.groupBy("key").agg(F.sum("n").alias("total"))
+        more = frequent.select("key", "sets").join(small(totals), "key").select("key", "sets", "total").mapInArrow(hot_shared, _kinds)
+        shared = shared.union(more.select("s", "tokens", "weights"))
+    parts = shared.groupBy("s").agg(F.collect_list(F.struct("tokens", "weights")).alias("parts"), (F.sum(F.length("tokens")) / 8).alias("some"))
+    prefixes = parts.join(sets.hint("shuffle_hash"), "s").where(F.col("some") * 100 >= F.col("n") * percent).select("member", "n", "parts")
+    pairs = written(spark, prefixes.mapInArrow(prefix_rows(percent), _pairs).repartition("key").mapInArrow(candidate_rows, _pairs).select("u", "v"), "ngram-candidates")
+    dropped(spark, rows)
+    return own, sets, pairs
 
 
 class Node:
@@ -334,17 +484,13 @@ def joined(ngram: int, percent: int):
     return run
 
 
-def ngram_classes(spark: SparkSession, docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, block: int = BLOCK, shingles: int = SHINGLES) -> DataFrame:
+def ngram_classes(spark: SparkSession, docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, block: int = BLOCK, shingles: int = SHINGLES, hot: int = HOT) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = docs.mapInArrow(fingerprint_rows(ngram, percent), _kinds).repartition("key").mapInArrow(candidate_rows, _kinds)
-    rows = written(spark, rows, "ngram-candidates")
-    groups = connected_components(spark, rows.where(f"kind = {PAIR}").select(F.col("doc_id").alias("u"), F.col("n").alias("v")))
-    own = rows.where(f"kind = {DOC}").select("doc_id", "n", F.col("key").alias("h1"), "h2")
-    inside = own.where("n > 0").join(small(groups.withColumnRenamed("id", "doc_id")), "doc_id")
-    same = ["component", "h1", "h2", "n"]
-    members = written(spark, inside.groupBy(*same).agg(F.min("doc_id").alias("member")), "ngram-members")
-    copies = inside.join(members, same).where("doc_id <> member").select(F.col("doc_id").alias("u"), F.col("member").alias("v"))
+    own, sets, pairs = candidates(spark, docs, ngram, percent, hot)
+    groups = connected_components(spark, pairs)
+    members = written(spark, sets.join(small(groups.withColumnRenamed("id", "member")), "member").select("component", "member", "n"), "ngram-members")
+    copies = own.join(sets.where("copies > 1"), SET).where("doc_id <> member").select(F.col("doc_id").alias("u"), F.col("member").alias("v"))
     sizes = members.groupBy("component").agg(F.count("*").alias("size"), F.sum("n").alias("weight")).where("size > 1")
     # a group above `block` members or `shingles` shingles is split by size class first: similar sets share the class of the smaller one
     level = lambda n: F.floor(F.log(n) / -math.log(CLASS))
@@ -358,7 +504,7 @@ def ngram_classes(spark: SparkSession, docs: DataFrame, ngram: int = NGRAM, perc
     everywhere = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
     dealt = written(spark, dealt.select(F.col("member").alias("doc_id"), "component", "hub", "blocks", "block", "n"), "ngram-dealt")
     schema = "u long, v long"
-    first = dealt.select("doc_id", "component", F.explode(F.when(F.col("doc_id") == F.col("hub"), everywhere).otherwise(F.array("block"))).alias("block"))
+    first = dealt.select("doc_id", "component", F.explode(F.when(F.col("doc_id") == F.col("hub"), everywhere).otherwise(F.array("block"))).alias("block")).distinct()
     links = docs.join(small(first), "doc_id").groupBy("component", "block").applyInArrow(joined(ngram, percent), schema)
     links = written(spark, links.union(copies), "ngram-links")
     classes = connected_components(spark, links)

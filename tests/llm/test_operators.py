@@ -73,10 +73,10 @@ def brute_classes(rows, n, percent):
     return {d: (len(sets[d]), find(d)) for d in sets}
 
 
-@pytest.mark.parametrize("n, percent, block, shingles", [(4, 85, 2000, 2_000_000), (2, 60, 3, 2_000_000), (2, 60, 2000, 40)])
-def test_ngram_join(spark, docs, n, percent, block, shingles):
+@pytest.mark.parametrize("n, percent, block, shingles, hot", [(4, 85, 2000, 2_000_000, 64), (2, 60, 3, 2_000_000, 3), (2, 60, 2000, 40, 64)])
+def test_ngram_join(spark, docs, n, percent, block, shingles, hot):
     expect = brute_classes(texts(), n, percent)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_classes(spark, docs, n, percent, block, shingles).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_classes(spark, docs, n, percent, block, shingles, hot).collect()}
     assert got == expect
 
 
