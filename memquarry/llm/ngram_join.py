@@ -40,7 +40,7 @@ from .common import M1, byte_view, connected_components, dropped, forest, mix, s
 
 NGRAM, PERCENT = 5, 80
 #: Members of a group that one task joins; shingles, and hashes of sets, held before they are sent.
-BLOCK, HELD, SEEN = 2000, 1_500_000, 150_000
+BLOCK, HELD, SEEN = 2000, 1_000_000, 150_000
 #: Sets of a task that make a shingle hot; the weight that puts hot ones after all others.
 HOT, FREQUENT = 64, 1 << 50
 #: What tells distinct sets apart.
@@ -107,29 +107,21 @@ def shingles(data: np.ndarray, offsets: np.ndarray, ngram: int) -> list[np.ndarr
 
 
 class Sizes:
-    """Size classes: similar sets share the class of the smaller one."""
+    """The least sizes of size classes: similar sets share the class of the smaller one, which is its own or the one below for either."""
 
-    def __init__(self, percent: int):
-        self.percent, self.lows = percent, [1]
-        while self.lows[-1] < 1 << 40:
-            self.lows.append(max(self.lows[-1] + 1, math.ceil(self.lows[-1] / CLASS)))
-
-    def of(self, n: int) -> list[int]:
-        """Its own class, and the one below if a similar smaller set can be there."""
-        c = int(np.searchsorted(self.lows, n, "right")) - 1
-        return [c, c - 1] if c and self.lows[c] - 1 >= least(n, self.percent) else [c]
-
-
-def least(n: int, percent: int) -> int:
-    """Elements that a set of n must share with any similar one."""
-    return -(-n * percent // 100)
+    def __init__(self):
+        lows = [1]
+        while lows[-1] < 1 << 40:
+            lows.append(max(lows[-1] + 1, math.ceil(lows[-1] / CLASS)))
+        self.lows = np.array(lows)
 
 
 #: Kinds of rows: a document; shingles and the sets that hold them; shingles that many sets
-#: of a task hold (HOT: with the sets, MARK: without); the shingles that a set shares.
+#: of a task hold (HOT_SETS: with the sets, MARK: without); sets and the shingles that they share.
 DOC, HELD_BY, HOT_SETS, MARK, SHARED = range(5)
-_kinds = "kind byte, key long, doc_id long, s long, h2 long, n long, tokens binary, weights binary, sets binary"
-_fields = pa.schema([("kind", pa.int8()), *((c, pa.int64()) for c in ("key", "doc_id", "s", "h2", "n")), *((c, pa.binary()) for c in ("tokens", "weights", "sets"))])
+_binaries = ("tokens", "weights", "sets", "sizes", "counts")
+_kinds = "kind byte, key long, doc_id long, s long, h2 long, n long, " + ", ".join(f"{c} binary" for c in _binaries)
+_fields = pa.schema([("kind", pa.int8()), *((c, pa.int64()) for c in ("key", "doc_id", "s", "h2", "n")), *((c, pa.binary()) for c in _binaries)])
 
 
 def _batch(kind: int, size: int, **columns):
@@ -139,34 +131,44 @@ def _batch(kind: int, size: int, **columns):
 
 
 def planes(x: np.ndarray) -> bytes:
-    """All first bytes, then all second ones: those of sorted numbers compress well."""
-    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+    """All first bytes, then all second ones: those of sorted or small numbers compress well."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()
 
 
 def unplaned(x: bytes, kind) -> np.ndarray:
     return np.frombuffer(x, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).reshape(-1)
 
 
-def _cuts(offsets: np.ndarray, data: np.ndarray) -> pa.Array:
-    """A binary array of the pieces of data between offsets."""
-    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * data.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+def limits(buckets: int) -> np.ndarray:
+    """Where hash ranges of equal width, but the first, begin."""
+    return np.array([-(-(b << 32) // buckets) << 32 for b in range(1, buckets)], np.uint64)
 
 
-def _shared(s: np.ndarray, t: np.ndarray, w: np.ndarray, size: int = 500_000):
-    """Rows of the sets s with their shingles t and the weights of these."""
-    for i in range(0, len(s), size):
-        order = np.argsort(s[i : i + size], kind="stable") + i
-        key = s[order]
-        at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        cut = np.r_[at, len(key)]
-        yield _batch(SHARED, len(at), s=key[at], tokens=_cuts(cut, t[order]), weights=_cuts(cut, w[order]))
+def _cut(x: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int]]:
+    """(bucket, begin, end) of the ranges that sorted hashes x fall into."""
+    cut = np.r_[0, np.searchsorted(x, bounds), len(x)].tolist()
+    return [(b, i, j) for b, (i, j) in enumerate(zip(cut[:-1], cut[1:])) if j > i]
+
+
+def _shared(s: np.ndarray, n: np.ndarray, t: np.ndarray, w: np.ndarray, bounds: np.ndarray):
+    """Rows by range of sets: sets s of n shingles with shingles t and the weights of these."""
+    order = np.argsort(s, kind="stable")
+    s, n, t, w = s[order], n[order], t[order], w[order]
+    ranges = _cut(s, bounds)
+    for i in range(0, len(ranges), 64):
+        out = []
+        for _, a, b in ranges[i : i + 64]:
+            first = np.flatnonzero(np.r_[True, s[a + 1 : b] != s[a : b - 1]])
+            out.append((planes(t[a:b]), planes(w[a:b]), planes(s[a:b][first]), planes(n[a:b][first]), planes(np.diff(np.r_[first, b - a]).astype(np.uint32))))
+        yield _batch(SHARED, len(out), key=[b for b, _, _ in ranges[i : i + 64]], **dict(zip(_binaries, map(list, zip(*out)))))
 
 
 def shingle_rows(ngram: int, buckets: int, hot: int):
-    bounds = np.array([-(-(b << 32) // buckets) << 32 for b in range(1, buckets)], np.uint64)
+    bounds = limits(buckets)
 
     def flush(sets: dict):
-        s, of = np.fromiter(sets, np.int64, len(sets)), np.repeat(np.arange(len(sets), dtype=np.uint32), list(map(len, sets.values())))
+        s, n = np.fromiter(sets, np.int64, len(sets)), np.array(list(map(len, sets.values())))
+        of = np.repeat(np.arange(len(sets), dtype=np.uint32), n)
         t = np.concatenate(list(sets.values()))
         order = np.argsort(t, kind="stable")
         t, of = t[order], of[order]
@@ -174,20 +176,20 @@ def shingle_rows(ngram: int, buckets: int, hot: int):
         count = np.diff(np.r_[first, len(t)])
         many = count >= hot
         if many.any():
-            at, size = first[many], count[many]
-            key = t[at]
-            yield _batch(HOT_SETS, len(at), key=key.view(np.int64), n=size, sets=[s[of[a : a + c]].tobytes() for a, c in zip(at.tolist(), size.tolist())])
-            cut = np.r_[0, np.searchsorted(key, bounds), len(key)]
-            some = np.flatnonzero(np.diff(cut))
-            yield _batch(MARK, len(some), key=some, tokens=[key[cut[b] : cut[b + 1]].tobytes() for b in some], weights=[size[cut[b] : cut[b + 1]].tobytes() for b in some])
+            at, size, key = first[many], count[many], t[first[many]]
+            held = [of[a : a + c] for a, c in zip(at.tolist(), size.tolist())]
+            yield _batch(HOT_SETS, len(at), key=key.view(np.int64), n=size, sets=[s[x].tobytes() for x in held], sizes=[n[x].tobytes() for x in held])
+            ranges = _cut(key, bounds)
+            yield _batch(MARK, len(ranges), key=[b for b, _, _ in ranges], tokens=[key[i:j].tobytes() for _, i, j in ranges], weights=[size[i:j].tobytes() for _, i, j in ranges])
             few = ~np.repeat(many, count)
             t, of = t[few], of[few]
-        cut = np.r_[0, np.searchsorted(t, bounds), len(t)]
-        some = np.flatnonzero(np.diff(cut))
-        for i in range(0, len(some), 64):
-            part = some[i : i + 64]
-            blocks = [(t[cut[b] : cut[b + 1]], *np.unique(of[cut[b] : cut[b + 1]], return_inverse=True)) for b in part]
-            yield _batch(HELD_BY, len(part), key=part, tokens=[planes(x) for x, _, _ in blocks], weights=[planes(y.astype(np.uint32)) for _, _, y in blocks], sets=[planes(s[x]) for _, x, _ in blocks])
+        ranges = _cut(t, bounds)
+        for i in range(0, len(ranges), 64):
+            out = []
+            for _, a, b in ranges[i : i + 64]:
+                x, y = np.unique(of[a:b], return_inverse=True)
+                out.append((planes(t[a:b]), planes(y.astype(np.uint32)), planes(s[x]), planes(n[x])))
+            yield _batch(HELD_BY, len(out), key=[b for b, _, _ in ranges[i : i + 64]], **dict(zip(_binaries, map(list, zip(*out)))))
 
     def run(batches):
         sets, seen, held, row = {}, set(), 0, 0
@@ -215,54 +217,79 @@ def shingle_rows(ngram: int, buckets: int, hot: int):
     return run
 
 
-def shared_rows(batches):
-    """Of the rows of a partition by key: documents and HOT_SETS as they are; for each set the shingles that others hold too."""
-    t, s, marked, counts = [], [], [], []
-    for b in batches:
-        kind = b.column("kind").to_numpy()
-        passed = (kind == DOC) | (kind == HOT_SETS)
-        if passed.any():
-            yield b.filter(pa.array(passed))
-        b = b.filter(pa.array(~passed)).select(["kind", "tokens", "weights", "sets"])
-        for k, x, y, z in zip(*(c.to_pylist() for c in b.columns)):
-            if k == MARK:
-                marked.append(np.frombuffer(x, np.uint64))
-                counts.append(np.frombuffer(y, np.int64))
-            else:
-                t.append(unplaned(x, np.uint64))
-                s.append(unplaned(z, np.int64)[unplaned(y, np.uint32)])
-    if not t:
-        return
-    t, s = np.concatenate(t), np.concatenate(s)
-    order = np.argsort(t, kind="stable")
-    t, s = t[order], s[order]
-    first = np.r_[True, t[1:] != t[:-1]]
-    several = ~first
-    several[:-1] |= ~first[1:]
-    if marked:
-        mark, at = np.unique(np.concatenate(marked), return_inverse=True)
-        count = np.bincount(at, np.concatenate(counts)).astype(np.int64)
-        several |= np.isin(t, mark)
-    t, s = t[several], s[several]
-    order = np.lexsort((s, t))
-    t, s = t[order], s[order]
-    new = np.r_[True, (t[1:] != t[:-1]) | (s[1:] != s[:-1])] if len(t) else np.zeros(0, bool)
-    t, s = t[new], s[new]
-    first = np.flatnonzero(np.r_[True, t[1:] != t[:-1]]) if len(t) else np.zeros(0, int)
-    size = np.diff(np.r_[first, len(t)])
-    w = np.repeat(size, size)
-    if marked:
-        at = np.minimum(np.searchsorted(mark, t), len(mark) - 1)
-        w = np.where(mark[at] == t, FREQUENT + count[at], w)
-    yield from _shared(s[w > 1], t[w > 1].view(np.int64), w[w > 1])
-
-
-def hot_shared(batches):
-    """(key, sets, total): shingles that many sets of a task hold -> rows of these sets."""
-    for b in batches:
-        data, offsets = byte_view(b.column("sets"))
-        size = np.diff(offsets) // 8
-        yield from _shared(data.view(np.int64), np.repeat(b.column("key").to_numpy(), size), np.repeat(FREQUENT + b.column("total").to_numpy(), size))
+def shared_rows(buckets: int):
+    """Of the rows of a partition by key: documents and HOT_SETS as they are; of each range of shingles those that several sets hold."""
+    bounds = limits(buckets)
+
+    def resolved(blocks, marks):
+        t, s, n = [], [], []
+        for x, y, z, size in blocks:
+            at = unplaned(y, np.uint32)
+            t.append(unplaned(x, np.uint64))
+            s.append(unplaned(z, np.uint64)[at])
+            n.append(unplaned(size, np.int64)[at])
+        t, s, n = np.concatenate(t), np.concatenate(s), np.concatenate(n)
+        order = np.argsort(t, kind="stable")
+        t, s, n = t[order], s[order], n[order]
+        same = t[1:] == t[:-1]
+        several = np.zeros(len(t), bool)
+        several[1:] |= same
+        several[:-1] |= same
+        if marks:
+            mark, at = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x, _ in marks]), return_inverse=True)
+            count = np.bincount(at, np.concatenate([np.frombuffer(y, np.int64) for _, y in marks])).astype(np.int64)
+            several |= np.isin(t, mark)
+        t, s, n = t[several], s[several], n[several]
+        if not len(t):
+            return
+        order = np.lexsort((n, s, t))
+        t, s, n = t[order], s[order], n[order]
+        new = np.r_[True, (t[1:] != t[:-1]) | (s[1:] != s[:-1])]
+        t, s, n = t[new], s[new], n[new]
+        first = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+        size = np.diff(np.r_[first, len(t)])
+        w = np.repeat(size, size)
+        if marks:
+            at = np.minimum(np.searchsorted(mark, t), len(mark) - 1)
+            w = np.where(mark[at] == t, FREQUENT + count[at], w)
+        some = w > 1
+        yield s[some], n[some], t[some], w[some]
+
+    def run(batches):
+        blocks, marks = {}, {}
+        for b in batches:
+            kind = b.column("kind").to_numpy()
+            passed = (kind == DOC) | (kind == HOT_SETS)
+            if passed.any():
+                yield b.filter(pa.array(passed))
+            b = b.filter(pa.array(~passed)).select(["kind", "key", *_binaries[:4]])
+            for k, key, *x in zip(*(c.to_pylist() for c in b.columns)):
+                (marks if k == MARK else blocks).setdefault(key, []).append(x[:2] if k == MARK else x)
+        found, held = [], 0
+        for key in list(blocks):
+            for x in resolved(blocks.pop(key), marks.get(key)):
+                found.append(x)
+                held += len(x[0])
+            if held > HELD:
+                yield from _shared(*map(np.concatenate, zip(*found)), bounds)
+                found, held = [], 0
+        if found:
+            yield from _shared(*map(np.concatenate, zip(*found)), bounds)
+
+    return run
+
+
+def hot_shared(buckets: int):
+    """(key, sets, sizes, total): shingles that many sets of a task hold -> rows of these sets."""
+    bounds = limits(buckets)
+
+    def run(batches):
+        for b in batches:
+            (s, cut), (n, _) = byte_view(b.column("sets")), byte_view(b.column("sizes"))
+            size = np.diff(cut) // 8
+            yield from _shared(s.view(np.uint64), n.view(np.int64), np.repeat(b.column("key").to_numpy(), size).view(np.uint64), np.repeat(FREQUENT + b.column("total").to_numpy(), size), bounds)
+
+    return run
 
 
 _pair_fields = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("u", pa.int64()), ("v", pa.int64())])
@@ -288,35 +315,47 @@ def _pair_rows(kind: int, key, u, v, size: int = 100_000):
 
 
 def prefix_rows(percent: int):
-    """(member, n, parts): the shared shingles of a set -> signatures, one for each of its prefix and size class."""
+    """All rows of ranges of sets -> signatures (key, set), one for each shingle of a prefix and size class."""
+
+    def prefixes(rows: list, sizes: Sizes):
+        s, n, t, w = [], [], [], []
+        for x, y, z, size, count in rows:
+            count = unplaned(count, np.uint32)
+            s.append(np.repeat(unplaned(z, np.int64), count))
+            n.append(np.repeat(unplaned(size, np.int64), count))
+            t.append(unplaned(x, np.uint64))
+            w.append(unplaned(y, np.int64))
+        s, n, t, w = map(np.concatenate, (s, n, t, w))
+        order = np.lexsort((t, w, s))
+        s, n, t = s[order], n[order], t[order]
+        new = np.r_[True, (t[1:] != t[:-1]) | (s[1:] != s[:-1])]  # a shingle that is hot in several tasks comes from each
+        s, n, t = s[new], n[new], t[new]
+        first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+        size = np.diff(np.r_[first, len(s)])
+        need = size - -(-np.minimum.reduceat(n, first) * percent // 100) + 1
+        inside = np.arange(len(s)) - np.repeat(first, size) < np.repeat(need, size)
+        s, n, t = s[inside], n[inside], t[inside]
+        own = np.searchsorted(sizes.lows, n, "right") - 1
+        both = (own > 0) & (sizes.lows[own] - 1 >= -(-n * percent // 100))
+        yield mix(t ^ mix(own.astype(np.uint64) + np.uint64(1))), s
+        yield mix(t[both] ^ mix(own[both].astype(np.uint64))), s[both]
 
     def run(batches):
-        sizes, keys, docs, held = Sizes(percent), [], [], 0
-
-        def flush():
-            if keys:
-                key, doc, u, v = _least(np.concatenate(keys).view(np.int64), np.concatenate(docs))
-                yield from _pair_rows(PRINT, key, doc, doc)
-                yield from _pair_rows(PAIR, u, u, v)
-
+        sizes, ranges = Sizes(), {}
         for b in batches:
-            parts = b.column("parts")
-            (t, cut), (w, _) = (byte_view(parts.flatten().field(c)) for c in ("tokens", "weights"))
-            t, w, cut = t.view(np.uint64), w.view(np.int64), cut // 8
-            ends = cut[np.r_[0, np.cumsum(parts.value_lengths().to_numpy())]]
-            for doc, n, a, z in zip(b.column("member").to_pylist(), b.column("n").to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
-                x, at = np.unique(t[a:z], return_index=True)
-                need = len(x) - least(n, percent) + 1
-                if need > 0:
-                    x = x[np.argsort(w[a:z][at], kind="stable")[:need]]
-                    for c in sizes.of(n):
-                        keys.append(mix(x ^ mix(np.full(1, c + 1, np.uint64))))
-                        docs.append(np.full(len(x), doc, np.int64))
-                        held += len(x)
-            if held > HELD:
-                yield from flush()
-                keys, docs, held = [], [], 0
-        yield from flush()
+            for key, *x in zip(*(b.column(c).to_pylist() for c in ("key", *_binaries))):
+                ranges.setdefault(key, []).append(x)
+        keys, owners, held = [], [], 0
+        for key in list(ranges):
+            for k, s in prefixes(ranges.pop(key), sizes):
+                keys.append(k)
+                owners.append(s)
+                held += len(k)
+            if held > HELD or not ranges:
+                k, s, u, v = _least(np.concatenate(keys).view(np.int64), np.concatenate(owners))
+                yield from _pair_rows(PRINT, k, s, s)
+                yield from _pair_rows(PAIR, u, u, v)
+                keys, owners, held = [], [], 0
 
     return run
 
@@ -338,21 +377,20 @@ def candidate_rows(batches):
 
 def candidates(spark: SparkSession, docs: DataFrame, ngram: int, percent: int, hot: int = HOT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(own, sets, pairs): every document with the size and hashes of its set, the
-    distinct sets with their least document (member), and candidate pairs of members
+    distinct sets with their least document (member), and candidate pairs of sets
     that join all similar ones."""
     buckets = 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.mapInArrow(shingle_rows(ngram, buckets, hot), _kinds).repartition("key").mapInArrow(shared_rows, _kinds)
+    rows = docs.mapInArrow(shingle_rows(ngram, buckets, hot), _kinds).repartition("key").mapInArrow(shared_rows(buckets), _kinds)
     rows = written(spark, rows, "ngram-shared")
     own = written(spark, rows.where(f"kind = {DOC}").select("doc_id", "n", "s", "h2"), "ngram-own")
     sets = written(spark, own.where("n > 0 AND doc_id IS NOT NULL").groupBy(*SET).agg(F.min("doc_id").alias("member"), F.count("*").alias("copies")), "ngram-sets")
-    shared, frequent = rows.where(f"kind = {SHARED}").select("s", "tokens", "weights"), rows.where(f"kind = {HOT_SETS}")
+    shared, frequent = rows.where(f"kind = {SHARED}").select("key", *_binaries), rows.where(f"kind = {HOT_SETS}")
     if frequent.limit(1).count():
         totals = frequent.groupBy("key").agg(F.sum("n").alias("total"))
-        more = frequent.select("key", "sets").join(small(totals), "key").select("key", "sets", "total").mapInArrow(hot_shared, _kinds)
-        shared = shared.union(more.select("s", "tokens", "weights"))
-    parts = shared.groupBy("s").agg(F.collect_list(F.struct("tokens", "weights")).alias("parts"), (F.sum(F.length("tokens")) / 8).alias("some"))
-    prefixes = parts.join(sets.hint("shuffle_hash"), "s").where(F.col("some") * 100 >= F.col("n") * percent).select("member", "n", "parts")
-    pairs = written(spark, prefixes.mapInArrow(prefix_rows(percent), _pairs).repartition("key").mapInArrow(candidate_rows, _pairs).select("u", "v"), "ngram-candidates")
+        more = frequent.select("key", "sets", "sizes").join(small(totals), "key").mapInArrow(hot_shared(buckets), _kinds)
+        shared = shared.union(more.select("key", *_binaries))
+    signatures = shared.repartition("key").mapInArrow(prefix_rows(percent), _pairs).repartition("key")
+    pairs = written(spark, signatures.mapInArrow(candidate_rows, _pairs).select("u", "v"), "ngram-candidates")
     dropped(spark, rows)
     return own, sets, pairs
 
@@ -489,7 +527,7 @@ def ngram_classes(spark: SparkSession, docs: DataFrame, ngram: int = NGRAM, perc
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     own, sets, pairs = candidates(spark, docs, ngram, percent, hot)
     groups = connected_components(spark, pairs)
-    members = written(spark, sets.join(small(groups.withColumnRenamed("id", "member")), "member").select("component", "member", "n"), "ngram-members")
+    members = written(spark, sets.join(small(groups.withColumnRenamed("id", "s")), "s").select("component", "member", "n"), "ngram-members")
     copies = own.join(sets.where("copies > 1"), SET).where("doc_id <> member").select(F.col("doc_id").alias("u"), F.col("member").alias("v"))
     sizes = members.groupBy("component").agg(F.count("*").alias("size"), F.sum("n").alias("weight")).where("size > 1")
     # a group above `block` members or `shingles` shingles is split by size class first: similar sets share the class of the smaller one
