@@ -56,23 +56,49 @@ def tidy(spark: SparkSession):
         spark.conf.set(name, before)
 
 
+#: Folders of written() and bucketed() that are still there.
+SCRATCH: list = []
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one; it goes with the session, if not before."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    SCRATCH.append(path)
+    return path
+
+
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write to the shared folder and read again."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     with tidy(spark):
         df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(spark: SparkSession, df: DataFrame, n: int, keys: list, name: str) -> DataFrame:
+    """df in the shared folder, dealt into n buckets by keys. The catalogue forgets the
+    table again: the plan that is returned knows its files and buckets."""
+    path, called = scratch_path(spark, name), f"memquarry_{uuid.uuid4().hex}"
+    with tidy(spark):
+        df.repartition(n, *keys).write.bucketBy(n, *keys).option("compression", "zstd").option("path", path).saveAsTable(called, format="parquet")
+    out = spark.table(called)
+    out.schema  # resolved while the table is known
+    spark.sql(f"DROP TABLE {called}")  # its path is its own, so the files stay
+    return out
+
+
+def removed(spark: SparkSession, paths) -> None:
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        SCRATCH[:] = [p for p in SCRATCH if p != path]
+
+
 def dropped(spark: SparkSession, df: DataFrame) -> None:
     """Delete a table of written() that no later job reads."""
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        at = jvm.org.apache.hadoop.fs.Path(folder)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    removed(spark, [p for p in SCRATCH if any(f.startswith(p.rstrip("/") + "/") or p.rpartition("/")[2] in f for f in df.inputFiles())])
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -31,14 +31,13 @@ back as they are.
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_view, dropped, mix, slices, table, tidy, written
+from .common import bucketed, byte_view, dropped, mix, slices, table, written
 
 LENGTH, GRAM, PHRASE_BITS, HOT = 50, 16, 8, 10_000
 #: Keys are shortened where they only tell what to look at more closely.
@@ -126,7 +125,14 @@ def phrase_rows(length: int):
             view, doc = memoryview(np.ascontiguousarray(p.data)), p.doc[p.begin]
             digest = np.frombuffer(b"".join(hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(p.begin.tolist(), (p.stop + length - 1).tolist())), np.int64).reshape(-1, 2)
             ids, tags = batch.column("doc_id").to_numpy(), batch.column("tag").to_numpy()
-            yield pa.record_batch({"doc_id": ids[doc], "tag": tags[doc], "at": pa.array(p.starts(), pa.int32()), "h1": digest[:, 0], "h2": digest[:, 1]})
+            # one row a phrase and document, with all places of the phrase in it
+            order = np.lexsort((p.begin, digest[:, 1], digest[:, 0], doc))
+            doc, digest, at = doc[order], digest[order], p.starts()[order]
+            new = np.ones(len(doc), bool)
+            new[1:] = (doc[1:] != doc[:-1]) | (digest[1:] != digest[:-1]).any(1)
+            first = np.flatnonzero(new)
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(doc)], pa.int32()), pa.array(at, pa.int32()))
+            yield pa.record_batch({"doc_id": ids[doc[first]], "tag": tags[doc[first]], "at": lists, "h1": digest[first, 0], "h2": digest[first, 1]})
 
     return run
 
@@ -242,22 +248,28 @@ def later_runs(doc, tag, at, lists, size, least):
     return pa.record_batch({"doc_id": doc[of][some], "tag": tag[of][some], "run": pa.array(((begin << 32) | (begin + size[row]))[some], pa.int64())})
 
 
+def whole_keys(batches):
+    """The rows of a partition by key in parts of about PART bytes of stretches; all of a key are in one part."""
+    rows = [pa.Table.from_batches([b]) for b in batches]
+    if not rows or not (whole := pa.concat_tables(rows)).num_rows:
+        return
+    del rows
+    parts = 1 + whole["stretch"].nbytes // PART
+    part = whole["key"].to_numpy() % parts
+    for i in range(parts):
+        some = whole.filter(pa.array(part == i)) if parts > 1 else whole
+        if some.num_rows:
+            yield some
+
+
 def resolved(length: int):
     """All stretches of a partition by key -> runs to remove."""
 
     def run(batches):
-        rows = [pa.Table.from_batches([b]) for b in batches]
-        if not rows or not (whole := pa.concat_tables(rows)).num_rows:
-            return
-        del rows
-        parts = 1 + whole["stretch"].nbytes // PART  # all of a key are in one part
-        part = whole["key"].to_numpy() % parts
-        for i in range(parts):
-            yield from some(whole.filter(pa.array(part == i)) if parts > 1 else whole)
+        for rows in whole_keys(batches):
+            yield from some(rows)
 
     def some(rows):
-        if not rows.num_rows:
-            return
         coded = rows["stretch"].combine_chunks().dictionary_encode()
         coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
         code, doc = coded.indices.to_numpy(), rows["doc_id"].to_numpy()
@@ -279,9 +291,10 @@ def distinct_resolved(length: int):
     """The distinct stretches of a partition by key, with the least document of each -> lists to be joined back."""
 
     def run(batches):
-        rows = [pa.Table.from_batches([b]) for b in batches]
-        if not rows or not (rows := pa.concat_tables(rows)).num_rows:
-            return
+        for rows in whole_keys(batches):
+            yield from some(rows)
+
+    def some(rows):
         lists, size, least = least_documents(rows["stretch"], rows["first"].to_numpy(), length)
         for i in range(0, rows.num_rows, 20_000):
             j = min(i + 20_000, rows.num_rows)
@@ -349,17 +362,16 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, length: int = LENGTH
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
     every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), (F.struct(*rest) if rest else F.struct(F.lit(0).alias("none"))).alias("rest"))
     every = every.withColumn("tag", F.xxhash64("text", F.lit(3)))
-    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"memquarry_texts_{uuid.uuid4().hex}"
-    with tidy(spark):
-        every.where("doc_id IS NOT NULL").repartition(n, "doc_id", "tag").write.bucketBy(n, "doc_id", "tag").option("compression", "zstd").saveAsTable(name, format="parquet")
-    texts = spark.table(name)
-    own = ["doc_id", "tag"]
+    own, n = ["doc_id", "tag"], int(spark.conf.get("spark.sql.shuffle.partitions"))
+    texts = bucketed(spark, every.where("doc_id IS NOT NULL"), n, own, "passage-texts")
 
-    phrases = written(spark, texts.select("doc_id", "tag", "text").mapInArrow(phrase_rows(length), "doc_id long, tag long, at int, h1 long, h2 long"), "passage-phrases")
+    phrases = written(spark, texts.select("doc_id", "tag", "text").mapInArrow(phrase_rows(length), "doc_id long, tag long, at array<int>, h1 long, h2 long"), "passage-phrases")
     later = phrases.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    repeated = phrases.join(later, ["h1", "h2"]).where("doc_id > first").groupBy(*own).agg(F.collect_list("at").alias("repeated"))
+    later = written(spark, later, "passage-later")  # read again, so that the join deals both sides by itself and can split a phrase that many documents hold
+    repeated = phrases.join(later, ["h1", "h2"]).where("doc_id > first").groupBy(*own).agg(F.flatten(F.collect_list("at")).alias("repeated"))
     repeated = written(spark, repeated, "passage-repeated")
     dropped(spark, phrases)
+    dropped(spark, later)
     parsed = texts.join(repeated.hint("shuffle_hash"), own, "left")
 
     keys = parsed.select("doc_id", "text", "repeated").mapInArrow(key_rows(length), "key long, doc_id long")
