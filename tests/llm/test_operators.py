@@ -314,13 +314,13 @@ def test_classifiers(spark, f, label, least):
 def test_classifiers_odd(spark, docs, odd, none):
     labels = spark.createDataFrame([(1, 1, 0), (1, None, 1), (2, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int")
     assert quality.quality(docs, labels, F.lit(True)).agg(F.min("score"), F.max("score")).first() == (0.99, 0.99)
-    model = toxicity.train(docs, labels, F.lit(True))
+    model = toxicity.train(spark, docs, labels, F.lit(True))
     got = toxicity.toxicity(odd, model)
     assert got.count() == odd.count() and got.where("score IS NULL").count() == 0
     labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
     for d in (docs, odd, none):
         assert quality.quality(d, labels, F.lit(True)).where("score BETWEEN 0 AND 1").count() == d.count()
-        assert toxicity.toxicity(d, toxicity.train(docs, labels, F.lit(True))).where("score BETWEEN 0 AND 1").count() == d.count()
+        assert toxicity.toxicity(d, toxicity.train(spark, docs, labels, F.lit(True))).where("score BETWEEN 0 AND 1").count() == d.count()
 
 
 def test_forward_backward():
@@ -332,14 +332,51 @@ def test_forward_backward():
         s = np.array(path)
         w = np.exp((e * s).sum() + theta[0] * s[0] + t[s[:-1], s[1:]].sum())
         total, one = total + w, one + w * s
-    p, _, z = toxicity.forward_backward(e, np.array([0]), np.array([5]), theta)
-    assert np.allclose(p, one / total) and np.isclose(z, np.log(total))
+    for piece in (256, 2, 1):
+        p, _, z = toxicity.forward_backward(e, np.array([0]), np.array([5]), theta, piece)
+        assert np.allclose(p, one / total) and np.isclose(z, np.log(total))
+
+
+def test_forward_backward_long():
+    """Chains of up to 5000 tokens, read in pieces, against the same read at one go."""
+    rng = np.random.default_rng(1)
+    lengths = np.array([1, 5000, 256, 257, 700, 3])
+    e, theta = rng.normal(scale=3, size=lengths.sum()), rng.normal(size=5)
+    starts = np.cumsum(lengths) - lengths
+    p, pairs, z = toxicity.forward_backward(e, starts, lengths, theta, 10_000)
+    q, others, y = toxicity.forward_backward(e, starts, lengths, theta)
+    assert np.allclose(p, q) and np.allclose(pairs, others) and np.isclose(z, y)
+    assert np.isclose(pairs.sum(), (lengths - 1).sum())
+
+
+def test_toxicity_long_sentence(spark):
+    """One text of 5000 words without a break: the words at its end count, and what is learned from is bounded."""
+    rows = [(i, f"calm words here {'you idiot clown' if i % 2 else 'fine day'} . end") for i in range(80)]
+    rows += [(100, "calm words here " * 1600 + "you idiot clown"), (101, "calm words here " * 1600 + "fine day")]
+    docs = spark.createDataFrame(rows + rows[:40] * 3, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    model = toxicity.train(spark, docs, labels, F.lit(True), sample=30, sentences=20, tokens=60)
+    got = {r.doc_id: r for r in toxicity.toxicity(docs, model).collect()}
+    assert got[100].spans and got[100].spans[-1].end == len(dict(rows)[100]) and not got[101].spans
+    e = np.random.default_rng(2).normal(size=4803)
+    assert [len(x) for x in toxicity.chains(np.isnan(e))] == [1, 1]
+
+
+def test_least_hash():
+    r, rows = random.Random(4), []
+    kept = toxicity.LeastHash(5, 12)
+    for i in range(100):
+        rows.append((r.randint(0, 50), i, 0, r.randint(1, 4)))
+        kept.add(rows[-1])
+    rows.sort()
+    expect = [x for x, total in zip(rows, np.cumsum([x[3] for x in rows])) if total <= 12][:5]
+    assert kept.cut() == expect
 
 
 def test_spans(spark):
     rows = [(i, f"calm words here {'you idiot clown' if i % 2 else 'fine day'} . end") for i in range(80)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
-    got = toxicity.toxicity(docs, toxicity.train(docs, labels, F.lit(True))).collect()
+    got = toxicity.toxicity(docs, toxicity.train(spark, docs, labels, F.lit(True))).collect()
     assert all(r.predicted == r.doc_id % 2 for r in got)
     assert all("idiot" in dict(rows)[r.doc_id][r.spans[0].start : r.spans[-1].end] for r in got if r.doc_id % 2)
