@@ -7,11 +7,12 @@ stand for the training rows, one-versus-rest kernel ridge regression is solved o
 the driver for a bounded sample, and a batch of texts is scored by two matrix
 products: presence by landmarks, kernel by coefficients.
 
-Learning reads at most PER_LANGUAGE rows a language of the labelled folds (least
-hash of doc_id first); scoring reads every whole text.
+Learning reads at most PER_LANGUAGE documents a language of the labelled folds (least
+hash of doc_id first) of the LANGUAGES most frequent ones; scoring reads every whole text.
 
 Cases: null text, and text without a letter, is `und` with score 0; if nothing can
-be learned all is `und`; null lang isn't learned from; repeated rows are rows; an
+be learned all is `und`; null lang isn't learned from; rows that repeat a
+doc_id and lang are learned from once (their least text) and scored as rows; an
 empty table gives an empty result; extra columns are not read.
 """
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import byte_view, crc_mod, slices, table
 
-GRAMS, LANDMARKS, PER_LANGUAGE, RIDGE = 4096, 64, 1000, 1e-3
+GRAMS, LANDMARKS, LANGUAGES, PER_LANGUAGE, RIDGE = 4096, 64, 200, 1000, 1e-3
 UND = "und"
 
 
@@ -62,12 +63,17 @@ def features(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, "doc_id long, lang string, grams binary")
 
 
-def train(docs: DataFrame, learn, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS) -> dict | None:
+def train(docs: DataFrame, learn, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS, most: int = LANGUAGES) -> dict | None:
     """learn: the condition on doc_id of rows to learn from. None if there are none."""
     base = docs.where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    # at most `most` languages; of each the ids of least hash, cut before they meet to a few times as many as are wanted
+    n = docs.where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most)
+    hashed = (F.xxhash64("doc_id").cast("double") + 2.0**63) / 2.0**64
+    near = base.select("doc_id", "lang").join(F.broadcast(n), "lang").where(hashed * F.col("n") < 4 * per_language).select("doc_id", "lang").distinct()
     order = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = base.select("doc_id", "lang", order.alias("nth")).where(F.col("nth") <= per_language).select("doc_id").distinct()
-    rows = features(base.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id", "left_semi")).orderBy(F.xxhash64("doc_id"), "doc_id", "grams").collect()
+    chosen = near.withColumn("nth", order).where(F.col("nth") <= per_language).select("doc_id", "lang")  # most * per_language rows at most
+    one = base.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    rows = features(one.select("doc_id", "lang", "text")).orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "grams").collect()
     if not rows:
         return None
     langs = sorted({r.lang for r in rows})

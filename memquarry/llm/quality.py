@@ -12,7 +12,8 @@ Learning reads at most SAMPLE labelled rows (least hash of doc_id first); counts
 and scores read every whole text.
 
 Cases: null text is empty; an empty text is scored like any other (its pooled
-vector is 0); a document with several labels counts its least one; without labels
+vector is 0); a document with several labels counts its least one, one with several
+rows is learned from once, by its least text; without labels
 of both kinds the score is the share of label 1, or 0.5; an empty table gives an
 empty result; extra columns are not read.
 """
@@ -153,11 +154,11 @@ def quality(docs: DataFrame, labels: DataFrame, learn, sample: int = SAMPLE, thr
     def pool(batches):
         for batch in slices(batches, 1 << 20):
             x = pooled(batch.column("text").to_pylist(), vectors)
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "x": pa.array([r.tobytes() for r in x], pa.binary())})
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "y": batch.column("y"), "x": pa.array([r.tobytes() for r in x], pa.binary())})
 
     chosen = labelled(labels, "quality", learn).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    some = rows.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").mapInArrow(pool, "doc_id long, x binary")
-    got = some.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "x").collect()
+    some = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))  # sample rows at most, however often an id is there
+    got = some.mapInArrow(pool, "doc_id long, y int, x binary").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     x = np.frombuffer(b"".join(r.x for r in got)).reshape(len(got), 2 * DIMS + 1)
     model = network(x, np.array([r.y for r in got]))
 
