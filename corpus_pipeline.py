@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memquarry.llm import language_id, mixing, ngram_join, packing, suffix_dedup
-from memquarry.llm.common import bounded_batches, crc_mod, small, table, written
+from memquarry.llm.common import SCRATCH, bounded_batches, crc_mod, removed, small, table, written
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,7 +77,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
+        before = set(SCRATCH)
         docs = written(spark, stage(spark, docs, sf_dir), f"pipeline-{name}")
+        own = SCRATCH[-1]  # with it, what the stage has left and what it read are read no more
+        removed(spark, [p for p in SCRATCH if p not in before and p != own] + last)
+        last = [own]
     return STAGES[-1][1](spark, docs, sf_dir)
