@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from .tokens import CJK
 
-# Video extensions; those that play; names of screenshots in many
+# Video and picture extensions; those that play; names of screenshots in many
 # languages and tools, words that count alone, and pairs of words that count together.
 VIDEO = [".mp4", ".m4v", ".mov", ".webm", ".mkv", ".avi", ".ts", ".m2ts", ".mts", ".mpg", ".mpeg", ".wmv", ".flv", ".3gp"]
+IMAGE = [".jpg", ".jpeg", ".png", ".gif", ".webp", ".heic", ".heif"]
 PLAYABLE = [".mp4", ".m4v", ".mov", ".webm"]
 PHRASES = [
     "screenshot", "screencapture", "screen capture", "screengrab", "screen grab",

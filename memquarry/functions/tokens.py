@@ -90,3 +90,18 @@ def phrase_overlap(tokens: Column, filename: Column) -> Column:
 def text_match(tokens: Column, text: Column) -> Column:
     """Share of the tokens that the lower-case text contains."""
     return filename_match(tokens, text)
+
+
+def breakdown_order(parts: Column, dominant: Column) -> Column:
+    """MAP<signal, score> -> the signals above 0 in their order, the dominant one first."""
+    signals = F.array(*map(F.lit, ("semantic", "phrase", "filename", "ocr")))
+    some = F.filter(signals, lambda s: F.coalesce(parts[s], F.lit(0.0)) > 0)
+    return F.when(F.array_contains(some, dominant), F.concat(F.array(dominant), F.array_remove(some, dominant))).otherwise(some)
+
+
+def token_union(a: Column, b: Column) -> Column:
+    return F.array_union(a, b)
+
+
+def token_intersect(a: Column, b: Column) -> Column:
+    return F.array_intersect(a, b)

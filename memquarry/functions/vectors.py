@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 def dot(a: Column, b: Column) -> Column:
     """Over the shorter length."""
-    return F.aggregate(F.arrays_zip(a.alias("a"), b.alias("b")), F.lit(0.0), lambda s, x: s + F.coalesce(x["a"].cast("double") * x["b"].cast("double"), F.lit(0.0)))
+    products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))  # the longer one is paired with nulls
+    return F.aggregate(products, F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
 
 
 def norm(a: Column) -> Column:
@@ -55,3 +56,61 @@ def centred(a: Column, mean: Column) -> Column:
     d = dot(a, mean)
     rest = F.transform(F.arrays_zip(a.alias("a"), mean.alias("m")), lambda x: x["a"].cast("double") - d * x["m"])
     return F.when(mean.isNull() | (F.size(a) != F.size(mean)), F.transform(a, lambda x: x.cast("double"))).otherwise(F.when(norm(rest) > 1e-6, l2_normalize(rest)))
+
+
+def validated(df: DataFrame, vector: str, dim: int) -> tuple[DataFrame, DataFrame]:
+    """(rows whose vector can be used, the others with the reason)."""
+    both = df.withColumn("reason", vector_problem(F.col(vector), dim))
+    return both.where("reason IS NULL").drop("reason"), both.where("reason IS NOT NULL")
+
+
+def mean_direction(df: DataFrame, by: list[str], vector: str) -> DataFrame:
+    """by..., vec: the normed sum of a group's vectors; null if their lengths differ or the sum is nothing.
+    Sums are made by position and combined before they meet."""
+    same = df.groupBy(*by).agg((F.min(F.size(vector)) == F.max(F.size(vector))).alias("same"))
+    flat = df.select(*by, F.posexplode(vector).alias("pos", "x"))
+    per = flat.groupBy(*by, "pos").agg(F.sum(F.col("x").cast("double")).alias("x"))
+    total = per.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("vec"))
+    return total.join(same, by).select(*by, F.when(F.col("same"), l2_normalize(F.col("vec"))).alias("vec"))
+
+
+def fold_frames(frames: Column) -> Column:
+    """ARRAY<STRUCT<idx, vec>> -> vec: frame after frame is added and the sum normed each time, so order counts."""
+    ordered = F.transform(F.array_sort(frames), lambda f: F.transform(f["vec"], lambda x: x.cast("double")))
+
+    def added(s: Column, v: Column) -> Column:
+        total = F.zip_with(s, v, lambda a, b: a + b)
+        return F.when(norm(total) > 0, l2_normalize(total)).otherwise(s)
+
+    return F.when(F.size(ordered) > 0, F.aggregate(F.slice(ordered, 2, F.size(ordered)), F.get(ordered, F.lit(0)), added))
+
+
+def query_templates(text: Column) -> Column:
+    """ARRAY of what is embedded for a query: itself and, from four characters on, two sentences around it."""
+    q = F.trim(F.coalesce(text, F.lit("")))
+    return F.when(F.length(q) >= 4, F.array(q, F.concat(F.lit("a photo of "), q), F.concat(F.lit("a screenshot of "), q))).otherwise(F.array(q))
+
+
+def expand_templates(queries: DataFrame, vectors: DataFrame, mean: Column | None = None) -> DataFrame:
+    """queries(query_id, text), vectors(text, vec) of the sentences -> query_id, vec: their mean direction, centred if there is a mean."""
+    asked = queries.select("query_id", F.explode(query_templates(F.col("text"))).alias("text")).join(vectors, "text")
+    out = mean_direction(asked, ["query_id"], "vec")
+    return out if mean is None else out.withColumn("vec", centred(F.col("vec"), mean))
+
+
+_prefixed = r"(?i)^(task|title)\s*:"
+
+
+def query_prefix(text: Column) -> Column:
+    t = F.trim(F.coalesce(text, F.lit("")))
+    return F.when(t.rlike(_prefixed), t).otherwise(F.concat(F.lit("task: search result | query: "), t))
+
+
+def document_prefix(text: Column, title: Column) -> Column:
+    t, name = F.trim(F.coalesce(text, F.lit(""))), F.trim(F.coalesce(title, F.lit("")))
+    return F.when(t.rlike(_prefixed), t).otherwise(F.concat(F.lit("title: "), F.when(name == "", F.lit("none")).otherwise(name), F.lit(" | text: "), t))
+
+
+def percentile_nearest(c: Column, p: float) -> Column:
+    """Aggregate: the value at place ceil(p n), counted from 1."""
+    return F.percentile_disc(c, p) if hasattr(F, "percentile_disc") else F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {c._jc.toString()})")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.emails import has_email
 from ..functions.media import category, is_video
 from ..functions.vectors import dot, is_zero_vector
 
@@ -21,10 +22,24 @@ def content_classes(media: DataFrame) -> DataFrame:
 def tab_counts(media: DataFrame, overrides: DataFrame) -> DataFrame:
     both = media.join(overrides, "hash", "left")
     tab = category(F.col("filename"), F.lit(None).cast("string"), F.lit(None).cast("boolean"), F.col("override"))
-    tabs = F.filter(F.array(F.lit("All"), F.when(F.contains(F.coalesce("ocr", F.lit("")), F.lit("@")), F.lit("Email")), tab), lambda t: t.isNotNull())
+    tabs = F.filter(F.array(F.lit("All"), F.when(has_email(F.col("ocr")), F.lit("Email")), tab), lambda t: t.isNotNull())
     return both.select(F.explode(tabs).alias("tab")).groupBy("tab").agg(F.count("*").alias("n"))
 
 
+def filter_tab(media: DataFrame, tab: str) -> DataFrame:
+    """Rows of one tab: All, Email (beside the others), or a category; media has `category`."""
+    if tab == "All":
+        return media
+    return media.where(has_email(F.col("ocr"))) if tab == "Email" else media.where(F.col("category") == tab)
+
+
+def filter_channel(media: DataFrame, sources: DataFrame, channel: str | None = None) -> DataFrame:
+    """Films with a source, of one channel if it is named."""
+    own = sources.select("filename", F.coalesce(F.nullif(F.trim("channel"), F.lit("")), F.lit("Unknown channel")).alias("_channel")).distinct()
+    own = own if channel is None else own.where(F.col("_channel") == channel)
+    return media.where(is_video(F.col("filename"))).join(own.select("filename").distinct(), "filename", "left_semi")
+
+
 def channel_counts(media: DataFrame, sources: DataFrame) -> DataFrame:
     """Distinct files a channel; files without one are of an unknown channel."""
     both = media.where(is_video(F.col("filename"))).join(sources, "filename").withColumn("channel", F.coalesce(F.nullif(F.trim("channel"), F.lit("")), F.lit("Unknown channel")))
@@ -67,22 +82,51 @@ def tolerance_diff(a: DataFrame, b: DataFrame, tolerance: float = 1.0) -> DataFr
     return alone(a, b, "missing").unionByName(alone(b, a, "extra"))
 
 
+def _best_dots(asked: list):
+    """Of each batch, for each model and query, the greatest dot product with a vector of the query's length."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    from .search import Vectors
+
+    held = Vectors(asked)
+    sizes, models = np.array([len(r.vec or ()) for r in asked]), np.array([r.model for r in asked], object)
+    ids, genuine = np.array([r.query_id for r in asked]), np.array([r.genuine for r in asked])
+
+    def run(batches):
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            dots = held.dots(table["embedding"])
+            fits = sizes[:, None] == pc.fill_null(pc.list_value_length(table["embedding"]), -1).to_numpy()[None]
+            model = np.array(table["model"].to_pylist(), object)
+            for m in set(model.tolist()):
+                allowed = fits & (model == m)[None] & np.array([x is None or x == m for x in models])[:, None]
+                q = np.flatnonzero(allowed.any(1))
+                best = np.where(allowed[q], dots[q], -np.inf).max(1) if len(q) else np.zeros(0)
+                yield pa.record_batch({"model": pa.array([m] * len(q), pa.string()), "genuine": genuine[q], "query_id": pa.array(ids[q], pa.int64()), "best": best})
+
+    return run
+
+
 def calibrate(vectors: DataFrame, noise: DataFrame, genuine: DataFrame | None = None) -> DataFrame:
     """min_score from the best match of meaningless queries, lowered to half of the weakest
     best match of genuine ones where it is above that; (…, vec) tables, small. One row a
     model_id if the vectors have one (queries that have one too meet only their model), no
     row without noise. A query of another dimension than the vectors plays no part."""
-    from .search import against
+    from .search import chunks, union
 
     model = ["model_id"] if "model_id" in vectors.columns else []
-    own = lambda q: [F.col(c).alias("_model") for c in model if c in q.columns] or [F.lit(None).alias("_model")]
-    asked = noise.select("query_id", "vec", *own(noise), F.lit(False).alias("genuine"))
+    own = lambda q: F.col("model_id").cast("string") if model and "model_id" in q.columns else F.lit(None).cast("string")
+    asked = noise.select("query_id", "vec", own(noise).alias("model"), F.lit(False).alias("genuine"))
     if genuine is not None:
-        asked = asked.unionByName(genuine.select("query_id", "vec", *own(genuine), F.lit(True).alias("genuine")))
-    both = against(asked, vectors.select("embedding", *model)).where(F.size("vec") == F.size("embedding"))
-    if model:
-        both = both.where(F.col("_model").isNull() | (F.col("_model") == F.col("model_id")))
-    best = both.groupBy(*model, "genuine", "query_id").agg(F.greatest(F.max(dot(F.col("embedding"), F.col("vec"))), F.lit(0.0)).alias("best"))
+        asked = asked.unionByName(genuine.select("query_id", "vec", own(genuine).alias("model"), F.lit(True).alias("genuine")))
+    rows = vectors.select("embedding", (F.col("model_id").cast("string") if model else F.lit(None).cast("string")).alias("model"))
+    parts = [rows.mapInArrow(_best_dots(some), "model string, genuine boolean, query_id long, best double") for some in chunks(asked)]
+    if not parts:
+        return vectors.sparkSession.createDataFrame([], "min_score double, keep double")
+    kind = dict(vectors.dtypes).get("model_id", "string")
+    best = union(parts).withColumn("model_id", F.col("model").cast(kind)).groupBy(*model, "genuine", "query_id").agg(F.greatest(F.max("best"), F.lit(0.0)).alias("best"))
     ends = best.groupBy(*model).agg(F.max(F.when(~F.col("genuine"), F.col("best"))).alias("ceiling"), F.min(F.when(F.col("genuine"), F.col("best"))).alias("weakest")).where("ceiling IS NOT NULL")
     floor = F.least(F.lit(0.1), F.greatest(F.lit(0.01), F.col("ceiling") * 2))
     floor = F.least(floor, F.when(F.col("weakest").isNotNull(), F.greatest(F.lit(0.01), F.col("weakest") * 0.5)))
@@ -147,8 +191,38 @@ def match_cached(media: DataFrame, cached: DataFrame) -> DataFrame:
     return both.select("filename", reason.alias("reason"))
 
 
-def assign_names(batch: DataFrame) -> DataFrame:
-    """stem (n).ext for the second and later rows of a name, in row order."""
-    n = F.row_number().over(Window.partitionBy("name").orderBy("row_id"))
-    stem, ext = F.regexp_replace("name", r"\.[^.]+$", ""), F.regexp_extract("name", r"\.[^.]+$", 0)
-    return batch.withColumn("n", n).withColumn("assigned", F.when(F.col("n") == 1, F.col("name")).otherwise(F.concat(stem, F.lit(" ("), F.col("n").cast("string"), F.lit(")"), ext))).select("row_id", "assigned")
+def assign_names(batch: DataFrame, media: DataFrame | None = None) -> DataFrame:
+    """(row_id, name) -> row_id, assigned: the name if it is free, else `stem (n).ext` with
+    the least n from 2 on that is. Names of the library and of earlier rows are taken.
+
+    Rows of a stem without numbered names are numbered by a window; only where names such
+    as `a (2).png` are about already, the rows of that stem are gone through in order."""
+    ext, numbers = F.regexp_extract("name", r"\.[^.]+$", 0), r"( \(\d+\))+$"
+    family = lambda df: df.withColumn("ext", ext).withColumn("stem", F.regexp_replace("name", r"\.[^.]+$", "")).withColumn("family", F.regexp_replace("stem", numbers, ""))
+    by = ["family", "ext"]
+    rows = family(batch.select("row_id", "name"))
+    taken = media.select(F.col("filename").alias("name")).distinct() if media is not None else batch.select("name").limit(0)
+    held = family(taken).groupBy(*by).agg(F.max((F.col("stem") != F.col("family")).cast("int")).alias("numbered"), F.max((F.col("stem") == F.col("family")).cast("int")).alias("plain"), F.collect_set("name").alias("held"))
+    inside = rows.groupBy(*by).agg(F.max((F.col("stem") != F.col("family")).cast("int")).alias("own"))
+    kinds = inside.join(held, by, "left").select(*by, (F.greatest("own", F.coalesce("numbered", F.lit(0))) == 1).alias("odd"), F.coalesce("plain", F.lit(0)).alias("plain"), "held")
+    both = rows.join(kinds, by)
+    n = F.row_number().over(Window.partitionBy(*by).orderBy("row_id")) + F.col("plain")
+    plain = both.where("NOT odd").withColumn("n", n).select("row_id", F.when(F.col("n") == 1, F.col("name")).otherwise(F.concat("stem", F.lit(" ("), F.col("n").cast("string"), F.lit(")"), "ext")).alias("assigned"))
+    return plain.union(both.where("odd").select("row_id", "name", "stem", "ext", "family", "held").groupBy(*by).applyInPandas(_free_names, "row_id long, assigned string"))
+
+
+def _free_names(rows):
+    """The names of one family in row order."""
+    first = rows["held"].iloc[0]
+    held = set() if first is None else set(first)
+    rows, out, least = rows.sort_values("row_id"), [], {}
+    for name, stem, ext in zip(rows["name"], rows["stem"], rows["ext"]):
+        pick = name
+        if pick in held:
+            n = least.get(stem, 2)
+            while f"{stem} ({n}){ext}" in held:
+                n += 1
+            least[stem], pick = n + 1, f"{stem} ({n}){ext}"
+        held.add(pick)
+        out.append(pick)
+    return rows[["row_id"]].assign(assigned=out)

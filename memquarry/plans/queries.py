@@ -11,7 +11,7 @@ from ..functions import vectors as V
 from ..operators import library as L
 from ..operators import search as S
 from ..sources import views
-from ..sources.views import COSINE, MEDIA, QUERIES, SEGMENTS, UTTERANCES, VECTORS
+from ..sources.views import COSINE, HAS_EMAIL, MEDIA, QUERIES, SEGMENTS, UTTERANCES, VECTORS
 
 TABLE: dict = {}
 
@@ -48,22 +48,33 @@ SELECT query_id, rank, filename, round(score, 6) AS score, CASE WHEN greatest(se
   WHEN phrase = greatest(phrase, filename_part, ocr_part) THEN 'phrase' WHEN filename_part >= ocr_part THEN 'filename' ELSE 'ocr' END AS dominant
 FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, place) AS INTEGER) AS rank FROM kept) WHERE rank <= 24""")
 def files_search(spark: SparkSession, d: str) -> DataFrame:
-    out = S.search_files(views.queries(spark, d), views.media_vectors(spark, d, views.media(spark, d)))
+    out = S.search_files(views.queries(spark, d), views.media_vectors(spark, d, views.media(spark, d)), diverse=False)
     return out.select("query_id", "rank", "filename", F.round("score", 6).alias("score"), "dominant")
 
 
-@query()
+@query(f"""WITH RECURSIVE {MEDIA}, {VECTORS}, {QUERIES}, {SCORED},
+c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, place) AS i FROM kept QUALIFY i <= 500),
+size AS (SELECT query_id, count(*) AS n FROM c GROUP BY 1),
+u AS (SELECT c.query_id, c.i, list_transform(m.embedding, lambda x: x / sqrt(list_dot_product(m.embedding, m.embedding))) AS v FROM c JOIN media_vectors m USING (row_id)),
+g AS (SELECT query_id, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS picked, CAST([] AS DOUBLE[][]) AS vs FROM size
+  UNION ALL SELECT g.query_id, u.i, CASE WHEN near THEN picked ELSE list_append(picked, u.i) END, CASE WHEN near THEN vs ELSE list_append(vs, u.v) END
+  FROM g JOIN u ON u.query_id = g.query_id AND u.i = g.i + 1, LATERAL (SELECT len(picked) >= 24 OR coalesce(list_max(list_transform(vs, lambda w: list_dot_product(w, u.v))), -1) > 0.92 AS near)),
+done AS (SELECT g.query_id, picked FROM g JOIN size ON size.query_id = g.query_id AND size.n = g.i),
+chosen AS (SELECT c.* FROM c JOIN size USING (query_id) JOIN done USING (query_id) WHERE CASE WHEN size.n > 24 AND len(picked) >= 3 THEN list_contains(picked, i) ELSE i <= 24 END)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY i) AS INTEGER) AS rank, filename, round(score, 6) AS score FROM chosen""")
 def files_search_diverse(spark: SparkSession, d: str) -> DataFrame:
-    return S.search_files(views.queries(spark, d), views.media_vectors(spark, d, views.media(spark, d)), diverse=True)
+    """Files search as a whole, with its last step: no near copies."""
+    out = S.search_files(views.queries(spark, d), views.media_vectors(spark, d, views.media(spark, d)))
+    return out.select("query_id", "rank", "filename", F.round("score", 6).alias("score"))
 
 
 CONTAINED = f"""WITH {MEDIA}, {QUERIES}, both_ AS (SELECT query_id, tokens, row_id, filename, lower(ocr) AS ocr FROM tokens CROSS JOIN media WHERE len(tokens) > 0)"""
 
 
-@query(f"""{CONTAINED}, counted AS (SELECT query_id, filename, len(list_filter(tokens, lambda x: contains(lower(filename), x))) AS a, len(list_filter(tokens, lambda x: contains(ocr, x))) AS b FROM both_)
+@query(f"""{CONTAINED}, counted AS (SELECT query_id, row_id, filename, len(list_filter(tokens, lambda x: contains(lower(filename), x))) AS a, len(list_filter(tokens, lambda x: contains(coalesce(ocr, ''), x))) AS b FROM both_)
 SELECT query_id, rank, filename, CAST(score AS INTEGER) AS score, dominant FROM (SELECT query_id, filename, a + b AS score,
   CASE WHEN b > 0 AND b >= a THEN 'ocr' WHEN a > 0 THEN 'filename' ELSE 'semantic' END AS dominant,
-  CAST(row_number() OVER (PARTITION BY query_id ORDER BY a + b DESC, filename) AS INTEGER) AS rank FROM counted WHERE a + b > 0) WHERE rank <= 24""")
+  CAST(row_number() OVER (PARTITION BY query_id ORDER BY a + b DESC, row_id) AS INTEGER) AS rank FROM counted WHERE a + b > 0) WHERE rank <= 24""")
 def keyword_search(spark: SparkSession, d: str) -> DataFrame:
     return S.search_keyword(views.queries(spark, d), views.media(spark, d))
 
@@ -78,14 +89,15 @@ ASK = """ask AS (SELECT query_id, list_distinct(list_filter(regexp_split_to_arra
 
 
 @query(f"""WITH {MEDIA}, {QUERIES}, {ASK}, s AS (SELECT query_id, row_id, filename, len(list_filter(tokens, lambda x: contains(lower(filename), x))) / len(tokens) AS score FROM ask CROSS JOIN media)
-SELECT query_id, rank, filename, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_id) AS INTEGER) AS rank FROM s WHERE score > 0) WHERE rank <= 4""")
+SELECT query_id, rank, filename, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, filename, row_id) AS INTEGER) AS rank FROM s WHERE score > 0) WHERE rank <= 4""")
 def keyword_evidence(spark: SparkSession, d: str) -> DataFrame:
     return S.keyword_evidence(views.queries(spark, d), views.media(spark, d))
 
 
 @query(f"""WITH {MEDIA}, {QUERIES}, {ASK}, w AS (SELECT row_id, filename, unnest(list_distinct(regexp_split_to_array(lower(ocr), '[^\\p{{L}}\\p{{N}}]+'))) AS word FROM media),
-t AS (SELECT query_id, len(tokens) AS n, unnest(tokens) AS word FROM ask), s AS (SELECT query_id, row_id, filename, count(*) / any_value(n) AS score FROM w JOIN t USING (word) GROUP BY ALL)
-SELECT query_id, rank, filename, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_id) AS INTEGER) AS rank FROM s) WHERE rank <= 6""")
+t AS (SELECT query_id, len(tokens) AS n, unnest(tokens) AS word FROM ask), s AS (SELECT query_id, row_id, filename, count(*) / any_value(n) AS score FROM w JOIN t USING (word) GROUP BY ALL),
+c AS (SELECT row_id, trim(regexp_replace(ocr, '\\s+', ' ', 'g')) AS flat FROM media)
+SELECT query_id, rank, filename, score, CASE WHEN length(flat) > 300 THEN left(flat, 299) || '…' ELSE flat END AS snippet FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, filename, row_id) AS INTEGER) AS rank FROM s) JOIN c USING (row_id) WHERE rank <= 6""")
 def ocr_evidence(spark: SparkSession, d: str) -> DataFrame:
     return S.ocr_evidence(views.queries(spark, d), views.media(spark, d))
 
@@ -141,7 +153,7 @@ def categories(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {MEDIA}, {OVERRIDES}, c AS (SELECT ocr, {CATEGORY} AS category FROM media LEFT JOIN overrides USING (hash))
-SELECT tab, count(*) AS n FROM (SELECT unnest(list_filter(['All', CASE WHEN contains(ocr, '@') THEN 'Email' END, category], lambda x: x IS NOT NULL)) AS tab FROM c) GROUP BY 1""")
+SELECT tab, count(*) AS n FROM (SELECT unnest(list_filter(['All', CASE WHEN {HAS_EMAIL} THEN 'Email' END, category], lambda x: x IS NOT NULL)) AS tab FROM c) GROUP BY 1""")
 def tab_counts(spark: SparkSession, d: str) -> DataFrame:
     m = views.media(spark, d)
     return L.tab_counts(m, _overrides(m))
@@ -231,9 +243,13 @@ def plan_slices(spark: SparkSession, d: str) -> DataFrame:
     return L.plan_slices(views.utterances(spark, d).groupBy("filename").agg(F.max("t1").alias("duration")))
 
 
-@query(f"""WITH {MEDIA}, {VECTORS} SELECT row_id, filename FROM media_vectors WHERE list_dot_product(phrase, phrase) < 1e-6 OR list_dot_product(phrase, embedding) > 0.9999""")
+@query(f"""WITH {MEDIA}, {VECTORS}, v AS (SELECT row_id, filename, embedding, list_transform(CASE WHEN row_id % 9 = 1 THEN embedding ELSE phrase END, lambda x: x / sqrt(list_dot_product(embedding, embedding)) * CASE WHEN row_id % 9 = 2 THEN 0.0001 ELSE 1 END) AS phrase FROM media_vectors)
+SELECT row_id, filename FROM v WHERE list_dot_product(phrase, phrase) < 1e-6 OR list_dot_product(phrase, list_transform(embedding, lambda x: x / sqrt(list_dot_product(embedding, embedding)))) > 0.9999""")
 def corrupt_phrases(spark: SparkSession, d: str) -> DataFrame:
-    return L.corrupt_phrases(views.media_vectors(spark, d, views.media(spark, d)))
+    """A ninth of the phrase vectors are the image's, a ninth next to nothing."""
+    m = views.media_vectors(spark, d, views.media(spark, d)).withColumn("e", V.l2_normalize(F.col("embedding")))
+    phrase = F.transform(F.when(F.col("row_id") % 9 == 1, F.col("embedding")).otherwise(F.col("phrase")), lambda x: x.cast("double") / V.norm(F.col("embedding")) * F.when(F.col("row_id") % 9 == 2, 0.0001).otherwise(1.0))
+    return L.corrupt_phrases(m.select("row_id", "filename", F.col("e").alias("embedding"), phrase.alias("phrase")))
 
 
 @query(f"""WITH {MEDIA}, c AS (SELECT filename FROM media WHERE row_id % 10 = 0) SELECT filename FROM media WHERE row_id % 5 = 0 AND filename NOT IN (SELECT filename FROM c)""")

@@ -55,3 +55,25 @@ QUERIES = """queries AS (SELECT item_id AS query_id, array_to_string(list_slice(
   CAST(e.embedding AS DOUBLE[]) AS vec FROM benchmark b, (SELECT count(*) AS n FROM embeddings) k JOIN embeddings e ON e.vec_id = (b.item_id * 7) % k.n),
 tokens AS (SELECT query_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: length(x) >= 2)) AS tokens FROM queries)"""
 COSINE = "list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b})))"
+
+# Whether a text holds an e-mail address, written, bracketed or dictated, in SQL.
+_LOCAL, _LABEL, _DOT = "[A-Za-z0-9][A-Za-z0-9._%+-]*", "[A-Za-z0-9-]+", r"(?:\[dots?\]|\(dots?\)|\{dots?\}|<dots?>|\bdots?\b)"
+_END = r"[A-Za-z]{2,}(?:[^A-Za-z0-9]|$)"
+_INNER = rf"(?:(?:\.|\s*{_DOT}\s*){_LABEL})*"
+_LAST = rf"(?:\. ?|\s*{_DOT}\s*){_END}"
+_AT = r"(?:\[at\]|\(at\)|\{at\}|<at>)"
+HAS_EMAIL = " OR ".join(
+    f"regexp_matches(replace(coalesce(ocr, ''), ',', '.'), '(?i){p}')"
+    for p in (rf"{_LOCAL}@{_LABEL}{_INNER}{_LAST}", rf"{_LOCAL}\s*{_AT}\s*{_LABEL}{_INNER}{_LAST}", rf"{_LOCAL}\s*\bat\b\s*{_LABEL}{_INNER}\s*{_DOT}\s*(?:{_LABEL}(?:\.|\s*{_DOT}\s*))*{_END}")
+)
+
+CHUNKS = """chunks AS (SELECT 'film-' || (vec_id % 20) || '.mp4' AS filename, vec_id // 20 AS line, CAST(7 * (vec_id // 20) + 1 AS DOUBLE) AS t0, CAST(7 * (vec_id // 20) + 6 AS DOUBLE) AS t1, left(coalesce(d.text, ''), 200) AS text, CAST(embedding AS DOUBLE[]) AS embedding
+  FROM embeddings JOIN (SELECT doc_id, text FROM documents) d ON d.doc_id = (vec_id * 3) % (SELECT count(*) FROM documents))"""
+
+
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spoken stretches of the films, with a vector each."""
+    docs = table(spark, sf_dir, "documents")
+    n, at = docs.count(), F.floor(F.col("vec_id") / 20)
+    e = table(spark, sf_dir, "embeddings").withColumn("doc_id", F.col("vec_id") * 3 % n).join(docs.select("doc_id", "text"), "doc_id")
+    return e.select(F.concat(F.lit("film-"), F.col("vec_id") % 20, F.lit(".mp4")).alias("filename"), at.alias("line"), (at * 7 + 1).cast("double").alias("t0"), (at * 7 + 6).cast("double").alias("t1"), F.substring(F.coalesce("text", F.lit("")), 1, 200).alias("text"), "embedding")

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from memquarry.plans import arrivals
+from memquarry.plans import arrivals, jobs, moments  # noqa: F401
 from memquarry.plans.queries import TABLE
 
 SF = "/root/testdata/sf0.001"
