@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.media import IMAGE, VIDEO, extension
+
 # Failures of an unchanged file before it is skipped; slices that a list of skips names.
 SKIP_AFTER, SKIP_LIST = 3, 32
 _state = "size long, mtime double, count int"
@@ -12,9 +14,17 @@ _out = "path string, seq long, count int, skip boolean"
 
 
 def watch_folder(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
-    """New files of a folder and those below it, as they arrive."""
+    """New media files of a folder and those below it, as they arrive: path, mtime_ms, size. No content is read."""
     found = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
-    return found.option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_batch).load(folder).drop("content")
+    files = found.option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_batch).load(folder)
+    return files.where(extension(F.col("path")).isin([*IMAGE, *VIDEO])).select("path", F.unix_millis("modificationTime").cast("double").alias("mtime_ms"), F.col("length").alias("size"))
+
+
+def ingest(files: DataFrame, add, checkpoint: str, every: str = "60 seconds", once: bool = False):
+    """Start a query that hands each batch of new files to add(batch, batch_id), such as
+    imports.plan_import and a write; what was handed over is remembered in the checkpoint."""
+    out = files.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+    return (out.trigger(availableNow=True) if once else out.trigger(processingTime=every)).start()
 
 
 def poison_stream(attempts: DataFrame) -> DataFrame:
