@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from .common import slices, table, written
 
 CAPACITY, CLOSING_ID = 2048, 0
-CELL = 50_000
+#: Pieces of a cell, on average, in which ranks are counted.
+CELL = 5_000
 #: Chunks up to so many characters are remembered; two generations of so many entries.
 LONG_CHUNK, REMEMBERED = 40, 150_000
 
@@ -81,7 +82,7 @@ def encoders(path: str) -> tuple[Remembered, Remembered]:
                 every = (e.ids for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False))
                 return {c: struct.pack(f"<{len(ids)}I", *ids) for c, ids in zip(chunks, every)}
 
-            known = Remembered(lambda chunk: many([chunk])[chunk], 3 * REMEMBERED if plain else REMEMBERED // 3)
+            known = Remembered(lambda chunk: many([chunk])[chunk], 2 * REMEMBERED if plain else REMEMBERED // 3)
             known.many = many
             return known
 
@@ -165,12 +166,13 @@ def plan(histogram: dict[int, int], capacity: int) -> np.ndarray:
 def packed(spark: SparkSession, items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """items with (doc_id, piece, length <= capacity) and more -> the same with sequence_id, offset."""
     cells = max(1, math.ceil(items.count() / CELL))
-    items = items.withColumn("cell", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(cells)))
+    every = [F.col(f"`{c}`") for c in items.columns]
+    items = items.withColumn("cell", F.pmod(F.xxhash64(*every), F.lit(cells)))
     per = items.groupBy("length", "cell").agg(F.count("*").alias("n"))
     histogram = {r[0]: r[1] for r in per.groupBy("length").agg(F.sum("n")).collect()}  # at most `capacity` rows
     rows = plan(histogram, capacity)
     before = per.select("length", "cell", (F.sum("n").over(Window.partitionBy("length").orderBy("cell")) - F.col("n")).alias("before"))
-    own = F.row_number().over(Window.partitionBy("length", "cell").orderBy("doc_id", "piece")) - 1
+    own = F.row_number().over(Window.partitionBy("length", "cell").orderBy("doc_id", "piece", F.xxhash64(*every))) - 1  # rows that are equal in this are equal
     items = items.withColumn("own", own).join(before, ["length", "cell"]).withColumn("rank", F.col("before") + F.col("own")).drop("cell", "own", "before")
     keys = (rows[:, 0] << 44) + rows[:, 1]
     at_length, at_rank = items.columns.index("length"), items.columns.index("rank")
