@@ -22,7 +22,6 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .common import small, table, written
@@ -30,7 +29,7 @@ from .common import small, table, written
 WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents of a cell, in which rounding errors are carried, on average at most.
-CELL = 20_000
+CELL = 2_000
 ROUNDS, CLOSE = 40, 1e-9
 
 
@@ -39,22 +38,39 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
-def targets(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """(source, source_size, n_docs, target) by water-filling: sources whose cap lies
-    below weight times level are full, the others share what is left by weight."""
-    per = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    order = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-    w = F.element_at(F.array(*map(F.lit, weights)), ((order - 1) % len(weights) + 1).cast("int"))
+def numbered(spark: SparkSession, per: DataFrame) -> DataFrame:
+    """per with `place`, 0 and on by source (code points, null last). Sources can be many
+    (domains), so they are dealt by range and each range counts from where the one before ends."""
+    ordered = per.orderBy(F.col("source").asc_nulls_last()).withColumn("id", F.monotonically_increasing_id())
+    ordered = written(spark, ordered.withColumn("part", F.shiftright("id", 33)).withColumn("own", F.col("id").bitwiseAND((1 << 33) - 1)), "mix-sources")
+    sizes = sorted((r.part, r.n) for r in ordered.groupBy("part").agg(F.count("*").alias("n")).collect())  # a row for each range
+    starts, at = [], 0
+    for part, n in sizes:
+        starts.append((part, at))
+        at += n
+    starts = spark.createDataFrame(starts, "part long, start long")
+    return ordered.join(F.broadcast(starts), "part").withColumn("place", F.col("start") + F.col("own")).drop("id", "part", "own", "start")
+
+
+def targets(spark: SparkSession, rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """(source, source_size, n_docs, target) by water-filling: sources whose cap lies below
+    weight times level are full, the others share what is left by weight. The level rises
+    from round to round, each one sum over the sources, until no more of them are full."""
+    per = numbered(spark, rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")))
+    w = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int"))
     per = per.withColumn("w", w).withColumn("cap", F.col("source_size") * F.lit(most))
-    by = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
-    total, all_w = F.sum("source_size").over(Window.partitionBy()), F.sum("w").over(Window.partitionBy())
-    before = by.rowsBetween(Window.unboundedPreceding, -1)
-    full_cap, full_w = F.coalesce(F.sum("cap").over(before), F.lit(0.0)), F.coalesce(F.sum("w").over(before), F.lit(0.0))
-    level = (total * share - full_cap) / (all_w - full_w)
-    per = per.withColumn("level", level)
-    # the level of the first source, in the order of filling, that isn't full holds for all after it
-    per = per.withColumn("level", F.min(F.when(F.col("level") * F.col("w") < F.col("cap"), F.struct(F.col("cap") / F.col("w"), F.col("level").alias("l")))).over(Window.partitionBy())["l"])
-    target = F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("w")))
+    level = 0.0
+    while True:
+        full = F.col("cap") <= F.col("w") * F.lit(level)
+        s = per.agg(F.sum("source_size").alias("total"), F.sum(F.when(full, F.col("cap")).otherwise(0.0)).alias("caps"), F.sum(F.when(~full, F.col("w")).otherwise(0.0)).alias("w")).first()
+        if not s.w:  # all are full, or there are none
+            level = math.inf
+            break
+        now = (float(s.total) * share - s.caps) / s.w
+        if now <= level * (1 + 1e-12):
+            break
+        level = now
+    target = F.col("cap") if level == math.inf else F.least("cap", F.col("w") * F.lit(level))
     return per.select("source", "source_size", "n_docs", target.cast("double").alias("target"))
 
 
@@ -99,14 +115,14 @@ def mix(spark: SparkSession, rows: DataFrame, weights=WEIGHTS, share: float = SH
     """rows(doc_id, source, size) -> doc_id, source, size, source_size, target, rate, copies, taken."""
     shared_rows = rows.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.coalesce(F.col("size"), F.lit(0)).cast("long").alias("size"))
     shared_rows = written(spark, shared_rows, "mix-rows")
-    per = written(spark, targets(shared_rows, weights, share), "mix-targets")
+    per = written(spark, targets(spark, shared_rows, weights, share), "mix-targets")
     lam = multipliers(spark, shared_rows, per)
     lam = lam.withColumnRenamed("source", "of")
     per = per.join(lam, per["source"].eqNullSafe(lam["of"]), "left").drop("of")
     per = small(per.select(F.col("source").alias("of"), "source_size", "n_docs", "target", "lam", "mean"))
     both = shared_rows.join(per, shared_rows["source"].eqNullSafe(per["of"])).drop("of")
     rate = F.when(F.col("lam").isNotNull(), 2 / (1 + F.exp(-F.col("lam") * F.col("size") / F.col("mean")))).when(F.col("target") > 0, F.lit(2.0)).otherwise(F.lit(0.0))
-    both = both.withColumn("rate", rate).withColumn("cell", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n_docs") / CELL)))
+    both = both.withColumn("rate", rate).withColumn("cell", F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("size"))), F.ceil(F.col("n_docs") / CELL)))
     out = both.groupBy("source", "cell").applyInArrow(rounded, "doc_id long, source string, size long, copies long, rate double")
     out = out.join(per, out["source"].eqNullSafe(per["of"]))
     return out.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))

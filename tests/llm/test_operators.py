@@ -186,7 +186,7 @@ def test_mixing(spark, docs, odd, none):
 
 def test_water_filling(spark):
     rows = spark.createDataFrame([(1, "a", 10), (2, "b", 100), (3, "c", 100), (4, None, 50)], "doc_id long, source string, size long")
-    got = {r.source: r.target for r in mixing.targets(rows).collect()}
+    got = {r.source: r.target for r in mixing.targets(spark, rows).collect()}
     total, weight, cap = 1.5 * 260, {"a": 5, "b": 2, "c": 1, None: 5}, {"a": 20, "b": 200, "c": 200, None: 100}
     expect, full = {}, set()
     while True:
