@@ -4,6 +4,7 @@ text columns and connected components."""
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -128,6 +129,13 @@ def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def relieved() -> None:
+    """Give freed memory back: Python workers outlive their tasks, and what a stage keeps the next one lacks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def slices(batches, size: int = 1 << 20, rows: int = 2000, text: str = "text"):
     """Record batches cut into pieces of about size bytes of text and so many rows at most; a longer text stays whole."""
     for batch in batches:
@@ -141,6 +149,7 @@ def slices(batches, size: int = 1 << 20, rows: int = 2000, text: str = "text"):
             end = min(n, start + rows, max(end, start + 1))
             yield batch.slice(start, end - start)
             start = end
+    relieved()
 
 
 M1, M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)

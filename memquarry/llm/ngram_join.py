@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import M1, byte_view, connected_components, dropped, forest, mix, slices, small, table, written
+from .common import M1, byte_view, connected_components, dropped, forest, mix, relieved, slices, small, table, written
 
 NGRAM, PERCENT = 5, 80
 #: Members of a group that one task joins; shingles, and hashes of sets, held before they are sent.
@@ -275,6 +275,7 @@ def shared_rows(buckets: int):
                 found, held = [], 0
         if found:
             yield from _shared(*map(np.concatenate, zip(*found)), bounds)
+        relieved()
 
     return run
 
@@ -356,6 +357,7 @@ def prefix_rows(percent: int):
                 yield from _pair_rows(PRINT, k, s, s)
                 yield from _pair_rows(PAIR, u, u, v)
                 keys, owners, held = [], [], 0
+        relieved()
 
     return run
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucketed, byte_view, dropped, mix, slices, table, written
+from .common import bucketed, byte_view, dropped, mix, relieved, slices, table, written
 
 LENGTH, GRAM, PHRASE_BITS, HOT = 50, 16, 8, 10_000
 #: Keys are shortened where they only tell what to look at more closely.
@@ -260,6 +260,8 @@ def whole_keys(batches):
         some = whole.filter(pa.array(part == i)) if parts > 1 else whole
         if some.num_rows:
             yield some
+    del whole
+    relieved()
 
 
 def resolved(length: int):
