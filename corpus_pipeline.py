@@ -50,11 +50,13 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice."""
-    out = mixing.mix(spark, mixing.sized(docs)).where("copies > 0")
+    """Each document as often as the mix takes it: not at all, once or twice. Documents without an id are told apart by their texts."""
+    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text", F.lit(5)))
+    sized = mixing.sized(docs.withColumn("doc_id", key))
+    out = mixing.mix(spark, sized).where("copies > 0")
     copies = out.groupBy(F.col("doc_id").alias("of"), F.col("source").alias("from"), F.col("size").alias("words")).agg(F.max("copies").alias("copies"))
     words = F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)), F.lit(0)).cast("long")
-    both = docs.join(small(copies), F.col("doc_id").eqNullSafe(F.col("of")) & F.col("source").eqNullSafe(F.col("from")) & (words == F.col("words")))
+    both = docs.join(small(copies), (key == F.col("of")) & F.col("source").eqNullSafe(F.col("from")) & (words == F.col("words")))
     return both.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
 
 
