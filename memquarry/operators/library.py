@@ -46,16 +46,27 @@ def channel_counts(media: DataFrame, sources: DataFrame) -> DataFrame:
     return both.groupBy("channel").agg(F.count_distinct("filename").alias("files"))
 
 
-def nearest_poster(hits: DataFrame, segments: DataFrame) -> DataFrame:
-    """For each hit (filename, t) the segment of that file nearest in time, the first of
-    equals: the last at or before, or the first after, found by windows over the union of
-    both, so that a long film is sorted once and never paired."""
-    events = hits.select("filename", "hit_id", "t", F.lit(1).alias("kind"), F.lit(None).cast("struct<t:double,poster:bigint>").alias("seg"))
+#: Seconds of film that one window of nearest_poster sorts.
+STRETCH = 600.0
+
+
+def nearest_poster(hits: DataFrame, segments: DataFrame, stretch: float = STRETCH) -> DataFrame:
+    """For each hit (filename, t) the segment of that film nearest in time, the first of
+    equals: the last at or before, or the first after. Both are found by windows over the
+    union of hits and segments in stretches of film; what a stretch needs of others is one
+    segment on either side, so that however much meets in one film, it is many small sorts."""
+    kind = "struct<t:double,poster:bigint>"
+    events = hits.select("filename", "hit_id", "t", F.lit(1).alias("kind"), F.lit(None).cast(kind).alias("seg"))
     marks = segments.select("filename", F.lit(None).cast("bigint").alias("hit_id"), "t", F.lit(0).alias("kind"), F.struct("t", F.col("poster").cast("bigint").alias("poster")).alias("seg"))
-    rows = events.unionByName(marks)
-    by = Window.partitionBy("filename").orderBy("t", "kind", F.col("seg.poster").desc())
-    after = Window.partitionBy("filename").orderBy(F.col("t").desc(), F.col("kind"), F.col("seg.poster").desc())
+    rows = events.unionByName(marks).withColumn("part", F.floor(F.col("t") / stretch))
+    ends = rows.groupBy("filename", "part").agg(F.max_by("seg", F.when(F.col("kind") == 0, F.struct("t", -F.col("seg.poster")))).alias("last"), F.min_by("seg", F.when(F.col("kind") == 0, F.struct("t", "seg.poster"))).alias("first"))
+    over = Window.partitionBy("filename").orderBy("part")  # a row for each stretch
+    ends = ends.withColumn("left", F.last("last", True).over(over.rowsBetween(Window.unboundedPreceding, -1))).withColumn("right", F.first("first", True).over(over.rowsBetween(1, Window.unboundedFollowing)))
+    by = Window.partitionBy("filename", "part").orderBy("t", "kind", F.col("seg.poster").desc())
+    after = Window.partitionBy("filename", "part").orderBy(F.col("t").desc(), F.col("kind"), F.col("seg.poster").desc())
     rows = rows.withColumn("before", F.last("seg", True).over(by)).withColumn("after", F.last("seg", True).over(after)).where("kind = 1")
+    rows = rows.join(ends.select("filename", "part", "left", "right"), ["filename", "part"])
+    rows = rows.withColumn("before", F.coalesce("before", "left")).withColumn("after", F.coalesce("after", "right"))
     near = F.when(F.col("after").isNull() | (F.col("t") - F.col("before.t") <= F.col("after.t") - F.col("t")), F.col("before")).otherwise(F.col("after"))
     return rows.select("hit_id", "filename", "t", near["poster"].alias("poster"))
 

@@ -317,3 +317,15 @@ def test_calibrate_lengths(spark):
     assert got == {"a": 0.04, "b": 0.1}
     genuine = spark.createDataFrame([(3, [0.1, 0.0])], "query_id long, vec array<double>")
     assert {r.model_id: r.min_score for r in library.calibrate(v, q, genuine).collect()} == {"a": 0.01, "b": 0.025}
+
+
+def test_nearest_poster(spark):
+    """Stretches of ten seconds against a plain search."""
+    r = random.Random(8)
+    segments = [(f"f{i % 2}", r.randint(0, 100) / 2, i) for i in range(25)]
+    hits = [(i, f"f{i % 3}", r.randint(-10, 240) / 4) for i in range(120)]
+    got = library.nearest_poster(spark.createDataFrame(hits, "hit_id long, filename string, t double"), spark.createDataFrame(segments, "filename string, t double, poster long"), 10.0)
+    got = {x.hit_id: x.poster for x in got.collect()}
+    for i, f, t in hits:
+        own = [s for s in segments if s[0] == f]
+        assert got[i] == (min(own, key=lambda s: (abs(s[1] - t), s[1], s[2]))[2] if own else None)
