@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.media import IMAGE, VIDEO, extension
+from ..functions.probe import screenshot_hint
 
 # Failures after which a file is left alone, failures that are one cause, messages of the engine, and the first bytes of pictures.
 POISON, SYSTEMIC = 3, 5
@@ -105,6 +106,11 @@ def content_type(files: DataFrame) -> DataFrame:
     return files.select("path", mime.alias("mime")).withColumn("canonical_ext", ends[F.col("mime")]).withColumn("rename", F.coalesce(same != F.col("canonical_ext"), F.lit(False)))
 
 
+def screenshot_hints(files: DataFrame) -> DataFrame:
+    """(path, content) -> path, hint: what the file's own metadata says."""
+    return files.select("path", screenshot_hint(F.col("content")).alias("hint"))
+
+
 def served_type(mime: Column, by_extension: Column) -> Column:
     """Known bytes win; a picture's ending without a picture's bytes is just bytes."""
     plain = F.lit("application/octet-stream")

@@ -329,3 +329,25 @@ def test_nearest_poster(spark):
     for i, f, t in hits:
         own = [s for s in segments if s[0] == f]
         assert got[i] == (min(own, key=lambda s: (abs(s[1] - t), s[1], s[2]))[2] if own else None)
+
+
+def test_probe():
+    import struct
+    import zlib
+
+    from memquarry.functions.probe import says_screenshot
+
+    png = lambda kind, body: b"\x89PNG\r\n\x1a\n" + struct.pack(">I4s", len(body), kind) + body + bytes(4)
+
+    def tiff(o):
+        head = {"<": b"II*\0", ">": b"MM\0*"}[o] + struct.pack(o + "I", 8) + struct.pack(o + "HHHII", 1, 0x8769, 4, 1, 24) + bytes(2)
+        return head + struct.pack(o + "HHHII", 1, 0x9286, 7, 28, 38) + b"UNICODE\0" + "Screenshot".encode("utf-16-le" if o == "<" else "utf-16-be")
+
+    for body in (png(b"tEXt", b"Software\0My Screenshot"), png(b"zTXt", b"k\0\0" + zlib.compress(b"screenshot")), png(b"iTXt", b"k\0\0\0en\0t\0SCREENSHOT")):
+        assert says_screenshot(body)
+        assert not says_screenshot(body[:20])
+    for o in "<>":
+        e = tiff(o)
+        assert says_screenshot(png(b"eXIf", e)) and says_screenshot(b"\xff\xd8\xff\xe1" + struct.pack(">H", len(e) + 8) + b"Exif\0\0" + e)
+    for body in (None, b"", b"screenshot", b"\xff\xd8\xff", png(b"tEXt", b"a\0b"), png(b"eXIf", b"MM")):
+        assert not says_screenshot(body)
