@@ -13,8 +13,8 @@ are never paired.
 
 Cases: a null label, and vectors that are null, empty, zero or hold null or
 non-finite components, link with nothing; only vectors of equal length are compared;
-repeated rows (vec_id, label, vector) are one vector; a null vec_id links with
-nothing; an empty table gives an empty result; extra columns are not read.
+repeated rows (vec_id, label, vector) are one vector; a vec_id with several vectors
+is one node that has the links of all of them; a null vec_id links with nothing; an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations

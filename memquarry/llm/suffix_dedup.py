@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import bucketed, byte_view, dropped, mix, relieved, slices, table, written
 
-LENGTH, GRAM, PHRASE_BITS, HOT = 50, 16, 8, 10_000
+LENGTH, GRAM, PHRASE_BITS, HOT = 50, 16, 8, 2_000
 #: Keys are shortened where they only tell what to look at more closely.
 SHORT = np.uint64(16)
 #: Bytes of stretches, of whole keys, that are put into order at once.

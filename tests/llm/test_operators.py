@@ -380,3 +380,123 @@ def test_spans(spark):
     got = toxicity.toxicity(docs, toxicity.train(spark, docs, labels, F.lit(True))).collect()
     assert all(r.predicted == r.doc_id % 2 for r in got)
     assert all("idiot" in dict(rows)[r.doc_id][r.spans[0].start : r.spans[-1].end] for r in got if r.doc_id % 2)
+
+
+# --- more of the odd cases, and the parts that only thresholds held so far -----------------
+
+
+def test_packing_odd(spark, odd):
+    """Null and repeated ids are packed as rows; repeated ids with other texts too."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    more = odd.select("doc_id", "text").union(spark.createDataFrame([(3, "another text"), (None, None), (None, "x y")], "doc_id long, text string"))
+    got = packing.pack_documents(spark, more, path, capacity=16).toPandas()
+    assert len(got[got.piece == 0]) == more.count()
+    for _, s in got.groupby("sequence_id"):
+        s = s.sort_values("offset")
+        assert list(s.offset) == [0, *np.cumsum(s.length)[:-1]] and s.length.sum() <= 16
+
+
+def test_topk_odd(spark):
+    """Null vectors and components take no part, repeated and null ids don't fail, ties go to the smaller id."""
+    rows = [(0, [1.0, 0.0]), (20, [1.0, 0.0]), (20, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None), (3, [None, 1.0]), (4, [float("nan"), 1.0]), (None, [1.0, 0.0]), (5, [0.5, 0.0])]
+    vectors = topk_search.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "vec_id", "embedding", 64)
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk_search.topk(vectors.where("id % 20 = 0"), vectors, 3).collect())
+    assert got == [(0, 1, 1, 4096), (0, 2, 20, 4096), (0, 3, 20, 4096), (20, 1, 0, 4096), (20, 2, 1, 4096), (20, 3, 5, 2048)]
+
+
+def test_quality_by_hand(spark):
+    """Context vectors and pooling against loops over tokens."""
+    texts_ = ["a b c a", "b c d", None, "", "a! b"]
+    docs = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")
+    got = quality.context_vectors(docs)
+    place, sign = quality.index_vectors()
+    total = np.zeros((quality.BUCKETS, quality.DIMS))
+    bucket = lambda t: zlib.crc32(t.encode()) % quality.BUCKETS
+    for t in texts_:
+        words = re.findall(r"\w+|[^\w\s]+", t or "")
+        for i, w in enumerate(words):
+            for j in range(max(0, i - 2), min(len(words), i + 3)):
+                if j != i:
+                    for p, s in zip(place[bucket(words[j])], sign[bucket(words[j])]):
+                        total[bucket(w), p] += s
+    v = total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)
+    v -= v[np.linalg.norm(v, axis=1) > 0].mean(0)
+    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+    assert np.allclose(got, v, atol=1e-6)
+    x = quality.pooled(["a b c", ""], got)
+    e = np.array([got[bucket(w)] for w in "abc"])
+    assert np.allclose(x[0], [*e.mean(0), *e.std(0), np.log1p(3) / 10], atol=1e-5) and not x[1].any()
+
+
+def test_language_by_hand():
+    """Presence of grams and the kernel against sets of byte n-grams."""
+    texts_ = ["Ab", "abé", "", "zz zz"]
+
+    def grams(t):
+        b = t.lower().encode()
+        out = set()
+        for k in (1, 2, 3):
+            for i in range(len(b) - k + 1):
+                code = 0
+                for x in b[i : i + k]:
+                    code = (code * 257 + x + 1) % (1 << 32)
+                out.add((code * 2654435761) % (1 << 32) >> 20)
+        return out
+
+    x = language_id.presence(pa.array(texts_))
+    assert [set(np.flatnonzero(r)) for r in x] == [grams(t) for t in texts_]
+    k = language_id.kernel(x, x)
+    for i, a in enumerate(map(grams, texts_)):
+        for j, b in enumerate(map(grams, texts_)):
+            assert np.isclose(k[i, j], len(a & b) / max(1, np.sqrt(len(a) * len(b))), atol=1e-6)
+
+
+def test_samples_are_bounded(spark):
+    """Rows that repeat an id don't add to what is learned from, and languages are bounded."""
+    rows = [(i % 2, f"text {i} of words", f"l{i % 2}") for i in range(2000)] + [(10 + i, "ein wort", f"rare{i}") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs, F.lit(True), per_language=5, most=2)
+    assert model["langs"] == ["l0", "l1"] and len(model["z"]) == 2
+    labels = spark.createDataFrame([(0, 0, 0), (1, 1, 1)], "doc_id long, quality int, toxic int")
+    assert quality.quality(docs, labels, F.lit(True)).count() == docs.count()
+    assert toxicity.train(spark, docs, labels, F.lit(True))["curve"].shape == (3,)
+
+
+def test_mixing_dual(spark):
+    """Rates of a source against its dual solved by bisection, and the same result however the rows are dealt."""
+    r = np.random.default_rng(6)
+    sizes = r.integers(1, 400, 300)
+    rows = spark.createDataFrame([(i, "abc"[i % 3], int(s)) for i, s in enumerate(sizes)], "doc_id long, source string, size long")
+    got = mixing.mix(spark, rows).toPandas()
+    for _, s in got.groupby("source"):
+        x, target = s["size"] / s["size"].mean(), s.target.iloc[0]
+        if target >= 2 * s["size"].sum() - 1e-9:
+            assert (s.copies == 2).all()
+            continue
+        lo, hi = -100.0, 100.0
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if (2 / (1 + np.exp(-mid * x)) * s["size"]).sum() < target else (lo, mid)
+        assert np.allclose(s.rate, 2 / (1 + np.exp(-lo * x)), atol=1e-5)
+    again = mixing.mix(spark, rows.repartition(7)).toPandas()
+    assert sorted(zip(got.doc_id, got.copies)) == sorted(zip(again.doc_id, again.copies))
+
+
+def test_embedding_shards(spark):
+    """A label of several full shards with planted groups, against all pairs: nothing wrong, at least 0.99 of the links found."""
+    r = np.random.default_rng(7)
+    size = 3 * 512
+    v = r.normal(size=(size, 24))
+    for i in range(0, size, 3):
+        v[(i * 7 + 1) % size] = v[i] + r.normal(scale=0.05, size=24)
+    v = np.concatenate([v, v[:5]])  # copies
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    links = ((unit @ unit.T) >= embedding_dedup.THRESHOLD).sum(1) - 1
+    df = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)] + [(9_000, v[0].tolist(), 1), (9_000, v[100].tolist(), 1)], "vec_id long, embedding array<double>, label int")
+    got = {x.vec_id: x for x in embedding_dedup.embedding_classes(spark, df, shard=512).collect()}
+    found = np.array([got[i].n_links for i in range(1, size) if i not in (0, 100)])
+    true = np.array([links[i] + (unit[[0, 100]] @ unit[i] >= embedding_dedup.THRESHOLD).sum() for i in range(1, size) if i not in (0, 100)])
+    assert (found <= true).all() and found.sum() >= 0.99 * true.sum()
+    assert got[9_000].component_id == 0 and got[9_000].n_links >= 2  # one id with two vectors: links of both
