@@ -111,6 +111,6 @@ def document_prefix(text: Column, title: Column) -> Column:
     return F.when(t.rlike(_prefixed), t).otherwise(F.concat(F.lit("title: "), F.when(name == "", F.lit("none")).otherwise(name), F.lit(" | text: "), t))
 
 
-def percentile_nearest(c: Column, p: float) -> Column:
-    """Aggregate: the value at place ceil(p n), counted from 1."""
-    return F.percentile_disc(c, p) if hasattr(F, "percentile_disc") else F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {c._jc.toString()})")
+def percentile_nearest(name: str, p: float) -> Column:
+    """Aggregate over the column of that name: the value at place ceil(p n), counted from 1."""
+    return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY `{name}`)")

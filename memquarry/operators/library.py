@@ -194,6 +194,16 @@ def drop_orphans(children: DataFrame, media: DataFrame) -> DataFrame:
     return children.join(media.select("filename").distinct(), "filename", "left_semi")
 
 
+def orphan_counts(tables: dict[str, DataFrame], media: DataFrame) -> DataFrame:
+    """(part, kept, dropped) of child tables: rows whose file is there, and gone."""
+    there, out = media.select("filename").distinct().withColumn("there", F.lit(1)), None
+    for part, children in tables.items():
+        both = children.join(there, "filename", "left")
+        one = both.agg(F.count("there").alias("kept"), F.count_if(F.col("there").isNull()).alias("dropped")).select(F.lit(part).alias("part"), "kept", "dropped")
+        out = one if out is None else out.union(one)
+    return out
+
+
 def match_cached(media: DataFrame, cached: DataFrame) -> DataFrame:
     """Files with the vector that a cache has for them, and why not; the first row of a name wins."""
     first = cached.groupBy("filename").agg(F.min_by(F.struct("vec"), F.col("at")).alias("c"))

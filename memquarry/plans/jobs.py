@@ -12,6 +12,7 @@ from ..functions import vectors as V
 from ..functions.dialogue import literal_fraction
 from ..operators import evidence as EV
 from ..operators import films, imports, ocr, transcripts
+from ..operators import library as L
 from ..sources import store, views
 from ..sources.views import HAS_EMAIL, MEDIA, SEGMENTS, UTTERANCES
 from .queries import query
@@ -341,6 +342,15 @@ def delete_files(spark: SparkSession, d: str) -> DataFrame:
     return out["media"].agg(F.count("*").alias("n")).select(F.lit("media").alias("part"), "n").union(out["segments"].agg(F.count("*").alias("n")).select(F.lit("segments"), "n"))
 
 
+@query(f"""WITH {SEGMENTS}, {UTTERANCES}, m AS (SELECT DISTINCT filename FROM segments WHERE filename NOT LIKE '%3.mp4' UNION SELECT filename FROM utterances WHERE filename LIKE '%1.mp4')
+SELECT 'segments' AS part, count(*) FILTER (filename IN (SELECT filename FROM m)) AS kept, count(*) FILTER (filename NOT IN (SELECT filename FROM m)) AS dropped FROM segments
+UNION ALL SELECT 'utterances', count(*) FILTER (filename IN (SELECT filename FROM m)), count(*) FILTER (filename NOT IN (SELECT filename FROM m)) FROM utterances""")
+def orphan_counts(spark: SparkSession, d: str) -> DataFrame:
+    s, u = views.segments(spark, d), views.utterances(spark, d)
+    m = s.where("filename NOT LIKE '%3.mp4'").select("filename").union(u.where("filename LIKE '%1.mp4'").select("filename"))
+    return L.orphan_counts({"segments": s, "utterances": u}, m)
+
+
 @query(f"""WITH {MEDIA} SELECT filename, row_id % 3 = 1 AS reuse, CASE row_id % 3 WHEN 0 THEN 'absent' WHEN 1 THEN 'reused' ELSE 'zero' END AS reason FROM media""")
 def plan_reembed(spark: SparkSession, d: str) -> DataFrame:
     m = views.media_vectors(spark, d, views.media(spark, d))
@@ -375,6 +385,21 @@ def query_texts(spark: SparkSession, d: str) -> DataFrame:
     return b.select("item_id", F.array_join(V.query_templates(F.col("t")), "|").alias("templates"), V.query_prefix(F.col("t")).alias("q"), V.document_prefix(F.col("t"), F.col("title")).alias("doc"))
 
 
+@query("""SELECT event_type, median(value) AS middle, list_sort(list(value))[CAST(ceil(0.95 * count(*)) AS BIGINT)] AS high, list_sort(list(value))[CAST(greatest(1, ceil(0.05 * count(*))) AS BIGINT)] AS low FROM events WHERE value IS NOT NULL GROUP BY 1""")
+def percentiles(spark: SparkSession, d: str) -> DataFrame:
+    e = views.table(spark, d, "events").where("value IS NOT NULL")
+    return e.groupBy("event_type").agg(F.median("value").alias("middle"), V.percentile_nearest("value", 0.95).alias("high"), V.percentile_nearest("value", 0.05).alias("low"))
+
+
+@query("""SELECT vec_id, CASE WHEN vec_id % 11 = 0 THEN 'empty' WHEN vec_id % 11 = 1 THEN 'wrong dimension' WHEN vec_id % 11 = 2 THEN 'not finite' ELSE 'good' END AS verdict FROM embeddings""")
+def validated_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors that can be used and those that can't, with the reason."""
+    k = F.col("vec_id") % 11
+    v = F.when(k == 0, F.slice("embedding", 1, 0)).when(k == 1, F.slice("embedding", 1, 9)).when(k == 2, F.transform("embedding", lambda x, i: F.when(i == 3, F.lit(float("nan"))).otherwise(x.cast("double"))).cast("array<float>")).otherwise(F.col("embedding"))
+    good, bad = V.validated(views.table(spark, d, "embeddings").select("vec_id", v.alias("v")), "v", 64)
+    return good.select("vec_id", F.lit("good").alias("verdict")).union(bad.select("vec_id", F.col("reason").alias("verdict")))
+
+
 @query(f"""WITH {MEDIA}, x AS (SELECT row_id, filename, lang, trim(regexp_replace(coalesce(source, '') || '  x ' || lang, '\\s+', ' ', 'g')) AS prompt, list_filter(regexp_split_to_array(regexp_replace(lower(filename), '\\.[^.]+$', ''), '[._\\-\\s]+'), lambda x: x <> '') AS ph FROM media)
 SELECT row_id, prompt, (CASE WHEN list_contains(ph, lang) THEN 1 ELSE 0 END + CASE WHEN list_contains(ph, 'screenshot') THEN 1 ELSE 0 END) / 2 AS overlap, CASE WHEN row_id % 2 = 0 THEN 'abcdefghi_-' END AS video,
 CASE WHEN row_id % 3 = 0 THEN 'ocr semantic' WHEN row_id % 3 = 1 THEN 'semantic ocr' ELSE 'semantic ocr' END AS parts FROM x""")

@@ -69,6 +69,14 @@ def moment_fusion(spark: SparkSession, d: str) -> DataFrame:
     return D.fuse_moments(visual, D.text_hits(q, ch), seg, seg.count(), ch.count()).withColumn("score", F.round("score", 6))
 
 
+@query(f"""WITH {SEGMENTS}, {QUERIES}, s AS (SELECT q.query_id, g.filename, g.t, g.dur, g.poster, round({COSINE.format(a='q.vec', b='g.embedding')}, 9) AS score FROM queries q CROSS JOIN segments g), tot AS (SELECT query_id, count(*) AS total, greatest(0.04, max(score) * 0.6) AS cut FROM s GROUP BY 1),
+quiet AS (SELECT query_id, cut FROM s JOIN tot USING (query_id) WHERE score >= cut GROUP BY query_id, total, cut HAVING NOT (total >= 20 AND count(*) / total > 0.4)),
+c AS (SELECT s.* FROM s JOIN quiet USING (query_id) WHERE score >= cut QUALIFY row_number() OVER (PARTITION BY query_id, filename ORDER BY score DESC, t) <= 3)
+SELECT query_id, rank, filename, t, dur, poster, round(score, 6) AS score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, filename, t) AS INTEGER) AS rank FROM c) WHERE rank <= 24""")
+def scene_search_unslotted(spark: SparkSession, d: str) -> DataFrame:
+    return S.search_scenes(views.queries(spark, d), views.segments(spark, d), slots=False, noise=0.4).withColumn("score", F.round("score", 6))
+
+
 SCOPED = f"""asked AS (SELECT query_id, CASE query_id % 4 WHEN 0 THEN '/videos ' WHEN 1 THEN '/Screenshots, ' WHEN 2 THEN '/email ' ELSE '/other ' END || text AS raw, text FROM queries),
 scoped AS (SELECT query_id, CASE query_id % 4 WHEN 0 THEN 'videos' WHEN 1 THEN 'screenshots' WHEN 2 THEN 'email' ELSE 'all' END AS scope, trim(CASE WHEN query_id % 4 = 3 THEN raw ELSE text END) AS text FROM asked),
 files AS (SELECT filename, ocr, {CATEGORY} AS category, ({HAS_EMAIL}) AS email FROM media LEFT JOIN overrides USING (hash))"""
