@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .tokens import cjk_bigrams
+from .tokens import cjk_bigrams, let
 
 # The suffix tables of Porter's stemmer (1980), in their order.
 STEP_2 = {
@@ -153,11 +153,12 @@ def _literal_words(c: Column) -> Column:
 
 def literal_fraction(query: Column, text: Column) -> Column:
     """Share of the query's words that the text has: whole, or one the beginning of the other if both have three characters."""
-    words = _literal_words(text)
-    tokens = _literal_words(query)
 
-    def found(t: Column) -> Column:
-        either = F.exists(words, lambda w: (F.length(w) >= 3) & (F.startswith(w, t) | F.startswith(t, w)))
-        return F.array_contains(words, t) | ((F.length(t) >= 3) & either)
+    def share(s: Column) -> Column:
+        def found(t: Column) -> Column:
+            either = F.exists(s["words"], lambda w: (F.length(w) >= 3) & (F.startswith(w, t) | F.startswith(t, w)))
+            return F.array_contains(s["words"], t) | ((F.length(t) >= 3) & either)
 
-    return F.coalesce(F.size(F.filter(tokens, found)) / F.nullif(F.size(tokens), F.lit(0)), F.lit(0.0))
+        return F.coalesce(F.size(F.filter(s["tokens"], found)) / F.nullif(F.size(s["tokens"]), F.lit(0)), F.lit(0.0))
+
+    return let(F.struct(_literal_words(query).alias("tokens"), _literal_words(text).alias("words")), share)

@@ -17,6 +17,11 @@ def _text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with value worked out once a row, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def cjk_runs(c: Column) -> Column:
     return F.regexp_extract_all(_text(c), F.lit(f"[{CJK}]+"), F.lit(0))
 
@@ -42,19 +47,27 @@ def _tokens(latin: Column, split: str, least: int, bigrams: Column) -> Column:
     return F.array_union(F.filter(F.split(latin, split), lambda t: F.length(t) >= least), bigrams)
 
 
+def _with_cjk(c: Column, split: str, least: int, cut: bool) -> Column:
+    """Tokens of a text, lower-cased once; texts without CJK characters need no look at their runs."""
+
+    def tokens(lower: Column) -> Column:
+        plain = F.array_distinct(F.filter(F.split(lower, split), lambda t: F.length(t) >= least))
+        latin = F.regexp_replace(lower, f"[{CJK}]+", " ") if cut else lower
+        return F.when((F.octet_length(lower) == F.length(lower)) | ~lower.rlike(f"[{CJK}]"), plain).otherwise(_tokens(latin, split, least, cjk_bigrams(lower)))
+
+    return let(F.lower(_text(c)), tokens)
+
+
 def rank_tokens(c: Column) -> Column:
-    lower = F.lower(_text(c))
-    return _tokens(F.regexp_replace(lower, f"[{CJK}]+", " "), SPACE, MIN_TOKEN, cjk_bigrams(lower))
+    return _with_cjk(c, SPACE, MIN_TOKEN, True)
 
 
 def ask_tokens(c: Column) -> Column:
-    lower = F.lower(_text(c))
-    return _tokens(F.regexp_replace(lower, f"[{CJK}]+", " "), OTHER, MIN_TOKEN, cjk_bigrams(lower))
+    return _with_cjk(c, OTHER, MIN_TOKEN, True)
 
 
 def word_tokens(c: Column) -> Column:
-    lower = F.lower(_text(c))
-    return _tokens(lower, OTHER, 1, cjk_bigrams(lower))
+    return _with_cjk(c, OTHER, 1, False)
 
 
 def whitespace_tokens(c: Column, least: int = MIN_TOKEN) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tokens import let
+
 
 def dot(a: Column, b: Column) -> Column:
     """Over the shorter length."""
@@ -26,8 +28,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def l2_normalize(a: Column) -> Column:
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n))
+    return let(F.struct(a.alias("a"), norm(a).alias("n")), lambda s: F.when(s["n"] > 0, F.transform(s["a"], lambda x: x.cast("double") / s["n"])))
 
 
 def is_zero_vector(a: Column) -> Column:
@@ -53,9 +54,9 @@ def text_mean(df: DataFrame, by: list[str], vector: str) -> DataFrame:
 
 def centred(a: Column, mean: Column) -> Column:
     """a without its part along mean, renormed; null if next to nothing is left."""
-    d = dot(a, mean)
-    rest = F.transform(F.arrays_zip(a.alias("a"), mean.alias("m")), lambda x: x["a"].cast("double") - d * x["m"])
-    return F.when(mean.isNull() | (F.size(a) != F.size(mean)), F.transform(a, lambda x: x.cast("double"))).otherwise(F.when(norm(rest) > 1e-6, l2_normalize(rest)))
+    rest = let(dot(a, mean), lambda d: F.zip_with(a, mean, lambda x, m: x.cast("double") - d * m))
+    far = let(rest, lambda r: F.when(norm(r) > 1e-6, l2_normalize(r)))
+    return F.when(mean.isNull() | (F.size(a) != F.size(mean)), F.transform(a, lambda x: x.cast("double"))).otherwise(far)
 
 
 def validated(df: DataFrame, vector: str, dim: int) -> tuple[DataFrame, DataFrame]:

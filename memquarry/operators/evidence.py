@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.emails import has_email
 from ..functions.media import is_video
 from ..functions.texts import format_timecode, truncate_text
-from ..functions.tokens import contains_cjk, rank_tokens, word_tokens
+from ..functions.tokens import contains_cjk, let, rank_tokens, word_tokens
 
 # Scopes, and how many rows of each kind evidence has (dialogue, text, names, in all).
 SCOPES = ["all", "screenshots", "videos", "email"]
@@ -93,12 +93,13 @@ def evidence_prompt(queries: DataFrame, evidence: DataFrame) -> DataFrame:
 def highlight_words(query: Column, words: Column, substring: bool = False) -> Column:
     """Of words (ARRAY<STRUCT<text, ...>>) those with a word of the query, or with a part of
     it if substring or if the query has CJK characters."""
-    raw = rank_tokens(query)
-    pieces = F.array_distinct(F.flatten(F.transform(raw, lambda t: F.when(contains_cjk(t), F.array(F.lower(t))).otherwise(F.filter(F.split(F.lower(t), r"[^\p{L}\p{N}]+"), lambda x: x != "")))))
-    part = lambda w: F.exists(pieces, lambda t: F.contains(F.lower(w["text"]), t))
-    if substring:
-        return F.filter(words, part)
-    return F.filter(words, lambda w: F.when(contains_cjk(query), part(w)).otherwise(F.arrays_overlap(pieces, word_tokens(w["text"]))))
+    pieces = F.array_distinct(F.flatten(F.transform(rank_tokens(query), lambda t: F.when(contains_cjk(t), F.array(F.lower(t))).otherwise(F.filter(F.split(F.lower(t), r"[^\p{L}\p{N}]+"), lambda x: x != "")))))
+
+    def lit(s: Column) -> Column:
+        part = lambda w: F.exists(s["pieces"], lambda t: F.contains(F.lower(w["text"]), t))
+        return F.filter(words, part if substring else lambda w: F.when(s["cjk"], part(w)).otherwise(F.arrays_overlap(s["pieces"], word_tokens(w["text"]))))
+
+    return let(F.struct(pieces.alias("pieces"), contains_cjk(query).alias("cjk")), lit)
 
 
 def concat_evidence(dialogue: DataFrame, ocr: DataFrame, keyword: DataFrame) -> DataFrame:

@@ -247,8 +247,8 @@ def plan_slices(spark: SparkSession, d: str) -> DataFrame:
 SELECT row_id, filename FROM v WHERE list_dot_product(phrase, phrase) < 1e-6 OR list_dot_product(phrase, list_transform(embedding, lambda x: x / sqrt(list_dot_product(embedding, embedding)))) > 0.9999""")
 def corrupt_phrases(spark: SparkSession, d: str) -> DataFrame:
     """A ninth of the phrase vectors are the image's, a ninth next to nothing."""
-    m = views.media_vectors(spark, d, views.media(spark, d)).withColumn("e", V.l2_normalize(F.col("embedding")))
-    phrase = F.transform(F.when(F.col("row_id") % 9 == 1, F.col("embedding")).otherwise(F.col("phrase")), lambda x: x.cast("double") / V.norm(F.col("embedding")) * F.when(F.col("row_id") % 9 == 2, 0.0001).otherwise(1.0))
+    m = views.media_vectors(spark, d, views.media(spark, d)).withColumn("e", V.l2_normalize(F.col("embedding"))).withColumn("n", V.norm(F.col("embedding")))
+    phrase = F.transform(F.when(F.col("row_id") % 9 == 1, F.col("embedding")).otherwise(F.col("phrase")), lambda x: x.cast("double") / F.col("n") * F.when(F.col("row_id") % 9 == 2, 0.0001).otherwise(1.0))
     return L.corrupt_phrases(m.select("row_id", "filename", F.col("e").alias("embedding"), phrase.alias("phrase")))
 
 
