@@ -74,7 +74,7 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write to the shared folder and read again."""
     path = scratch_path(spark, name)
     with tidy(spark):
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "snappy").parquet(path)  # zstd holds much memory outside the heap
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -83,7 +83,7 @@ def bucketed(spark: SparkSession, df: DataFrame, n: int, keys: list, name: str)
     table again: the plan that is returned knows its files and buckets."""
     path, called = scratch_path(spark, name), f"memquarry_{uuid.uuid4().hex}"
     with tidy(spark):
-        df.repartition(n, *keys).write.bucketBy(n, *keys).option("compression", "zstd").option("path", path).saveAsTable(called, format="parquet")
+        df.repartition(n, *keys).write.bucketBy(n, *keys).option("compression", "snappy").option("path", path).saveAsTable(called, format="parquet")
     out = spark.table(called)
     out.schema  # resolved while the table is known
     spark.sql(f"DROP TABLE {called}")  # its path is its own, so the files stay

@@ -39,15 +39,15 @@ from pyspark.sql import functions as F
 
 from .common import bucketed, byte_view, dropped, mix, relieved, slices, table, written
 
-LENGTH, GRAM, PHRASE_BITS, HOT = 50, 16, 8, 2_000
+LENGTH, GRAM, PHRASE_BITS, HOT = 50, 16, 8, 10_000
 #: Keys are shortened where they only tell what to look at more closely.
 SHORT = np.uint64(16)
 #: Bytes of stretches, of whole keys, that are put into order at once.
-PART = 2 << 20
+PART = 1 << 20
 _letters = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _odd = np.uint64(0xFF51AFD7ED558CCD)
 _top = np.uint64(0xFFFFFFFFFFFFFFFF)
-SLICE = 512 << 10
+SLICE = 256 << 10
 
 
 class Parsed:
