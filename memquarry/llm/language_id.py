@@ -67,7 +67,7 @@ def train(docs: DataFrame, learn, per_language: int = PER_LANGUAGE, landmarks: i
     """learn: the condition on doc_id of rows to learn from. None if there are none."""
     base = docs.where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     # at most `most` languages; of each the ids of least hash, cut before they meet to a few times as many as are wanted
-    n = docs.where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most)
+    n = docs.where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).groupBy("lang").agg(F.count("*").alias("rows"), F.approx_count_distinct("doc_id").alias("n")).orderBy(F.desc("rows"), "lang").limit(most).drop("rows")
     hashed = (F.xxhash64("doc_id").cast("double") + 2.0**63) / 2.0**64
     near = base.select("doc_id", "lang").join(F.broadcast(n), "lang").where(hashed * F.col("n") < 4 * per_language).select("doc_id", "lang").distinct()
     order = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
