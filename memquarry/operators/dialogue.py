@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dialogue import dialogue_keys, literal_fraction, snippet_around
 from .library import nearest_poster
-from .search import KEEP, MIN_SCORE, NOISE, NOISE_TOTAL, PER_VIDEO, SLOT, TOP_K, best_rows, chunks, none, ranked, top, union
+from .search import KEEP, MIN_SCORE, NOISE, NOISE_TOTAL, PER_VIDEO, SLOT, TOP_K, anew, best_rows, chunks, none, ranked, top, union
 
 # Seconds before a line that playing begins, seconds that words may be apart, characters
 # around a match, weights of the two sides of a moment, and the boost of literal words.
@@ -54,7 +54,7 @@ def exact_hits(queries: DataFrame, lines: DataFrame, seconds: float = NEAR) -> D
     tier = F.when((F.col("first") == F.col("last")) & (F.col("last.t1") - F.col("first.t0") > seconds), 3).otherwise(2)
     windows = windows.select("query_id", "filename", tier.alias("tier"), "first", F.col("last.t1").alias("end"), "occ")
     lone = phrases.select("query_id", "filename", F.lit(1).alias("tier"), F.col("at").alias("first"), F.col("at.t1").alias("end"), F.col("occ").cast("long").alias("occ"))
-    return lone.unionByName(windows).select("query_id", "filename", "tier", F.col("first.line").alias("line"), F.col("first.t0").alias("t0"), "end", "occ")
+    return anew(lone).unionByName(anew(windows)).select("query_id", "filename", "tier", F.col("first.line").alias("line"), F.col("first.t0").alias("t0"), "end", "occ")
 
 
 def search_dialogue(queries: DataFrame, lines: DataFrame, segments: DataFrame | None = None, k: int = TOP_K, per_video: int = PER_VIDEO, pre_roll: float = PRE_ROLL, seconds: float = NEAR, radius: int = RADIUS) -> DataFrame:
@@ -87,20 +87,21 @@ def fuse_moments(visual: DataFrame, text: DataFrame, segments: DataFrame | None
     a weighted sum, a cutoff by the best, nothing where too large a share is above it
     (unless words were literally spoken), some a film, the k best with a boost of literal words.
     Ties: file and time; a text hit counts before one of a lower score."""
-    slot = F.floor(F.col("t") / max(1, seconds)).alias("slot")
-    first = lambda what: F.max_by(what, F.struct("score", (-F.col("t")).alias("e")))
-    length = F.when(F.col("dur") > 0, F.col("dur")).otherwise(0.5)
-    v = visual.where("score > 0").groupBy("query_id", "filename", slot).agg(first(F.struct("t", length.alias("dur"), F.coalesce(F.col("poster").cast("long"), F.lit(0).cast("long")).alias("poster"), "score")).alias("v"))
-    lit = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("literal", F.lit(0.0))))
-    t = text.where("score > 0").groupBy("query_id", "filename", slot).agg(first(F.struct("t", length.alias("dur"), "snippet", "score")).alias("x"), F.max(lit).alias("literal"))
-    both = v.join(t, ["query_id", "filename", "slot"], "full")
+    own = ["query_id", "filename", "t", "dur", "score"]
+    hits = visual.select(*own, F.coalesce(F.col("poster").cast("long"), F.lit(0).cast("long")).alias("poster"), F.lit(None).cast("string").alias("snippet"), F.lit(0.0).alias("literal"), F.lit(True).alias("seen"))
+    hits = union([hits, text.select(*own, F.lit(0).cast("long"), "snippet", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("literal", F.lit(0.0)))), F.lit(False))])
+    key, length = F.struct("score", (-F.col("t")).alias("e")), F.when(F.col("dur") > 0, F.col("dur")).otherwise(0.5)
+    best = lambda side: F.max_by(F.struct("t", length.alias("dur"), "poster", "snippet", "score"), F.when(side, key))
+    by_slot = hits.where("score > 0").groupBy("query_id", "filename", F.floor(F.col("t") / max(1, seconds)).alias("slot"))
+    # the scores of a slot, a few seconds of one film, are kept to be counted once the cutoff is known
+    slots = by_slot.agg(best(F.col("seen")).alias("v"), best(~F.col("seen")).alias("x"), F.max("literal").alias("literal"), F.collect_list(F.when(F.col("seen"), F.col("score"))).alias("vs"), F.collect_list(F.when(~F.col("seen"), F.col("score"))).alias("xs"))
     seen, said = F.coalesce("v.score", F.lit(0.0)), F.coalesce("x.score", F.lit(0.0))
     why = F.when((seen > 0) & (said > 0), "both").when(said > 0, "text").otherwise("visual")
-    moments = both.select("query_id", "filename", F.coalesce("v.t", "x.t").alias("t"), F.coalesce("v.dur", "x.dur").alias("dur"), F.coalesce("v.poster", F.lit(0).cast("long")).alias("poster"), F.round(W_VISUAL * seen + W_TEXT * said, 9).alias("score"), why.alias("why"), F.nullif("x.snippet", F.lit("")).alias("snippet"), F.coalesce("literal", F.lit(0.0)).alias("literal"))
-    best = moments.groupBy("query_id").agg(F.max("score").alias("best")).select("query_id", F.greatest(F.lit(min_score), F.col("best") * keep).alias("cut"))
-    above = lambda df, name: df.join(best, "query_id").groupBy("query_id").agg(F.count_if(F.col("score") >= F.col("cut")).alias(name))
-    gate = best.join(above(visual, "v_above"), "query_id", "left").join(above(text, "t_above"), "query_id", "left")
-    gate = gate.join(moments.join(best, "query_id").groupBy("query_id").agg(F.max((F.col("score") >= F.col("cut")) & (F.col("literal") > 0)).alias("spoken")), "query_id")
+    moments = slots.select("query_id", "filename", F.coalesce("v.t", "x.t").alias("t"), F.coalesce("v.dur", "x.dur").alias("dur"), F.coalesce("v.poster", F.lit(0).cast("long")).alias("poster"), F.round(W_VISUAL * seen + W_TEXT * said, 9).alias("score"), why.alias("why"), F.nullif("x.snippet", F.lit("")).alias("snippet"), "literal", "vs", "xs")
+    tops = moments.groupBy("query_id").agg(F.greatest(F.lit(min_score), F.max("score") * keep).alias("cut"))
+    moments = moments.join(tops, "query_id")
+    many = lambda c: F.sum(F.size(F.filter(c, lambda x: x >= F.col("cut"))))
+    gate = moments.groupBy("query_id").agg(many("vs").alias("v_above"), many("xs").alias("t_above"), F.max((F.col("score") >= F.col("cut")) & (F.col("literal") > 0)).alias("spoken"))
     loud = lambda c, total: F.coalesce(F.col(c), F.lit(0)) / max(1, total) > noise
     if visual_total > 0 and text_total > 0:
         flooded = loud("v_above", visual_total) & loud("t_above", text_total)
@@ -108,7 +109,7 @@ def fuse_moments(visual: DataFrame, text: DataFrame, segments: DataFrame | None
         flooded = loud("v_above", visual_total) & F.lit(visual_total >= NOISE_TOTAL)
     else:
         flooded = loud("t_above", text_total) if text_total > 0 else F.lit(False)
-    kept = moments.join(gate.where(F.col("spoken") | ~flooded).select("query_id", "cut"), "query_id").where(F.col("score") >= F.col("cut"))
+    kept = moments.where(F.col("score") >= F.col("cut")).drop("vs", "xs").join(gate.where(F.col("spoken") | ~flooded).select("query_id"), "query_id")
     order = [F.col("score").desc(), F.col("filename"), F.col("t")]
     kept = kept.withColumn("nth", F.row_number().over(Window.partitionBy("query_id", "filename").orderBy(*order))).where(F.col("nth") <= per_video)
     kept = ranked(kept, top(k), *order).withColumn("score", F.col("score") + LITERAL_BOOST * F.col("literal"))
@@ -163,4 +164,4 @@ def utterances_or_chunks(scoped: DataFrame, utterances: DataFrame, chunks_: Data
     some = lines.select("query_id").distinct()
     coarse = names.join(some, "query_id", "left_anti").join(chunks_, "filename")
     spoken = (F.trim("text") != "") & F.col("t0").isNotNull() & F.col("t1").isNotNull()
-    return lines.where(spoken).select(*columns).union(coarse.where(spoken).select(*columns))
+    return union([lines.where(spoken).select(*columns), coarse.where(spoken).select(*columns)])

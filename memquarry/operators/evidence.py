@@ -9,6 +9,7 @@ from ..functions.emails import has_email
 from ..functions.media import is_video
 from ..functions.texts import format_timecode, truncate_text
 from ..functions.tokens import contains_cjk, let, rank_tokens, word_tokens
+from .search import anew
 
 # Scopes, and how many rows of each kind evidence has (dialogue, text, names, in all).
 SCOPES = ["all", "screenshots", "videos", "email"]
@@ -61,7 +62,7 @@ def build_evidence(dialogue: DataFrame, ocr: DataFrame, keyword: DataFrame) -> D
     number, names trimmed to fit; then more of each kind. Counts a query give each row its
     place by arithmetic."""
     null = lambda df, c, kind: F.col(c).cast(kind) if c in df.columns else F.lit(None).cast(kind)
-    parts = [df.where(F.col("rank") <= WIDE[kind]).select("query_id", F.lit(kind).alias("kind"), F.col("rank").cast("int").alias("rank"), "filename", F.col("score").cast("double").alias("score"), null(df, "t", "double").alias("t"), null(df, "text", "string").alias("text")) for kind, df in zip(KINDS, (dialogue, ocr, keyword))]
+    parts = [anew(df).where(F.col("rank") <= WIDE[kind]).select("query_id", F.lit(kind).alias("kind"), F.col("rank").cast("int").alias("rank"), "filename", F.col("score").cast("double").alias("score"), null(df, "t", "double").alias("t"), null(df, "text", "string").alias("text")) for kind, df in zip(KINDS, (dialogue, ocr, keyword))]
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
     counts = rows.groupBy("query_id").agg(*(F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in KINDS), F.count("*").alias("n"))
     first = {k: F.least(F.col(f"n_{k}"), F.lit(STANDARD[k])) for k in KINDS}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.media import is_video
 from ..functions.tokens import rank_tokens
 from . import search
-from .search import KEEP, MIN_SCORE, NOISE, TOP_K, chunks, none, ranked, top, union
+from .search import KEEP, MIN_SCORE, NOISE, TOP_K, anew, chunks, none, ranked, top, union
 
 # What a scene must be better by, rescued scenes, weights of text and heading, the older boost of words in a text.
 UPGRADE, RESCUED, TEXT_WEIGHT, HEADING_WEIGHT, OLD_OCR_BOOST, MOST = 0.05, 3, 0.7, 0.3, 0.35, 96
@@ -16,7 +16,7 @@ UPGRADE, RESCUED, TEXT_WEIGHT, HEADING_WEIGHT, OLD_OCR_BOOST, MOST = 0.05, 3, 0.
 
 def ordered_union(a: DataFrame, b: DataFrame, k: int = MOST) -> DataFrame:
     """(query_id, rank, ...) tables: all of a, then all of b, renumbered, k in all."""
-    both = a.withColumn("_part", F.lit(0)).unionByName(b.withColumn("_part", F.lit(1)), True).withColumnRenamed("rank", "_rank")
+    both = anew(a).withColumn("_part", F.lit(0)).unionByName(anew(b).withColumn("_part", F.lit(1)), True).withColumnRenamed("rank", "_rank")
     return ranked(both, top(k), F.col("_part"), F.col("_rank")).drop("_part", "_rank")
 
 
@@ -31,7 +31,7 @@ def files_with_fallback(queries: DataFrame, media: DataFrame, k: int = TOP_K, **
     found = search.search_files(queries, media, k, **options).select("query_id", "rank", "filename", "score", "dominant")
     lost = queries.join(found.select("query_id").distinct(), "query_id", "left_anti")
     names = search.search_keyword(lost, media.withColumn("ocr", F.lit("")), k)
-    return found.unionByName(names.withColumn("score", F.col("score").cast("double")))
+    return anew(found).unionByName(anew(names).withColumn("score", F.col("score").cast("double")))
 
 
 def attach_best_scene(queries: DataFrame, results: DataFrame, segments: DataFrame, min_score: float = MIN_SCORE, keep: float = KEEP, noise: float = NOISE, k: int = TOP_K) -> DataFrame:
@@ -49,7 +49,7 @@ def attach_best_scene(queries: DataFrame, results: DataFrame, segments: DataFram
     own = own.withColumn("score", F.when(F.col("scene_score") > F.col("score") + UPGRADE, F.col("scene_score")).otherwise(F.col("score"))).withColumn("rescued", F.lit(False))
     lost = scene.join(results.select("query_id", "filename"), ["query_id", "filename"], "left_anti").join(asked, "query_id").where(F.col("scene_score") >= F.col("cut"))
     lost = ranked(lost, RESCUED, F.col("scene_score").desc(), F.col("filename")).select("query_id", "filename", (F.col("rank") + MOST).alias("rank"), F.col("scene_score").alias("score"), "scene_t", "scene_poster", "scene_score", F.lit(True).alias("rescued"))
-    again = own.join(clear.withColumn("clear", F.lit(True)), "query_id", "left").withColumn("order", F.when(F.col("clear"), -F.col("score")).otherwise(0.0)).drop("clear").unionByName(lost.withColumn("order", -F.col("score")))
+    again = anew(own).join(clear.withColumn("clear", F.lit(True)), "query_id", "left").withColumn("order", F.when(F.col("clear"), -F.col("score")).otherwise(0.0)).drop("clear").unionByName(anew(lost).withColumn("order", -F.col("score")))
     return ranked(again.withColumnRenamed("rank", "was"), top(k), F.col("rescued"), F.col("order"), F.col("was")).select("query_id", "rank", "filename", "score", "scene_t", "scene_poster", "scene_score", "rescued")
 
 
@@ -140,7 +140,7 @@ def compare_runs(a: DataFrame, b: DataFrame, k: int = TOP_K) -> DataFrame:
     both = a.withColumnRenamed("rank", "ra").join(b.withColumnRenamed("rank", "rb"), ["query_id", "filename"], "full")
     only = both.where("ra IS NULL OR rb IS NULL").select("query_id", F.when(F.col("rb").isNull(), "only a").otherwise("only b").alias("kind"), F.coalesce("ra", "rb").alias("rank"), F.when(F.col("ra").isNotNull(), F.col("filename")).alias("a"), F.when(F.col("rb").isNotNull(), F.col("filename")).alias("b"))
     moved = a.withColumnRenamed("filename", "a").join(b.withColumnRenamed("filename", "b"), ["query_id", "rank"]).where("a <> b").select("query_id", F.lit("moved").alias("kind"), "rank", "a", "b")
-    return only.union(moved)
+    return union([only, moved])
 
 
 def run_saved(saved: DataFrame, media: DataFrame, segments: DataFrame, lines: DataFrame, k: int = TOP_K) -> DataFrame:

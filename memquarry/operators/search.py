@@ -39,10 +39,16 @@ def chunks(queries: DataFrame):
         yield queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i).orderBy("query_id").collect()
 
 
+def anew(df: DataFrame) -> DataFrame:
+    """df with its query_id worked out again. Tables that are dealt alike by query_id are
+    united partition by partition, which fails if they were coalesced to different numbers."""
+    return df.withColumn("query_id", F.col("query_id") + F.lit(0)) if "query_id" in df.columns else df
+
+
 def union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
+    out = anew(parts[0])
     for p in parts[1:]:
-        out = out.union(p)
+        out = out.union(anew(p))
     return out
 
 
