@@ -55,3 +55,24 @@ def test_short_documents_stay(spark, monkeypatch):
         monkeypatch.setattr(language_id, "train", lambda *a, n=n: {"langs": ["x"] * n})
         out = corpus_pipeline.languages(spark, docs, "")
         assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == kept
+
+
+def test_run(spark, tmp_path):
+    """The registered query on written tables: what it leaves is one folder, and an empty table gives no rows."""
+    from memquarry.llm import common
+
+    rows = [*(x for x in texts(30) if len(x[1] or "") < 5000), (None, "the of stone river"), (None, "another of stone and lake")]
+    frame(spark, rows).write.parquet(f"{tmp_path}/some/documents.parquet")
+    frame(spark, rows).where("doc_id < 0").write.parquet(f"{tmp_path}/none/documents.parquet")
+    before = set(common.SCRATCH)
+    got = corpus_pipeline.run(spark, str(tmp_path / "some")).toPandas()
+    assert len(got) and {p.rpartition("/")[2].rpartition("-")[0] for p in set(common.SCRATCH) - before} == {"pipeline-source_mixing", "pack-pieces"}
+    assert (got.groupby("sequence_id").length.sum() <= 2048).all() and not spark.sql("SHOW TABLES").count()
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_mixed_without_ids(spark):
+    """Documents without an id that have one source and size are told apart."""
+    docs = frame(spark, [(None, f"word{i} of three") for i in range(40)] + [(i, "a b c") for i in range(3, 30, 3)])
+    taken = corpus_pipeline.mixed(spark, docs, "").where("doc_id IS NULL").groupBy("text").count().collect()
+    assert taken and all(r["count"] <= 2 for r in taken)
