@@ -136,8 +136,16 @@ def relieved() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def slices(batches, size: int = 1 << 20, rows: int = 2000, text: str = "text"):
-    """Record batches cut into pieces of about size bytes of text and so many rows at most; a longer text stays whole."""
+#: What operators remember from task to task: name -> how to forget it.
+CACHES: dict = {}
+
+
+def slices(batches, size: int = 1 << 20, rows: int = 2000, text: str = "text", owner: str = ""):
+    """Record batches cut into pieces of about size bytes of text and so many rows at most; a longer text stays whole.
+    What operators other than `owner` remember in this worker is forgotten: their stage is over."""
+    for name, forget in CACHES.items():
+        if name != owner:
+            forget()
     for batch in batches:
         n = batch.num_rows
         if not n:

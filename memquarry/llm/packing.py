@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import slices, table, written
+from .common import CACHES, slices, table, written
 
 CAPACITY, CLOSING_ID = 2048, 0
 #: Pieces of a cell, on average, in which ranks are counted.
@@ -56,6 +56,7 @@ class Remembered(dict):
 
 
 _known: dict[str, tuple[Remembered, Remembered]] = {}
+CACHES["packing"] = _known.clear
 
 
 #: Any character but these: a text without one needs no normaliser but lower case, as no
@@ -103,7 +104,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     def run(batches):
         others, plain = encoders(tokenizer_path)[::-1]
         end = struct.pack("<I", closing_id)
-        for batch in slices(batches, 512 << 10):
+        for batch in slices(batches, 512 << 10, owner="packing"):
             texts = [chunks_of(t or "") for t in batch.column("text").to_pylist()]
             for known, kind in ((plain, True), (others, False)):
                 new = [c for c in set().union(*(x for k, x in texts if k is kind)) if c not in known and len(c) <= LONG_CHUNK and c not in known.old]
