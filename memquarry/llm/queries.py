@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import embedding_dedup, language_id, mixing, ngram_join, packing, quality, suffix_dedup, token_alignment, token_counts, topk_search, toxicity
+from . import embedding_dedup, fingerprints, language_id, mixing, ngram_join, packing, quality, suffix_dedup, token_alignment, token_counts, topk_search, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -15,6 +15,7 @@ QUERIES = {
         topk_search.op8_topk_search,
         mixing.op9_source_mixing,
         embedding_dedup.op10_embedding_dedup,
+        fingerprints.op11_document_fingerprints,
         token_alignment.op12_token_alignment,
     )
 }
