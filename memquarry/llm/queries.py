@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import embedding_dedup, fingerprints, language_id, mixing, ngram_join, packing, quality, suffix_dedup, token_alignment, token_counts, topk_search, toxicity
+from . import conversation_repair, embedding_dedup, fingerprints, language_id, mixing, ngram_join, packing, quality, suffix_dedup, token_alignment, token_counts, topk_search, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,7 @@ QUERIES = {
         embedding_dedup.op10_embedding_dedup,
         fingerprints.op11_document_fingerprints,
         token_alignment.op12_token_alignment,
+        conversation_repair.op13_conversation_repair,
     )
 }
-ORACLE_SQL = {"op8_topk_search": topk_search.OP8_SQL}
+ORACLE_SQL = {"op8_topk_search": topk_search.OP8_SQL, "op13_conversation_repair": conversation_repair.OP13_SQL}
