@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import CACHES, slices, small, table, written
-from .packing import Remembered
 from .token_counts import PATTERN, byte_letters
 
 #: Pairs that are broadcast at most.
 PAIRS = 400_000
-#: Windows of more tokens aren't remembered; (document, pair) entries gathered before they are counted.
-LONG_WINDOW, GATHERED = 32, 2_000_000
+#: Windows of more tokens aren't remembered; windows of a generation that are; (document, pair) entries gathered before they are counted.
+LONG_WINDOW, REMEMBERED_WINDOWS, GATHERED = 32, 150_000, 2_000_000
 SPACE, MARK = b" ", "▁"
 
 
@@ -102,37 +100,41 @@ class Pieces:
         return [np.array(ids, np.int32) for ids in self.model.encode(texts, num_threads=1)]
 
 
-def aligned(a: list[int], b: list[int], sizes_a: list[int], sizes_b: list[int], wide: int) -> tuple[int, str, bytes]:
-    """A window of ids -> number of groups, their digits, and the code a * wide + b of each link in order (64 bits each)."""
-    i = j = i0 = j0 = n = 0
-    ahead, text, codes = sizes_a[a[0]] - sizes_b[b[0]], "", []  # bytes that a[i] ends behind b[j]
-    while True:
-        codes.append(a[i] * wide + b[j])
-        if ahead < 0:
-            i += 1
-            ahead += sizes_a[a[i]]
-        elif ahead > 0:
-            j += 1
-            ahead -= sizes_b[b[j]]
-        else:
-            i, j, n = i + 1, j + 1, n + 1
-            text += f"{';' if text else ''}{','.join(map(str, a[i0:i]))}|{','.join(map(str, b[j0:j]))}"
-            i0, j0 = i, j
-            if i == len(a):
-                return n, text, array("q", codes).tobytes()  # no list: what is remembered costs the collector nothing
-            ahead = sizes_a[a[i]] - sizes_b[b[j]]
-
-
 class Aligner:
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b = Bytewise(path_a), Pieces(path_b)
         self.wide = len(self.b.tokens.sizes)
-        self.lists = self.a.tokens.sizes.tolist(), self.b.tokens.sizes.tolist()
-        self.known = Remembered(self.window, 200_000)
-
-    def window(self, key: tuple[bytes, bytes]):
-        a, b = (memoryview(x).cast("i").tolist() for x in key)
-        return aligned(a, b, *self.lists, self.wide)
+        # digits of all ids with what follows them: within a group, and at its end
+        self.digits = [f"{i}{mark}" for n, marks in ((len(self.a.tokens.sizes), ",|"), (self.wide, ",;")) for mark in marks for i in range(n)]
+        self.known: dict = {}
+        self.old: dict = {}
+
+    def aligned(self, keys: list[tuple[bytes, bytes]]) -> list[tuple[int, str, bytes]]:
+        """Windows of ids -> number of groups, their digits, and the code a * wide + b of each link in order (64 bits each)."""
+        a, b = (np.frombuffer(b"".join([k[side] for k in keys]), np.int32).astype(np.int64) for side in (0, 1))
+        last_a, last_b = (np.cumsum([len(k[side]) // 4 for k in keys]) for side in (0, 1))
+        ends_a, ends_b = np.cumsum(self.a.tokens.sizes[a]), np.cumsum(self.b.tokens.sizes[b])
+        shared_a, shared_b = (np.isin(x, y, assume_unique=True).astype(np.int64) for x, y in ((ends_a, ends_b), (ends_b, ends_a)))
+        union = np.union1d(ends_a, ends_b)  # between two ends lies one link
+        codes = (a[np.searchsorted(ends_a, union)] * self.wide + b[np.searchsorted(ends_b, union)]).tobytes()
+        cut = [0, *(8 * np.searchsorted(union, ends_a[last_a - 1], "right")).tolist()]
+        groups = np.cumsum(shared_a)
+        order = np.argsort(np.r_[2 * (groups - shared_a), 2 * (np.cumsum(shared_b) - shared_b) + 1], kind="stable")
+        n = len(self.a.tokens.sizes)
+        letters = [*map(self.digits.__getitem__, np.r_[a + n * shared_a, 2 * n + b + self.wide * shared_b][order].tolist())]
+        at = [0, *(last_a + last_b).tolist()]
+        counts = np.diff(groups[last_a - 1], prepend=0).tolist()
+        return [(c, "".join(letters[i:k])[:-1], codes[m:o]) for c, i, k, m, o in zip(counts, at, at[1:], cut, cut[1:])]
+
+    def windows(self, keys) -> list[tuple[int, str, bytes]]:
+        """Alignments of windows, remembered by their ids in two generations of bounded size."""
+        new = [k for k in keys if k not in self.known and k not in self.old]
+        fresh = dict(zip(new, self.aligned(new))) if new else {}
+        found = [fresh.get(k) or self.known.get(k) or self.old[k] for k in keys]
+        if len(self.known) + len(new) > REMEMBERED_WINDOWS:
+            self.old, self.known = self.known, {}
+        self.known.update((k, v) for k, v in fresh.items() if len(k[0]) + len(k[1]) <= 4 * LONG_WINDOW)
+        return found
 
     def documents(self, texts: list[str]):
         """For each text (n_a, n_b, n_groups, n_links, digits of the groups' hash, codes, times) or None without tokens."""
@@ -159,7 +161,7 @@ class Aligner:
         numbers: dict = {}
         number = numbers.setdefault
         window = [number((bytes_a[i:k], bytes_b[j:m]), len(numbers)) for i, k, j, m in zip(cut_a, cut_a[1:], cut_b, cut_b[1:])]
-        found = [self.known[key] if len(key[0]) + len(key[1]) <= 4 * LONG_WINDOW else self.window(key) for key in numbers]
+        found = self.windows(numbers)
         n_groups, digits = np.array([f[0] for f in found]), [f[1] for f in found]
         of = np.searchsorted(anchors, begin)
         codes, times, each = self.distinct(np.array(window), of, [f[2] for f in found])
