@@ -24,8 +24,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import byte_view, crc_mod, slices, table
+from .common import byte_view, crc_mod, quoted, slices, table
 
 GRAMS, LANDMARKS, LANGUAGES, PER_LANGUAGE, RIDGE = 4096, 64, 200, 1000, 1e-3
 UND = "und"
@@ -100,11 +101,11 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 def predict(docs: DataFrame, model: dict | None, with_rows: bool = False) -> DataFrame:
     """docs -> doc_id, lang_pred, score and, if with_rows, row: the whole row as a struct."""
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)) if with_rows else F.lit(None).cast("int")
+    row = F.struct(*map(quoted, docs.columns)) if with_rows else F.lit(None).cast("int")
     rows = docs.select(F.col("doc_id").cast("long"), (F.lit(None) if with_rows else F.col("text")).cast("string").alias("text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"), row.alias("row"))
     if model is None:
         return rows.select("doc_id", F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"), "row")
-    kind = dict(rows.dtypes)["row"]
+    kind = StructType.fromDDL("doc_id long, lang_pred string, score double").add("row", rows.schema["row"].dataType)
 
     def run(batches):
         langs = np.array([*model["langs"], UND], object)
@@ -115,7 +116,7 @@ def predict(docs: DataFrame, model: dict | None, with_rows: bool = False) -> Dat
             best, letters = p.argmax(1), batch.column("letters").to_numpy(zero_copy_only=False)
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "lang_pred": pa.array(langs[np.where(letters, best, len(langs) - 1)], pa.string()), "score": pa.array(np.where(letters, p.max(1), 0.0), pa.float64()), "row": batch.column("row")})
 
-    return rows.mapInArrow(run, f"doc_id long, lang_pred string, score double, row {kind}")
+    return rows.mapInArrow(run, kind)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,8 +36,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import bucketed, byte_view, dropped, mix, relieved, slices, table, written
+from .common import bucketed, byte_view, dropped, mix, quoted, relieved, slices, table, written
 
 LENGTH, GRAM, PHRASE_BITS, HOT = 50, 16, 8, 10_000
 #: Keys are shortened where they only tell what to look at more closely.
@@ -361,7 +362,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, length: int = LENGTH
     characters, without those of characters that are cut, which all else still counts)."""
     if length < GRAM:
         raise ValueError(f"length must be {GRAM} at least")
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    rest = [quoted(c) for c in docs.columns if c not in ("doc_id", "text")]
     every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), (F.struct(*rest) if rest else F.struct(F.lit(0).alias("none"))).alias("rest"))
     every = every.withColumn("tag", F.xxhash64("text", F.lit(3)))
     own, n = ["doc_id", "tag"], int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -393,8 +394,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, length: int = LENGTH
     runs = written(spark, runs.groupBy(*own).agg(F.collect_list("run").alias("runs")), "passage-runs")
     dropped(spark, keys)
 
-    kind = dict(texts.dtypes)["rest"]
-    schema = f"doc_id long, rest {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary"
+    schema = StructType().add("doc_id", "long").add("rest", texts.schema["rest"].dataType)
+    schema = StructType([*schema, *StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary")])
     whole = parsed.join(runs.hint("shuffle_hash"), own, "left").select("doc_id", "text", "rest", "repeated", "runs")
     nameless = every.where("doc_id IS NULL").select("doc_id", "text", "rest", F.lit(None).cast("array<int>").alias("repeated"), F.lit(None).cast("array<long>").alias("runs"))
     return whole.mapInArrow(applied(length, with_text, characters), schema).union(nameless.mapInArrow(applied(length, with_text, characters), schema))

@@ -1,5 +1,7 @@
 """The pipeline's stages on a small table, each held against a plain version."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from memquarry.llm import language_id
 from test_operators import brute_classes, frame, texts
@@ -76,3 +78,21 @@ def test_mixed_without_ids(spark):
     docs = frame(spark, [(None, f"word{i} of three") for i in range(40)] + [(i, "a b c") for i in range(3, 30, 3)])
     taken = corpus_pipeline.mixed(spark, docs, "").where("doc_id IS NULL").groupBy("text").count().collect()
     assert taken and all(r["count"] <= 2 for r in taken)
+
+
+def test_extra_columns(spark, tmp_path):
+    """Extra columns of any name and type come out of every stage, and of the run, as they went in."""
+    names = ["copy", "of", "from", "words", "copies", "row", "rest", "tag", "key", "my-col", "a.b", "q`t", "size", "home", "n", "id", "lang_pred", "score", "kept", "piece", "component_id", "1"]
+    rows = [*(x for x in texts(30) if len(x[1] or "") < 5000), (None, "the of stone river"), (3, texts(30)[3][1])]
+    docs = frame(spark, rows).select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"), F.expr("map('k', doc_id)").alias("m"), *(F.concat(F.lit(f"{n}/"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(n) for n in names))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        path = f"{tmp_path}/{name}"
+        stage(spark, kept, str(tmp_path)).write.parquet(path)
+        kept = spark.read.parquet(path)
+        assert kept.columns == docs.columns and [t for _, t in kept.dtypes] == [t for _, t in docs.dtypes]
+        for r in kept.collect():
+            of = "none" if r.doc_id is None else str(r.doc_id)
+            assert [r[n] for n in names] == [f"{n}/{of}" for n in names] and r.m == {"k": r.doc_id}, name
+    assert kept.count() and corpus_pipeline.run(spark, str(tmp_path)).count()
