@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and works on all rows that the one before
 kept; all but the last return the columns of documents. Null doc_ids pass the
 first three stages and are never joined with anything; of rows that repeat a doc_id and
 its text the near-duplicate stage keeps the least, and other texts under one doc_id are
-documents of their own. Extra columns stay as they are.
+documents of their own. Extra columns stay as they are, whatever their names and
+types; of repeated rows the least is the one whose JSON is.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memquarry.llm import language_id, mixing, ngram_join, packing, suffix_dedup
-from memquarry.llm.common import SCRATCH, bounded_batches, crc_mod, removed, small, table, written
+from memquarry.llm.common import SCRATCH, bounded_batches, crc_mod, quoted, removed, small, table, written
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,34 +31,34 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each near-duplicate class stays (five words, similarity 0.8)."""
     ids = docs.where("doc_id IS NOT NULL").agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
     if ids[0] != ids[1]:
-        row = F.struct("doc_id", *(c for c in docs.columns if c != "doc_id"))
-        one = docs.where("doc_id IS NOT NULL").groupBy("doc_id", "text").agg(F.min(row).alias("row"))
+        row = F.struct(*map(quoted, docs.columns))
+        one = docs.where("doc_id IS NOT NULL").groupBy("doc_id", "text").agg(F.min_by(row, F.to_json(row)).alias("row"))
         # keys in the order of doc_ids, so that the least doc_id of a class stays
         one = one.orderBy("doc_id", "text").select(F.monotonically_increasing_id().alias("key"), "row")
         one = written(spark, one, "pipeline-rows")
         classes = ngram_join.ngram_classes(spark, one.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")))
         kept = one.join(small(classes.where("doc_id <> component_id").select(F.col("doc_id").alias("key"))), "key", "left_anti")
-        return kept.select(*(F.col(f"row.`{c}`") for c in docs.columns)).union(docs.where("doc_id IS NULL"))
+        return kept.select("row.*").union(docs.where("doc_id IS NULL"))
     classes = ngram_join.ngram_classes(spark, docs)
-    return docs.join(small(classes.where("doc_id <> component_id").select("doc_id")), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(small(classes.where("doc_id <> component_id").select("doc_id")), "doc_id", "left_anti").select(*map(quoted, docs.columns))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that a document with a smaller doc_id has go; characters cut in half go with them."""
     out = suffix_dedup.repeated_passages(spark, docs, characters=True).withColumn("text", F.col("kept").cast("string"))
     own = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("long")}
-    return out.select(*(own.get(c, F.col(f"rest.{c}")).alias(c) for c in docs.columns))
+    return out.select(*(own.get(c, F.col("rest")[c]).alias(c) for c in docs.columns))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice. Documents without an id are told apart by their texts."""
     key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text", F.lit(5)))
-    sized = mixing.sized(docs.withColumn("doc_id", key))
-    out = mixing.mix(spark, sized).where("copies > 0")
+    out = mixing.mix(spark, mixing.sized(docs.select(key.alias("doc_id"), "text", "source"))).where("copies > 0")
     copies = out.groupBy(F.col("doc_id").alias("of"), F.col("source").alias("from"), F.col("size").alias("words")).agg(F.max("copies").alias("copies"))
     words = F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)), F.lit(0)).cast("long")
-    both = docs.join(small(copies), (key == F.col("of")) & F.col("source").eqNullSafe(F.col("from")) & (words == F.col("words")))
-    return both.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), key.alias("key"), F.col("source").alias("home"), words.alias("size"))
+    both = rows.join(small(copies), (F.col("key") == F.col("of")) & F.col("home").eqNullSafe(F.col("from")) & (F.col("size") == F.col("words")))
+    return both.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
