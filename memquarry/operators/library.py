@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import itertools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.emails import has_email
 from ..functions.media import category, is_video
 from ..functions.vectors import dot, is_zero_vector
+from ..sources.manifest import counted_from, scratch_folder
 
 
 def drop_known_content(batch: DataFrame, known: DataFrame) -> DataFrame:
@@ -204,46 +207,110 @@ def orphan_counts(tables: dict[str, DataFrame], media: DataFrame) -> DataFrame:
     return out
 
 
-def match_cached(media: DataFrame, cached: DataFrame) -> DataFrame:
-    """Files with the vector that a cache has for them, and why not; the first row of a name wins."""
-    first = cached.groupBy("filename").agg(F.min_by(F.struct("vec"), F.col("at")).alias("c"))
-    both = media.join(first, "filename", "left")
-    reason = F.when(F.col("c").isNull(), "absent").when(is_zero_vector(F.col("c.vec")), "zero").otherwise("reused")
-    return both.select("filename", reason.alias("reason"))
+def match_cached(media: DataFrame, cached: DataFrame, vectors: list[str]) -> DataFrame:
+    """Files with `cached`, what a cache has for their name (the first of its rows by `at`), and the
+    reason: absent, zero where one of its vectors is null or all zeros, else reused."""
+    first = cached.groupBy("filename").agg(F.min_by(F.struct(*vectors), "at").alias("cached"))
+    bad = F.lit(False)
+    for v in vectors:
+        bad = bad | is_zero_vector(F.col(f"cached.{v}"))
+    return media.join(first, "filename", "left").withColumn("reason", F.when(F.col("cached").isNull(), "absent").when(bad, "zero").otherwise("reused"))
+
+
+#: Keys that have at least 1 of so many rows are broadcast: there are at most as many.
+HOT = 100_000
+
+
+def met(rows: DataFrame, per: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with per, one row a key with its number of rows `n`: the few keys that hold
+    many of all `total` rows by broadcast, the others by shuffle, where none is large."""
+    often = F.col("n") * HOT >= total
+    hot = F.broadcast(per.where(often))
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(per.where(~often), key))
+
+
+def _slot(name: Column) -> tuple[Column, Column]:
+    """(name, number) of which a numbered name is a place, or nulls: `a (3).png` is place 3 of `a.png`."""
+    ext = F.regexp_extract(name, EXTENSION, 1)
+    stem = F.substring(name, F.lit(1), F.length(name) - F.length(ext))
+    digits = F.regexp_extract(stem, NUMBER, 2)
+    place = F.when((F.length(digits) < 16) & ~digits.startswith("0") & (digits != "1") & (digits != ""), digits.cast("long"))
+    return F.when(place.isNotNull(), F.concat(F.regexp_extract(stem, NUMBER, 1), ext)), place
+
+
+# An extension begins at the last dot that isn't the first character; numbers of names.
+EXTENSION, NUMBER = r"(?s)^.+(\.[^.]*)$", r"(?s)^(.*) \((\d+)\)$"
 
 
 def assign_names(batch: DataFrame, media: DataFrame | None = None) -> DataFrame:
     """(row_id, name) -> row_id, assigned: the name if it is free, else `stem (n).ext` with
     the least n from 2 on that is. Names of the library and of earlier rows are taken.
 
-    Rows of a stem without numbered names are numbered by a window; only where names such
-    as `a (2).png` are about already, the rows of that stem are gone through in order."""
-    ext, numbers = F.regexp_extract("name", r"\.[^.]+$", 0), r"( \(\d+\))+$"
-    family = lambda df: df.withColumn("ext", ext).withColumn("stem", F.regexp_replace("name", r"\.[^.]+$", "")).withColumn("family", F.regexp_replace("stem", numbers, ""))
-    by = ["family", "ext"]
-    rows = family(batch.select("row_id", "name"))
-    taken = media.select(F.col("filename").alias("name")).distinct() if media is not None else batch.select("name").limit(0)
-    held = family(taken).groupBy(*by).agg(F.max((F.col("stem") != F.col("family")).cast("int")).alias("numbered"), F.max((F.col("stem") == F.col("family")).cast("int")).alias("plain"), F.collect_set("name").alias("held"))
-    inside = rows.groupBy(*by).agg(F.max((F.col("stem") != F.col("family")).cast("int")).alias("own"))
-    kinds = inside.join(held, by, "left").select(*by, (F.greatest("own", F.coalesce("numbered", F.lit(0))) == 1).alias("odd"), F.coalesce("plain", F.lit(0)).alias("plain"), "held")
-    both = rows.join(kinds, by)
-    n = F.row_number().over(Window.partitionBy(*by).orderBy("row_id")) + F.col("plain")
-    plain = both.where("NOT odd").withColumn("n", n).select("row_id", F.when(F.col("n") == 1, F.col("name")).otherwise(F.concat("stem", F.lit(" ("), F.col("n").cast("string"), F.lit(")"), "ext")).alias("assigned"))
-    return plain.union(both.where("odd").select("row_id", "name", "stem", "ext", "family", "held").groupBy(*by).applyInPandas(_free_names, "row_id long, assigned string"))
-
-
-def _free_names(rows):
-    """The names of one family in row order."""
-    first = rows["held"].iloc[0]
-    held = set() if first is None else set(first)
-    rows, out, least = rows.sort_values("row_id"), [], {}
-    for name, stem, ext in zip(rows["name"], rows["stem"], rows["ext"]):
-        pick = name
-        if pick in held:
-            n = least.get(stem, 2)
-            while f"{stem} ({n}){ext}" in held:
-                n += 1
-            least[stem], pick = n + 1, f"{stem} ({n}){ext}"
-        held.add(pick)
-        out.append(pick)
-    return rows[["row_id"]].assign(assigned=out)
+    The k-th row of a name that doesn't get the name gets the k-th free number: places of rows
+    and of taken numbers are counted by ranges, and a row finds how many taken numbers lie
+    below its own by its place between them. A row that is itself named `a (3).png` holds
+    that number only if no row of `a.png` got it before, which depends on who holds lower numbers.
+    That is settled by rounds: a claim holds if the row that would get its number, by the free
+    ones below, comes later. Lower numbers settle first, and all are right once a round changes nothing."""
+    spark = batch.sparkSession
+    folder, nth = scratch_folder(spark, "names"), itertools.count()
+    path = lambda: f"{folder}/{next(nth)}"
+
+    def kept(df: DataFrame) -> DataFrame:
+        at = path()
+        df.write.parquet(at)
+        return spark.read.schema(df.schema).parquet(at)
+
+    named = batch.select("row_id", "name").where("name IS NOT NULL").withColumn("_w", F.lit(1))
+    rows, total = counted_from(named, "_w", ["name", "row_id"], path(), 0)
+    rows = kept(rows.drop("_w"))
+    per = kept(rows.groupBy("name").agg(F.count("*").alias("n"), F.min("start").alias("first"), F.min("row_id").alias("since")))
+    parent, place = _slot(F.col("name"))
+    known = per.select("name")
+    library = (media.select(F.col("filename").alias("name")) if media is not None else known.limit(0)).where("name IS NOT NULL").distinct()
+    taken = kept(library.select(parent.alias("name"), place.alias("place")).where("place IS NOT NULL").join(known, "name", "left_semi"))
+    held = kept(library.join(known, "name", "left_semi"))
+    # names of the batch that are places of other names of the batch and that the library lacks
+    claims = per.select(F.col("name").alias("claim"), "since", parent.alias("name"), place.alias("place")).where("place IS NOT NULL").join(known, "name", "left_semi")
+    claims = kept(claims.join(held.select(F.col("name").alias("claim")), "claim", "left_anti"))
+    contested = claims.limit(1).count() > 0
+
+    def given(won: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """((row_id, name, number), the claims that hold against it); number 1 is the name itself."""
+        lost = claims.join(won.select("claim"), "claim", "left_anti").withColumn("_w", F.lit(0))
+        unfree = held.union(lost.select(F.col("claim").alias("name"))).withColumn("unfree", F.lit(1))
+        own = per.join(unfree, "name", "left").withColumn("own", 1 - F.coalesce("unfree", F.lit(0))).select("name", "n", "first", "own")
+        k = kept(met(rows, own, "name", total).withColumn("k", F.col("start") - F.col("first") + 1 - F.col("own")).select("row_id", "name", "k"))
+        holes = taken.withColumns({"claim": F.lit(None).cast("string"), "since": F.lit(None).cast(claims.schema["since"].dataType), "_w": F.lit(1)})
+        holes = holes.unionByName(won.withColumn("_w", F.lit(1))).unionByName(lost)
+        if not holes.limit(1).count():
+            return k.select("row_id", "name", (F.col("k") + 1).alias("number")), won
+        holes = kept(counted_from(holes, "_w", ["name", "place"], path(), 0)[0])
+        begin = kept(holes.groupBy("name").agg(F.count("*").alias("n"), F.min("start").alias("begin")))
+        # free numbers below each taken one; a row's number lies above those with fewer than its k
+        holes = kept(met(holes, begin, "name", total).withColumn("k", F.col("place") - 2 - (F.col("start") - F.col("begin"))).select("name", "k", "claim", "since", "_w"))
+        both = k.where("k > 0").join(begin.select("name"), "name", "left_semi").select("name", "k", "row_id", F.lit(0).alias("_w"))
+        both = both.unionByName(holes.where("_w = 1").select("name", "k", F.lit(None).cast(rows.schema["row_id"].dataType).alias("row_id"), "_w"))
+        both = kept(counted_from(both, "_w", ["name", "k", "_w", "row_id"], path(), 0)[0])
+        base = both.groupBy("name").agg(F.count("*").alias("n"), F.min("start").alias("begin"))
+        below = met(both.where("_w = 0"), base, "name", total).select("row_id", "name", (F.col("k") + 1 + F.col("start") - F.col("begin")).alias("number"))
+        rest = k.where("k = 0").unionByName(k.where("k > 0").join(begin.select("name"), "name", "left_anti"))
+        out = below.unionByName(rest.select("row_id", "name", (F.col("k") + 1).alias("number")))
+        # a claimed number would go to the row after as many as there are free numbers below it
+        rival = k.where("k > 0").select("name", (F.col("k") - 1).alias("k"), F.col("row_id").alias("rival"))
+        now = holes.where("claim IS NOT NULL").join(rival, ["name", "k"], "left").where("rival IS NULL OR rival > since")
+        return out, claims.join(now.select("claim"), "claim", "left_semi")
+
+    won = claims  # at first as if no row of another name got in between
+    out, now = given(won)
+    while contested:
+        now = kept(now)
+        if now.count() == won.count() and not now.join(won.select("claim"), "claim", "left_anti").limit(1).count():
+            break
+        won = now
+        out, now = given(won)
+    out = kept(out)
+    ext = F.regexp_extract("name", EXTENSION, 1)
+    stem = F.substring("name", F.lit(1), F.length("name") - F.length(ext))
+    assigned = F.when(F.col("number") == 1, F.col("name")).otherwise(F.concat(stem, F.lit(" ("), F.col("number").cast("string"), F.lit(")"), ext))
+    return out.select("row_id", assigned.alias("assigned")).union(batch.where("name IS NULL").select("row_id", F.lit(None).cast("string")))

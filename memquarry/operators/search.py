@@ -12,6 +12,7 @@ of different lengths meet over the shorter one; ties go by the order named for e
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokens import ask_tokens, cjk_bigrams, phrase_tokens, rank_tokens, whitespace_tokens, word_tokens
+from ..sources.manifest import scratch_folder
 
 QUERIES_AT_ONCE = 1024
 # Boosts, floors and caps of the rankings.
@@ -28,12 +30,20 @@ FILENAME_BOOST, PHRASE_BOOST, OCR_BOOST = 0.2, 0.6, 0.5
 MIN_SCORE, KEEP, DIVERSITY, TOP_K, CANDIDATES = 0.04, 0.6, 0.92, 24, 500
 SLOT, PER_VIDEO, NOISE, NOISE_TOTAL = 5, 3, 0.25, 20
 SNIPPET = 300
-#: Buckets of scores from LOW on, to find the place of a cutoff by counting.
+#: Steps of scores from LOW to HIGH, to find the place of a cutoff by counting.
 BUCKETS, LOW, HIGH = 4096, -2.0, 3.0
 
 
 def chunks(queries: DataFrame):
     """The queries in lists of about QUERIES_AT_ONCE rows."""
+    first = queries.limit(QUERIES_AT_ONCE + 1).collect()
+    if len(first) <= QUERIES_AT_ONCE:
+        if first:
+            yield sorted(first, key=lambda r: (r.query_id is not None, r.query_id))
+        return
+    at = scratch_folder(queries.sparkSession, "queries")  # worked out once, not once a list
+    queries.write.parquet(at)
+    queries = queries.sparkSession.read.schema(queries.schema).parquet(at)
     n = -(-queries.count() // QUERIES_AT_ONCE)
     for i in range(n):
         yield queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i).orderBy("query_id").collect()
@@ -232,51 +242,97 @@ class FileScores:
         return {"base": np.round(semantic + phrase + by_name, 12), "semantic": semantic, "phrase": phrase, "by_name": by_name}
 
 
-def _bucket(x: np.ndarray) -> np.ndarray:
-    return np.clip((x - LOW) * (BUCKETS / (HIGH - LOW)), 0, BUCKETS - 1).astype(np.int64)
+#: A score as a whole number: scores are rounded to as many places.
+WHOLE = 10**12
 
 
-def _counted(rows: DataFrame, asked: list, values, schema: str) -> DataFrame:
-    """(query_id, value, n) of each task: how often values(scores of a query, its place) occur."""
-    ids, scores = [r.query_id for r in asked], FileScores(asked)
+def _counted(rows: DataFrame, asked: list, scores, low: np.ndarray, width: np.ndarray, high: np.ndarray) -> DataFrame:
+    """(query_id, value, n, low, high): for each query, how many whole scores of its range lie in each
+    step of `width` from `low` on, and the least and greatest of them."""
+    ids = np.array([r.query_id for r in asked])
 
     def run(batches):
         for batch in batches:
-            base = scores(pa.Table.from_batches([batch]))["base"]
-            found = [np.unique(values(b, i), return_counts=True) for i, b in enumerate(base)]
-            if found:
-                yield pa.record_batch({"query_id": np.repeat(np.array(ids), [len(v) for v, _ in found]), "value": np.concatenate([v for v, _ in found]), "n": np.concatenate([n for _, n in found])})
-
-    return rows.mapInArrow(run, schema).groupBy("query_id", "value").agg(F.sum("n").alias("n"))
-
-
-def percentile_cut(rows: DataFrame, asked: list, keep: float) -> dict:
-    """query_id -> (best score, score at place floor(n (1 - keep)) + 1): by counts of score
-    buckets, and then of the distinct scores in the bucket that holds the place."""
-    per = Window.partitionBy("query_id")
-    down = per.orderBy(F.col("value").desc())
-    counts = _counted(rows, asked, lambda b, i: _bucket(b), "query_id long, value long, n long")
-    counts = counts.withColumn("upto", F.sum("n").over(down)).withColumn("total", F.sum("n").over(per))
-    counts = counts.withColumn("place", F.least(F.floor(F.col("total") * (1 - keep)) + 1, F.col("total")))
-    at = {r.query_id: r for r in counts.where("upto >= place AND upto - n < place").collect()}  # one row a query of the chunk
-    wanted = [at[r.query_id].value if r.query_id in at else -1 for r in asked]
-    exact = _counted(rows, asked, lambda b, i: b[_bucket(b) == wanted[i]], "query_id long, value double, n long")
-    exact = exact.withColumn("upto", F.sum("n").over(down))
-    places = rows.sparkSession.createDataFrame([(q, int(r.place - (r.upto - r.n))) for q, r in at.items()], "query_id long, place long")
-    cuts = {r.query_id: r.value for r in exact.join(F.broadcast(places), "query_id").where("upto >= place AND upto - n < place").collect()}
-    return cuts
+            out = []
+            for i, b in enumerate(np.rint(scores(pa.Table.from_batches([batch])) * WHOLE).astype(np.int64)):
+                b = np.sort(b[(b >= low[i]) & (b <= high[i])])
+                step = (b - low[i]) // width[i]
+                first = np.flatnonzero(np.diff(step, prepend=-1))
+                if len(first):
+                    n = np.diff(np.r_[first, len(b)])
+                    out.append((np.full(len(first), ids[i]), step[first], n, b[first], b[first + n - 1]))
+            if out:
+                yield pa.record_batch([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out)], names=["query_id", "value", "n", "low", "high"])
+
+    counts = rows.mapInArrow(run, "query_id long, value long, n long, low long, high long")
+    return counts.groupBy("query_id", "value").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+def percentile_cut(rows: DataFrame, asked: list, keep: float, scores=None) -> dict:
+    """query_id -> the score at place floor(n (1 - keep)) + 1 from the best: the order statistic is
+    closed in on by counting. Each pass over the rows counts a query's range in BUCKETS steps and
+    goes on with what the step holds that has the place, from its least to its greatest score,
+    so that crowded scores are told apart too; after four passes at most a step is one score."""
+    scores = scores or (lambda table, base=FileScores(asked): base(table)["base"])
+    n, spark = rows.count(), rows.sparkSession
+    if not n:
+        return {}
+    ids, found = [r.query_id for r in asked], {}
+    place = dict.fromkeys(ids, min(math.floor(n * (1 - keep)) + 1, n))
+    low, high = np.full(len(ids), int(LOW * WHOLE)), np.full(len(ids), int(HIGH * WHOLE))
+    while len(found) < len(ids):
+        width = np.maximum((high - low) // BUCKETS + 1, 1)
+        down = Window.partitionBy("query_id").orderBy(F.col("value").desc())  # BUCKETS rows a query
+        counts = _counted(rows, asked, scores, low, width, high).withColumn("upto", F.sum("n").over(down))
+        places = spark.createDataFrame([(q, p) for q, p in place.items() if q not in found], "query_id long, place long")
+        seen: set = set()
+        for r in counts.join(F.broadcast(places), "query_id").where("upto >= place AND upto - n < place").collect():  # a row a query
+            i = ids.index(r.query_id)
+            low[i], high[i] = r.low, r.high
+            place[r.query_id] -= r.upto - r.n
+            if r.low == r.high:
+                found[r.query_id] = r.low / WHOLE
+            seen.add(r.query_id)
+        if len(seen | found.keys()) < len(ids):
+            raise ValueError(f"scores must lie between {LOW} and {HIGH}")
+        for i, q in enumerate(ids):  # nothing is counted for a query that is done
+            if q in found:
+                low[i], high[i] = 1, 0
+    return found
+
+
+def percentile_cutoffs(queries: DataFrame, media: DataFrame, keep: float = KEEP) -> DataFrame:
+    """(query_id, cut): the base score that a file must reach to be among a query's best `keep`."""
+    rows = media.select("embedding", "phrase", phrase_tokens(F.col("filename")).alias("_words"), F.lower("filename").alias("_name"))
+    cuts: dict = {}
+    for asked in chunks(with_pieces(queries.where(F.trim("text") != ""), rank_tokens(F.col("text"))).select("query_id", "vec", "tokens", "pieces")):
+        cuts |= percentile_cut(rows, asked, keep)
+    return queries.sparkSession.createDataFrame(list(cuts.items()), "query_id long, cut double")
+
+
+def _low_places(rows: DataFrame, asked: list, place: int) -> dict:
+    """query_id -> the base score at a place among the first CANDIDATES, from the best rows of each task."""
+    base, ids = FileScores(asked), [r.query_id for r in asked]
+    best = best_rows(rows, ids, lambda t: {"score": base(t)["base"]}, [], ["row_id"], "row_id", place)
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc()))
+    return {r.query_id: r.score for r in best.withColumn("nth", nth).where(F.col("nth") == place).collect()}
 
 
 def search_files(queries: DataFrame, media: DataFrame, k: int = TOP_K, min_score: float = MIN_SCORE, keep: float = KEEP, diverse: bool = True) -> DataFrame:
     """Floor, percentile cutoff (rows with a word of the query in their text are exempt),
-    boost by recognised words, dominant signal, and, if diverse, no near copies. Ties: row_id."""
+    boost by recognised words, dominant signal, and, if diverse, no near copies. Ties: row_id.
+
+    Boosts are never negative, so that no row below the cutoff without such a word outscores one
+    above it: where as many rows as are wanted lie above, the best need no cutoff, and where
+    fewer do, its place is among the best. Either way no pass over all scores looks for it."""
     k, names = top(k), ["semantic", "phrase", "by_name", "ocr"]
     rows = media.select("row_id", "filename", "embedding", "phrase", "ocr").withColumn("_words", phrase_tokens(F.col("filename"))).withColumn("_name", F.lower("filename"))
-    scored = rows.drop("ocr")
-    parts = []
+    scored, parts, wanted = rows.drop("ocr"), [], CANDIDATES if diverse else k
+    n = rows.count()
+    place = min(math.floor(n * (1 - keep)) + 1, n)
     for asked in chunks(with_pieces(queries.where(F.trim("text") != ""), rank_tokens(F.col("text"))).select("query_id", "vec", "tokens", "pieces")):
-        cuts = percentile_cut(scored, asked, keep)
-        parts.append(best_rows(with_words(rows, "ocr", asked), [r.query_id for r in asked], _final_scores(asked, cuts, min_score), ["base", *names], ["row_id", "filename", *(["embedding"] if diverse else [])], "row_id", CANDIDATES if diverse else k))
+        cuts = dict.fromkeys((r.query_id for r in asked), -np.inf) if place >= wanted or not n else _low_places(scored, asked, place)
+        parts.append(best_rows(with_words(rows, "ocr", asked), [r.query_id for r in asked], _final_scores(asked, cuts, min_score), ["base", *names], ["row_id", "filename", *(["embedding"] if diverse else [])], "row_id", wanted))
     columns = "query_id long, rank int, filename string, score double, dominant string" + ("" if diverse else ", semantic double, phrase double, filename_part double, ocr double")
     if not parts:
         return none(queries, columns)

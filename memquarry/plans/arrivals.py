@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import texts as X
 from ..operators import films
 from ..sources import views
+from ..sources.manifest import scratch_folder
 from ..sources.views import MEDIA, SEGMENTS, UTTERANCES
 from ..streaming import arrivals as A
+from ..streaming import children as C
 from .queries import query
 
 ATTEMPTS = "attempts AS (SELECT 'u' || user_id AS path, event_id AS seq, user_id % 7 + event_id // 400 AS size, event_id % 5 = 0 AS ok FROM events)"
@@ -27,27 +29,67 @@ def poison_state(spark: SparkSession, d: str) -> DataFrame:
     return A.poison_state(attempts(spark, d))
 
 
-REPLIES = """replies AS (SELECT 'conv-' || conv_id || '.mp4' AS filename, turn AS i, CASE WHEN role <> 'user' OR conv_id % 3 = 0 THEN 'no speech' END AS reason,
-  turn = max(turn) OVER (PARTITION BY conv_id) AS final FROM conversations)"""
+#: Replies made from conversations: a turn is a slice of up to three rows (sentences), the first turns of some are sent twice.
+REPLIES = """told AS (SELECT conv_id, turn, role, text, 'conv-' || conv_id || '.mp4' AS filename, turn = max(turn) OVER (PARTITION BY conv_id) AS done, least(3, len(string_split(text, '. '))) AS size FROM conversations),
+sent AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS from_index FROM told),
+replies AS (SELECT filename, from_index, i, CAST(size AS INTEGER) AS size, done, conv_id % 7 <> 5 AS ok, conv_id % 3 = 0 OR (turn + i) % 5 = 4 AS skipped,
+  CAST(CASE WHEN (turn + i) % 11 = 3 THEN 'nan' ELSE CAST(turn * 6 + i AS VARCHAR) END AS DOUBLE) AS t0, CAST(turn * 6 + i + CASE WHEN i = 2 AND turn % 4 = 1 THEN -1 ELSE 2 END AS DOUBLE) AS t1,
+  CASE WHEN conv_id % 10 = 1 THEN 'la' ELSE string_split(text, '. ')[i + 1] END AS text, conv_id % 13 <> 2 AS vec FROM (SELECT *, CAST(unnest(range(size)) AS INTEGER) AS i FROM sent))"""
+_WORDS = "list_filter(regexp_split_to_array({c}, '[^a-zA-Z0-9'']+'), lambda x: x <> '')"
+_SPOKEN = "trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))"
+#: Words that say something: two at least, eight characters, no five equal words in a row, more than two different ones of six (the tables hold no CJK).
+_LOOP = "list_bool_or(list_transform(range(1, greatest(len(w) - 3, 1)), lambda k: len(list_distinct(w[k:k + 4])) = 1 AND len(w[k:k + 4]) = 5))"
+JUDGED = f"""{REPLIES}, spoken AS (SELECT *, {_SPOKEN} AS clean, list_transform({_WORDS.format(c=_SPOKEN)}, lambda x: lower(x)) AS w FROM replies),
+judged AS (SELECT *, CASE WHEN skipped THEN 'skipped' WHEN isnan(t0) OR t1 <= t0 THEN 'times' WHEN NOT vec THEN 'no vector'
+  WHEN len(w) < 2 OR length(clean) < 8 OR coalesce({_LOOP}, false) OR (len(w) >= 6 AND len(list_distinct(w)) <= 2) THEN 'no speech' END AS reason FROM spoken)"""
 
 
 def replies(spark: SparkSession, d: str) -> DataFrame:
     c = views.table(spark, d, "conversations")
-    ends = c.groupBy("conv_id").agg(F.max("turn").alias("last"))
-    reason = F.when((F.col("role") != "user") | (F.col("conv_id") % 3 == 0), "no speech")
-    return c.join(ends, "conv_id").select(F.concat(F.lit("conv-"), "conv_id", F.lit(".mp4")).alias("filename"), F.col("turn").alias("i"), reason.alias("reason"), (F.col("turn") == F.col("last")).alias("final"))
-
-
-@query(f"WITH {REPLIES} SELECT filename, true AS parked FROM replies WHERE filename NOT LIKE '%1.mp4' GROUP BY 1, 2 HAVING bool_or(final) AND count(*) FILTER (reason IS NULL) = 0")
+    by = Window.partitionBy("conv_id")
+    parts = F.split("text", r"\. ")
+    told = c.select("conv_id", "turn", "role", parts.alias("parts"), F.least(F.lit(3), F.size(parts)).alias("size"), (F.col("turn") == F.max("turn").over(by)).alias("done"))
+    before = F.sum("size").over(by.orderBy("turn").rowsBetween(Window.unboundedPreceding, -1))
+    rows = told.withColumn("from_index", F.coalesce(before, F.lit(0))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("size") - 1)))
+    nth = F.col("turn") + F.col("i")
+    t0 = F.when(nth % 11 == 3, F.lit(float("nan"))).otherwise((F.col("turn") * 6 + F.col("i")).cast("double"))
+    t1 = (F.col("turn") * 6 + F.col("i") + F.when((F.col("i") == 2) & (F.col("turn") % 4 == 1), -1).otherwise(2)).cast("double")
+    text = F.when(F.col("conv_id") % 10 == 1, "la").otherwise(F.get("parts", F.col("i")))
+    vec = F.when(F.col("conv_id") % 13 != 2, F.array(F.lit(1.0), F.lit(0.5))).cast("array<float>")
+    rows = rows.select(F.concat(F.lit("conv-"), "conv_id", F.lit(".mp4")).alias("filename"), F.col("from_index").cast("long").alias("from_index"), "i", "size", "done", (F.col("conv_id") % 7 != 5).alias("ok"),
+                       ((F.col("conv_id") % 3 == 0) | (nth % 5 == 4)).alias("skipped"), t0.alias("t0"), t1.alias("t1"), text.alias("text"), F.lit(None).cast("long").alias("poster"), vec.alias("vec"), F.lit(1).cast("long").alias("delivery"))
+    again = rows.where("from_index % 4 = 1").withColumn("delivery", F.lit(2).cast("long")).withColumn("text", F.lit("Sent again and never taken."))
+    return rows.union(again)
+
+
+@query(f"""WITH {JUDGED} SELECT filename, from_index, i, reason, CASE WHEN reason IS NULL THEN clean[1:240] END AS text FROM judged""")
+def split_reply(spark: SparkSession, d: str) -> DataFrame:
+    """Every row of a reply, with why it can't be used, or its cleaned text."""
+    good, bad = C.split_reply(C.first_deliveries(replies(spark, d)))
+    own = ["filename", "from_index", "i"]
+    return good.select(*own, F.lit(None).cast("string").alias("reason"), "text").union(bad.select(*own, "reason", F.lit(None).cast("string")))
+
+
+@query(f"""WITH {JUDGED} SELECT filename, from_index, i, t0, t1, clean[1:240] AS text, row_number() OVER (ORDER BY filename, from_index, i) - 1 AS off FROM judged WHERE reason IS NULL""")
+def child_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The usable rows of all slices, once each however often they were sent, with the places of their vectors."""
+    return C.child_rows(replies(spark, d), scratch_folder(spark, "slices")).select("filename", "from_index", "i", "t0", "t1", "text", "off")
+
+
+@query(f"""WITH {JUDGED}, per AS (SELECT filename, from_index, any_value(size) AS size, any_value(done) AS done, any_value(ok) AS ok, count(*) FILTER (reason IS NULL) AS good, count(*) FILTER (reason IS NOT NULL) AS skipped FROM judged GROUP BY ALL)
+SELECT filename, CAST(sum(skipped) AS BIGINT) AS skipped FROM per WHERE filename NOT LIKE '%2.mp4' GROUP BY 1
+HAVING max(CASE WHEN done THEN from_index + size END) <= sum(size) AND bool_or(done AND ok) AND sum(good) = 0 AND sum(skipped) > 0""")
 def park_unusable(spark: SparkSession, d: str) -> DataFrame:
+    """Files that came whole with nothing to be used, but for those that something covers."""
     r = replies(spark, d)
-    return A.park_unusable(r, r.where("filename LIKE '%1.mp4'"))
+    return C.unusable(C.slices_of(C.first_deliveries(r)), r.where("filename LIKE '%2.mp4'"))
 
 
-@query(f"""WITH {REPLIES} SELECT filename, array_to_string(list_slice(list_sort(list_distinct(list(i))), 1, 32), ' ') AS skipped FROM replies WHERE reason IS NOT NULL GROUP BY 1""")
+@query(f"""WITH {JUDGED} SELECT filename, array_to_string(list_slice(list_sort(list_distinct(list(from_index + i))), 1, 32), ' ') AS skipped FROM judged WHERE reason IS NOT NULL GROUP BY 1""")
 def skip_list(spark: SparkSession, d: str) -> DataFrame:
-    _, skipped = A.split_reply(replies(spark, d))
-    return A.skip_list(skipped).select("filename", F.array_join(F.transform("skipped", lambda i: i.cast("string")), " ").alias("skipped"))
+    _, skipped = C.split_reply(C.first_deliveries(replies(spark, d)))
+    rows = A.skip_list(skipped.withColumn("i", F.col("from_index") + F.col("i")))
+    return rows.select("filename", F.array_join(F.transform("skipped", lambda i: i.cast("string")), " ").alias("skipped"))
 
 
 CLEAN = "trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))"

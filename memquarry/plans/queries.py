@@ -52,6 +52,13 @@ def files_search(spark: SparkSession, d: str) -> DataFrame:
     return out.select("query_id", "rank", "filename", F.round("score", 6).alias("score"), "dominant")
 
 
+@query(f"""WITH {MEDIA}, {VECTORS}, {QUERIES}, {SCORED} SELECT query_id, round(cut, 6) AS cut FROM cut""")
+def percentile_cutoffs(spark: SparkSession, d: str) -> DataFrame:
+    """The base score that a file must reach to be among the best 60 % of a query."""
+    out = S.percentile_cutoffs(views.queries(spark, d), views.media_vectors(spark, d, views.media(spark, d)))
+    return out.select("query_id", F.round("cut", 6).alias("cut"))
+
+
 @query(f"""WITH RECURSIVE {MEDIA}, {VECTORS}, {QUERIES}, {SCORED},
 c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, place) AS i FROM kept QUALIFY i <= 500),
 size AS (SELECT query_id, count(*) AS n FROM c GROUP BY 1),
@@ -258,10 +265,18 @@ def missing_children(spark: SparkSession, d: str) -> DataFrame:
     return L.missing_children(m, m.where("row_id % 10 = 0"))
 
 
-@query(f"""WITH {MEDIA}, x AS (SELECT row_id, source || '.png' AS name FROM media) SELECT row_id, CASE WHEN n = 1 THEN name ELSE replace(name, '.png', '') || ' (' || n || ').png' END AS assigned
-FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY row_id) AS n FROM x)""")
+@query(f"""WITH {MEDIA}, x AS (SELECT row_id, source || '.png' AS name FROM media),
+lib AS (SELECT DISTINCT CASE WHEN row_id % 7 = 0 THEN source || ' (' || (2 + row_id % 50) || ').png' ELSE source || '.png' END AS name FROM media WHERE row_id % 7 = 0 OR row_id % 131 = 3),
+r AS (SELECT row_id, name, row_number() OVER (PARTITION BY name ORDER BY row_id) - CASE WHEN name IN (SELECT name FROM lib) THEN 0 ELSE 1 END AS k FROM x),
+free AS (SELECT name, j, row_number() OVER (PARTITION BY name ORDER BY j) AS k FROM (SELECT name, unnest(range(2, n + 60)) AS j FROM (SELECT name, count(*) AS n FROM x GROUP BY 1)) f
+  WHERE replace(name, '.png', '') || ' (' || j || ').png' NOT IN (SELECT name FROM lib))
+SELECT row_id, CASE WHEN k = 0 THEN name ELSE replace(name, '.png', '') || ' (' || j || ').png' END AS assigned FROM r LEFT JOIN free USING (name, k)""")
 def assign_names(spark: SparkSession, d: str) -> DataFrame:
-    return L.assign_names(views.media(spark, d).select("row_id", F.concat("source", F.lit(".png")).alias("name")))
+    """Names of sources, some of which the library has, as well as numbers up to 51."""
+    m = views.media(spark, d)
+    number = F.concat("source", F.lit(" ("), (F.col("row_id") % 50 + 2).cast("string"), F.lit(").png"))
+    held = m.where("row_id % 7 = 0 OR row_id % 131 = 3").select(F.when(F.col("row_id") % 7 == 0, number).otherwise(F.concat("source", F.lit(".png"))).alias("filename"))
+    return L.assign_names(m.select("row_id", F.concat("source", F.lit(".png")).alias("name")), held)
 
 
 @query("""SELECT doc_id, len(list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: length(x) >= 2))) AS n_rank,

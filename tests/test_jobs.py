@@ -178,6 +178,42 @@ def test_names(spark):
     assert names(["a.png", "a.png"], ["a (2).png"]) == ["a.png", "a (3).png"]
 
 
+def plain_names(rows, taken):
+    held, out = set(taken), []
+    for name in rows:
+        ext = name[name.rfind(".") :] if name.rfind(".") > 0 else ""
+        stem, pick, n = name[: len(name) - len(ext)], name, 2
+        while pick in held:
+            pick, n = f"{stem} ({n}){ext}", n + 1
+        held.add(pick)
+        out.append(pick)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_names_in_order(spark, seed):
+    """Numbered names in the batch and in the library, in any order, against a loop."""
+    r = random.Random(seed)
+    pool = ["a.png", "a (2).png", "a (3).png", "a (4).png", "a (7).png", "a (2) (2).png", "a (02).png", "a (1).png", ".png", "b", "b (2)", "b (3)", "c.tar.gz", "x (2).png", "a\n.png"]
+    rows = [r.choice(pool[: r.randint(3, len(pool))]) for _ in range(90)]
+    taken = r.sample([*pool, "a (5).png", "a (9).png", "b (5)", ".png (2)", "c.tar (2).gz"], 7)
+    media = spark.createDataFrame([(t,) for t in taken], "filename string")
+    got = library.assign_names(spark.createDataFrame(list(enumerate(rows)), "row_id long, name string"), media).collect()
+    assert [x.assigned for x in sorted(got)] == plain_names(rows, taken)
+
+
+def test_many_rows_of_one_name(spark):
+    """A million rows of one name against a thousand taken numbers: no list in any plan, and every number once."""
+    batch = spark.range(1_000_000).select(F.col("id").alias("row_id"), F.lit("a.png").alias("name"))
+    media = spark.range(1000).select(F.format_string("a (%d).png", F.col("id") * 3 + 4).alias("filename"))
+    out = library.assign_names(batch, media)
+    plan = out._jdf.queryExecution().toString()
+    assert "collect_" not in plan and "array<" not in plan
+    number = F.regexp_extract("assigned", r"\((\d+)\)", 1).try_cast("long")
+    got = out.withColumn("number", number).agg(F.count_distinct("assigned"), F.max("number"), F.count_if((F.col("number") <= 3001) & (F.col("number") % 3 == 1)), F.count_if(F.col("row_id") == 0)).first()
+    assert tuple(got) == (1_000_000, 1_001_000, 0, 1) and out.where("row_id = 0").first().assigned == "a.png"
+
+
 def test_ties_and_blanks(spark):
     media = spark.createDataFrame([(0, "z.png", [1.0, 0.0], [1.0, 0.0], "cat"), (1, "a.png", [1.0, 0.0], [1.0, 0.0], "cat"), (2, "m.png", None, [0.0, 0.0], None)], "row_id long, filename string, embedding array<double>, phrase array<double>, ocr string")
     queries = spark.createDataFrame([(1, "cat", [1.0, 0.0]), (2, "  ", [1.0, 0.0]), (3, None, [1.0, 0.0])], "query_id long, text string, vec array<double>")
@@ -214,6 +250,40 @@ def test_cutoff_of_many(spark):
     assert search.percentile_cut(rows, one, 0.6)[1] == pytest.approx(cos[math.floor(4000 * 0.4)], abs=1e-11)
 
 
+def test_cutoff_of_crowded_scores(spark):
+    """All scores lie within a millionth, many are one: a place is still found exactly, from few values a step."""
+    r = np.random.default_rng(5)
+    rows = spark.createDataFrame([(i, float(x)) for i, x in enumerate(np.round(0.7 + r.integers(0, 900_000, 9000) * 1e-12, 12))] + [(9000 + i, 0.700000000005) for i in range(3000)], "row_id long, x double").repartition(4)
+    asked = spark.createDataFrame([(1, "zz"), (2, "zz")], "query_id long, text string").collect()
+    scores = lambda table: np.stack([table["x"].to_numpy(), -table["x"].to_numpy()])
+    every = np.sort([x.x for x in rows.collect()])
+    for keep in (0.6, 0.0, 0.999, 1.0):
+        place = min(math.floor(len(every) * (1 - keep)) + 1, len(every))
+        got = search.percentile_cut(rows, asked, keep, scores)
+        assert got[1] == pytest.approx(every[::-1][place - 1], abs=1e-13) and got[2] == pytest.approx(-every[place - 1], abs=1e-13)
+    with pytest.raises(ValueError):
+        search.percentile_cut(rows, asked, 0.6, lambda t: scores(t) * 9)
+
+
+@pytest.mark.parametrize("keep", [0.6, 0.97, 1.0])
+def test_files_search_needs_no_cutoff(spark, keep):
+    """Cut or not, the ranking is that of a plain version; with little to keep the cut is among the best rows."""
+    r = np.random.default_rng(6)
+    v = np.round(r.normal(size=(700, 3)), 2)
+    words = ["cat" if i % 9 == 0 else "dog" for i in range(700)]
+    media = spark.createDataFrame([(i, f"n{i}", x.tolist(), [0.0] * 3, w) for i, (x, w) in enumerate(zip(v, words))], "row_id long, filename string, embedding array<double>, phrase array<double>, ocr string").repartition(3)
+    q = r.normal(size=3)
+    asked = spark.createDataFrame([(1, "cat", q.tolist())], "query_id long, text string, vec array<double>")
+    base = np.round(v @ q / (np.linalg.norm(v, axis=1) * np.linalg.norm(q)), 12)
+    cut = np.sort(base)[::-1][min(math.floor(700 * (1 - keep)) + 1, 700) - 1]
+    share = np.array([w == "cat" for w in words])
+    kept = [i for i in range(700) if base[i] >= 0.04 and (base[i] >= cut or share[i])]
+    for k in (24, 96):
+        expect = sorted(kept, key=lambda i: (-(base[i] + 0.5 * share[i]), -base[i], i))[:k]
+        got = search.search_files(asked, media, k=k, keep=keep, diverse=False).orderBy("rank").collect()
+        assert [x.filename for x in got] == [f"n{i}" for i in expect]
+
+
 def test_diversify(spark):
     r = np.random.default_rng(4)
     rows = [(q, i + 1, f"f{i}", (r.normal(size=3) + [3 * (i % 2), 0, 0]).tolist(), "ab"[i % 2]) for q in range(6) for i in range(40)]
@@ -268,28 +338,16 @@ def test_utterances_or_chunks(spark):
     assert sorted((r.query_id, r.text) for r in dialogue.utterances_or_chunks(scoped, said, coarse).collect()) == [(1, "x"), (2, "Y")]
 
 
-def test_store(spark, tmp_path):
-    folder, kept = f"file://{tmp_path}/lib", f"file://{tmp_path}/snaps"
-    media = spark.createDataFrame([("a.png", "h1", "m"), ("b.mp4", None, "m")], "filename string, hash string, model_id string")
-    segments = spark.createDataFrame([("m", "b.mp4", 1.0, 2.0, 3), ("m", "b.mp4", -1.0, 2.0, 4), ("o", "b.mp4", 1.0, 1.0, 5)], "model_id string, filename string, t double, dur double, poster long")
-    assert store.read_library(spark, folder).count() == 0
-    store.write_library(spark, folder, {"media": media, "segments": segments})
-    assert sorted(r.filename for r in store.read_library(spark, folder).collect()) == ["a.png", "b.mp4"]
-    assert [r.poster for r in store.read_segments(spark, folder, "m").collect()] == [3]
-    assert store.create_snapshot(spark, folder, kept, "My First!") == "my-first"
-    for bad in ("My first", "", "!!", "x" * 61):
-        with pytest.raises(ValueError):
-            store.create_snapshot(spark, folder, kept, bad)
-    store.write_library(spark, folder, {"media": media.limit(0)})
-    assert store.read_library(spark, folder).count() == 0 and store.read_segments(spark, folder, "m").count() == 1
-    store.rename_snapshot(spark, kept, "my-first", "Second")
-    listed = store.list_snapshots(spark, kept).collect()
-    assert [(r.slug, r.name, r.n) for r in listed] == [("my-first", "Second", 2)]
-    missing = store.restore_snapshot(spark, folder, kept, "my-first", spark.createDataFrame([("a.png",)], "filename string"))
-    assert [r.filename for r in missing.collect()] == ["b.mp4"] and store.read_library(spark, folder).count() == 2
-    store.delete_snapshot(spark, kept, "my-first")
-    assert store.list_snapshots(spark, kept).count() == 0
-    assert store.plan_reembed(media, media.limit(0), None, 1, 2).select("reason").distinct().collect() == [("no meta",)]
+def test_reembed_plan(spark):
+    kind = "filename string, at long, embedding array<float>, phrase array<float>"
+    rows = [("a", 2, [0.0], [1.0]), ("a", 1, [1.0], [1.0]), ("b", 1, [1.0], None), ("c", 1, [0.0, 0.0], [1.0])]
+    cached, media = spark.createDataFrame(rows, kind), spark.createDataFrame([(x,) for x in "abcd"], "filename string")
+    plan = lambda meta: {r.filename: r.reason for r in store.plan_reembed(media, cached, meta, 1, 2).collect()}
+    good = {"code_version": 1, "dim": 2, "count": 4}
+    assert plan(good) == {"a": "reused", "b": "zero", "c": "zero", "d": "absent"}
+    for change, reason in (({"code_version": 2}, "code version"), ({"dim": 3}, "dim"), ({"count": 3}, "count")):
+        assert set(plan(good | change).values()) == {reason}
+    assert set(plan(None).values()) == {"no meta"}
 
 
 def test_scan_and_watch(spark, tmp_path):

@@ -45,19 +45,6 @@ def test_diversity(spark):
     assert got.where(F.col("filename").isin("f1", "f2", "f3", "f4")).count() == 4  # fewer than 3 differ: the list stays as it is
 
 
-def test_poison_stream(spark, tmp_path):
-    """The stream against the table version; all files may come in one micro-batch."""
-    from memquarry.streaming import arrivals as A
-
-    rows = arrivals.attempts(spark, SF)
-    rows.repartitionByRange(3, "seq").sortWithinPartitions("seq").write.parquet(str(tmp_path / "in"))
-    out = A.poison_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")))
-    A.append_children(out, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out")).select("path", "seq", "count", "skip")
-    expect = A.poison_state(rows)
-    assert got.count() == expect.count() and not got.exceptAll(expect).count()
-
-
 def test_calibrate(spark):
     """Worked by hand: ceiling 0.04 gives 0.08, above half of the weakest genuine match (0.06)."""
     from memquarry.operators.library import calibrate
