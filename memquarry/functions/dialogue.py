@@ -146,13 +146,18 @@ def snippet_around(text: Column, keys: Column, radius: int = 60) -> Column:
     return run(text, keys)
 
 
-def _literal_words(c: Column) -> Column:
+def literal_words(c: Column) -> Column:
     text = F.coalesce(c, F.lit(""))
     return F.array_union(F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: F.length(t) >= 2), cjk_bigrams(text))
 
 
 def literal_fraction(query: Column, text: Column) -> Column:
     """Share of the query's words that the text has: whole, or one the beginning of the other if both have three characters."""
+    return literal_share(literal_words(query), literal_words(text))
+
+
+def literal_share(tokens: Column, words: Column) -> Column:
+    """The same for words that are cut already."""
 
     def share(s: Column) -> Column:
         def found(t: Column) -> Column:
@@ -161,4 +166,4 @@ def literal_fraction(query: Column, text: Column) -> Column:
 
         return F.coalesce(F.size(F.filter(s["tokens"], found)) / F.nullif(F.size(s["tokens"]), F.lit(0)), F.lit(0.0))
 
-    return let(F.struct(_literal_words(query).alias("tokens"), _literal_words(text).alias("words")), share)
+    return let(F.struct(tokens.alias("tokens"), words.alias("words")), share)

@@ -70,6 +70,22 @@ def word_tokens(c: Column) -> Column:
     return _with_cjk(c, OTHER, 1, False)
 
 
+def token_sets(c: Column) -> Column:
+    """STRUCT<rank, ask, word>: the three kinds of tokens of a text at once. A text without CJK
+    characters is lower-cased once and cut once for `ask` and `word`."""
+
+    def sets(lower: Column) -> Column:
+        def plain(word: Column) -> Column:
+            rank = F.array_distinct(F.filter(F.split(lower, SPACE), lambda t: F.length(t) >= MIN_TOKEN))
+            return F.struct(rank.alias("rank"), F.filter(word, lambda t: F.length(t) >= MIN_TOKEN).alias("ask"), word.alias("word"))
+
+        cjk = F.struct(rank_tokens(lower).alias("rank"), ask_tokens(lower).alias("ask"), word_tokens(lower).alias("word"))
+        ascii_only = F.octet_length(lower) == F.length(lower)
+        return F.when(ascii_only | ~lower.rlike(f"[{CJK}]"), let(F.array_distinct(F.array_remove(F.split(lower, OTHER), "")), plain)).otherwise(cjk)
+
+    return let(F.lower(_text(c)), sets)
+
+
 def whitespace_tokens(c: Column, least: int = MIN_TOKEN) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(_text(c)), SPACE), lambda t: F.length(t) >= least))
 

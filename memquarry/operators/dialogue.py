@@ -6,12 +6,12 @@ segments(filename, t, dur, poster[, embedding]).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.dialogue import dialogue_keys, literal_fraction, snippet_around
+from ..functions.dialogue import dialogue_keys, literal_share, literal_words, snippet_around
 from .library import nearest_poster
-from .search import KEEP, MIN_SCORE, NOISE, NOISE_TOTAL, PER_VIDEO, SLOT, TOP_K, anew, best_rows, chunks, none, ranked, top, union
+from .search import KEEP, MIN_SCORE, NOISE, NOISE_TOTAL, PER_VIDEO, SLOT, TOP_K, anew, best_rows, chunks, none, ranked, stored, top, union
 
 # Seconds before a line that playing begins, seconds that words may be apart, characters
 # around a match, weights of the two sides of a moment, and the boost of literal words.
@@ -24,24 +24,78 @@ def valid_lines(lines: DataFrame) -> DataFrame:
     return lines.where((F.trim("text") != "") & F.col("t0").isNotNull() & F.col("t1").isNotNull() & (F.col("t1") > F.col("t0")) & F.col("filename").isNotNull())
 
 
-def exact_hits(queries: DataFrame, lines: DataFrame, seconds: float = NEAR) -> DataFrame:
+#: Folders that a stored index is dealt into by key.
+INDEX_BUCKETS = 64
+POSTINGS = "key string, filename string, t0 double, t1 double, line long, places array<int>, bucket int"
+FILMS = "key string, filename string, n long, bucket int"
+SPOKEN = "filename string, t0 double, t1 double, line long"
+#: Different keys of all queries up to which they are a filter on the scan.
+MANY_KEYS = 2000
+
+
+def dialogue_index(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(postings, films, spoken) of valid lines: for each key and line the places of the key among the
+    line's keys; for each key the films that have it, with the number of lines; lines with a key."""
+    spoken = valid_lines(lines).select("filename", "t0", "t1", F.col("line").cast("long").alias("line"), dialogue_keys(F.col("text")).alias("keys")).where(F.size("keys") > 0)
+    each = spoken.select("filename", "t0", "t1", "line", F.posexplode("keys").alias("place", "key"))
+    bucket = F.pmod(F.xxhash64("key"), F.lit(INDEX_BUCKETS)).cast("int").alias("bucket")
+    postings = each.groupBy("key", "filename", "t0", "t1", "line").agg(F.sort_array(F.collect_list("place")).alias("places")).withColumn("bucket", bucket)  # one line's words
+    films = postings.groupBy("key", "filename").agg(F.count("*").alias("n")).withColumn("bucket", bucket)
+    return postings, films, spoken.drop("keys")
+
+
+def write_dialogue_index(lines: DataFrame, path: str) -> None:
+    """Store the index: folders by bucket of key, each sorted by key and film, so that a search reads only
+    the folders of its keys and the row groups that hold them."""
+    spark = lines.sparkSession
+    postings, _, _ = dialogue_index(lines)
+    order = ["bucket", "key", "filename"]
+    postings.repartition("bucket", F.pmod(F.xxhash64("filename"), F.lit(8))).sortWithinPartitions(*order, "t0").write.partitionBy("bucket").parquet(f"{path}/postings")
+    stored = spark.read.schema(POSTINGS).parquet(f"{path}/postings")
+    films = stored.groupBy("bucket", "key", "filename").agg(F.count("*").alias("n"))
+    stored.select("filename", "t0", "t1", "line").distinct().repartitionByRange("filename").sortWithinPartitions("filename", "t0").write.parquet(f"{path}/spoken")
+    films.repartition("bucket").sortWithinPartitions(*order).write.partitionBy("bucket").parquet(f"{path}/films")
+
+
+def read_dialogue_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return tuple(spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in (("postings", POSTINGS), ("films", FILMS), ("spoken", SPOKEN)))
+
+
+def exact_hits(queries: DataFrame, lines: DataFrame | None, seconds: float = NEAR, index: tuple | None = None) -> DataFrame:
     """(query_id, filename, tier, line, t0, end, occ): 1 the query's keys in a row in one
     line; 2 all of them in one line or in lines that begin within `seconds`; 3 in one
     longer line. A window begins at any line and ends where the last key is first found.
 
-    Lines and queries meet on keys. Windows are joins on (film, stretch of `seconds`), so
-    that neither a long film nor a common word is one task."""
+    Films of a query's rarest key are asked for its other keys, and only films that have them
+    all are searched: common words are never met in films that lack a rare one. Windows are
+    joins on (film, stretch of `seconds`), so that no long film is one task. `index` is that of
+    `lines`, stored or made here."""
+    spark = queries.sparkSession
     asked = queries.select("query_id", dialogue_keys(F.coalesce("text", F.lit(""))).alias("wanted")).where(F.size("wanted") > 0)
-    spoken = valid_lines(lines).select("filename", F.struct("t0", "t1", F.col("line").cast("long").alias("line")).alias("at"), dialogue_keys(F.col("text")).alias("keys")).where(F.size("keys") > 0)
+    wanted = asked.select("query_id", F.size(F.array_distinct("wanted")).alias("different"), F.explode(F.array_distinct("wanted")).alias("key"))
+    postings, films, spoken = index or dialogue_index(lines)
+    keys = [r.key for r in wanted.select("key").distinct().limit(MANY_KEYS + 1).collect()]
+    if len(keys) <= MANY_KEYS:  # a filter that reaches the scan; with more keys the joins below do it alone
+        buckets = spark.createDataFrame([(k,) for k in keys], "key string").select(F.pmod(F.xxhash64("key"), F.lit(INDEX_BUCKETS)).cast("int").alias("b")).distinct()
+        some = F.col("bucket").isin([r.b for r in buckets.collect()]) & F.col("key").isin(keys)
+        postings, films = postings.where(some), films.where(some)
+    spread = films.groupBy("key").agg(F.count("*").alias("films")).join(wanted, "key")
+    complete = spread.groupBy("query_id", "different").agg(F.count("*").alias("known"), F.min_by("key", F.struct("films", "key")).alias("key")).where("known = different")
+    candidates = films.select("key", "filename").join(complete.select("query_id", "key", "different"), "key").select("query_id", "filename", "different")
+    asking = candidates.join(wanted.select("query_id", "key"), "query_id")
+    held = asking.join(films.select("key", "filename"), ["key", "filename"]).groupBy("query_id", "filename", "different").agg(F.count("*").alias("held")).where("held = different")
+    asking = held.select("query_id", "filename", "different").join(wanted.select("query_id", "key"), "query_id")
+    at = F.struct("t0", "t1", "line")
+    hits = asking.join(postings.select("key", "filename", at.alias("at"), "places"), ["key", "filename"]).select("query_id", "filename", "different", "key", "at", F.size("places").cast("long").alias("n"), "places")
+    # lines with all keys: is there a place from which on they come in a row?
+    full = hits.groupBy("query_id", "filename", "different", "at").agg(F.count("*").alias("has"), F.map_from_entries(F.collect_list(F.struct("key", "places"))).alias("places")).where("has = different").join(asked, "query_id")
+    follows = lambda p: F.forall(F.sequence(F.lit(0), F.size("wanted") - 1), lambda i: F.array_contains(F.col("places")[F.get("wanted", i)], p + i))
+    phrases = full.where(F.exists(F.col("places")[F.get("wanted", F.lit(0))], follows)).select("query_id", "filename", "at", F.size("wanted").alias("occ"))
     stretch = lambda c: F.floor(c / seconds).cast("long")
-    sep = "\x01"
-    joined = lambda c: F.concat(F.lit(sep), F.array_join(c, sep), F.lit(sep))
-    held = spoken.select("filename", "at", joined(F.col("keys")).alias("all"), F.explode("keys").alias("key")).groupBy("filename", "at", "all", "key").agg(F.count("*").alias("n"))
-    wanted = asked.select("query_id", F.size("wanted").alias("long"), F.size(F.array_distinct("wanted")).alias("different"), joined(F.col("wanted")).alias("phrase"), F.explode(F.array_distinct("wanted")).alias("key"))
-    hits = held.join(wanted, "key").select("query_id", "filename", "at", "key", "n", "different", "long", F.contains("all", F.col("phrase")).alias("in_a_row"))
-    phrases = hits.where("in_a_row").select("query_id", "filename", "at", F.col("long").alias("occ")).distinct()
-    starts = spoken.select("filename", F.col("at").alias("first"), F.explode(F.array(stretch(F.col("at.t0")), stretch(F.col("at.t0")) + 1)).alias("stretch"))
-    near = starts.join(hits.withColumn("stretch", stretch(F.col("at.t0"))), ["filename", "stretch"]).where((F.col("at") >= F.col("first")) & (F.col("at.t0") - F.col("first.t0") <= seconds))
+    hits = hits.drop("places")
+    starts = spoken.join(held.select("query_id", "filename"), "filename").select("query_id", "filename", at.alias("first"))
+    starts = starts.withColumn("stretch", F.explode(F.array(stretch(F.col("first.t0")), stretch(F.col("first.t0")) + 1)))
+    near = starts.join(hits.withColumn("stretch", stretch(F.col("at.t0"))), ["query_id", "filename", "stretch"]).where((F.col("at") >= F.col("first")) & (F.col("at.t0") - F.col("first.t0") <= seconds))
     per = near.groupBy("query_id", "filename", "first", "different").agg(F.collect_list(F.struct("key", "at", "n")).alias("found"))  # the lines of a few seconds
     keys = F.array_distinct(F.transform("found", lambda x: x["key"]))
     ends = F.transform(keys, lambda k: F.array_min(F.transform(F.filter("found", lambda x: x["key"] == k), lambda x: x["at"])))
@@ -57,10 +111,10 @@ def exact_hits(queries: DataFrame, lines: DataFrame, seconds: float = NEAR) -> D
     return anew(lone).unionByName(anew(windows)).select("query_id", "filename", "tier", F.col("first.line").alias("line"), F.col("first.t0").alias("t0"), "end", "occ")
 
 
-def search_dialogue(queries: DataFrame, lines: DataFrame, segments: DataFrame | None = None, k: int = TOP_K, per_video: int = PER_VIDEO, pre_roll: float = PRE_ROLL, seconds: float = NEAR, radius: int = RADIUS) -> DataFrame:
+def search_dialogue(queries: DataFrame, lines: DataFrame, segments: DataFrame | None = None, k: int = TOP_K, per_video: int = PER_VIDEO, pre_roll: float = PRE_ROLL, seconds: float = NEAR, radius: int = RADIUS, index: tuple | None = None) -> DataFrame:
     """Exact hits in order of tier, occurrences, span and time; one a film, tier and
     second, some a film, k in all, with a score, the words around and the nearest poster."""
-    hits = exact_hits(queries, lines, seconds).withColumn("span", F.col("end") - F.col("t0"))
+    hits = exact_hits(queries, lines, seconds, index).withColumn("span", F.col("end") - F.col("t0"))
     order = [F.col("tier"), F.col("occ").desc(), F.col("span"), F.col("t0"), F.col("filename"), F.col("line")]
     first = F.row_number().over(Window.partitionBy("query_id", "filename", "tier", F.floor("t0")).orderBy(*order))
     hits = hits.withColumn("nth", first).where("nth = 1")
@@ -128,14 +182,18 @@ def text_hits(queries: DataFrame, stretches: DataFrame, k: int = TOP_K, min_scor
     from .search import _rounded_cosines
 
     tie = F.concat_ws("\x01", "filename", F.format_string("%015.3f", (F.col("t0") + F.col("t1")) / 2), F.lpad(F.col("line").cast("string"), 12, "0"))
-    rows = valid_lines(stretches).select("filename", "t0", "t1", "text", "embedding", tie.alias("tie"))
+    rows = valid_lines(stretches).withColumn("_row", F.xxhash64("filename", "line", "t0", "t1", "text")).withColumn("tie", tie)
+    vectors = rows.select("_row", "filename", "t0", "t1", *stored(rows, "embedding"), "tie")  # texts are fetched for what is found, and cut once each
     parts = []
     for asked in chunks(queries.select("query_id", "vec")):
-        parts.append(best_rows(rows, [r.query_id for r in asked], _floored(_rounded_cosines(asked), min_score), [], ["filename", "t0", "t1", "text", "tie"], "tie", 8 * top(k)))
+        parts.append(best_rows(vectors, [r.query_id for r in asked], _floored(_rounded_cosines(asked), min_score), [], ["_row", "filename", "t0", "t1", "tie"], "tie", 8 * top(k)))
     if not parts:
         return none(queries, "query_id long, filename string, t double, dur double, snippet string, literal double, score double")
-    found = ranked(union(parts), 8 * top(k), F.col("score").desc(), F.col("tie")).join(queries.select("query_id", F.col("text").alias("asked")), "query_id")
-    return found.select("query_id", "filename", ((F.col("t0") + F.col("t1")) / 2).alias("t"), F.greatest(F.lit(0.5), F.col("t1") - F.col("t0")).alias("dur"), F.substring("text", 1, CHUNK_SNIPPET).alias("snippet"), literal_fraction(F.col("asked"), F.col("text")).alias("literal"), "score")
+    found = ranked(union(parts), 8 * top(k), F.col("score").desc(), F.col("tie"))
+    lines = rows.select("_row", "text").join(found.select("_row").distinct(), "_row", "left_semi").dropDuplicates(["_row"])
+    lines = lines.select("_row", F.substring("text", 1, CHUNK_SNIPPET).alias("snippet"), literal_words(F.col("text")).alias("words"))
+    found = found.join(lines, "_row").join(queries.select("query_id", literal_words(F.col("text")).alias("asked")), "query_id")
+    return found.select("query_id", "filename", ((F.col("t0") + F.col("t1")) / 2).alias("t"), F.greatest(F.lit(0.5), F.col("t1") - F.col("t0")).alias("dur"), "snippet", literal_share(F.col("asked"), F.col("words")).alias("literal"), "score")
 
 
 def rank_dialogue(queries: DataFrame, stretches: DataFrame, segments: DataFrame | None = None, k: int = TOP_K, min_score: float = MIN_SCORE, keep: float = KEEP) -> DataFrame:

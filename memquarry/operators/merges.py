@@ -65,17 +65,24 @@ def scenes_and_share(queries: DataFrame, segments: DataFrame) -> tuple[DataFrame
     return search.best_scene(queries, segments), share
 
 
-def rank_hybrid(queries: DataFrame, media: DataFrame, k: int = TOP_K, min_score: float = 0.0, keep: float = KEEP) -> DataFrame:
-    """The older ranking: words anywhere in the text count in the score, and the cutoff is a share of the best. Ties: row_id."""
-    rows = media.select("row_id", "filename", "embedding", "phrase", "ocr").withColumn("_words", search.phrase_tokens(F.col("filename"))).withColumn("_name", F.lower("filename"))
+def rank_hybrid(queries: DataFrame, media: DataFrame, k: int = TOP_K, min_score: float = 0.0, keep: float = KEEP, diverse: bool = False) -> DataFrame:
+    """The older ranking: words anywhere in the text count in the score, and the cutoff is a share of
+    the best. If diverse, near copies are left out of the first CANDIDATES above the cutoff. Ties: row_id."""
+    wanted = search.CANDIDATES if diverse else top(k)
+    rows = media.select("row_id", "filename", *search.stored(media, "embedding", "phrase"), "ocr").withColumn("_words", search.phrase_tokens(F.col("filename"))).withColumn("_name", F.lower("filename"))
     parts = []
     for asked in chunks(search.with_pieces(queries, rank_tokens(F.col("text"))).select("query_id", "vec", "tokens", "pieces")):
-        parts.append(search.best_rows(search.with_words(rows, "ocr", asked), [r.query_id for r in asked], _hybrid(asked), [], ["row_id", "filename"], "row_id", top(k)))
+        parts.append(search.best_rows(search.with_words(rows, "ocr", asked), [r.query_id for r in asked], _hybrid(asked), [], ["row_id", "filename", *(["embedding"] if diverse else [])], "row_id", wanted))
     if not parts:
         return none(queries, "query_id long, rank int, filename string, score double")
-    found = ranked(union(parts), top(k), F.col("score").desc(), F.col("row_id"))
-    best = F.max("score").over(Window.partitionBy("query_id"))  # k rows a query
-    return found.withColumn("best", best).where((F.col("best") >= min_score) & (F.col("score") >= F.greatest(F.lit(min_score), F.col("best") * keep))).select("query_id", "rank", "filename", "score")
+    found = ranked(union(parts), wanted, F.col("score").desc(), F.col("row_id"))
+    best = F.max("score").over(Window.partitionBy("query_id"))  # `wanted` rows a query
+    found = found.withColumn("best", best).where((F.col("best") >= min_score) & (F.col("score") >= F.greatest(F.lit(min_score), F.col("best") * keep)))
+    if diverse:
+        row = F.col("row_id").cast("string")
+        chosen = diversify(found.select("query_id", "rank", row.alias("filename"), "embedding"), top(k)).select("query_id", F.col("rank").alias("place"), F.col("filename").alias("row"))
+        found = found.withColumn("row", row).join(chosen, ["query_id", "row"]).drop("rank").withColumnRenamed("place", "rank")
+    return found.select("query_id", "rank", "filename", "score")
 
 
 def _hybrid(asked: list):
@@ -101,7 +108,10 @@ def _diverse(k: int, threshold: float, grouped: bool):
         import numpy as np
 
         rows = rows.sort_values("rank")
-        v = np.stack(rows["embedding"].to_list()).astype(float)
+        vectors = [() if x is None else x for x in rows["embedding"]]
+        v = np.zeros((len(vectors), max(1, *map(len, vectors)) if len(vectors) > 1 else max(1, len(vectors[0]))))
+        for i, x in enumerate(vectors):  # rows without a vector are near to none
+            v[i, : len(x)] = x
         v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
         of, taken = rows["grp"].to_numpy(object), []
         for i in range(len(v)):
@@ -131,7 +141,7 @@ def _weighted(asked: list):
     import numpy as np
 
     vectors = search.Vectors(asked)
-    return lambda table: {"score": np.round(TEXT_WEIGHT * vectors.cosines(table["embedding"]) + HEADING_WEIGHT * vectors.cosines(table["heading"]), 9)}
+    return lambda table: {"score": np.round(TEXT_WEIGHT * vectors.cosines(table, "embedding") + HEADING_WEIGHT * vectors.cosines(table, "heading"), 9)}
 
 
 def compare_runs(a: DataFrame, b: DataFrame, k: int = TOP_K) -> DataFrame:

@@ -83,19 +83,25 @@ def padded(vectors: list, width: int) -> np.ndarray:
     return out
 
 
-def matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rows by width, norms) of a list column; shorter vectors end in zeros."""
+def stored(df: DataFrame, *vectors: str) -> list[str]:
+    """The vector columns, each with the norm that a library keeps beside it, if it does."""
+    return [c for v in vectors for c in (v, f"{v}_norm") if c == v or c in df.columns]
+
+
+def matrix(column: pa.Array, width: int, norms: pa.Array | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(rows by width, norms) of a list column; shorter vectors end in zeros. Norms that are given aren't worked out."""
+    known = None if norms is None else np.nan_to_num(pc.fill_null(norms, 0.0).to_numpy())
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy().astype(np.int64)
     flat = pc.fill_null(pc.cast(column.flatten(), pa.float64()), 0.0).to_numpy()
     if len(sizes) and (sizes == width).all():
         out = flat.reshape(-1, width)
-        return out, np.sqrt(np.einsum("ij,ij->i", out, out))
+        return out, np.sqrt(np.einsum("ij,ij->i", out, out)) if known is None else known
     row = np.repeat(np.arange(len(sizes)), sizes)
     place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     out, some = np.zeros((len(sizes), width)), place < width
     out[row[some], place[some]] = flat[some]
-    return out, np.sqrt(np.bincount(row, flat * flat, len(sizes)))
+    return out, np.sqrt(np.bincount(row, flat * flat, len(sizes))) if known is None else known
 
 
 class Vectors:
@@ -109,9 +115,10 @@ class Vectors:
     def dots(self, column) -> np.ndarray:
         return self.q @ matrix(column, self.width)[0].T
 
-    def cosines(self, column) -> np.ndarray:
-        """Queries by rows."""
-        x, n = matrix(column, self.width)
+    def cosines(self, table, vector: str) -> np.ndarray:
+        """Queries by rows; with the norms of the table, if it has them."""
+        norms = f"{vector}_norm"
+        x, n = matrix(table[vector], self.width, table[norms] if norms in table.column_names else None)
         both = self.norm[:, None] * n[None]
         return np.divide(self.q @ x.T, both, out=np.zeros(both.shape), where=both > 0)
 
@@ -233,10 +240,10 @@ class FileScores:
         self.vectors, self.tokens = Vectors(asked), Tokens(asked)
 
     def __call__(self, table) -> dict:
-        semantic = self.vectors.cosines(table["embedding"])
+        semantic = self.vectors.cosines(table, "embedding")
         named = [[self.tokens.place[w] for w in words or () if w in self.tokens.place] for words in table["_words"].to_pylist()]
         gate = self.tokens.hits(named) > 0
-        phrase = np.where(gate, np.maximum(0.0, PHRASE_BOOST * (self.vectors.cosines(table["phrase"]) - semantic)), 0.0)
+        phrase = np.where(gate, np.maximum(0.0, PHRASE_BOOST * (self.vectors.cosines(table, "phrase") - semantic)), 0.0)
         by_name = FILENAME_BOOST * self.tokens.share(self.tokens.contained(table["_name"].to_pylist()))
         # rounded, so that a row has the same score in every pass over it
         return {"base": np.round(semantic + phrase + by_name, 12), "semantic": semantic, "phrase": phrase, "by_name": by_name}
@@ -303,7 +310,7 @@ def percentile_cut(rows: DataFrame, asked: list, keep: float, scores=None) -> di
 
 def percentile_cutoffs(queries: DataFrame, media: DataFrame, keep: float = KEEP) -> DataFrame:
     """(query_id, cut): the base score that a file must reach to be among a query's best `keep`."""
-    rows = media.select("embedding", "phrase", phrase_tokens(F.col("filename")).alias("_words"), F.lower("filename").alias("_name"))
+    rows = media.select(*stored(media, "embedding", "phrase"), phrase_tokens(F.col("filename")).alias("_words"), F.lower("filename").alias("_name"))
     cuts: dict = {}
     for asked in chunks(with_pieces(queries.where(F.trim("text") != ""), rank_tokens(F.col("text"))).select("query_id", "vec", "tokens", "pieces")):
         cuts |= percentile_cut(rows, asked, keep)
@@ -326,7 +333,7 @@ def search_files(queries: DataFrame, media: DataFrame, k: int = TOP_K, min_score
     above it: where as many rows as are wanted lie above, the best need no cutoff, and where
     fewer do, its place is among the best. Either way no pass over all scores looks for it."""
     k, names = top(k), ["semantic", "phrase", "by_name", "ocr"]
-    rows = media.select("row_id", "filename", "embedding", "phrase", "ocr").withColumn("_words", phrase_tokens(F.col("filename"))).withColumn("_name", F.lower("filename"))
+    rows = media.select("row_id", "filename", *stored(media, "embedding", "phrase"), "ocr").withColumn("_words", phrase_tokens(F.col("filename"))).withColumn("_name", F.lower("filename"))
     scored, parts, wanted = rows.drop("ocr"), [], CANDIDATES if diverse else k
     n = rows.count()
     place = min(math.floor(n * (1 - keep)) + 1, n)
@@ -471,12 +478,12 @@ def ocr_evidence(queries: DataFrame, media: DataFrame, k: int = 6) -> DataFrame:
 
 def _rounded_cosines(asked: list):
     vectors = Vectors(asked)
-    return lambda table: {"score": np.round(vectors.cosines(table["embedding"]), 9)}
+    return lambda table: {"score": np.round(vectors.cosines(table, "embedding"), 9)}
 
 
 def vector_topk(queries: DataFrame, rows: DataFrame, k: int = TOP_K) -> DataFrame:
     """Ties: vec_id."""
-    rows = rows.select("vec_id", "embedding")
+    rows = rows.select("vec_id", *stored(rows, "embedding"))
     found = [best_rows(rows, [r.query_id for r in asked], _rounded_cosines(asked), [], ["vec_id"], "vec_id", top(k)) for asked in chunks(queries.select("query_id", "vec"))]
     if not found:
         return none(queries, "query_id long, rank int, vec_id long, score double")
@@ -537,10 +544,10 @@ def _totals(rows: DataFrame, asked: list) -> dict:
 def search_scenes(queries: DataFrame, segments: DataFrame, k: int = TOP_K, min_score: float = MIN_SCORE, keep: float = KEEP, slots: bool = True, noise: float = NOISE) -> DataFrame:
     """Segments above the floor, one a slot, above a share of the best; nothing if too
     large a share of all segments is above that; some a video; the k best."""
-    rows = segments.select("filename", "t", "dur", "poster", "embedding").withColumn("slot", F.floor(F.col("t") / SLOT))
+    rows = segments.select("filename", "t", "dur", "poster", *stored(segments, "embedding")).withColumn("slot", F.floor(F.col("t") / SLOT))
     by, parts = ["filename", "slot"] if slots else ["filename", "t", "poster"], []
     for asked in chunks(queries.select("query_id", "vec")):
-        totals = _totals(rows.select("embedding"), asked)
+        totals = _totals(rows.select(*stored(rows, "embedding")), asked)
         cut = np.array([max(min_score, totals.get(r.query_id, (0, 0.0))[1] * keep) for r in asked])
         spark = rows.sparkSession
         number = spark.createDataFrame([(r.query_id, totals.get(r.query_id, (0, 0.0))[0]) for r in asked], "query_id long, total long")
@@ -557,7 +564,7 @@ def search_scenes(queries: DataFrame, segments: DataFrame, k: int = TOP_K, min_s
 
 def best_scene(queries: DataFrame, segments: DataFrame) -> DataFrame:
     """For each query and file its best segment, the earliest of equals."""
-    rows = segments.select("filename", "t", "dur", "poster", "embedding")
+    rows = segments.select("filename", "t", "dur", "poster", *stored(segments, "embedding"))
     parts = [_grouped(rows, asked, np.full(len(asked), -np.inf), ["filename"]) for asked in chunks(queries.select("query_id", "vec"))]
     if not parts:
         return none(queries, "query_id long, filename string, t double, poster long, score double")

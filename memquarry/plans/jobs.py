@@ -31,16 +31,15 @@ def emails_per_file(spark: SparkSession, d: str) -> DataFrame:
 
 # --- recognised words ---------------------------------------------------------------
 
-#: The first 40 words of a text as if they had been recognised.
-WORDS = """w AS (SELECT doc_id, i, t, 60 + (i * 7 + doc_id) % 41 AS conf, (i % 8) * 120.0 - 20 AS x0, (i // 8) * 50.0 AS y0, (i % 8) * 120.0 + 60 AS x1, (i // 8) * 50.0 + 30 * (i % 5) AS y1
-  FROM (SELECT doc_id, unnest(range(least(40, len(ws)))) AS i, ws, ws[i + 1] AS t FROM (SELECT doc_id, list_filter(string_split(coalesce(text, ''), ' '), lambda x: x <> '') AS ws FROM documents)))"""
+#: The words of a text as if they had been recognised, in rows of eight, forty-eight to a screen.
+WORDS = """w AS (SELECT doc_id, i, t, 60 + (i * 7 + doc_id) % 41 AS conf, (i % 8) * 120.0 - 20 AS x0, (i // 8 % 6) * 50.0 AS y0, (i % 8) * 120.0 + 60 AS x1, (i // 8 % 6) * 50.0 + 30 * (i % 5) AS y1
+  FROM (SELECT doc_id, unnest(range(len(ws))) AS i, ws, ws[i + 1] AS t FROM (SELECT doc_id, list_filter(string_split(coalesce(text, ''), ' '), lambda x: x <> '') AS ws FROM documents)))"""
 REAL = "length(regexp_replace(t, '[^\\p{L}\\p{N}]', '', 'g')) >= 2 AND regexp_matches(t, '\\p{L}')"
 
 
 def recognised(spark: SparkSession, d: str) -> DataFrame:
-    docs = views.table(spark, d, "documents").select("doc_id", F.slice(F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda x: x != ""), 1, 40).alias("ws"))
-    i = F.col("i")
-    at = lambda word, i: F.struct(word.alias("text"), (60 + (i * 7 + F.col("doc_id")) % 41).cast("double").alias("confidence"), ((i % 8) * 120.0 - 20).alias("x0"), (F.floor(i / 8) * 50.0).alias("y0"), ((i % 8) * 120.0 + 60).alias("x1"), (F.floor(i / 8) * 50.0 + 30.0 * (i % 5)).alias("y1"))
+    docs = views.table(spark, d, "documents").select("doc_id", F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda x: x != "").alias("ws"))
+    at = lambda word, i: F.struct(word.alias("text"), (60 + (i * 7 + F.col("doc_id")) % 41).cast("double").alias("confidence"), ((i % 8) * 120.0 - 20).alias("x0"), (F.floor(i / 8) % 6 * 50.0).alias("y0"), ((i % 8) * 120.0 + 60).alias("x1"), (F.floor(i / 8) % 6 * 50.0 + 30.0 * (i % 5)).alias("y1"))
     return docs.select(F.col("doc_id").cast("string").alias("filename"), F.transform("ws", at).alias("words"), F.lit(900).alias("width"), F.lit(300).alias("height"), F.lit(None).cast("string").alias("raw"))
 
 
@@ -78,13 +77,13 @@ def plan_metadata(spark: SparkSession, d: str) -> DataFrame:
     return ocr.plan_metadata(m, m.select("filename", F.when(r % 4 == 0, (r * 2).cast("double")).alias("source_mtime"), (r * 3).cast("double").alias("copy_mtime")))
 
 
-@query(f"""WITH {MEDIA}, q AS (SELECT *, split_part(coalesce(ocr, ''), ' ', 1) || ' ' || split_part(coalesce(ocr, ''), ' ', 3) AS asked, list_filter(string_split(coalesce(ocr, ''), ' '), lambda x: x <> '')[1:40] AS ws FROM media),
+@query(f"""WITH {MEDIA}, q AS (SELECT *, split_part(coalesce(ocr, ''), ' ', 1) || ' ' || split_part(coalesce(ocr, ''), ' ', 3) AS asked, list_filter(string_split(coalesce(ocr, ''), ' '), lambda x: x <> '') AS ws FROM media),
 t AS (SELECT *, list_distinct(list_filter(flatten(list_transform(list_filter(regexp_split_to_array(lower(asked), '\\s+'), lambda x: length(x) >= 2), lambda x: regexp_split_to_array(x, '[^\\p{{L}}\\p{{N}}]+'))), lambda x: x <> '')) AS tokens FROM q)
 SELECT row_id, len(list_filter(ws, lambda w: len(list_intersect(tokens, list_filter(regexp_split_to_array(lower(w), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''))) > 0)) AS hits,
 len(list_filter(ws, lambda w: len(list_filter(tokens, lambda k: contains(lower(w), k))) > 0)) AS parts FROM t""")
 def highlight_words(spark: SparkSession, d: str) -> DataFrame:
     text = F.coalesce("ocr", F.lit(""))
-    words = F.transform(F.slice(F.filter(F.split(text, " "), lambda x: x != ""), 1, 40), lambda x: F.struct(x.alias("text")))
+    words = F.transform(F.filter(F.split(text, " "), lambda x: x != ""), lambda x: F.struct(x.alias("text")))
     m = views.media(spark, d).select("row_id", F.concat(F.coalesce(F.get(F.split(text, " "), F.lit(0)), F.lit("")), F.lit(" "), F.coalesce(F.get(F.split(text, " "), F.lit(2)), F.lit(""))).alias("asked"), words.alias("words"))
     return m.select("row_id", F.size(EV.highlight_words(F.col("asked"), F.col("words"))).cast("long").alias("hits"), F.size(EV.highlight_words(F.col("asked"), F.col("words"), True)).cast("long").alias("parts"))
 

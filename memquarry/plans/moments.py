@@ -128,6 +128,14 @@ def evidence(spark: SparkSession, d: str) -> DataFrame:
     return _evidence(spark, d).withColumn("score", F.round("score", 6))
 
 
+@query(f"""WITH a AS ({sql_of("ocr_evidence")}), b AS ({sql_of("keyword_evidence")}) SELECT query_id, rank, filename, score, snippet FROM a UNION ALL SELECT query_id, rank, filename, score, NULL FROM b""")
+def evidence_rows(spark: SparkSession, d: str) -> DataFrame:
+    """All rows of evidence of the kinds, one table after the other."""
+    q, m = views.queries(spark, d), views.media(spark, d)
+    said = spark.createDataFrame([], "query_id long, rank int, filename string, score double")
+    return EV.concat_evidence(said, S.ocr_evidence(q, m, 6), S.keyword_evidence(q, m, 4)).select("query_id", "rank", "filename", "score", "snippet")
+
+
 @query(f"""WITH {QUERIES}, {EVIDENCE}, lines AS (SELECT query_id, string_agg('[' || position || '] ' || CASE kind WHEN 'dialogue' THEN 'Spoken in "' || filename || '" at ' || lpad(CAST(CAST(floor(t) AS BIGINT) // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(CAST(floor(t) AS BIGINT) % 60 AS VARCHAR), 2, '0') || ': "' || text || '"'
   WHEN 'ocr' THEN 'Text on "' || filename || '": "' || text || '"' ELSE 'File named "' || filename || '"' END, chr(10) ORDER BY position) AS block FROM evidence WHERE position <= CASE WHEN tier = 'wide' THEN 16 ELSE 12 END GROUP BY 1)
 SELECT query_id, 'Question: ' || trim(q.text) || chr(10) || chr(10) || 'Evidence:' || chr(10) || coalesce(block, '(none)') AS user FROM queries q LEFT JOIN lines USING (query_id)""")

@@ -146,17 +146,22 @@ def drop_known_content(spark: SparkSession, d: str) -> DataFrame:
 
 OVERRIDES = "overrides AS (SELECT hash, CASE WHEN min(row_id) % 2 = 0 THEN 'Projects' ELSE 'Screenshots' END AS override FROM media WHERE source = 'src3' GROUP BY 1)"
 CATEGORY = """CASE WHEN regexp_matches(filename, '\\.mp4$') THEN 'Videos' WHEN override IS NOT NULL THEN override WHEN contains(filename, 'screenshot') THEN 'Screenshots' ELSE 'Projects' END"""
+#: Where files came from and what their own metadata says.
+ORIGIN = "origins AS (SELECT *, CASE row_id % 11 WHEN 3 THEN '/home/u/Screenshots/' || filename WHEN 5 THEN 'C:\\\\u\\\\Screenshots\\\\' || filename WHEN 7 THEN '/home/u/my screenshots old/' || filename END AS path, CASE WHEN row_id % 13 < 2 THEN row_id % 13 = 1 END AS hint FROM media)"
 
 
 def _overrides(m: DataFrame) -> DataFrame:
     return m.where("source = 'src3'").groupBy("hash").agg(F.when(F.min("row_id") % 2 == 0, "Projects").otherwise("Screenshots").alias("override"))
 
 
-@query(f"""WITH {MEDIA}, {OVERRIDES} SELECT row_id, filename, {CATEGORY} AS category FROM media LEFT JOIN overrides USING (hash)""")
+@query(f"""WITH {MEDIA}, {OVERRIDES}, {ORIGIN} SELECT row_id, filename, CASE WHEN {CATEGORY} = 'Projects' AND override IS NULL AND (coalesce(hint, false) OR row_id % 11 IN (3, 5)) THEN 'Screenshots' ELSE {CATEGORY} END AS category FROM origins LEFT JOIN overrides USING (hash)""")
 def categories(spark: SparkSession, d: str) -> DataFrame:
+    """By ending, decisions by hand, names, folders (of either kind of separator) and hints."""
     m = views.media(spark, d)
+    r, name = F.col("row_id"), F.col("filename")
+    path = F.when(r % 11 == 3, F.concat(F.lit("/home/u/Screenshots/"), name)).when(r % 11 == 5, F.concat(F.lit("C:\\u\\Screenshots\\"), name)).when(r % 11 == 7, F.concat(F.lit("/home/u/my screenshots old/"), name))
     both = m.join(_overrides(m), "hash", "left")
-    return both.select("row_id", "filename", M.category(F.col("filename"), F.lit(None).cast("string"), F.lit(None).cast("boolean"), F.col("override")).alias("category"))
+    return both.select("row_id", "filename", M.category(name, path, F.when(r % 13 < 2, r % 13 == 1), F.col("override")).alias("category"))
 
 
 @query(f"""WITH {MEDIA}, {OVERRIDES}, c AS (SELECT ocr, {CATEGORY} AS category FROM media LEFT JOIN overrides USING (hash))
@@ -192,10 +197,11 @@ def tolerance_diff(spark: SparkSession, d: str) -> DataFrame:
     return L.tolerance_diff(s.select("filename", "t"), s.select("filename", (F.col("t") + F.col("poster") % 3 * 0.75).alias("t")))
 
 
-@query(f"""WITH {QUERIES}, b AS (SELECT query_id, greatest(max(list_dot_product(vec, CAST(embedding AS DOUBLE[]))), 0.0) AS best FROM queries CROSS JOIN embeddings WHERE query_id % 2 = 0 GROUP BY 1)
+@query(f"""WITH {QUERIES}, b AS (SELECT query_id, greatest(max(list_dot_product(vec, CAST(embedding AS DOUBLE[]))), 0.0) AS best FROM queries CROSS JOIN embeddings GROUP BY 1)
 SELECT round(least(0.1, greatest(0.01, 2 * max(best))), 4) AS min_score, CAST(0.6 AS DOUBLE) AS keep FROM b""")
 def calibrate(spark: SparkSession, d: str) -> DataFrame:
-    return L.calibrate(views.table(spark, d, "embeddings"), views.queries(spark, d).where("query_id % 2 = 0"))
+    """All queries as noise."""
+    return L.calibrate(views.table(spark, d, "embeddings"), views.queries(spark, d))
 
 
 @query(f"""WITH {QUERIES}, b AS (SELECT query_id, greatest(max(list_dot_product(vec, CAST(embedding AS DOUBLE[]))), 0.0) AS best FROM queries CROSS JOIN embeddings GROUP BY 1),
@@ -279,12 +285,26 @@ def assign_names(spark: SparkSession, d: str) -> DataFrame:
     return L.assign_names(m.select("row_id", F.concat("source", F.lit(".png")).alias("name")), held)
 
 
-@query("""SELECT doc_id, len(list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: length(x) >= 2))) AS n_rank,
-len(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: length(x) >= 2))) AS n_ask,
-len(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: length(x) >= 1))) AS n_word FROM documents""")
+@query("""WITH t AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: length(x) >= 2)) AS rank,
+list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: length(x) >= 1)) AS word FROM documents),
+s AS (SELECT doc_id, list_sort(rank) AS rank, list_sort(list_filter(word, lambda x: length(x) >= 2)) AS ask, list_sort(word) AS word FROM t)
+SELECT doc_id, len(rank) AS n_rank, len(ask) AS n_ask, len(word) AS n_word, md5(array_to_string(rank, ' ')) AS rank, md5(array_to_string(ask, ' ')) AS ask, md5(array_to_string(word, ' ')) AS word FROM s""")
 def token_functions(spark: SparkSession, d: str) -> DataFrame:
-    t, n = F.col("text"), lambda c: F.size(c).cast("long")
-    return views.table(spark, d, "documents").select("doc_id", n(T.rank_tokens(t)).alias("n_rank"), n(T.ask_tokens(t)).alias("n_ask"), n(T.word_tokens(t)).alias("n_word"))
+    """Numbers of tokens of three kinds, and the tokens themselves, sorted, as a hash."""
+    sets = views.table(spark, d, "documents").select("doc_id", T.token_sets(F.col("text")).alias("t")).select("doc_id", "t.*")
+    n, same = lambda c: F.size(c).cast("long").alias(f"n_{c}"), lambda c: F.md5(F.array_join(F.sort_array(c), " ")).alias(c)
+    return sets.select("doc_id", n("rank"), n("ask"), n("word"), same("rank"), same("ask"), same("word"))
+
+
+@query(f"""WITH {MEDIA}, t AS (SELECT row_id, filename, ocr, list_distinct(list_filter([source, lang, 'screenshot', 'png'], lambda x: x <> '')) AS a, list_distinct(list_filter(regexp_split_to_array(lower(filename), '[^\\p{{L}}\\p{{N}}]+'), lambda x: length(x) >= 2)) AS b FROM media)
+SELECT row_id, len(list_filter(a, lambda x: contains(lower(filename), x))) / len(a) AS in_name, len(list_filter(a, lambda x: contains(lower(coalesce(ocr, '')), x))) / len(a) AS in_text,
+array_to_string(list_sort(list_distinct(list_concat(a, b))), ' ') AS either, array_to_string(list_sort(list_intersect(a, b)), ' ') AS both_ FROM t""")
+def token_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of a source against the name and the text of its files, and against the name's own tokens."""
+    a, name = F.array_distinct(F.array("source", "lang", F.lit("screenshot"), F.lit("png"))), T.ask_tokens(F.col("filename"))
+    joined = lambda c: F.array_join(F.sort_array(c), " ")
+    shares = [T.filename_match(a, F.col("filename")).alias("in_name"), T.text_match(a, F.col("ocr")).alias("in_text")]
+    return views.media(spark, d).select("row_id", *shares, joined(T.token_union(a, name)).alias("either"), joined(T.token_intersect(a, name)).alias("both_"))
 
 
 @query(f"""WITH {MEDIA} SELECT row_id, array_to_string(list_filter(regexp_split_to_array(regexp_replace(filename, '\\.[^.]+$', ''), '[._\\-\\s]+'), lambda x: x <> ''), ' ') AS phrase FROM media""")

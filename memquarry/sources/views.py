@@ -67,7 +67,7 @@ HAS_EMAIL = " OR ".join(
     for p in (rf"{_LOCAL}@{_LABEL}{_INNER}{_LAST}", rf"{_LOCAL}\s*{_AT}\s*{_LABEL}{_INNER}{_LAST}", rf"{_LOCAL}\s*\bat\b\s*{_LABEL}{_INNER}\s*{_DOT}\s*(?:{_LABEL}(?:\.|\s*{_DOT}\s*))*{_END}")
 )
 
-CHUNKS = """chunks AS (SELECT 'film-' || (vec_id % 20) || '.mp4' AS filename, vec_id // 20 AS line, CAST(7 * (vec_id // 20) + 1 AS DOUBLE) AS t0, CAST(7 * (vec_id // 20) + 6 AS DOUBLE) AS t1, left(coalesce(d.text, ''), 200) AS text, CAST(embedding AS DOUBLE[]) AS embedding
+CHUNKS = """chunks AS (SELECT 'film-' || (vec_id % 20) || '.mp4' AS filename, vec_id // 20 AS line, CAST(7 * (vec_id // 20) + 1 AS DOUBLE) AS t0, CAST(7 * (vec_id // 20) + 6 AS DOUBLE) AS t1, coalesce(d.text, '') AS text, CAST(embedding AS DOUBLE[]) AS embedding
   FROM embeddings JOIN (SELECT doc_id, text FROM documents) d ON d.doc_id = (vec_id * 3) % (SELECT count(*) FROM documents))"""
 
 
@@ -76,4 +76,4 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     n, at = docs.count(), F.floor(F.col("vec_id") / 20)
     e = table(spark, sf_dir, "embeddings").withColumn("doc_id", F.col("vec_id") * 3 % n).join(docs.select("doc_id", "text"), "doc_id")
-    return e.select(F.concat(F.lit("film-"), F.col("vec_id") % 20, F.lit(".mp4")).alias("filename"), at.alias("line"), (at * 7 + 1).cast("double").alias("t0"), (at * 7 + 6).cast("double").alias("t1"), F.substring(F.coalesce("text", F.lit("")), 1, 200).alias("text"), "embedding")
+    return e.select(F.concat(F.lit("film-"), F.col("vec_id") % 20, F.lit(".mp4")).alias("filename"), at.alias("line"), (at * 7 + 1).cast("double").alias("t0"), (at * 7 + 6).cast("double").alias("t1"), F.coalesce("text", F.lit("")).alias("text"), "embedding")

@@ -90,6 +90,24 @@ def test_dialogue(spark):
     assert (party.poster, party.label, party.snippet[party.match_start :][: party.match_len]) == (7, "Exact line", "the")
 
 
+def test_dialogue_index(spark, tmp_path):
+    """A stored index gives the same hits; it is read by key, and films that lack a key go before places are read."""
+    r = random.Random(6)
+    words = "love night party young guys won the all you never rare".split()
+    rows = [(f"f{i % 7}.mp4", i, t := r.randint(0, 90) / 2, t + r.choice([2.0, 4.0, 12.0]), " ".join(r.choice(words[: 10 if i % 7 else 11]) for _ in range(r.randint(0, 7)))) for i in range(300)]
+    lines = spark.createDataFrame(rows, "filename string, line long, t0 double, t1 double, text string")
+    queries = spark.createDataFrame(list(enumerate(["the rare night", "love", "you you never", "rare rare", "unheard love", "all guys won", "never never never"])), "query_id long, text string")
+    dialogue.write_dialogue_index(lines, f"{tmp_path}/index")
+    index = dialogue.read_dialogue_index(spark, f"{tmp_path}/index")
+    stored = dialogue.exact_hits(queries, None, index=index)
+    assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, dialogue.exact_hits(queries, lines).collect())) and stored.count() > 50
+    assert {x.filename for x in stored.where("query_id IN (0, 3)").collect()} == {"f0.mp4"} and not stored.where("query_id = 4").count()
+    plan = stored._jdf.queryExecution().executedPlan().toString()
+    assert "In(key, [" in plan and "PartitionFilters: [bucket" in plan and " all#" not in plan
+    shown = dialogue.search_dialogue(queries, lines, index=index).orderBy("query_id", "rank").collect()
+    assert shown == dialogue.search_dialogue(queries, lines).orderBy("query_id", "rank").collect()
+
+
 def test_exact_hits_of_a_long_line(spark):
     lines = spark.createDataFrame([("a.mp4", 0, 0.0, 30.0, "one two"), ("a.mp4", 1, 40.0, 41.0, "one"), ("a.mp4", 2, 47.0, 49.0, "two")], "filename string, line long, t0 double, t1 double, text string")
     got = dialogue.exact_hits(spark.createDataFrame([(1, "two one")], "query_id long, text string"), lines).collect()
@@ -299,6 +317,27 @@ def test_diversify(spark):
             assert len(got[got.query_id == q]) == (len(taken) if len(taken) >= 3 else 12)
 
 
+def test_hybrid_diversity(spark):
+    """The older ranking with near copies left out, against a plain loop; without the switch they stay."""
+    r = np.random.default_rng(9)
+    v = np.abs(r.normal(size=(120, 3)))
+    v[40:80] = v[:40] + 1e-3
+    rows = [(i, f"n{i}.png", None if i == 119 else x.tolist(), [0.0] * 3, "") for i, x in enumerate(v)]
+    media = spark.createDataFrame(rows, "row_id long, filename string, embedding array<double>, phrase array<double>, ocr string").repartition(3)
+    queries = spark.createDataFrame([(1, "zz", [1.0, 1.0, 1.0]), (2, "n119", [-1.0, 0.5, 0.1])], "query_id long, text string, vec array<double>")
+    all_, some = (merges.rank_hybrid(queries, media, k=12, keep=0.5, diverse=d).orderBy("query_id", "rank").toPandas() for d in (False, True))
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    score = unit @ (np.ones(3) / np.sqrt(3))
+    order = [i for i in sorted(range(119), key=lambda i: (-np.round(score[i], 12), i)) if score[i] >= 0.5 * score[:119].max()]
+    taken = []
+    for i in order:
+        if len(taken) < 12 and all(unit[i] @ unit[j] <= 0.92 for j in taken):
+            taken.append(i)
+    names = lambda df: df[df.query_id == 1].filename.tolist()
+    assert names(all_) == [f"n{i}.png" for i in order[:12]] and names(some) == [f"n{i}.png" for i in (taken if len(taken) >= 3 else order[:12])]
+    assert some[some.query_id == 1]["rank"].tolist() == list(range(1, len(names(some)) + 1)) and names(some) != names(all_)
+
+
 def test_evidence_numbers(spark):
     def table(n):
         return spark.createDataFrame([(q, i + 1, f"f{i}", 1.0) for q, m in enumerate(n) for i in range(m)], "query_id long, rank int, filename string, score double")

@@ -146,3 +146,20 @@ def test_failed_files_stay_out(spark, tmp_path):
     out = arrivals.import_batch(spark, batch, folder, {"query": "q", "batch": 0}, failed)
     assert {x.path: x.reason for x in out.collect()} == {"/in/0.png": None, "/in/1.png": "failed before", "/in/2.png": None, "/in/3.png": None}
     assert arrivals.import_batch(spark, batch, folder, {"query": "q", "batch": 0}, failed) is None and store.read_library(spark, folder).count() == 3
+
+
+def test_stored_norms(spark, tmp_path):
+    """Searches take the norms that the library keeps: results are the same, and other norms give others."""
+    from memquarry.operators import search
+
+    r = random.Random(2)
+    v = lambda: [round(r.gauss(0, 1), 3) for _ in range(4)]
+    plain = spark.createDataFrame([(f"{i}.png", "m", v(), v() if i % 3 else None, "") for i in range(60)], "filename string, model_id string, embedding array<float>, phrase array<float>, ocr string")
+    store.commit(spark, f"file://{tmp_path}", replace={"media": plain})
+    kept = store.read_library(spark, f"file://{tmp_path}")
+    number = F.regexp_extract("filename", r"\d+", 0).cast("long")
+    queries = spark.createDataFrame([(i, "7 png", v()) for i in range(5)], "query_id long, text string, vec array<double>")
+    found = lambda df: sorted(map(tuple, search.search_files(queries, df.withColumn("row_id", number)).withColumn("score", F.round("score", 5)).collect()))
+    assert found(kept) == found(plain) and found(kept.withColumn("embedding_norm", F.col("embedding_norm") * 2)) != found(plain)
+    topk = lambda df: sorted(map(tuple, search.vector_topk(queries, df.withColumn("vec_id", number)).withColumn("score", F.round("score", 5)).collect()))
+    assert topk(kept) == topk(plain)
