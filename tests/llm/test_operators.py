@@ -454,16 +454,44 @@ def test_language_by_hand():
 
 
 def test_samples_are_bounded(spark):
-    """Rows that repeat an id don't add to what is learned from, and languages are bounded."""
+    """Rows that repeat an id don't add to what is learned from; every language is learned, landmarks are bounded."""
     rows = [(i % 2, f"text {i} of words", f"l{i % 2}") for i in range(2000)] + [(10 + i, "ein wort", f"rare{i}") for i in range(9)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    model = language_id.train(docs, F.lit(True), per_language=5, most=2)
-    assert model["langs"] == ["l0", "l1"] and len(model["z"]) == 2
+    model = language_id.train(docs, F.lit(True), per_language=5, most=4)
+    assert model["langs"] == ["l0", "l1", *(f"rare{i}" for i in range(9))] and len(model["z"]) == 4
     labels = spark.createDataFrame([(0, 0, 0), (1, 1, 1)], "doc_id long, quality int, toxic int")
     assert quality.quality(docs, labels, F.lit(True)).count() == docs.count()
     assert toxicity.train(spark, docs, labels, F.lit(True))["curve"].shape == (3,)
 
 
+def test_many_languages(spark):
+    """300 languages: all are learned from sums of tasks, the driver holds no more landmarks than it may."""
+    r = random.Random(11)
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(1500)]
+    rows = [(300 * k + i, " ".join(r.choice(words[5 * i : 5 * i + 5]) for _ in range(12)), f"l{i:03}") for i in range(300) for k in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(6)
+    model = language_id.train(docs, F.col("doc_id") < 1800)
+    assert len(model["langs"]) == 300 and len(model["z"]) == 900 <= language_id.ALL_LANDMARKS
+    held = language_id.predict(docs.where("doc_id >= 1800"), model).join(docs.select("doc_id", "lang"), "doc_id")
+    assert held.where("lang_pred = lang").count() > 0.9 * 600
+
+
+def test_ridge_from_sums(spark):
+    """Sums of tasks give the coefficients of the ridge regression over all rows at once."""
+    rows = [(i, " ".join(random.Random(i).choice(WORDS) for _ in range(20)) + " " + "abc"[i % 3] * 3, "abc"[i % 3]) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = language_id.train(docs, F.lit(True), landmarks=10)
+    x, z = language_id.presence(pa.array([t for _, t, _ in rows])), model["z"]
+    values, vectors = np.linalg.eigh(language_id.kernel(z, z).astype(float))
+    half = vectors[:, values > values[-1] * 1e-6] / np.sqrt(values[values > values[-1] * 1e-6])
+    phi = np.c_[language_id.kernel(x, z) @ half, np.ones(len(x))]
+    target = np.where(np.array([i % 3 for i in range(90)])[:, None] == np.arange(3), 1.0, -1.0)
+    beta = np.linalg.solve(phi.T @ phi + language_id.RIDGE * 90 / 100 * np.eye(phi.shape[1]), phi.T @ target)
+    plain = phi @ beta
+    got = language_id.kernel(x, z) @ model["beta"] + model["bias"]
+    assert len(z) == 30 and np.allclose(got, plain, atol=1e-3)
+
+
 def test_mixing_dual(spark):
     """Rates of a source against its dual solved by bisection, and the same result however the rows are dealt."""
     r = np.random.default_rng(6)
