@@ -3,13 +3,13 @@
 What counts of a table is what its log's entries say: writers put data into folders that
 no entry names yet, then claim the next number with one entry. Of two writers that
 prepared the same number one gets it and the other is told (`Lost`), and a folder whose
-writer died before its entry is never read. Entries carry where they come from (a stream
-and its batch), so that a batch that is handed over again is known to be in.
+writer died before its entry is never read. Entries carry the last batch of each stream
+that is in (`seen`), so that a batch that is handed over again is known.
 
 A number is claimed by giving a finished file its final name without replacing one that
 is there: a hard link on local and mounted folders, a rename that doesn't overwrite on
-Hadoop's file systems. Entries are small (names of folders and sums); their number grows
-with the commits, not with the data, and `kept` bounds it.
+Hadoop's file systems. An entry names all folders that count from then on, so that the last
+one is enough to read a table; `forget` drops older ones with the folders that only they name.
 """
 
 from __future__ import annotations
@@ -107,9 +107,6 @@ class Log:
     def entry(self, number: int) -> dict:
         return json.loads(read_text(self.spark, f"{self.folder}/{number:010d}.json"))
 
-    def entries(self) -> list[dict]:
-        return [self.entry(n) for n in self.numbers()]
-
     def last(self) -> tuple[int, dict | None]:
         found = self.numbers()
         return (found[-1], self.entry(found[-1])) if found else (0, None)
@@ -121,6 +118,18 @@ class Log:
         if not claim(self.spark, made, f"{self.folder}/{number:010d}.json"):
             raise Lost(f"number {number} of {self.root} is taken: read it again and prepare anew")
 
+    def forget(self, keep: int, folders, pinned: set[str] = frozenset()) -> list[str]:
+        """Drop all but the last `keep` entries and the folders (`folders(entry)`) that no other entry and
+        no pin names; those that went. For times without readers of older entries."""
+        every = self.numbers()
+        old, rest = every[: -max(1, keep)], every[-max(1, keep) :]
+        gone = set().union(*(folders(self.entry(n)) for n in old)) - set().union(*(folders(self.entry(n)) for n in rest)) - pinned
+        for n in old:
+            remove(self.spark, f"{self.folder}/{n:010d}.json")
+        for path in gone:
+            remove(self.spark, path)
+        return sorted(gone)
+
     def new_folder(self, kind: str) -> str:
         return f"{self.root}/{kind}/{uuid.uuid4().hex}"
 
@@ -131,6 +140,15 @@ def stream_source(batch: DataFrame, batch_id: int) -> dict:
     return {"query": query, "batch": int(batch_id)}
 
 
+def is_in(entry: dict | None, source: dict | None) -> bool:
+    """Does an entry hold this batch of a stream? Batches of a stream come in order of their numbers."""
+    return bool(entry and source) and entry.get("seen", {}).get(source["query"], -1) >= source["batch"]
+
+
+def seen_with(entry: dict | None, source: dict | None) -> dict:
+    return {**(entry or {}).get("seen", {}), **({source["query"]: source["batch"]} if source else {})}
+
+
 def counted_from(df: DataFrame, size: str, order: list, path: str, first: int) -> tuple[DataFrame, int]:
     """df written to path in order, with `start`: first plus the sizes of all rows before; and the sum
     of all. Rows are dealt by range and each range counts from where the one before ends, so that

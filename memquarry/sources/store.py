@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.texts import slugify
 from ..functions.vectors import norm
 from ..operators.library import match_cached
-from .manifest import Log, claim, names, read_text, remove, write_text
+from .manifest import Log, claim, is_in, names, read_text, remove, seen_with, write_text
 
 # Snapshots at most, characters of a name, categories that may be set by hand.
 MOST, NAME, CATEGORIES = 10, 60, ["Screenshots", "Projects"]
@@ -64,9 +64,10 @@ def commit(spark: SparkSession, folder: str, replace: dict[str, DataFrame] | Non
     version with this `source` (a batch of a stream) is there. Raises `Lost` if another writer has
     the number."""
     log = Log(spark, folder)
-    if source is not None and any(e.get("source") == source for e in log.entries()):
+    newest, last = log.last()
+    if is_in(last, source):
         return None
-    number = log.last()[0] if after is None else after
+    number = newest if after is None else after
     tables = dict(log.entry(number)["tables"]) if number else {name: [] for name in TABLES}
     for name, df in (replace or {}).items():
         kept = [p for p in tables[name] if p["model"] not in models] if models is not None and name in MODELLED else []
@@ -75,7 +76,7 @@ def commit(spark: SparkSession, folder: str, replace: dict[str, DataFrame] | Non
         tables[name] = kept + _parts(spark, log, name, df)
     for name, df in (append or {}).items():
         tables[name] = tables[name] + _parts(spark, log, name, df)
-    log.append(number + 1, {"tables": tables, "source": source, "at": datetime.datetime.now(datetime.UTC).isoformat()})
+    log.append(number + 1, {"tables": tables, "seen": seen_with(last, source), "at": datetime.datetime.now(datetime.UTC).isoformat()})
     return number + 1
 
 
@@ -227,11 +228,14 @@ def rename_snapshot(spark: SparkSession, store: str, slug: str, name: str) -> No
     write_text(spark, f"{store}/{slug}.json", json.dumps(said | {"name": name}))
 
 
+def _pinned(spark: SparkSession, folder: str) -> set[str]:
+    return {base for n in names(spark, f"{folder}/_pins") for base in json.loads(read_text(spark, f"{folder}/_pins/{n}"))["bases"]}
+
+
 def _release(spark: SparkSession, folder: str, gone: set[str]) -> list[str]:
     """Remove those of the folders that no version and no pin names; the ones that went."""
-    used = set().union(*(_bases(e["tables"]) for e in Log(spark, folder).entries()))
-    for n in names(spark, f"{folder}/_pins"):
-        used |= set(json.loads(read_text(spark, f"{folder}/_pins/{n}"))["bases"])
+    log = Log(spark, folder)
+    used = _pinned(spark, folder).union(*(_bases(log.entry(n)["tables"]) for n in log.numbers()))
     for base in sorted(gone - used):
         remove(spark, base)
     return sorted(gone - used)
@@ -248,16 +252,12 @@ def delete_snapshot(spark: SparkSession, store: str, slug: str) -> list[str]:
 def forget_versions(spark: SparkSession, folder: str, keep: int = 1) -> list[str]:
     """Forget all but the newest `keep` versions, with the folders that only they name. Call
     it when no reader of an older version is at work."""
-    log = Log(spark, folder)
-    old = log.numbers()[: -max(1, keep)]
-    gone = set().union(*(_bases(log.entry(n)["tables"]) for n in old))
-    for n in old:
-        remove(spark, f"{log.folder}/{n:010d}.json")
-    return _release(spark, folder, gone)
+    return Log(spark, folder).forget(keep, lambda entry: _bases(entry["tables"]), _pinned(spark, folder))
 
 
 def restore_snapshot(spark: SparkSession, folder: str, store: str, slug: str, listing: DataFrame) -> DataFrame:
     """The snapshot's folders become the library's newest version; returns the names whose file is missing."""
     tables, log = _snapshot(spark, store, slug)["tables"], Log(spark, folder)
-    log.append(log.last()[0] + 1, {"tables": tables, "source": None, "at": datetime.datetime.now(datetime.UTC).isoformat()})
+    number, last = log.last()
+    log.append(number + 1, {"tables": tables, "seen": seen_with(last, None), "at": datetime.datetime.now(datetime.UTC).isoformat()})
     return read_library(spark, folder).select("filename").join(listing.select("filename").distinct(), "filename", "left_anti")

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..functions.media import IMAGE, VIDEO, extension
 from ..operators import imports, library
 from ..sources import store
-from ..sources.manifest import Log, Lost, scratch_folder, stream_source
+from ..sources.manifest import Log, Lost, is_in, scratch_folder, stream_source
 
 # Failures of an unchanged file before it is skipped; slices that a list of skips names.
 SKIP_AFTER, SKIP_LIST = 3, 32
@@ -45,9 +45,9 @@ def import_batch(spark: SparkSession, batch: DataFrame, folder: str, source: dic
     if failures is None:
         failures = spark.createDataFrame([], "path string, size long, mtime_ms double, count int")
     for left in range(tries - 1, -1, -1):
-        if any(e.get("source") == source for e in log.entries()):
+        after, last = log.last()
+        if is_in(last, source):
             return None
-        after = log.last()[0]
         media = store.read_table(spark, folder, "media", version=after) if after else store.read_library(spark, folder)
         plan = scratch_folder(spark, "plan")
         imports.plan_import(rows, media.select("source_path", "hash"), failures, from_watch=True).write.parquet(plan)

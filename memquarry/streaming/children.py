@@ -18,12 +18,14 @@ from pyspark.sql import functions as F
 
 from ..functions.media import is_real_speech
 from ..functions.texts import clean_transcript
-from ..sources.manifest import Log, counted_from, stream_source
+from ..sources.manifest import Log, counted_from, is_in, scratch_folder, seen_with, stream_source
 
 REPLIES = "filename string, from_index long, i int, size int, done boolean, ok boolean, skipped boolean, t0 double, t1 double, text string, poster long, vec array<float>, delivery long"
 ROWS = "filename string, from_index long, i int, t0 double, t1 double, text string, poster long, vec array<float>, off long, n int"
 SLICES = "filename string, from_index long, size int, done boolean, ok boolean, good long, skipped long"
 KEY = ["filename", "from_index"]
+#: Files of a batch up to which they are a filter on the slices that are in.
+MANY_FILES = 2000
 
 
 def finite(c: str) -> Column:
@@ -86,54 +88,70 @@ def child_rows(replies: DataFrame, path: str, speech: bool = True) -> DataFrame:
 
 
 class ChildRows:
-    """The table at a path: rows/, slices/, skipped/ and parked/ in folders that the log names."""
+    """The table at a path: rows, slices, skipped rows and parked files, in folders that the log names."""
+
+    KINDS = {"rows": ROWS, "slices": SLICES, "skipped": f"{REPLIES}, reason string", "parked": "filename string, skipped long"}
 
     def __init__(self, spark: SparkSession, path: str, speech: bool = True):
         self.spark, self.log, self.speech = spark, Log(spark, path), speech
 
-    def read(self, kind: str, schema: str, entries: list[dict] | None = None) -> DataFrame:
-        paths = [e[kind] for e in (self.log.entries() if entries is None else entries) if e.get(kind)]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+    def read(self, kind: str, entry: dict | None = None) -> DataFrame:
+        paths = ((self.log.last()[1] if entry is None else entry) or {}).get(kind)
+        return self.spark.read.schema(self.KINDS[kind]).parquet(*paths) if paths else self.spark.createDataFrame([], self.KINDS[kind])
 
     def rows(self) -> DataFrame:
-        return self.read("rows", ROWS)
+        return self.read("rows")
 
     def slices(self) -> DataFrame:
-        return self.read("slices", SLICES)
+        return self.read("slices")
 
     def skipped(self) -> DataFrame:
-        return self.read("skipped", f"{REPLIES}, reason string")
+        return self.read("skipped")
 
     def parked(self) -> DataFrame:
-        return self.read("parked", "filename string, skipped long")
+        return self.read("parked")
 
     def add(self, replies: DataFrame, source: dict, covered: DataFrame | None = None) -> bool:
         """Take a batch of replies; False if this batch is in. Another writer's commit raises `Lost`
         before anything of this one counts."""
-        entries, number = self.log.entries(), self.log.last()[0]
-        if any(e["source"] == source for e in entries):
+        number, last = self.log.last()
+        if is_in(last, source):
             return False
-        at, folder = sum(e["good"] for e in entries), lambda kind: self.log.new_folder(kind)
-        known = self.read("slices", SLICES, entries)
-        came = folder("came")  # the batch is read several times: once from the stream
-        fresh = replies.select(*[c.split()[0] for c in REPLIES.split(", ")]).join(known.select(*KEY), KEY, "left_anti")
-        first_deliveries(fresh).write.parquet(came)
-        fresh = self.spark.read.schema(REPLIES).parquet(came)
-        entry = {"source": source, "good": 0, "slices": folder("slices")}
-        starts, entry["good"] = counted_from(slices_of(fresh, self.speech), "good", KEY, entry["slices"], at)
-        good, skipped = split_reply(fresh.where("i IS NOT NULL"), self.speech)
-        for kind, df in (("rows", numbered(good, starts)), ("skipped", skipped)):
-            entry[kind] = folder(kind)
-            df.write.parquet(entry[kind])
+        last = last or {"total": 0, **{kind: [] for kind in self.KINDS}}
+        known, new = self.read("slices", last), {kind: self.log.new_folder(kind) for kind in self.KINDS}
+        came = self._held(replies.select(*[c.split()[0] for c in REPLIES.split(", ")]))  # read several times, once from the stream
+        files = [r.filename for r in came.select("filename").distinct().limit(MANY_FILES + 1).collect()]
+        if len(files) <= MANY_FILES:  # a filter that reaches the scan of all slices there are
+            known = known.where(F.col("filename").isin(files))
+        fresh = self._held(first_deliveries(came.join(known.select(*KEY), KEY, "left_anti").select(*came.columns)))
+        starts, good = counted_from(slices_of(fresh, self.speech), "good", KEY, new["slices"], last["total"])
+        usable, skipped = split_reply(fresh.where("i IS NOT NULL"), self.speech)
+        numbered(usable, starts).write.parquet(new["rows"])
+        skipped.write.parquet(new["skipped"])
         # files that this batch touches, with their slices of all batches
-        now = self.spark.read.schema(SLICES).parquet(entry["slices"])
-        touched = now.select("filename").distinct()
-        whole = known.join(touched, "filename", "left_semi").select(*now.columns).union(now)
-        entry["parked"] = folder("parked")
-        unusable(whole, covered).write.parquet(entry["parked"])
-        self.log.append(number + 1, entry)
+        now = self.spark.read.schema(SLICES).parquet(new["slices"])
+        whole = known.join(now.select("filename").distinct(), "filename", "left_semi").select(*now.columns).union(now)
+        unusable(whole, covered).write.parquet(new["parked"])
+        self.log.append(number + 1, {"seen": seen_with(last, source), "total": last["total"] + good, **{kind: last[kind] + [new[kind]] for kind in self.KINDS}})
         return True
 
+    def _held(self, replies: DataFrame) -> DataFrame:
+        path = scratch_folder(self.spark, "replies")
+        replies.write.parquet(path)
+        return self.spark.read.schema(REPLIES).parquet(path)
+
+    def compact(self) -> None:
+        """One folder of each kind instead of one for each batch. Older ones go with `forget`."""
+        number, last = self.log.last()
+        if last:
+            new = {kind: self.log.new_folder(kind) for kind in self.KINDS}
+            for kind, path in new.items():
+                self.read(kind, last).repartitionByRange("filename").sortWithinPartitions("filename").write.parquet(path)
+            self.log.append(number + 1, {**last, **{kind: [path] for kind, path in new.items()}})
+
+    def forget(self, keep: int = 1) -> list[str]:
+        return self.log.forget(keep, lambda entry: {path for kind in self.KINDS for path in entry[kind]})
+
     def follow(self, replies: DataFrame, checkpoint: str, covered: DataFrame | None = None, every: str = "10 seconds", once: bool = False):
         """Start a query that adds each micro-batch of a stream of replies."""
         out = replies.writeStream.foreachBatch(lambda batch, n: self.add(batch, stream_source(batch, n), covered)).option("checkpointLocation", checkpoint)

@@ -122,7 +122,13 @@ def test_restart_in_a_batch(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(manifest.Log, "append", append)
     go()
     checked(table, spark)
-    assert len(table.log.entries()) == 10
+    assert table.log.numbers() == list(range(1, 11))
+    table.compact()
+    checked(table, spark)
+    gone = table.forget()
+    assert len(gone) == 40 and table.log.numbers() == [11]
+    checked(table, spark)
+    assert not table.add(spark.createDataFrame([], schema), {"query": next(iter(table.log.last()[1]["seen"])), "batch": 3})
 
 
 def test_two_writers(spark, tmp_path):
@@ -131,7 +137,7 @@ def test_two_writers(spark, tmp_path):
     batch = spark.createDataFrame(told()[0], C.REPLIES)
     assert table.add(batch, {"query": "x", "batch": 0}) and not table.add(batch, {"query": "x", "batch": 0})
     number, last = table.log.last()
-    table.log.append(number + 1, last | {"source": {"query": "y", "batch": 0}, "good": 0, "rows": None, "slices": None, "skipped": None, "parked": None})
+    table.log.append(number + 1, last | {"seen": last["seen"] | {"y": 0}})
     with pytest.raises(manifest.Lost):
         table.log.append(number + 1, last)
     assert table.rows().count() == 2 and table.add(batch, {"query": "x", "batch": 1}) and table.rows().count() == 2
