@@ -31,7 +31,7 @@ def poison_state(spark: SparkSession, d: str) -> DataFrame:
 
 #: Replies made from conversations: a turn is a slice of up to three rows (sentences), the first turns of some are sent twice.
 REPLIES = """told AS (SELECT conv_id, turn, role, text, 'conv-' || conv_id || '.mp4' AS filename, turn = max(turn) OVER (PARTITION BY conv_id) AS done, least(3, len(string_split(text, '. '))) AS size FROM conversations),
-sent AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS from_index FROM told),
+sent AS (SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS from_index FROM told),
 replies AS (SELECT filename, from_index, i, CAST(size AS INTEGER) AS size, done, conv_id % 7 <> 5 AS ok, conv_id % 3 = 0 OR (turn + i) % 5 = 4 AS skipped,
   CAST(CASE WHEN (turn + i) % 11 = 3 THEN 'nan' ELSE CAST(turn * 6 + i AS VARCHAR) END AS DOUBLE) AS t0, CAST(turn * 6 + i + CASE WHEN i = 2 AND turn % 4 = 1 THEN -1 ELSE 2 END AS DOUBLE) AS t1,
   CASE WHEN conv_id % 10 = 1 THEN 'la' ELSE string_split(text, '. ')[i + 1] END AS text, conv_id % 13 <> 2 AS vec FROM (SELECT *, CAST(unnest(range(size)) AS INTEGER) AS i FROM sent))"""
