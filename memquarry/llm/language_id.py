@@ -29,7 +29,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import byte_view, crc_mod, dropped, quoted, slices, small, table, written
+from .common import byte_view, crc_mod, dropped, quoted, relieved, slices, small, table, written
 
 GRAMS, LANDMARKS, ALL_LANDMARKS, PER_LANGUAGE, RIDGE = 4096, 64, 1024, 1000, 1e-3
 #: Sharpnesses of probabilities that are tried on a fifth of the training rows.
@@ -92,6 +92,7 @@ def row_sums(features_of, n: int):
         for k in (0, 1):
             if not np.isscalar(gram[k]):
                 both = np.concatenate([gram[k], by_class[k]])
+                relieved()
                 for at in range(0, len(both), 200):
                     part = both[at : at + 200]
                     yield pa.record_batch({"held": pa.array([bool(k)] * len(part)), "at": pa.array(np.arange(at, at + len(part))), "part": pa.array([r.tobytes() for r in part], pa.binary())})
@@ -115,6 +116,7 @@ def losses(features_of, beta: np.ndarray):
                 rows = batch.slice(at, 500)
                 margin, y = features_of(unpacked(rows.column("grams"))) @ beta, rows.column("class").to_numpy()
                 total += [-np.log(np.maximum(softmax(margin * t)[np.arange(len(y)), y], 1e-9)).sum() for t in SHARP]
+        relieved()
         yield pa.record_batch({"at": pa.array(range(len(SHARP)), pa.int32()), "loss": pa.array(total)})
 
     return run
