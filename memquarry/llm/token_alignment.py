@@ -1,10 +1,12 @@
-"""Alignment of two tokenizers' tokens by windows between white-space anchors.
-
-A text is tokenised as a whole by a byte-level BPE (A, over a blank and the text) and a
-piece BPE (B, which adds the blank). Where tokens of both begin at one byte and both are
-marked with a space there is an anchor; anchors cut a document into windows of token ids,
-and the alignment of a window depends on its ids alone, so that it is remembered by them
-(bounded). Documents count as holding a pair of ids once; pairs are counted in each
+"""Alignment of two tokenizers' tokens by windows between white space.
+
+A is a byte-level BPE over a blank and the text, B a piece BPE, which adds the blank. Neither
+has a token over the beginning of a word that stands behind one blank or behind line ends
+(A by its pattern, B where its vocabulary shows it), so that both begin a token there and
+the ids on either side don't depend on the other. Such places cut a text into windows;
+windows that are new to a batch are tokenised and aligned together, as lines of many, and
+remembered (bounded). A text with any other white space at the edge of a window, or that
+isn't given back, is tokenised and aligned as a whole. Documents count as holding a pair of ids once; pairs are counted in each
 task before they are shuffled, as a pair of common words is in nearly every document.
 
 Of the counted pairs those with at least 1/PAIRS of all (document, pair) rows are at most
@@ -12,14 +14,16 @@ PAIRS and are broadcast; rarer ones are joined by shuffle, where none can be a h
 
 Cases: texts that are null, empty or not given back by the tokens of both have no tokens
 and count zero everywhere, with '' for the hash; texts of any length and windows of any
-length are handled (long windows are aligned without being remembered); repeated rows and
+length are handled (long windows aren't remembered); repeated rows and
 null doc_ids are documents of their own; empty tables give no rows; extra columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -31,19 +35,30 @@ from .token_counts import PATTERN, byte_letters
 
 #: Pairs that are broadcast at most.
 PAIRS = 400_000
-#: Windows of more tokens aren't remembered; windows of a generation that are; (document, pair) entries gathered before they are counted.
-LONG_WINDOW, REMEMBERED_WINDOWS, GATHERED = 32, 150_000, 2_000_000
-SPACE, MARK = b" ", "▁"
+#: Windows of more characters aren't remembered; windows of a generation that are; characters of a line; (document, pair) entries gathered before they are counted.
+LONG_WINDOW, REMEMBERED_WINDOWS, LINE, GATHERED = 40, 150_000, 2048, 2_000_000
+MARK = "▁"
+LINE_ENDS = re.compile("\n+")
+
+
+def words(text: str) -> list[str]:
+    """A text's windows, without the blank before each; those behind line ends begin with them."""
+    return LINE_ENDS.sub(r" \g<0>", text).split(" ")
+
+
+def cuts(word: str) -> bool:
+    """Whether both tokenizers begin a token at this window and at the next: no other white space at its edges."""
+    bare = word.lstrip("\n")
+    return bool(bare) and not bare[0].isspace() and not bare[-1].isspace() and MARK not in bare
 
 
 class Vocabulary:
-    """ids -> bytes, as flat arrays: sizes, starts, data, and whether a token is marked with a space."""
+    """ids -> bytes, as flat arrays: sizes, starts, data."""
 
     def __init__(self, tokens: list[bytes]):
         self.sizes = np.array([len(t) for t in tokens], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.data = np.frombuffer(b"".join(tokens), np.uint8)
-        self.spaced = np.array([t[:1] == SPACE for t in tokens], bool)
 
     def spelled(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of all ids in a row."""
@@ -54,7 +69,8 @@ class Vocabulary:
 
 class Bytewise:
     """A: byte-level BPE from a tokenizers file. Where ids are in merge order the same merges
-    run as ranks in the faster library; a text that one can't take goes to the other."""
+    run as ranks in the faster library; a text that one can't take goes to the other.
+    `cuts`: the pattern alone divides a text, no normaliser or added token does."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -65,6 +81,8 @@ class Bytewise:
         added = {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
         vocab = {i: bytes(map(byte.__getitem__, t)) for t, i in spec["model"]["vocab"].items() if i not in added}
         self.tokens = Vocabulary([added.get(i) or vocab.get(i, b"") for i in range(max([*vocab, *added]) + 1)])
+        pre = spec.get("pre_tokenizer") or {}
+        self.cuts = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer") and all(t["special"] for t in spec["added_tokens"])
         self.slow = Tokenizer.from_file(path)
         self.slow.encode_special_tokens = True
         merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
@@ -86,7 +104,7 @@ class Bytewise:
 
 
 class Pieces:
-    """B: a sentencepiece model."""
+    """B: a sentencepiece model. `cuts`: no piece goes over a line end or, but for runs of blanks, a blank inside."""
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
@@ -94,7 +112,7 @@ class Pieces:
         self.model = SentencePieceProcessor(model_file=path)
         ids = range(self.model.get_piece_size())
         self.tokens = Vocabulary([bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace(MARK, " ").encode() for i in ids for p in (self.model.id_to_piece(i),)])
-        self.tokens.spaced = np.array([self.model.id_to_piece(i).startswith(MARK) for i in ids], bool)
+        self.cuts = not any("\n" in p or MARK in p[1:] and p.strip(MARK) for p in map(self.model.id_to_piece, ids))
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(ids, np.int32) for ids in self.model.encode(texts, num_threads=1)]
@@ -109,65 +127,93 @@ class Aligner:
         self.known: dict = {}
         self.old: dict = {}
 
-    def aligned(self, keys: list[tuple[bytes, bytes]]) -> list[tuple[int, str, bytes]]:
-        """Windows of ids -> number of groups, their digits, and the code a * wide + b of each link in order (64 bits each)."""
-        a, b = (np.frombuffer(b"".join([k[side] for k in keys]), np.int32).astype(np.int64) for side in (0, 1))
-        last_a, last_b = (np.cumsum([len(k[side]) // 4 for k in keys]) for side in (0, 1))
+    def aligned(self, a: np.ndarray, b: np.ndarray, first_a: np.ndarray, first_b: np.ndarray) -> list[tuple[int, int, int, str, bytes]]:
+        """Ids of windows in a row and the places where windows begin among them -> for each n_a, n_b, number
+        of groups, their digits, and the code a * wide + b of each link in order (64 bits each)."""
         ends_a, ends_b = np.cumsum(self.a.tokens.sizes[a]), np.cumsum(self.b.tokens.sizes[b])
-        shared_a, shared_b = (np.isin(x, y, assume_unique=True).astype(np.int64) for x, y in ((ends_a, ends_b), (ends_b, ends_a)))
-        union = np.union1d(ends_a, ends_b)  # between two ends lies one link
-        codes = (a[np.searchsorted(ends_a, union)] * self.wide + b[np.searchsorted(ends_b, union)]).tobytes()
+        at_a, at_b = np.zeros((2, ends_a[-1] + 1), bool)
+        at_a[ends_a], at_b[ends_b] = True, True
+        shared_a, shared_b = at_b[ends_a], at_a[ends_b]
+        union = np.flatnonzero(at_a | at_b)  # between two ends lies one link
+        of_a, of_b = (np.cumsum(x) - x for x in (at_a[union], at_b[union]))
+        codes = (a[of_a].astype(np.int64) * self.wide + b[of_b]).tobytes()
+        last_a, last_b = np.r_[first_a[1:], len(a)], np.r_[first_b[1:], len(b)]
         cut = [0, *(8 * np.searchsorted(union, ends_a[last_a - 1], "right")).tolist()]
         groups = np.cumsum(shared_a)
-        order = np.argsort(np.r_[2 * (groups - shared_a), 2 * (np.cumsum(shared_b) - shared_b) + 1], kind="stable")
-        n = len(self.a.tokens.sizes)
-        letters = [*map(self.digits.__getitem__, np.r_[a + n * shared_a, 2 * n + b + self.wide * shared_b][order].tolist())]
+        # a group's tokens of A stand behind all tokens of groups before, those of B behind its tokens of A
+        place_a = np.arange(len(a)) + np.r_[0, np.flatnonzero(shared_b) + 1][groups - shared_a]
+        place_b = np.arange(len(b)) + (np.flatnonzero(shared_a) + 1)[np.cumsum(shared_b) - shared_b]
+        n, letter = len(self.a.tokens.sizes), np.empty(len(a) + len(b), np.int64)
+        letter[place_a], letter[place_b] = a + n * shared_a, 2 * n + b + self.wide * shared_b
+        letters = [*map(self.digits.__getitem__, letter.tolist())]
         at = [0, *(last_a + last_b).tolist()]
-        counts = np.diff(groups[last_a - 1], prepend=0).tolist()
-        return [(c, "".join(letters[i:k])[:-1], codes[m:o]) for c, i, k, m, o in zip(counts, at, at[1:], cut, cut[1:])]
-
-    def windows(self, keys) -> list[tuple[int, str, bytes]]:
-        """Alignments of windows, remembered by their ids in two generations of bounded size."""
-        new = [k for k in keys if k not in self.known and k not in self.old]
-        fresh = dict(zip(new, self.aligned(new))) if new else {}
-        found = [fresh.get(k) or self.known.get(k) or self.old[k] for k in keys]
-        if len(self.known) + len(new) > REMEMBERED_WINDOWS:
-            self.old, self.known = self.known, {}
-        self.known.update((k, v) for k, v in fresh.items() if len(k[0]) + len(k[1]) <= 4 * LONG_WINDOW)
-        return found
+        counts = (np.diff(x, prepend=0).tolist() for x in (last_a, last_b, groups[last_a - 1]))
+        return [(x, y, c, "".join(letters[i:k])[:-1], codes[m:o]) for x, y, c, i, k, m, o in zip(*counts, at, at[1:], cut, cut[1:])]
 
-    def documents(self, texts: list[str]):
-        """For each text (n_a, n_b, n_groups, n_links, digits of the groups' hash, codes, times) or None without tokens."""
-        out: list = [None] * len(texts)
+    def whole(self, texts: list[str], cut=lambda k: ()) -> tuple[list[int], list[tuple]]:
+        """The numbers of the texts that the tokens of both give back, and the alignments of their
+        windows; cut(k): where, in bytes behind the added blank, windows of text k begin but for the first."""
         ids_a, ids_b = [self.a(" " + t) for t in texts], self.b(texts)
         raw = [b" " + t.encode() for t in texts]
         same = [k for k in range(len(texts)) if self.a.tokens.sizes[ids_a[k]].sum() == len(raw[k]) == self.b.tokens.sizes[ids_b[k]].sum()]
+        if same:
+            data, at = np.frombuffer(b"".join([raw[k] for k in same]), np.uint8), np.cumsum([0] + [len(raw[k]) for k in same])
+            differ = (self.a.tokens.spelled(np.concatenate([ids_a[k] for k in same])) != data) | (self.b.tokens.spelled(np.concatenate([ids_b[k] for k in same])) != data)
+            same = [k for k, bad in zip(same, np.logical_or.reduceat(differ, at[:-1])) if not bad]
         if not same:
-            return out
-        data, at = np.frombuffer(b"".join(raw[k] for k in same), np.uint8), np.cumsum([0] + [len(raw[k]) for k in same])
-        differ = (self.a.tokens.spelled(np.concatenate([ids_a[k] for k in same])) != data) | (self.b.tokens.spelled(np.concatenate([ids_b[k] for k in same])) != data)
-        same = [k for k, bad in zip(same, np.logical_or.reduceat(differ, at[:-1])) if not bad]
-        if not same:
-            return out
+            return [], []
         a, b = np.concatenate([ids_a[k] for k in same]), np.concatenate([ids_b[k] for k in same])
         starts_a, starts_b = (np.cumsum(n) - n for n in (self.a.tokens.sizes[a], self.b.tokens.sizes[b]))
         begin = np.cumsum([0] + [len(raw[k]) for k in same])
-        # shared ends before tokens that are marked with a space on both sides; documents begin and end windows
-        anchors = np.intersect1d(starts_a[self.a.tokens.spaced[a]], starts_b[self.b.tokens.spaced[b]], assume_unique=True)
-        anchors = np.union1d(anchors, begin[:-1])
-        cut_a = [*(4 * np.searchsorted(starts_a, anchors)).tolist(), 4 * len(a)]
-        cut_b = [*(4 * np.searchsorted(starts_b, anchors)).tolist(), 4 * len(b)]
-        bytes_a, bytes_b = a.tobytes(), b.tobytes()
-        numbers: dict = {}
-        number = numbers.setdefault
-        window = [number((bytes_a[i:k], bytes_b[j:m]), len(numbers)) for i, k, j, m in zip(cut_a, cut_a[1:], cut_b, cut_b[1:])]
-        found = self.windows(numbers)
-        n_groups, digits = np.array([f[0] for f in found]), [f[1] for f in found]
-        of = np.searchsorted(anchors, begin)
-        codes, times, each = self.distinct(np.array(window), of, [f[2] for f in found])
-        for k, i, j, m, n in zip(same, of.tolist(), of[1:].tolist(), each.tolist(), each[1:].tolist()):
-            text = ";".join([digits[x] for x in window[i:j]])
-            out[k] = len(ids_a[k]), len(ids_b[k]), int(n_groups[window[i:j]].sum()), int(times[m:n].sum()), hashlib.sha256(text.encode()).hexdigest(), codes[m:n], times[m:n]
+        begin = np.concatenate([np.r_[x, x + np.array(cut(k), np.int64)] for k, x in zip(same, begin.tolist())])
+        return same, self.aligned(a, b, np.searchsorted(starts_a, begin), np.searchsorted(starts_b, begin))
+
+    def fresh(self, new: list[str]) -> dict[str, tuple]:
+        """Windows -> their alignments, tokenised together; each line begins with a window of its own, "a"."""
+        # a line ends with the window that fills it
+        first = [*np.unique(np.cumsum([0] + [len(w) + 1 for w in new])[:-1] // LINE, return_index=True)[1].tolist(), len(new)]
+        parts = [[w if w[0] == "\n" else " " + w for w in new[i:k]] for i, k in zip(first, first[1:])]
+        same, found = self.whole(["a" + "".join(part) for part in parts], lambda k: 2 + np.cumsum([0] + [len(w.encode()) for w in parts[k][:-1]]))
+        out, at = {}, 0
+        for k in same:
+            out |= zip(new[first[k] : first[k + 1]], found[at + 1 : at + 1 + len(parts[k])])
+            at += 1 + len(parts[k])
+        return out
+
+    def windows(self, wanted) -> dict[str, tuple]:
+        """Alignments of those windows that can be cut out, remembered in two generations of bounded size."""
+        known = self.known
+        out = {w: x for w in wanted if (x := known.get(w))}
+        rest = [w for w in wanted if w not in out]
+        new = {w: x for w in rest if (x := self.old.get(w))}
+        new |= self.fresh([w for w in rest if w not in new and cuts(w)])
+        if len(known) + len(new) > REMEMBERED_WINDOWS:
+            self.old, self.known = known, {}
+        self.known.update((w, x) for w, x in new.items() if len(w) <= LONG_WINDOW)
+        return out | new
+
+    def documents(self, texts: list[str]):
+        """For each text (n_a, n_b, n_groups, n_links, digits of the groups' hash, codes, times) or None without tokens."""
+        out: list = [None] * len(texts)
+        cut = [words(t) for t in texts] if self.a.cuts and self.b.cuts else [[""]] * len(texts)
+        found = self.windows(dict.fromkeys(itertools.chain.from_iterable(cut)))
+        number, entries = {w: i for i, w in enumerate(found)}, [*found.values()]
+        of = {k: x for k, c in enumerate(cut) if None not in (x := [*map(number.get, c)])}
+        rest = [k for k in range(len(texts)) if k not in of]
+        same, found = self.whole([texts[k] for k in rest])
+        for k, entry in zip(same, found):
+            of[rest[k]] = [len(entries)]
+            entries.append(entry)
+        if not of:
+            return out
+        window = np.fromiter(itertools.chain.from_iterable(of.values()), np.int64)
+        at = np.cumsum([0] + [len(x) for x in of.values()])
+        sums = np.add.reduceat(np.array([e[:3] for e in entries])[window], at[:-1]).tolist()
+        digits = [e[3] for e in entries]
+        codes, times, each = self.distinct(window, at, [e[4] for e in entries])
+        for (k, x), n, m, o in zip(of.items(), sums, each.tolist(), each[1:].tolist()):
+            text = ";".join(map(digits.__getitem__, x))
+            out[k] = *n, int(times[m:o].sum()), hashlib.sha256(text.encode()).hexdigest(), codes[m:o], times[m:o]
         return out
 
     def distinct(self, window: np.ndarray, of: np.ndarray, links: list[bytes]):

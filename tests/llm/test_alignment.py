@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 
 import pytest
 
@@ -85,3 +86,51 @@ def test_odd(spark, odd, none):  # noqa: F811
     got = token_alignment.align_tokens(spark, odd, *paths)[0].collect()
     assert len(got) == odd.count() and sum(r.doc_id is None for r in got) == 1
     assert token_alignment.align_tokens(spark, none, *paths)[0].count() == 0
+
+
+def test_words_are_tokenised_once():
+    """Texts of words that were seen before need neither tokenizer; others give what whole texts give."""
+    import public_tokenizers
+
+    known = token_alignment.Aligner(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    seen: list = []
+    a, b = known.a, known.b
+
+    class Seen:
+        def __init__(self, tokenizer):
+            self.tokens, self.cuts, self.run = tokenizer.tokens, getattr(tokenizer, "cuts", True), tokenizer
+
+        def __call__(self, texts):
+            seen.extend([texts] if isinstance(texts, str) else texts)
+            return self.run(texts)
+
+    known.a, known.b = Seen(a), Seen(b)
+    first, again = "one two.\nthree été 日本\n\nfour", "été two. one one\nthree one 日本\n\nfour two."
+    known.documents([first])
+    seen.clear()
+    got = known.documents([again])
+    assert not seen
+    rng = random.Random(7)
+    bits = ["a", "the", "x", "日本", "é", "é", "'s", "12", "<s>", ".", "\n", "\n\n", "\t", "\r", "\x1c", "\x85", "\u3000", "▁", " ", "<|endoftext|>"]
+    odd_ = ["".join(rng.choice(bits) + rng.choice(["", " "]) for _ in range(rng.randint(1, 9))) for _ in range(3000)]
+    got += known.documents(odd_)
+    a.cuts = known.a.cuts = False  # every text as a whole
+    whole = [known.documents([t])[0] for t in [again, *odd_]]
+    assert [x and [*x[:5], *map(list, x[5:])] for x in got] == [x and [*x[:5], *map(list, x[5:])] for x in whole]
+    assert sum(x is None for x in whole) > 100
+
+
+def test_windows_in_generations(monkeypatch):
+    """Memory that is full again and again changes nothing."""
+    import public_tokenizers
+
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    rows = [" ".join(f"w{i * k % 97}{'y' * (i % 60)}" for k in range(30)) for i in range(1, 60)]
+    expect = token_alignment.Aligner(*paths).documents(rows)
+    monkeypatch.setattr(token_alignment, "REMEMBERED_WINDOWS", 50)
+    monkeypatch.setattr(token_alignment, "LINE", 7)
+    known = token_alignment.Aligner(*paths)
+    for _ in range(2):
+        got = [x for at in range(0, len(rows), 4) for x in known.documents(rows[at : at + 4])]
+        assert [[*x[:5], *map(list, x[5:])] for x in got] == [[*x[:5], *map(list, x[5:])] for x in expect]
+        assert len(known.known) + len(known.old) <= 2 * max(50, 4 * 30)
