@@ -38,9 +38,10 @@ def expand_paths(spark: SparkSession, paths: list[tuple[str, bool]]) -> DataFram
 
 
 def import_order(batch: DataFrame) -> DataFrame:
-    """Oldest first, unknown times before all, then as given: adds `nth`, which is unique in order, not gapless, so that no task sees the whole batch."""
+    """Oldest first, unknown times before all, then as given (rows without idx last): adds `nth`, which is unique in order, not
+    gapless, so that no task sees the whole batch. Another evaluation may number anew; who reads `nth` twice stores it first."""
     finite = F.when(F.isnan(F.col("mtime_ms").cast("double")) | (F.abs(F.col("mtime_ms").cast("double")) == float("inf")), F.lit(None)).otherwise(F.col("mtime_ms"))
-    return batch.withColumn("mtime_ms", finite).orderBy(F.col("mtime_ms").asc_nulls_first(), "idx").withColumn("nth", F.monotonically_increasing_id())
+    return batch.withColumn("mtime_ms", finite).orderBy(F.col("mtime_ms").asc_nulls_first(), F.col("idx").asc_nulls_last()).withColumn("nth", F.monotonically_increasing_id())
 
 
 def drop_known_paths(batch: DataFrame, media: DataFrame) -> DataFrame:

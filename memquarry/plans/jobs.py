@@ -14,6 +14,7 @@ from ..operators import evidence as EV
 from ..operators import films, imports, ocr, transcripts
 from ..operators import library as L
 from ..sources import store, views
+from ..sources.manifest import scratch_folder
 from ..sources.views import HAS_EMAIL, MEDIA, SEGMENTS, UTTERANCES
 from .queries import query
 
@@ -118,8 +119,11 @@ def import_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {BATCH} SELECT idx, path, CAST(row_number() OVER (ORDER BY mtime_ms ASC NULLS FIRST, idx) AS BIGINT) AS place FROM batch""")
 def import_order(spark: SparkSession, d: str) -> DataFrame:
-    """Places made gapless only to be compared: rows of a partition and all before it are counted, no task sees all."""
-    o = imports.import_order(batch(spark, d)).withColumn("part", F.shiftright("nth", 33)).withColumn("own", F.col("nth").bitwiseAND((1 << 33) - 1))
+    """Places made gapless only to be compared: rows of a partition and all before it are counted, no task sees all.
+    Sorted once and written, as ranges are cut anew by each evaluation and what is counted must be what is numbered."""
+    sorted_ = scratch_folder(spark, "order")
+    imports.import_order(batch(spark, d)).select("idx", "path", "nth").write.parquet(sorted_)
+    o = spark.read.parquet(sorted_).withColumn("part", F.shiftright("nth", 33)).withColumn("own", F.col("nth").bitwiseAND((1 << 33) - 1))
     sizes = o.groupBy("part").agg(F.count("*").alias("n"))
     before = sizes.alias("a").join(sizes.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy("a.part").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
     return o.join(F.broadcast(before), "part").select("idx", "path", (F.col("own") + F.col("before") + 1).alias("place"))
