@@ -56,3 +56,8 @@ def library_of(spark, folder, texts):
 def test_email_flags(spark, tmp_path):
     library_of(spark, tmp_path, ADDRESSED)
     agrees(spark, tmp_path, "email_flags")
+
+
+def test_tab_counts(spark, tmp_path):
+    library_of(spark, tmp_path, [f"{t or ''} {i}" for i, t in enumerate(ADDRESSED * 3)])
+    agrees(spark, tmp_path, "tab_counts")
