@@ -66,3 +66,8 @@ def test_tab_counts(spark, tmp_path):
 def test_tab_rows(spark, tmp_path):
     library_of(spark, tmp_path, [f"{t or ''} {i}" for i, t in enumerate(ADDRESSED * 3)])
     agrees(spark, tmp_path, "tab_rows")
+
+
+def test_scopes(spark, tmp_path):
+    library_of(spark, tmp_path, [f"{t or ''} {i}" for i, t in enumerate(ADDRESSED * 3)])
+    agrees(spark, tmp_path, "scopes")
