@@ -40,6 +40,11 @@ def format_timecode(t: Column, padded: bool = False) -> Column:
     return F.concat(F.lpad(minutes, F.greatest(F.length(minutes), F.lit(2)), F.lit("0")) if padded else minutes, F.lit(":"), seconds)
 
 
+def padded_timecode(t: Column) -> Column:
+    """Two digits of minutes at least."""
+    return format_timecode(t, padded=True)
+
+
 def video_id(filename: Column) -> Column:
     """The eleven characters in brackets of the base name, or null."""
     return F.nullif(F.regexp_extract(F.substring_index(filename, "/", -1), r"\[([A-Za-z0-9_-]{11})\]", 1), F.lit(""))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.emails import has_email
 from ..functions.media import is_video
-from ..functions.texts import format_timecode, truncate_text
+from ..functions.texts import padded_timecode, truncate_text
 from ..functions.tokens import contains_cjk, let, rank_tokens, word_tokens
 from .search import anew
 
@@ -80,11 +82,11 @@ def build_evidence(dialogue: DataFrame, ocr: DataFrame, keyword: DataFrame) -> D
     return both.withColumn("position", place.cast("int")).where(F.col("position") <= F.when(wide, WIDE["total"]).otherwise(STANDARD["total"])).select("query_id", "position", "kind", "filename", "score", "t", "text", F.when(wide, "wide").otherwise("standard").alias("tier"))
 
 
-def evidence_prompt(queries: DataFrame, evidence: DataFrame, system: str = SYSTEM) -> DataFrame:
-    """query_id, system, user: the numbered rows and the question. A query without evidence says so."""
+def evidence_prompt(queries: DataFrame, evidence: DataFrame, system: str = SYSTEM, clock: Callable[[Column], Column] = padded_timecode) -> DataFrame:
+    """query_id, system, user: the numbered rows and the question, times as `clock` writes them. A query without evidence says so."""
     # The forms of the rows and of the question below.
     text = F.coalesce("text", F.lit(""))
-    said = F.format_string('[%d] Spoken in "%s" at %s: "%s"', "position", "filename", F.coalesce(format_timecode(F.col("t"), padded=True), F.lit("??:??")), text)
+    said = F.format_string('[%d] Spoken in "%s" at %s: "%s"', "position", "filename", F.coalesce(clock(F.col("t")), F.lit("??:??")), text)
     line = F.when(F.col("kind") == "dialogue", said).when(F.col("kind") == "ocr", F.format_string('[%d] Text on "%s": "%s"', "position", "filename", text)).otherwise(F.format_string('[%d] File named "%s"', "position", "filename"))
     lines = evidence.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("position", line.alias("line")))).alias("lines"))
     both = queries.join(lines, "query_id", "left")

@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from memquarry.operators import evidence
 from memquarry.plans import jobs, moments  # noqa: F401
 from memquarry.plans.queries import TABLE
 
@@ -71,3 +72,13 @@ def test_tab_rows(spark, tmp_path):
 def test_scopes(spark, tmp_path):
     library_of(spark, tmp_path, [f"{t or ''} {i}" for i, t in enumerate(ADDRESSED * 3)])
     agrees(spark, tmp_path, "scopes")
+
+
+def test_evidence_prompt_of_long_films(spark, tmp_path):
+    """Films of more than 100 minutes: the query writes times as its SQL does, the operator writes them whole."""
+    library_of(spark, tmp_path, ["one word0 src3", "two word1", None, "more"])
+    spark.range(20000).selectExpr("id AS vec_id", "transform(sequence(1, 4), i -> CAST(sin(i * (id + 1)) AS float)) AS embedding", "CAST(0 AS int) AS label").write.mode("overwrite").parquet(f"{tmp_path}/embeddings.parquet")
+    agrees(spark, tmp_path, "evidence_prompt")
+    said = spark.createDataFrame([(1, 1, "dialogue", "a.mp4", 12253.5, "x")], "query_id long, position int, kind string, filename string, t double, text string")
+    asked = spark.createDataFrame([(1, "q")], "query_id long, text string")
+    assert 'at 204:13: "x"' in evidence.evidence_prompt(asked, said).first().user
