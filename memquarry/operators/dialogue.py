@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.dialogue import dialogue_keys, literal_share, literal_words, snippet_around
+from ..functions.dialogue import asked_places, dialogue_keys, literal_share, literal_words, snippet_around
+from ..sources.manifest import scratch_folder
 from .library import nearest_poster
 from .search import KEEP, MIN_SCORE, NOISE, NOISE_TOTAL, PER_VIDEO, SLOT, TOP_K, anew, best_rows, chunks, none, ranked, stored, top, union
 
@@ -61,6 +62,24 @@ def read_dialogue_index(spark: SparkSession, path: str) -> tuple[DataFrame, Data
     return tuple(spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in (("postings", POSTINGS), ("films", FILMS), ("spoken", SPOKEN)))
 
 
+def asked_index(lines: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The same for some keys only: each text is cut once, and what is found is stored."""
+    folder = scratch_folder(lines.sparkSession, "dialogue")
+    at = ["filename", "t0", "t1", "line"]
+    # no filter on what is found before it is stored: Spark would ask it of texts that a join below leaves out, and twice
+    found = valid_lines(lines).select("filename", "t0", "t1", F.col("line").cast("long").alias("line"), asked_places(F.col("text"), keys).alias("f"))
+    rows = _kept(found.select(*at, "f.*"), f"{folder}/lines").where("spoken")
+    places = F.sort_array(F.flatten(F.collect_list("places"))).alias("places")
+    postings = _kept(rows.select(*at, F.inline("found")).groupBy("key", *at).agg(places), f"{folder}/postings")
+    films = _kept(postings.groupBy("key", "filename").agg(F.count("*").alias("n")), f"{folder}/films")
+    return postings, films, rows.select(*at).distinct()
+
+
+def _kept(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def exact_hits(queries: DataFrame, lines: DataFrame | None, seconds: float = NEAR, index: tuple | None = None) -> DataFrame:
     """(query_id, filename, tier, line, t0, end, occ): 1 the query's keys in a row in one
     line; 2 all of them in one line or in lines that begin within `seconds`; 3 in one
@@ -69,13 +88,17 @@ def exact_hits(queries: DataFrame, lines: DataFrame | None, seconds: float = NEA
     Films of a query's rarest key are asked for its other keys, and only films that have them
     all are searched: common words are never met in films that lack a rare one. Windows are
     joins on (film, stretch of `seconds`), so that no long film is one task. `index` is that of
-    `lines`, stored or made here."""
+    `lines`, stored before or here; what is read more than once is stored, too."""
     spark = queries.sparkSession
+    folder = scratch_folder(spark, "hits")
     asked = queries.select("query_id", dialogue_keys(F.coalesce("text", F.lit(""))).alias("wanted")).where(F.size("wanted") > 0)
+    asked = _kept(asked, f"{folder}/asked")
     wanted = asked.select("query_id", F.size(F.array_distinct("wanted")).alias("different"), F.explode(F.array_distinct("wanted")).alias("key"))
-    postings, films, spoken = index or dialogue_index(lines)
     keys = [r.key for r in wanted.select("key").distinct().limit(MANY_KEYS + 1).collect()]
-    if len(keys) <= MANY_KEYS:  # a filter that reaches the scan; with more keys the joins below do it alone
+    if index is None and len(keys) > MANY_KEYS:
+        write_dialogue_index(lines, f"{folder}/index")
+    postings, films, spoken = index or (asked_index(lines, keys) if len(keys) <= MANY_KEYS else read_dialogue_index(spark, f"{folder}/index"))
+    if index and len(keys) <= MANY_KEYS:  # a filter that reaches the scan; with more keys the joins below do it alone
         buckets = spark.createDataFrame([(k,) for k in keys], "key string").select(F.pmod(F.xxhash64("key"), F.lit(INDEX_BUCKETS)).cast("int").alias("b")).distinct()
         some = F.col("bucket").isin([r.b for r in buckets.collect()]) & F.col("key").isin(keys)
         postings, films = postings.where(some), films.where(some)
@@ -84,6 +107,7 @@ def exact_hits(queries: DataFrame, lines: DataFrame | None, seconds: float = NEA
     candidates = films.select("key", "filename").join(complete.select("query_id", "key", "different"), "key").select("query_id", "filename", "different")
     asking = candidates.join(wanted.select("query_id", "key"), "query_id")
     held = asking.join(films.select("key", "filename"), ["key", "filename"]).groupBy("query_id", "filename", "different").agg(F.count("*").alias("held")).where("held = different")
+    held = _kept(held, f"{folder}/held")
     asking = held.select("query_id", "filename", "different").join(wanted.select("query_id", "key"), "query_id")
     at = F.struct("t0", "t1", "line")
     hits = asking.join(postings.select("key", "filename", at.alias("at"), "places"), ["key", "filename"]).select("query_id", "filename", "different", "key", "at", F.size("places").cast("long").alias("n"), "places")
@@ -91,6 +115,7 @@ def exact_hits(queries: DataFrame, lines: DataFrame | None, seconds: float = NEA
     full = hits.groupBy("query_id", "filename", "different", "at").agg(F.count("*").alias("has"), F.map_from_entries(F.collect_list(F.struct("key", "places"))).alias("places")).where("has = different").join(asked, "query_id")
     follows = lambda p: F.forall(F.sequence(F.lit(0), F.size("wanted") - 1), lambda i: F.array_contains(F.col("places")[F.get("wanted", i)], p + i))
     phrases = full.where(F.exists(F.col("places")[F.get("wanted", F.lit(0))], follows)).select("query_id", "filename", "at", F.size("wanted").alias("occ"))
+    phrases = _kept(phrases, f"{folder}/phrases")
     stretch = lambda c: F.floor(c / seconds).cast("long")
     hits = hits.drop("places")
     starts = spoken.join(held.select("query_id", "filename"), "filename").select("query_id", "filename", at.alias("first"))
@@ -114,7 +139,11 @@ def exact_hits(queries: DataFrame, lines: DataFrame | None, seconds: float = NEA
 def search_dialogue(queries: DataFrame, lines: DataFrame, segments: DataFrame | None = None, k: int = TOP_K, per_video: int = PER_VIDEO, pre_roll: float = PRE_ROLL, seconds: float = NEAR, radius: int = RADIUS, index: tuple | None = None) -> DataFrame:
     """Exact hits in order of tier, occurrences, span and time; one a film, tier and
     second, some a film, k in all, with a score, the words around and the nearest poster."""
-    hits = exact_hits(queries, lines, seconds, index).withColumn("span", F.col("end") - F.col("t0"))
+    folder = scratch_folder(queries.sparkSession, "shown")
+    asked = queries.select("query_id", "text", dialogue_keys(F.coalesce("text", F.lit(""))).alias("wanted"))
+    asked = _kept(asked.withColumn("least", F.min_by(F.struct("query_id", "text"), "query_id").over(Window.partitionBy("wanted"))), f"{folder}/asked")
+    once = asked.select("least.*").distinct()  # one of the queries with the same keys
+    hits = exact_hits(once, lines, seconds, index).withColumn("span", F.col("end") - F.col("t0"))
     order = [F.col("tier"), F.col("occ").desc(), F.col("span"), F.col("t0"), F.col("filename"), F.col("line")]
     first = F.row_number().over(Window.partitionBy("query_id", "filename", "tier", F.floor("t0")).orderBy(*order))
     hits = hits.withColumn("nth", first).where("nth = 1")
@@ -123,10 +152,10 @@ def search_dialogue(queries: DataFrame, lines: DataFrame, segments: DataFrame |
     score = 4 - F.col("tier") + F.least("occ", F.lit(8)) * 0.01 - F.least("span", F.lit(300.0)) * 0.0005
     hits = hits.withColumn("score", score).withColumn("mid", (F.col("t0") + F.col("end")) / 2)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "rank"))
-    hits = hits.withColumn("rank", rank).withColumn("hit_id", F.xxhash64("query_id", "rank"))
-    asked = queries.select("query_id", dialogue_keys(F.coalesce("text", F.lit(""))).alias("wanted"))
+    hits = _kept(hits.withColumn("rank", rank).withColumn("hit_id", F.xxhash64("query_id", "rank")), f"{folder}/hits")  # k a query at most
+    every = asked.select("query_id", "wanted", F.col("least.query_id").alias("least"))
     text = lines.select("filename", F.col("line").cast("long").alias("line"), "text")
-    shown = hits.join(text, ["filename", "line"]).join(asked, "query_id").withColumn("s", snippet_around(F.col("text"), F.col("wanted"), radius))
+    shown = text.join(hits.withColumnRenamed("query_id", "least"), ["filename", "line"]).join(every, "least").withColumn("s", snippet_around(F.col("text"), F.col("wanted"), radius))
     poster = F.lit(0).cast("long")
     if segments is not None:
         near = nearest_poster(hits.select("filename", "hit_id", F.col("mid").alias("t")), segments).select("hit_id", "poster")

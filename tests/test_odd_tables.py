@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from memquarry.operators import evidence
+from memquarry.operators import dialogue, evidence
 from memquarry.plans import jobs, moments  # noqa: F401
 from memquarry.plans.queries import TABLE
 
@@ -82,3 +82,15 @@ def test_evidence_prompt_of_long_films(spark, tmp_path):
     said = spark.createDataFrame([(1, 1, "dialogue", "a.mp4", 12253.5, "x")], "query_id long, position int, kind string, filename string, t double, text string")
     asked = spark.createDataFrame([(1, "q")], "query_id long, text string")
     assert 'at 204:13: "x"' in evidence.evidence_prompt(asked, said).first().user
+
+
+def test_dialogue_search_cuts_texts_once(spark):
+    """What is found in texts is stored before it is joined, and queries with the same keys are one search."""
+    films = spark.createDataFrame([(i, f"the night is young {i}") for i in range(40)], "id long, text string")
+    some = spark.range(0, 40, 4).join(films, "id").selectExpr("'a.mp4' AS filename", "id AS line", "id * 7.0D AS t0", "id * 7.0D + 5 AS t1", "text")
+    queries = spark.createDataFrame([(5, "young nights"), (3, "Young night!"), (4, "the 36"), (6, None)], "query_id long, text string")
+    hits = dialogue.exact_hits(queries, some)
+    assert "ArrowEvalPython" not in hits._jdf.queryExecution().executedPlan().toString()
+    got = dialogue.search_dialogue(queries, some, per_video=24).orderBy("query_id", "rank").collect()
+    of = {q: [tuple(r)[1:] for r in got if r.query_id == q] for q in (3, 4, 5, 6)}
+    assert of[3] == of[5] and len(of[3]) == 10 and [x[1] for x in of[4]] == ["a.mp4"] and not of[6]
